@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoloom.llm import decontaminate, exact_dedup, packing, token_files
+from isoloom.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "hit.n_words", "hit.n_hit", "hit.n_items", "hit.items_sha256", "hit.contaminated")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    named = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return named.select("doc_id", language_id.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
 
@@ -40,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_near_dedup": op6_near_dedup,
+    "op8_language_id": op8_language_id,
     "op10_token_files": op10_token_files,
 }
 

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import per_row, slices, text_buffer
+from isoloom.llm.common import slices, text_buffer
 from isoloom.llm.words import LOWER, PUNCT, hashes, mix, scan, separators
 
 WINDOW = 13
@@ -31,6 +31,8 @@ WINDOW = 13
 COVERAGE = 20
 BLOCK_WORDS = 400_000
 WORD = separators(PUNCT)
+HIT = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, spans: array<struct<start: int, end: int>>>"
+HIT_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
 class Automaton:
@@ -66,7 +68,6 @@ class Automaton:
                     state = self.link[state]
                 if n == window:
                     self.of_state.setdefault(state, set()).add(item)
-                    # go on with the last window - 1 words only: a state's strings of 13 words are one class
             if len(run) < window:
                 self.short.setdefault(state, {}).setdefault(len(run), set()).add(item)
         #: The nearest state up the suffix links (itself included) at which a short item ends.
@@ -149,7 +150,7 @@ def _runs(h: np.ndarray, first: np.ndarray, automaton: Automaton) -> Iterator[tu
         yield int(np.searchsorted(first, a, "right")) - 1, a, number[a:b].tolist()
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
     """The items, a block at a time; the driver never holds more than BLOCK_WORDS words (or one item)."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = items.agg(F.sum(F.size(F.split("text", "[^A-Za-z0-9\u0080-\U0010ffff]+")))).first()[0] or 0
@@ -159,32 +160,31 @@ def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
-    """All columns of ``docs``, and a struct ``hit``: n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to)."""
-    spark = docs.sparkSession
-    schema = "n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, spans: array<struct<start: int, end: int>>"
-    out = docs.withColumn("_found", F.lit(None).cast("struct<spans: array<bigint>, items: array<string>>"))
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-        out = out.mapInArrow(_pass(shared, docs.columns.index("text")), out.schema)
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    text = docs.columns.index("text")
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, carry: list[str] | None = None) -> DataFrame:
+    """The ``carry`` columns of ``docs`` (all by default), and a struct ``hit``: n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to)."""
+    spark, carry = docs.sparkSession, docs.columns if carry is None else carry
+    blocks = _blocks(items)
+    out = docs.select(*[c for c in docs.columns if c in carry], F.col("text").alias("_text"), F.lit(None).cast("struct<spans: array<bigint>, items: array<string>>").alias("_found"))
+    schema = out.select(*carry, F.lit(None).cast(HIT).alias("hit")).schema
+    block = next(blocks)
+    for after in blocks:
+        out = out.mapInArrow(_pass(_shared(spark, block, window), coverage, None), out.schema)
+        block = after
+    return out.mapInArrow(_pass(_shared(spark, block, window), coverage, carry), schema)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a, b in slices(whole.column(text)):
-                batch = whole.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_digest(batch.column(text), batch.columns[-1].to_pylist(), coverage), kind)], [*batch.schema.names[:-1], "hit"])
 
-    return out.mapInArrow(finish, docs.select("*", F.lit(None).cast(f"struct<{schema}>").alias("hit")).schema)
+def _shared(spark: SparkSession, block: list[tuple[str, str]], window: int):
+    return spark.sparkContext.broadcast(Automaton(block, window))
+
 
+def _pass(shared, coverage: int, carry: list[str] | None):
+    """Add what one block's automaton finds; with ``carry``, end with the digest."""
 
-def _pass(shared, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in slices(whole.column(text)):
+            for a, b in slices(whole.column(whole.num_columns - 2), 1 << 20):
                 batch = whole.slice(a, b - a)
-                data, offsets = text_buffer(batch.column(text))
+                data, offsets = text_buffer(batch.column(batch.num_columns - 2))
                 data = LOWER[data]
                 starts, ends, first = scan(data, offsets, WORD)
                 found = batch.columns[-1].to_pylist()
@@ -195,7 +195,11 @@ def _pass(shared, text: int):
                     if spans:
                         old = found[d] or {"spans": [], "items": []}
                         found[d] = {"spans": old["spans"] + [x << 32 | y for x, y in _merged(spans)], "items": sorted(items.union(old["items"]))}
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.columns[-1].type)], batch.schema.names)
+                if carry is None:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.columns[-1].type)], batch.schema.names)
+                else:
+                    digest = pa.array(_digest(found, offsets, starts, ends, first, coverage), HIT_ARROW)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], digest], [*carry, "hit"])
 
     return run
 
@@ -210,9 +214,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(column: pa.Array, found: list, coverage: int) -> list[dict]:
-    data, offsets = text_buffer(column)
-    starts, ends, first = scan(LOWER[data], offsets, WORD)
+def _digest(found: list, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, coverage: int) -> list[dict]:
     out = []
     for d, x in enumerate(found):
         spans = _merged([(s >> 32, s & 0xFFFFFFFF) for s in (x or {}).get("spans", [])])

@@ -30,7 +30,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.hits(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "hit.n_words", "hit.n_hit", "hit.n_items", "hit.items_sha256", "hit.contaminated")
+    return decontaminate.hits(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"]).select("doc_id", "hit.n_words", "hit.n_hit", "hit.n_items", "hit.items_sha256", "hit.contaminated")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

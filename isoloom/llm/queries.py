@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm import decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, packing, token_files
+from isoloom.llm import decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, packing, secrets, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.hits(docs, _table(spark, sf_dir, "benchmark"), carry=["doc_id"]).select("doc_id", "hit.n_words", "hit.n_hit", "hit.n_items", "hit.items_sha256", "hit.contaminated")
@@ -54,6 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op8_language_id": op8_language_id,

@@ -129,13 +129,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _stars(nodes: DataFrame, order: Column) -> DataFrame:
+def stars(nodes: DataFrame, order: Column) -> DataFrame:
     """Pairs (a, b) of each member with its node's representative, across components."""
     head = nodes.groupBy("node").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "head")
     return nodes.join(head, "node").where("comp <> head.comp").select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return nodes.withColumn("comp", F.col("cid"))
     return nodes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
@@ -153,7 +153,7 @@ def _children(crowded: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     return rows.select("root", F.xxhash64("node", "place", F.get("sig", F.col("place"))).alias("node"), "cid", "comp")
 
 
-def _blocks(crowded: DataFrame) -> DataFrame:
+def crowded_blocks(crowded: DataFrame) -> DataFrame:
     """Nodes that stay crowded, as sub-nodes of two blocks each: all pairs across components meet in one of them.
 
     The component with most members is cut into blocks that need not meet each other; the rest meets everything.
@@ -180,7 +180,7 @@ def small_nodes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
         if crowded.isEmpty():
             break
         if depth == DEPTH:
-            found.append(_blocks(crowded))
+            found.append(crowded_blocks(crowded))
         else:
             nodes = written(_children(crowded, classes, depth).distinct())
     return reduce(DataFrame.unionByName, found)
@@ -245,18 +245,18 @@ def mark(docs: DataFrame) -> DataFrame:
     nodes = classes.select("cid", paths.alias("p")).select("p.root", "p.node", "cid")
     edges, labels = [], None
     for k in range(ROUNDS):
-        pairs = written(_stars(_labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
+        pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
         near = written(alike(pairs, unique))
         found = written(confirm(docs, near))
         if found.isEmpty():
             break
         edges.append(found)
         labels = written(components(reduce(DataFrame.union, edges)))
-    members = written(_promising(small_nodes(_labelled(nodes, labels), unique), unique))
+    members = written(_promising(small_nodes(labelled(nodes, labels), unique), unique))
     if not members.isEmpty():
         edges.append(written(_exhaustive(docs, members)))
         labels = written(components(reduce(DataFrame.union, edges)))
-    of = _labelled(classes.select("digest", "cid"), labels).select("digest", "comp")
+    of = labelled(classes.select("digest", "cid"), labels).select("digest", "comp")
     out = rows.join(of, "digest", "left").withColumn("component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 

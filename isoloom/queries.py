@@ -345,7 +345,7 @@ v AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER
 un AS (SELECT tid, min(s) AS s, max(e) AS e FROM v GROUP BY tid, island)"""
 
 
-@query(f'WITH {EX}, b AS (SELECT tid, s, e FROM ex), {_UNION} SELECT tid, s AS start, e AS "end" FROM un')
+@query(f'WITH {EX}, b AS (SELECT DISTINCT tid, s, e FROM ex), {_UNION} SELECT tid, s AS start, e AS "end" FROM un')
 def exon_union(spark, d):
     rows = views.exon_rows(spark, d).select("tid", F.col("s").alias("start"), F.col("e").alias("end"))
     return intervals.union(rows, ["tid"])

@@ -4,46 +4,77 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from array import array
 
 import numpy as np
 
-#: Pieces that one worker remembers; beyond it starts anew. About 150 bytes each.
-REMEMBERED = 900_000
+#: Pieces that one worker remembers in either of two generations; about 200 bytes each.
+REMEMBERED = 200_000
+
+
+#: Pieces whose words the pre-tokenizer leaves whole: Latin-1 letters, composed already, and a point or comma.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
+class _Known(dict):
+    """Ids of pieces as bytes, encoded when first asked for.
+
+    When full, it becomes the old generation, from which pieces that come again return.
+    """
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        self[piece] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
     """ids(text) equals Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, for a vocabulary that drops white space.
 
     A text is cut at spaces and line feeds; the pre-tokenizer joins nothing across them, so a piece has the same ids
-    alone as within the text, and each distinct piece is encoded once per worker.
+    alone as within the text, and each distinct piece is encoded once per worker: plain words by the tokenizer's model
+    (its normaliser only lower-cases them), all others by the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Known(self._encode)
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        self._learn([p for p in set().union(*cut) if p not in known])
-        return [np.frombuffer(b"".join([known[p] for p in parts]), np.uint16) for parts in cut]
-
-    def _learn(self, new: list[str]) -> None:
-        """Many pieces in one call, with a marked gap between them: a call for each costs more than its ids."""
-        for p in [p for p in new if "\0" in p or len(self.mark) != 1]:
-            self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint16).tobytes()
-        plain = [p for p in new if p not in self.known]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            ids = np.array(self.tokenizer.encode(" \0 ".join(part), add_special_tokens=False).ids, np.uint16)
-            gaps = np.flatnonzero(ids == self.mark[0])
-            for p, a, b in zip(part, [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(ids)], strict=True):
-                self.known[p] = ids[a:b].tobytes()
+        known, out = self.known, []
+        for text in texts:
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))), np.uint16))
+            known.turn()
+        return out
+
+    def _encode(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        if not plain:
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint16).tobytes()
+        word, after = plain.groups()
+        if after:
+            return self.known[word.lower()] + self.known[after]
+        if not word.islower():
+            return self.known[word.lower()]
+        return array("H", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]).tobytes()
 
 
 class ByteEncoder:

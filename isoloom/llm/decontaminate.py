@@ -228,11 +228,31 @@ def _digest(found: list, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, cut: bool = False) -> DataFrame:
     """``docs`` without contaminated rows; with ``cut``, hit spans of the others are removed from their texts too."""
-    found = hits(docs, items, window, coverage).where("NOT hit.contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # names of further columns can't clash
+    found = hits(rows, items, window, coverage, carry=["row"]).where("NOT hit.contaminated")
     if cut:
-        binary = F.encode("text", "UTF-8")
+        text = F.col("row.text")
+        binary = F.encode(text, "UTF-8")
         edges = F.concat(F.array(F.lit(0)), F.transform("hit.spans", lambda s: s["end"]))
-        stops = F.concat(F.transform("hit.spans", lambda s: s["start"]), F.array(F.octet_length("text")))
-        parts = F.zip_with(edges, stops, lambda a, b: F.decode(F.substring(binary, a + 1, b - a), F.lit("UTF-8")))
-        found = found.withColumn("text", F.when(F.size("hit.spans") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
-    return found.select(*docs.columns)
+        stops = F.concat(F.transform("hit.spans", lambda s: s["start"]), F.array(F.octet_length(text)))
+        parts = F.zip_with(edges, stops, lambda a, b: F.decode(F.substring(binary, a + 1, b - a), "UTF-8"))
+        found = found.withColumn("row", F.col("row").withField("text", F.when(F.size("hit.spans") > 0, F.array_join(parts, "")).otherwise(text)))
+    return found.select("row.*")
+
+
+#: The same rows in SQL, for tables whose doc_id is unique.
+ORACLE = r"""
+WITH words AS (
+  SELECT 'd' AS k, CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', coalesce(CAST(item_id AS VARCHAR), 'null'), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), items AS (SELECT id, w, least(13, len(w)) AS m FROM words WHERE k = 'i' AND len(w) > 0
+), win AS (SELECT DISTINCT id AS item, m, array_to_string(w[i:i+m-1], ' ') AS g FROM items, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) t(i)
+), run AS (SELECT id, m, i, array_to_string(w[i:i+m-1], ' ') AS g FROM words, (SELECT DISTINCT m FROM win) l, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) t(i) WHERE k = 'd' AND len(w) >= m
+), hit AS (SELECT run.id, run.m, run.i, item FROM run JOIN win ON win.m = run.m AND win.g = run.g
+), cover AS (SELECT id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + m)) u(p) GROUP BY id
+), found AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT id, item FROM hit) q GROUP BY id)
+SELECT CAST(words.id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN cover ON cover.id = words.id LEFT JOIN found ON found.id = words.id WHERE k = 'd'
+"""

@@ -62,9 +62,9 @@ def mark(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay. Rows equal in text and doc_id are one row then."""
     marks = mark(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    here = docs.withColumn("_here", F.sha2(normalised(F.col("text")), 256))
-    stays = here.join(marks.distinct(), here["doc_id"].eqNullSafe(marks["_id"]) & (here["_here"] == marks["_sha"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_here"]).select(*docs.columns)
+    here = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
+    stays = here.join(marks.distinct(), here["id"].eqNullSafe(marks["_id"]) & (here["sha"] == marks["_sha"]), "left_semi")
+    return stays.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 #: The same rows in SQL; \x0B and \x0C by code, as SQL strings have no escapes.

@@ -85,7 +85,7 @@ class Model:
             keys[lang] = windows(data, offsets)
         self.tables, self.escapes = [], []
         n = len(self.langs)
-        for k in range(ORDER + 1):
+        for k in range(ORDER + 1) if n else ():
             mask = np.uint64((1 << 8 * (k + 1)) - 1)
             grams = np.unique(np.concatenate([np.unique(keys[lang] & mask) for lang in self.langs]))
             contexts = np.unique(grams >> np.uint64(8))

@@ -2,7 +2,7 @@
 
 Three patterns give base spans. The field tags each token of a line as begin, inside or outside of a secret, from the
 token's shape and prefix, the words beside it, what stands between, and features of the whole file; Viterbi decodes a
-line. It is fitted on the base spans of a bounded sample (SAMPLE_DOCS whole documents in hash order) and adds spans that
+line. It is fitted on the base spans of a bounded sample (whole documents of SAMPLE_BYTES in hash order) and adds spans that
 no base span covers.
 
 A line is decoded only if some token could leave "outside" with profit under the greatest transition weights; all other
@@ -32,7 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "crf"]
 
-SAMPLE_DOCS = 6000
+#: Bytes of whole texts to fit on.
+SAMPLE_BYTES = 20_000_000
 STEPS, WIDTH, NEGATIVES = 80, 40, 3000
 B, I, O = 0, 1, 2  # noqa: E741
 #: Prefixes and neighbouring words that so many sample secrets share have weights of their own; all others share one.
@@ -209,12 +210,19 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
     return out
 
 
-def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
+def sample(docs: DataFrame, most: int = SAMPLE_BYTES) -> list[str]:
+    """Whole texts in hash order, up to ``most`` bytes."""
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    n = max(1, docs.count())
-    rank = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
-    got = rows.where(rank <= min(1.0, 1.2 * most / n)).select(rank.alias("rank"), "text").collect()
-    return [r["text"] for r in sorted(got, key=lambda r: (r["rank"], r["text"]))[:most]]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rank = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
+    got = rows.where(rank <= min(1.0, 1.2 * most / max(size, 1))).select(rank.alias("rank"), "text").collect()
+    out, used = [], 0
+    for r in sorted(got, key=lambda r: (r["rank"], r["text"])):
+        used += len(r["text"].encode())
+        if used > most and out:
+            break
+        out.append(r["text"])
+    return out
 
 
 def train(texts: list[str]) -> Field | None:

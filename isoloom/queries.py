@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoloom import views
 from isoloom.functions import attributes as at
 from isoloom.functions import cigar as cg
+from isoloom.functions import strings
 from isoloom.operators import details, filtering, intervals, junctions, novelty, transcripts
 from isoloom.plans import commands
 from isoloom.schema import FilterParams, JunctionParams, UpdateParams
@@ -473,5 +474,33 @@ def sample_replicates(spark, d):
     return text.sample_table(specs).select("r_name", "sample", "replicate", "path")
 
 
+@query(f"""WITH {TX} SELECT concat('chr', CAST(tid+1 AS VARCHAR)) AS chr, CAST(le+1 AS INT) AS start, CAST(rs-1 AS INT) AS "end", CAST(tx % 3 - 1 AS INT) AS is_rev,
+CAST(count(*) AS BIGINT) AS n, CAST(sum(tx % 9) AS BIGINT) AS uniq FROM it GROUP BY 1, 2, 3, 4""")
+def star_scan(spark, d):
+    rows = _tx(spark, d).where("size(exons) > 1").select("tx", "chr", "exons", F.explode(F.sequence(F.lit(0), F.size("exons") - 2)).alias("i"))
+    s, e = F.get("exons", F.col("i"))["end"] + 1, F.get("exons", F.col("i") + 1)["start"] - 1
+    lines = rows.select(F.concat_ws("\t", "chr", s.cast("string"), e.cast("string"), (F.col("tx") % 3).cast("string"), F.lit("1"), F.lit("1"), (F.col("tx") % 9).cast("string"), F.lit("0"), F.lit("20")).alias("value"))
+    return text.parse_star(lines).fillna(-1, ["is_rev"]).groupBy("chr", "start", "end", "is_rev").agg(F.count("*").alias("n"), F.sum("uniq").alias("uniq"))
+
+
+@query(f"""WITH {TX} SELECT tid, le+1 AS don, rs-1 AS acc, CAST(count(*) AS BIGINT) AS uniq_c FROM it WHERE tx % 5 <> 0 AND tx % 2 = 0 GROUP BY tid, le, rs""")
+def sj_unique_only(spark, d):
+    return junctions.table(_aln(spark, d), params=JunctionParams(use_multi=False)).select("tid", "don", "acc", "uniq_c")
+
+
+@query(f"WITH {AL} SELECT ord FROM al WHERE unmapped = 0 AND clip5 = 0 AND clip3 = 0 AND del_len = 0")
+def ad_skips_only(spark, d):
+    return details.details(views.grouped_alignments(spark, d), JunctionParams(require_proper_pair=False), skips_only=True).select("ord")
+
+
+@query("""SELECT p_partkey, CAST(length(p_type) - length(replace(p_type, ' ', '')) + 1 AS INT) AS n_tokens, split_part(p_type, ' ', 2) AS second, CAST(instr(p_type, 'T') - 1 AS INT) AS first_t,
+CAST(CASE WHEN instr(substr(p_type, 4), 'E') > 0 THEN instr(substr(p_type, 4), 'E') + 2 ELSE -1 END AS INT) AS e_after_3, CAST(instr(substr(p_type, 1, 6), 'T') - 1 AS INT) AS t_within_6,
+CAST(length(p_type) - length(replace(p_type, 'A', '')) AS INT) AS n_a, CAST(floor((p_size + 7) / 2) AS INT) AS middle FROM part""")
+def string_functions(spark, d):
+    part = views.table(spark, d, "part")
+    t, words = F.col("p_type"), strings.tokens(F.col("p_type"), " ")
+    return part.select("p_partkey", F.size(words).alias("n_tokens"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("second"), strings.find(t, F.lit("T")).alias("first_t"), strings.find(t, F.lit("E"), 3).alias("e_after_3"), strings.find_within(t, F.lit("T"), 6).alias("t_within_6"), strings.count(t, F.lit("A")).cast("int").alias("n_a"), strings.middle(F.col("p_size"), F.lit(7)).cast("int").alias("middle"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bam2sj(spark, sf_dir)

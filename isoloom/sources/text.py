@@ -58,8 +58,13 @@ def parse_gtf(lines: DataFrame, header: DataFrame | None = None) -> DataFrame:
 
 
 def star_junctions(spark: SparkSession, path: str, header: DataFrame | None = None) -> DataFrame:
-    """Short-read junctions; is_rev is null for an undefined strand, so it never matches."""
-    rows = spark.read.csv(path, sep="\t", schema=STAR)
+    """Short-read junctions of a file."""
+    return parse_star(spark.read.text(path), header)
+
+
+def parse_star(lines: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """Short-read junctions of lines (value); is_rev is null for an undefined strand, so it never matches."""
+    rows = lines.select(F.from_csv("value", STAR, {"sep": "\t"}).alias("r")).select("r.*")
     rows = rows.withColumn("is_rev", F.when(F.col("strand") == 1, 0).when(F.col("strand") == 2, 1))
     return rows if header is None else rows.join(F.broadcast(header.select("tid", "chr")), "chr")  # one row a chromosome
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from isoloom.llm.common import per_row, slices, text_buffer, written
 from isoloom.llm.components import components
-from isoloom.llm.words import LOWER, WHITE, grams, hashes, scan, separators
+from isoloom.llm.words import LOWER, WHITE, grams, hashes, mix, scan, separators
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -38,10 +38,15 @@ PERCENT = 75
 COORDINATES = 64
 ROOTS, BRANCH, DEPTH = 10, 2, 5
 #: Members of a node that are compared exhaustively.
-SMALL = 200
+SMALL = 4000
+#: Members whose texts are compared in one group; a larger dense node is cut into blocks that meet pairwise.
+GROUP = 500
 #: Equal sketch bytes of 64 from which a pair is confirmed; a pair at the threshold has 48 on average, deviation 3.5.
 SKETCH = 34
+#: Rounds with one representative a node, as long as three quarters of the near pairs link.
 ROUNDS = 3
+#: A node with more near pairs than so many times its members is compared as a whole, others pair by pair.
+DENSE = 4
 #: Longest list of ids that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 WORD = separators(WHITE)
@@ -112,7 +117,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, classes: DataFrame, least: int = SKETCH) -> DataFrame:
     """Those of ``pairs`` whose sketches are near enough to be confirmed."""
     sketch = classes.select("cid", "sketch")
     both = pairs.join(sketch.select(F.col("cid").alias("a"), F.col("sketch").alias("p")), "a").join(sketch.select(F.col("cid").alias("b"), F.col("sketch").alias("q")), "b")
@@ -120,19 +125,22 @@ def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, q = (_matrix(batch.column(k)) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((p == q).sum(1) >= SKETCH))
+            yield batch.select(["a", "b"]).filter(pa.array((p == q).sum(1) >= least))
 
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    """Sketches, which all have one length, as rows of bytes."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint8)
 
 
 def stars(nodes: DataFrame, order: Column) -> DataFrame:
     """Pairs (a, b) of each member with its node's representative, across components."""
-    head = nodes.groupBy("node").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "head")
-    return nodes.join(head, "node").where("comp <> head.comp").select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
+    head = nodes.groupBy("node").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("node").alias("at"), F.col("head.cid").alias("h"), F.col("head.comp").alias("h_comp"))
+    met = nodes.join(head, (F.col("node") == F.col("at")) & (F.col("comp") != F.col("h_comp")))
+    return met.select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()
 
 
 def labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -153,12 +161,11 @@ def _children(crowded: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     return rows.select("root", F.xxhash64("node", "place", F.get("sig", F.col("place"))).alias("node"), "cid", "comp")
 
 
-def crowded_blocks(crowded: DataFrame) -> DataFrame:
+def crowded_blocks(crowded: DataFrame, half: int = SMALL // 2) -> DataFrame:
     """Nodes that stay crowded, as sub-nodes of two blocks each: all pairs across components meet in one of them.
 
     The component with most members is cut into blocks that need not meet each other; the rest meets everything.
     """
-    half = SMALL // 2
     sizes = crowded.groupBy("node", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("node", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / half).cast("int").alias("na"), F.ceil((F.col("all") - F.col("m.n")) / half).cast("int").alias("nr"))
     rows = crowded.join(main, "node")
@@ -186,28 +193,61 @@ def small_nodes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _promising(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members whose sketch is near that of a member of another component in the same node."""
+def _promising(members: DataFrame, classes: DataFrame, least: int = SKETCH) -> DataFrame:
+    """What small nodes leave to confirm, by sketches across components: pairs (a, b), with node null; of dense nodes
+    their near members instead (node, a: class, b: component)."""
     rows = members.join(classes.select("cid", "sketch"), "cid").groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sketch")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, lists = batch.column(0).to_numpy(), batch.column(1)
+            nodes, lists = batch.column(0).to_pylist(), batch.column(1)
             values = lists.flatten()
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
             cid, comp, sketch = values.field(0).to_numpy(), values.field(1).to_numpy(), _matrix(values.field(2))
-            keep = np.zeros(len(cid), bool)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                s, c = sketch[a:b], comp[a:b]
-                for k in range(b - a - 1):
-                    near = ((s[k + 1 :] == s[k]).sum(1) >= SKETCH) & (c[k + 1 :] != c[k])
-                    if near.any():
-                        keep[a + k] = True
-                        keep[a + k + 1 : b] |= near
-            node = np.repeat(nodes, np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(cid[keep]), pa.array(comp[keep])], ["node", "cid", "comp"])
-
-    return rows.mapInArrow(run, "node long, cid long, comp long")
+            for node, a, b in zip(nodes, bounds[:-1], bounds[1:], strict=True):
+                x, y = _near_pairs(sketch[a:b], comp[a:b], least)
+                if not len(x):
+                    continue
+                if len(x) > DENSE * (b - a):
+                    keep = a + np.unique(np.concatenate([x, y]))
+                    part, place = _groups(node, comp[keep])
+                    rows = [pa.array(part), pa.array(cid[keep][place]), pa.array(comp[keep][place])]
+                else:
+                    p, q = cid[a:b][x], cid[a:b][y]
+                    rows = [pa.nulls(len(p), pa.int64()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))]
+                yield pa.RecordBatch.from_arrays(rows, ["node", "a", "b"])
+
+    return rows.mapInArrow(run, "node long, a long, b long").distinct()
+
+
+def _groups(node: int, comp: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+    """Group numbers and places of members: one group, or of a large node pairs of blocks in which all pairs across
+    components meet. The largest component's blocks need not meet each other."""
+    n = len(comp)
+    if n <= most:
+        return np.full(n, node), np.arange(n)
+    _, of, count = np.unique(comp, return_inverse=True, return_counts=True)
+    main = of.reshape(-1) == count.argmax()
+    half = most // 2
+    first, rest = np.flatnonzero(main), np.flatnonzero(~main)
+    a = [first[k : k + half] for k in range(0, len(first), half)]
+    r = [rest[k : k + half] for k in range(0, len(rest), half)]
+    pairs = [np.concatenate([x, y]) for x in a for y in r] + [np.concatenate([x, y]) for k, x in enumerate(r) for y in r[k + 1 :]] + ([] if a else r)
+    seed = np.full(len(pairs), node).view(np.uint64) + np.arange(len(pairs), dtype=np.uint64)
+    number = mix(seed).view(np.int64)
+    return np.repeat(number, [len(x) for x in pairs]), np.concatenate(pairs)
+
+
+def _near_pairs(sketch: np.ndarray, comp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs across components with ``least`` equal sketch bytes or more."""
+    rows = sketch
+    first, second = [], []
+    for k in range(len(rows) - 1):
+        other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+        near = other[np.count_nonzero(rows[other] == rows[k], axis=1) >= least]
+        first.append(np.full(len(near), k))
+        second.append(near)
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64),) * 2
 
 
 def _exhaustive(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -236,6 +276,33 @@ def _exhaustive(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("node").applyInArrow(run, "a long, b long")
 
 
+def connect(nodes: DataFrame, classes: DataFrame, below, confirm, exhaustive, least: int = SKETCH) -> DataFrame | None:
+    """id, component of all classes with a link; None if there is none.
+
+    ``nodes`` (node, cid) say which classes may be compared, ``classes`` has their sketches. ``below`` gives the small
+    nodes of labelled nodes, ``confirm`` those of pairs (a, b) that link, ``exhaustive`` the links within dense nodes.
+    """
+    edges, labels = [], None
+    for k in range(ROUNDS):
+        pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
+        near = written(alike(pairs, classes, least))
+        found = written(confirm(near))
+        n = found.count()
+        if not n:
+            break
+        edges.append(found)
+        labels = written(components(reduce(DataFrame.union, edges)))
+        if 4 * n < 3 * near.count():
+            break
+    left = written(_promising(below(labelled(nodes, labels)), classes, least))
+    last = confirm(left.where("node IS NULL").select("a", "b"))
+    dense = left.where("node IS NOT NULL")
+    if not dense.isEmpty():
+        last = last.union(exhaustive(dense.select("node", F.col("a").alias("cid"), F.col("b").alias("comp"))))
+    last = written(last)
+    return labels if last.isEmpty() else written(components(reduce(DataFrame.union, [*edges, last])))
+
+
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     rows = written(signatures(docs))
@@ -243,19 +310,7 @@ def mark(docs: DataFrame) -> DataFrame:
     unique = classes.dropDuplicates(["cid"])
     paths = F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.get("sig", F.lit(r))).alias("node")) for r in range(ROOTS)]))
     nodes = classes.select("cid", paths.alias("p")).select("p.root", "p.node", "cid")
-    edges, labels = [], None
-    for k in range(ROUNDS):
-        pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
-        near = written(alike(pairs, unique))
-        found = written(confirm(docs, near))
-        if found.isEmpty():
-            break
-        edges.append(found)
-        labels = written(components(reduce(DataFrame.union, edges)))
-    members = written(_promising(small_nodes(labelled(nodes, labels), unique), unique))
-    if not members.isEmpty():
-        edges.append(written(_exhaustive(docs, members)))
-        labels = written(components(reduce(DataFrame.union, edges)))
+    labels = connect(nodes, unique, lambda n: small_nodes(n, unique), lambda p: confirm(docs, p), lambda m: _exhaustive(docs, m))
     of = labelled(classes.select("digest", "cid"), labels).select("digest", "comp")
     out = rows.join(of, "digest", "left").withColumn("component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
@@ -265,3 +320,21 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each component."""
     gone = mark(docs).where("NOT kept").select(F.col("doc_id").alias("_id"))
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
+
+
+#: The same rows in SQL, for tables whose doc_id is unique and not null.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM words, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) t(i) WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, concat(array_to_string(w, ' '), ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+), size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (SELECT x, y FROM pairs JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y
+), root AS (SELECT x, min(y) AS r FROM reach GROUP BY x)
+SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(words.doc_id, coalesce(r, words.doc_id)) AS component_id, words.doc_id = least(words.doc_id, coalesce(r, words.doc_id)) AS kept
+FROM words LEFT JOIN size ON size.doc_id = words.doc_id LEFT JOIN root ON root.x = words.doc_id
+"""

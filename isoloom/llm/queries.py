@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op6_near_dedup": near_dedup.ORACLE}

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoloom.llm.common import written
+
 LEAST, MOST = 200, 4000
 #: Deleted before comparison, [\x20\x09-\x0D].
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -55,7 +57,8 @@ def mark(docs: DataFrame) -> DataFrame:
     # nulls sort last among equals; the aggregate is combined before the shuffle, so a hot group stays small
     first = F.min(F.struct((-F.col("code_points")).alias("less"), F.col("doc_id").isNull().alias("absent"), "doc_id"))
     groups = rows.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("of"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    # written, so that the join deals both sides anew and can split a hot group's documents
+    groups = written(groups.select(F.col("recipe").alias("of"), F.col("first.doc_id").alias("keep_id"), "group_size"))
     return rows.join(groups, rows["recipe"] == groups["of"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 

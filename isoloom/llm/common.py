@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/isoloom-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, as 10,000 whole texts are a large share of a task's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > most:
+        df.sparkSession.conf.set(key, str(most))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession)
@@ -30,6 +39,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(keys: DataFrame, most: int) -> DataFrame:
+    """Distinct ``keys``, written; marked for broadcast if they are ``most`` rows or fewer, so that texts can stay put."""
+    keys = written(keys.distinct())
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its row offsets (rows + 1); nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

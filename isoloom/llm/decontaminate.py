@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, text_buffer
+from isoloom.llm.common import slices, small_batches, text_buffer
 from isoloom.llm.words import LOWER, PUNCT, hashes, mix, scan, separators
 
 WINDOW = 13
@@ -162,6 +162,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns of ``docs`` (all by default), and a struct ``hit``: n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to)."""
+    small_batches(docs)
     spark, carry = docs.sparkSession, docs.columns if carry is None else carry
     blocks = _blocks(items)
     out = docs.select(*[c for c in docs.columns if c in carry], F.col("text").alias("_text"), F.lit(None).cast("struct<spans: array<bigint>, items: array<string>>").alias("_found"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import per_row, slices, text_buffer
+from isoloom.llm.common import per_row, slices, small_batches, text_buffer
 from isoloom.llm.words import LOWER
 
 ORDER = 4
@@ -139,6 +139,7 @@ class Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, and lang_pred, score. Only the text is used."""
+    small_batches(docs)
     if not model.langs:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, text_buffer, written
+from isoloom.llm.common import slices, small_batches, text_buffer, written
 from isoloom.llm.words import LOWER, PUNCT, hashes, scan, separators
 
 LEAST = 0.7
@@ -185,6 +185,7 @@ def inherit(rows: DataFrame) -> DataFrame:
 
 def scan_licenses(files: DataFrame) -> DataFrame:
     """One row for each file (doc_id, path, text)."""
+    small_batches(files)
     t = Templates()
     t.weigh(*document_frequencies(files, t))
     return inherit(written(own(files, t)))

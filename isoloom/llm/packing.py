@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, written
+from isoloom.llm.common import slices, small_batches, written
 from isoloom.llm.encode import ByteEncoder, encoder
 
 WINDOW = 1024
@@ -145,6 +145,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row a piece: PIECES. sequence_id is unique over the table."""
+    small_batches(docs)
     tokens = written(token_table(docs, tokenizer, end_id))
     found, n, mean = document_frequencies(tokens)
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - found + 0.5) / (found + 0.5)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, text_buffer
+from isoloom.llm.common import slices, small_batches, text_buffer
 from isoloom.llm.words import LOWER, hashes, scan, separators
 
 #: The base patterns and least lengths, in the order of kinds.
@@ -275,6 +275,7 @@ RESULT = "n_assign long, n_access long, n_hex long, n_crf long, base_sha256 stri
 
 def find(docs: DataFrame, field: Field | None) -> DataFrame:
     """All columns of ``docs`` but text, and RESULT."""
+    small_batches(docs)
     shared, carry = docs.sparkSession.sparkContext.broadcast(field), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

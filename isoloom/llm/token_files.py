@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import shared_folder, slices, written
+from isoloom.llm.common import shared_folder, slices, small_batches, written
 from isoloom.llm.encode import WordEncoder, encoder
 
 MAGIC, TRAILER = b"IDPK1\0\0\0", struct.Struct("<IIQQQQ")
@@ -160,6 +160,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     """Write all documents, then describe each from what the files hold."""
+    small_batches(docs)
     folder = shared_folder(docs.sparkSession)
     files = written(write_token_files(docs, tokenizer, end_id, vocabulary, folder))
     return read_token_files(files, folder)

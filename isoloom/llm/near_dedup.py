@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import per_row, slices, text_buffer, written
+from isoloom.llm.common import listed, per_row, slices, small_batches, text_buffer, written
 from isoloom.llm.components import components
 from isoloom.llm.words import LOWER, WHITE, grams, hashes, mix, scan, separators
 
@@ -72,6 +72,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def linked_pairs(left: pa.Array, right: pa.Array, sets) -> list[bool]:
+    """Whether the texts of each row link; a text that comes again has its set made once."""
+    both = pa.concat_arrays([left, right]).dictionary_encode()
+    made, at = sets(both.dictionary), both.indices.fill_null(-1).to_pylist()
+    none = np.zeros(0, np.uint64)
+    get = lambda k: made[k] if k >= 0 else none
+    return [linked(get(a), get(b)) for a, b in zip(at[: len(left)], at[len(left) :], strict=True)]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), sig (minwise hashes), sketch (a byte of each)."""
 
@@ -96,10 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text of the documents in ``ids``."""
-    ids = written(ids.distinct())
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(listed(ids, BROADCAST_IDS), "id", "left_semi")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -111,8 +117,7 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for whole in batches:
             for x, y in slices(whole.column(2), 1 << 20):
                 batch = whole.slice(x, y - x)
-                good = [linked(a, b) for a, b in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                yield batch.select(["a", "b"]).filter(pa.array(linked_pairs(batch.column(2), batch.column(3), shingle_sets), pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -138,8 +143,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def stars(nodes: DataFrame, order: Column) -> DataFrame:
     """Pairs (a, b) of each member with its node's representative, across components."""
+    # written, so that the join deals both sides anew and can split a hot node's members
     head = nodes.groupBy("node").agg(F.min(F.struct(order.alias("o"), "cid", "comp")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("node").alias("at"), F.col("head.cid").alias("h"), F.col("head.comp").alias("h_comp"))
-    met = nodes.join(head, (F.col("node") == F.col("at")) & (F.col("comp") != F.col("h_comp")))
+    met = nodes.join(written(head), (F.col("node") == F.col("at")) & (F.col("comp") != F.col("h_comp")))
     return met.select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct()
 
 
@@ -181,7 +187,7 @@ def small_nodes(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     found = []
     for depth in range(1, DEPTH + 1):
         size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "n")
-        live = written(nodes.join(size, "node"))
+        live = written(nodes.join(written(size), "node"))
         found.append(live.where(F.col("n") <= SMALL).select("node", "cid", "comp"))
         crowded = live.where(F.col("n") > SMALL).drop("n")
         if crowded.isEmpty():
@@ -305,9 +311,10 @@ def connect(nodes: DataFrame, classes: DataFrame, below, confirm, exhaustive, le
 
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
+    small_batches(docs)
     rows = written(signatures(docs))
     classes = written(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    unique = classes.dropDuplicates(["cid"])
+    unique = written(classes.select("cid", "sig", "sketch").dropDuplicates(["cid"]))  # so that joins with it can be split
     paths = F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.get("sig", F.lit(r))).alias("node")) for r in range(ROOTS)]))
     nodes = classes.select("cid", paths.alias("p")).select("p.root", "p.node", "cid")
     labels = connect(nodes, unique, lambda n: small_nodes(n, unique), lambda p: confirm(docs, p), lambda m: _exhaustive(docs, m))
@@ -318,7 +325,7 @@ def mark(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each component."""
-    gone = mark(docs).where("NOT kept").select(F.col("doc_id").alias("_id"))
+    gone = listed(mark(docs).where("NOT kept").select(F.col("doc_id").alias("_id")), BROADCAST_IDS)
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
 
 

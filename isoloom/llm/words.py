@@ -65,6 +65,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(mix(value) + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of ``n`` bytes, as ``hashes`` gives them."""
+    up, down = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    value = (total[n:] - total[:-n]) * down[: len(data) - n + 1]
+    return mix(mix(value) + np.uint64((n * _BASE) & ((1 << 64) - 1)))
+
+
 def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words within each text (a shorter text gives one run of all its words), and each text's first run."""
     counts = np.diff(first)

@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import written
+from isoloom.llm.common import listed, written
 
 LEAST, MOST = 200, 4000
+#: Longest list of (doc_id, digest) that may be broadcast, about 10 MB.
+BROADCAST_KEYS = 200_000
 #: Deleted before comparison, [\x20\x09-\x0D].
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A chunk ends after one of these: a letter of the first class, then one of the second.
@@ -63,11 +65,21 @@ def mark(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay. Rows equal in text and doc_id are one row then."""
-    marks = mark(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    here = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
-    stays = here.join(marks.distinct(), here["id"].eqNullSafe(marks["_id"]) & (here["sha"] == marks["_sha"]), "left_semi")
-    return stays.dropDuplicates(["id", "sha"]).select("row.*")
+    """The rows of ``docs`` that stay. Rows equal in text and doc_id are one row then.
+
+    Only keys are listed: of rows that go, and of rows that come more than once. Up to BROADCAST_KEYS of them come to
+    the texts; more are joined by a shuffle.
+    """
+    marks = written(mark(docs).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept"))
+    here = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    stays = here.join(listed(marks.where("NOT kept").select("_id", "_sha"), BROADCAST_KEYS), same, "left_anti")
+    again = marks.where("kept").groupBy("_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_sha")
+    if not again.isEmpty():
+        again = listed(again, BROADCAST_KEYS)
+        once = here.join(again, same, "left_semi").dropDuplicates(["id", "sha"])
+        stays = stays.join(again, same, "left_anti").unionByName(once)
+    return stays.select("row.*")
 
 
 #: The same rows in SQL; \x0B and \x0C by code, as SQL strings have no escapes.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.llm.common import slices, small_batches, text_buffer, written
-from isoloom.llm.near_dedup import BROADCAST_IDS, connect, crowded_blocks, labelled, linked, linked_pairs
+from isoloom.llm.near_dedup import BROADCAST_IDS, connect, crowded_blocks, labelled
 from isoloom.llm.words import LOWER, WHITE, hashes, mix, rolling, separators
 
 SHINGLE = 10
@@ -142,40 +142,6 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return (lines if few else lines.join(ids, "id", "left_semi")).dropDuplicates(["id"])
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    texts = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for x, y in slices(whole.column(2)):
-                batch = whole.slice(x, y - x)
-                yield batch.select(["a", "b"]).filter(pa.array(linked_pairs(batch.column(2), batch.column(3), shingle_sets), pa.bool_()))
-
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
-
-
-def _exhaustive(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) that join components within each bucket."""
-    texts = _texts(docs, members.select(F.col("cid").alias("id")))
-    rows = members.join(texts, F.col("cid") == F.col("id")).select("node", "cid", "comp", "text")
-
-    def run(table: pa.Table) -> pa.Table:
-        cid, comp = table["cid"].to_pylist(), table["comp"].to_pylist()
-        sets = shingle_sets(table["text"].combine_chunks())
-        to = {c: c for c in comp}
-        found = []
-        for i in range(len(cid)):
-            for j in range(i):
-                if to[comp[i]] != to[comp[j]] and linked(sets[i], sets[j]):
-                    old, new = to[comp[i]], to[comp[j]]
-                    to = {c: new if t == old else t for c, t in to.items()}
-                    found.append((cid[i], cid[j]))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.groupBy("node").applyInArrow(run, "a long, b long")
-
-
 def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
     """id, component of the line classes that have a link; None if there is none."""
     rows = lines.select(F.explode("keys").alias("node"), F.col("h").alias("cid"))
@@ -184,7 +150,7 @@ def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
     nodes = written(rows.join(shared, "node").distinct())
     met = nodes.select(F.col("cid").alias("h")).distinct()
     classes = written(lines.join(met, "h", "left_semi").select(F.col("h").alias("cid"), "sketch").dropDuplicates(["cid"]))
-    return connect(nodes, classes, _below, lambda p: _confirm(docs, p), lambda m: _exhaustive(docs, m), SKETCH)
+    return connect(nodes, classes, _below, lambda ids: written(_texts(docs, ids)), shingle_sets, SKETCH)
 
 
 def _below(nodes: DataFrame) -> DataFrame:

@@ -68,17 +68,42 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    place = b.searchsorted(a)
+    both = int(np.count_nonzero(b[np.minimum(place, len(b) - 1)] == a))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def linked_pairs(left: pa.Array, right: pa.Array, sets) -> list[bool]:
-    """Whether the texts of each row link; a text that comes again has its set made once."""
-    both = pa.concat_arrays([left, right]).dictionary_encode()
-    made, at = sets(both.dictionary), both.indices.fill_null(-1).to_pylist()
-    none = np.zeros(0, np.uint64)
-    get = lambda k: made[k] if k >= 0 else none
-    return [linked(get(a), get(b)) for a, b in zip(at[: len(left)], at[len(left) :], strict=True)]
+class Sets:
+    """Shingle sets of a task's texts by id, made once each; ``most`` elements are held, then it starts anew."""
+
+    def __init__(self, make, most: int = 4_000_000):
+        self.make, self.most, self.held, self.size = make, most, {}, 0
+
+    def linked(self, pairs: pa.RecordBatch) -> list[bool]:
+        """Whether the texts of each row (a, b, text of a, text of b) link."""
+        if self.size > self.most:
+            self.held, self.size = {}, 0
+        ids = pa.concat_arrays([pairs.column(0), pairs.column(1)]).to_numpy()
+        new, at = np.unique(ids, return_index=True)
+        fresh = np.array([k not in self.held for k in new.tolist()], bool)
+        texts = pa.concat_arrays([pairs.column(2), pairs.column(3)]).take(pa.array(at[fresh]))
+        for lo, hi in slices(texts):
+            for k, made in zip(new[fresh][lo:hi].tolist(), self.make(texts.slice(lo, hi - lo)), strict=True):
+                self.held[k] = made
+                self.size += len(made)
+        return [linked(self.held[a], self.held[b]) for a, b in zip(ids[: len(pairs)].tolist(), ids[len(pairs) :].tolist(), strict=True)]
+
+
+def confirm(texts: DataFrame, pairs: DataFrame, make) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets link; ``make`` gives the sets of a column of texts."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(make)
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array(sets.linked(batch), pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -108,20 +133,6 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(listed(ids, BROADCAST_IDS), "id", "left_semi")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets link."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for x, y in slices(whole.column(2), 1 << 20):
-                batch = whole.slice(x, y - x)
-                yield batch.select(["a", "b"]).filter(pa.array(linked_pairs(batch.column(2), batch.column(3), shingle_sets), pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def alike(pairs: DataFrame, classes: DataFrame, least: int = SKETCH) -> DataFrame:
     """Those of ``pairs`` whose sketches are near enough to be confirmed."""
     sketch = classes.select("cid", "sketch")
@@ -256,13 +267,13 @@ def _near_pairs(sketch: np.ndarray, comp: np.ndarray, least: int) -> tuple[np.nd
     return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64),) * 2
 
 
-def _exhaustive(docs: DataFrame, members: DataFrame) -> DataFrame:
+def exhaustive(texts: DataFrame, members: DataFrame, make) -> DataFrame:
     """Links (a, b) that join components within each node, on full sets."""
-    rows = members.join(_texts(docs, members.select(F.col("cid").alias("id"))), F.col("cid") == F.col("id")).select("node", "cid", "comp", "text")
+    rows = members.join(texts, F.col("cid") == F.col("id")).select("node", "cid", "comp", "text")
 
     def run(table: pa.Table) -> pa.Table:
         cid, comp = table["cid"].to_pylist(), table["comp"].to_pylist()
-        sets = shingle_sets(table["text"].combine_chunks())
+        sets = make(table["text"].combine_chunks())
         parent: dict[int, int] = {c: c for c in comp}
 
         def root(c: int) -> int:
@@ -282,17 +293,17 @@ def _exhaustive(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("node").applyInArrow(run, "a long, b long")
 
 
-def connect(nodes: DataFrame, classes: DataFrame, below, confirm, exhaustive, least: int = SKETCH) -> DataFrame | None:
+def connect(nodes: DataFrame, classes: DataFrame, below, texts, make, least: int = SKETCH) -> DataFrame | None:
     """id, component of all classes with a link; None if there is none.
 
     ``nodes`` (node, cid) say which classes may be compared, ``classes`` has their sketches. ``below`` gives the small
-    nodes of labelled nodes, ``confirm`` those of pairs (a, b) that link, ``exhaustive`` the links within dense nodes.
+    nodes of labelled nodes, ``texts`` the rows (id, text) of a table of ids, ``make`` the sets of a column of texts.
     """
     edges, labels = [], None
     for k in range(ROUNDS):
         pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
         near = written(alike(pairs, classes, least))
-        found = written(confirm(near))
+        found = written(confirm(texts(near.select(F.explode(F.array("a", "b")).alias("id"))), near, make))
         n = found.count()
         if not n:
             break
@@ -301,10 +312,11 @@ def connect(nodes: DataFrame, classes: DataFrame, below, confirm, exhaustive, le
         if 4 * n < 3 * near.count():
             break
     left = written(_promising(below(labelled(nodes, labels)), classes, least))
-    last = confirm(left.where("node IS NULL").select("a", "b"))
-    dense = left.where("node IS NOT NULL")
+    pairs, dense = left.where("node IS NULL"), left.where("node IS NOT NULL")
+    wanted = texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(dense.select("a")))
+    last = confirm(wanted, pairs.select("a", "b"), make)
     if not dense.isEmpty():
-        last = last.union(exhaustive(dense.select("node", F.col("a").alias("cid"), F.col("b").alias("comp"))))
+        last = last.union(exhaustive(wanted, dense.select("node", F.col("a").alias("cid"), F.col("b").alias("comp")), make))
     last = written(last)
     return labels if last.isEmpty() else written(components(reduce(DataFrame.union, [*edges, last])))
 
@@ -317,7 +329,7 @@ def mark(docs: DataFrame) -> DataFrame:
     unique = written(classes.select("cid", "sig", "sketch").dropDuplicates(["cid"]))  # so that joins with it can be split
     paths = F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.get("sig", F.lit(r))).alias("node")) for r in range(ROOTS)]))
     nodes = classes.select("cid", paths.alias("p")).select("p.root", "p.node", "cid")
-    labels = connect(nodes, unique, lambda n: small_nodes(n, unique), lambda p: confirm(docs, p), lambda m: _exhaustive(docs, m))
+    labels = connect(nodes, unique, lambda n: small_nodes(n, unique), lambda ids: _texts(docs, ids), shingle_sets)
     of = labelled(classes.select("digest", "cid"), labels).select("digest", "comp")
     out = rows.join(of, "digest", "left").withColumn("component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -8,24 +8,34 @@ VOCABULARY, END = 50_257, 50_256
 WINDOW, STRIDE = 32, 24
 DIM, CLASSES, OWN = 16, 64, 4096
 CHUNK = 128
+#: Ids whose neighbourhood tells the classes apart.
+NEAR = 128
 
 
-def classes_of(ids: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
-    """A class for each id: k-means of the neighbours it has in the sample; class 0 is for ids without any."""
-    left = np.concatenate([x[:-1] for x in ids if len(x) > 1] or [np.zeros(0, np.int64)])
-    right = np.concatenate([x[1:] for x in ids if len(x) > 1] or [np.zeros(0, np.int64)])
-    count = np.bincount(np.concatenate([left, right]), minlength=VOCABULARY)
-    top = np.argsort(-count, kind="stable")[:128]
+def columns_of(count: np.ndarray) -> np.ndarray:
+    """The column of each of the NEAR most frequent ids among neighbours, -1 for others."""
     column = np.full(VOCABULARY, -1)
-    column[top] = np.arange(len(top))
-    seen = np.flatnonzero(count)
-    row = np.full(VOCABULARY, -1)
-    row[seen] = np.arange(len(seen))
-    near = np.zeros((len(seen), 2 * len(top)), np.float32)
-    for mine, other, shift in ((left, right, 0), (right, left, len(top))):
+    column[np.argsort(-count, kind="stable")[:NEAR]] = np.arange(NEAR)
+    return column
+
+
+def add_neighbours(near: np.ndarray, stream: np.ndarray, first: np.ndarray, column: np.ndarray) -> None:
+    """Count the neighbours before and after each id of joined texts; ``first`` has the texts' bounds (texts + 1)."""
+    inside = np.ones(max(len(stream) - 1, 0), bool)
+    cut = first[(first > 0) & (first < len(stream))] - 1
+    inside[cut] = False
+    left, right = stream[:-1][inside].astype(np.int64), stream[1:][inside].astype(np.int64)
+    for mine, other, shift in ((left, right, 0), (right, left, NEAR)):
         ok = column[other] >= 0
-        np.add.at(near, (row[mine[ok]], column[other[ok]] + shift), 1)
-    near = np.sqrt(near / np.maximum(near.sum(1, keepdims=True), 1))
+        np.add.at(near.reshape(-1), mine[ok] * (2 * NEAR) + column[other[ok]] + shift, 1)
+
+
+def classes_of(near: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class for each id: k-means of its neighbours (rows of ``near``); class 0 is for ids that never occur."""
+    seen = np.flatnonzero(count)
+    near = near[seen].astype(np.float32)
+    near /= np.maximum(near.sum(1, keepdims=True), 1)
+    np.sqrt(near, near)
     out = np.zeros(VOCABULARY, np.int64)
     if len(seen):
         weight = count[seen].astype(float)
@@ -42,9 +52,13 @@ def classes_of(ids: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
 class Attention:
     """Log probability of an id: that of its class after the ids before it, plus its share in the class."""
 
-    def __init__(self, ids: list[np.ndarray], counts: np.ndarray, steps: int = 2000, seed: int = 7):
+    def __init__(self, ids: list[np.ndarray], counts: np.ndarray, steps: int = 2000, seed: int = 7, near: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
-        self.classes = classes_of(ids, rng)
+        if near is None:
+            near = np.zeros((VOCABULARY, 2 * NEAR), np.int64)
+            whole = np.concatenate(ids or [np.zeros(0, np.int64)])
+            add_neighbours(near, whole, np.cumsum([0, *map(len, ids)]), columns_of(counts))
+        self.classes = classes_of(near, counts, rng)
         total = np.bincount(self.classes, counts, CLASSES) + 0.5 * np.bincount(self.classes, minlength=CLASSES)
         self.within = np.log((counts + 0.5) / total[self.classes]).astype(np.float32)
         self.row = OWN + self.classes
@@ -57,6 +71,12 @@ class Attention:
         if len(stream) > WINDOW + 1:
             self._train(stream, steps, rng)
 
+    def copied(self) -> Attention:
+        """The same model with weights of its own."""
+        out = object.__new__(Attention)
+        out.__dict__ = {**self.__dict__, "w": {n: p.copy() for n, p in self.w.items()}}
+        return out
+
     def _forward(self, x: np.ndarray):
         w = self.w
         h = w["emb"][x] + w["pos"]
@@ -72,9 +92,26 @@ class Attention:
         return h, q, k, v, a, z, out
 
     def _train(self, stream: np.ndarray, steps: int, rng: np.random.Generator, batch: int = 64) -> None:
+        rates = 0.01 * np.minimum(1, np.arange(1, steps + 1) / 20) * (1 - 0.9 * np.arange(1, steps + 1) / steps)
+        self._steps(stream, (rng.integers(0, len(stream) - WINDOW, batch) for _ in range(steps)), rates)
+
+    def epoch(self, ids: list[np.ndarray], rate: float, seed: int, batch: int = 128) -> tuple[int, np.ndarray]:
+        """Train on every id of whole texts once, from the present weights. The number of ids, and that of each input row."""
+        stream = np.concatenate([*(np.concatenate([[END], x]) for x in ids), [END]]).astype(np.int64)
+        came = np.bincount(self.row[stream[:-1]], minlength=OWN + CLASSES)
+        n = len(stream) - 1
+        if n < WINDOW:
+            stream = np.resize(stream, WINDOW + 1)
+        start = np.minimum(np.arange(0, n, WINDOW), len(stream) - 1 - WINDOW)
+        np.random.default_rng(seed).shuffle(start)
+        steps = -(-len(start) // batch)
+        self._steps(stream, np.array_split(start, steps), rate * np.minimum(1, np.arange(1, steps + 1) / 20))
+        return n, came
+
+    def _steps(self, stream: np.ndarray, starts, rates: np.ndarray) -> None:
         first, second = ({n: np.zeros_like(p) for n, p in self.w.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            at = rng.integers(0, len(stream) - WINDOW, batch)[:, None] + np.arange(WINDOW)
+        for step, (start, rate) in enumerate(zip(starts, rates.tolist(), strict=True), 1):
+            at = start[:, None] + np.arange(WINDOW)
             x, y = self.row[stream[at]], self.classes[stream[at + 1]]
             w = self.w
             h, q, k, v, a, z, out = self._forward(x)
@@ -92,8 +129,9 @@ class Attention:
             d_q, d_k, d_v = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_z)
             d_h = d_out + d_q @ w["q"].T + d_k @ w["k"].T + d_v @ w["v"].T
             g = {"u": flat(out).T @ flat(p), "b": flat(p).sum(0), "o": flat(z).T @ flat(d_out), "q": flat(h).T @ flat(d_q), "k": flat(h).T @ flat(d_k), "v": flat(h).T @ flat(d_v), "pos": d_h.sum(0), "emb": np.zeros_like(w["emb"])}
-            np.add.at(g["emb"], x.ravel(), flat(d_h))
-            rate = 0.01 * min(1, step / 20) * (1 - 0.9 * step / steps)
+            order = np.argsort(x, None, "stable")
+            rows, begin = np.unique(x.ravel()[order], return_index=True)
+            g["emb"][rows] = np.add.reduceat(flat(d_h)[order], begin, 0)
             for n, grad in g.items():
                 first[n] += 0.1 * (grad - first[n])
                 second[n] += 0.01 * (grad * grad - second[n])

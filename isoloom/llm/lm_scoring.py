@@ -1,8 +1,11 @@
 """Operator 9: language-model scores of whole texts.
 
-The model is a causal self-attention network (``attention``), trained in numpy on subword ids of the lower-cased texts;
-overlapping windows score each id once. Its unigram shares and the word counts of the base score come from all training
-documents; the network's weights are fitted on whole documents of at most SAMPLE_IDS ids, in hash order.
+The model is a causal self-attention network (``attention``) on subword ids of the lower-cased texts; overlapping
+windows score each id once. Unigram shares, the neighbour counts behind the classes of ids and the word counts of the
+base score come from all training documents. The network starts on the driver, on whole documents of at most SAMPLE_IDS
+ids in hash order, and then goes once through all training documents: these are dealt to shards of about SHARD_ROWS by
+hash, ROUNDS times a part of the shards takes its gradient steps side by side from the same weights, and the weights are
+averaged, each shard by its ids (an input row by how often the shard has it).
 
 Word counts stay distributed. Documents are dealt to blocks of about BLOCK_ROWS by hash; each block asks for the counts
 of its own distinct words, and gets them beside its documents. A word is known by its 64-bit hash.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.attention import VOCABULARY, Attention
+from isoloom.llm.attention import CLASSES, NEAR, OWN, VOCABULARY, Attention, add_neighbours, columns_of
 from isoloom.llm.common import per_row, slices, small_batches, text_buffer, written
 from isoloom.llm.encode import ByteEncoder, encoder
 from isoloom.llm.language_id import held_out
@@ -30,6 +33,12 @@ from isoloom.llm.words import LOWER, WHITE, hashes, scan, separators
 
 SAMPLE_IDS = 1_500_000
 BLOCK_ROWS = 6000
+SHARD_ROWS = 2000
+ROUNDS = 4
+#: Of the distributed steps' first round; it falls in proportion.
+RATE = 0.003
+#: Sums of weights that come to the driver in a round.
+SUMS = 16
 #: Distinct words that a counting task gathers before it passes them on.
 GATHERED = 1_000_000
 WORD = separators(WHITE)
@@ -47,11 +56,11 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return hashes(data, starts, ends).view(np.int64), first, [whole[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def corpus_counts(train: DataFrame, tokenizer: str) -> DataFrame:
-    """word (is it a word, or a subword id), h, n over all training texts."""
+def corpus_counts(train: DataFrame) -> DataFrame:
+    """h (of a word), n over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ids, texts = encoder(ByteEncoder, tokenizer), np.zeros(VOCABULARY, np.int64), 0
+        texts = 0
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -59,30 +68,142 @@ def corpus_counts(train: DataFrame, tokenizer: str) -> DataFrame:
             unique, at = np.unique(h, return_inverse=True)
             return unique, np.bincount(at.reshape(-1), n, len(unique)).astype(np.int64)
 
-        def rows(word: bool, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), word)), pa.array(h.astype(np.int64)), pa.array(n)], ["word", "h", "n"])
+        def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["h", "n"])
 
         size = 0
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                h, _, lowered = _words(batch.column(0).slice(a, b - a))
+                h, _, _ = _words(batch.column(0).slice(a, b - a))
                 parts.append(np.unique(h, return_counts=True))
                 size += len(parts[-1][0])
                 texts += b - a
-                ids += np.bincount(np.concatenate(code.ids(lowered)), minlength=VOCABULARY)
                 if size > 4 * GATHERED:
                     parts = [merged()]
                     size = len(parts[0][0])
                     if size > GATHERED:
-                        yield rows(True, *parts[0])
+                        yield rows(*parts[0])
                         parts, size = [], 0
         if parts:
-            yield rows(True, *merged())
+            yield rows(*merged())
         if texts:
-            yield rows(True, np.array([END_WORD]), np.array([texts]))
-            yield rows(False, np.flatnonzero(ids), ids[ids > 0])
+            yield rows(np.array([END_WORD]), np.array([texts]))
 
-    return train.select("text").mapInArrow(run, "word boolean, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def train_ids(train: DataFrame, tokenizer: str, shards: int) -> DataFrame:
+    """shard, rank, ids (two bytes each) of all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(ByteEncoder, tokenizer)
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                data, offsets = text_buffer(batch.column(1).slice(a, b - a))
+                whole, bounds = LOWER[data].tobytes(), offsets.tolist()
+                ids = code.ids([whole[x:y].decode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
+                rank = batch.column(0).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([pa.array(rank.to_numpy() % shards), rank, pa.array([x.tobytes() for x in ids], pa.binary())], ["shard", "rank", "ids"])
+
+    return train.select(F.xxhash64("doc_id", "text"), "text").mapInArrow(run, "shard long, rank long, ids binary")
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and each row's bounds (rows + 1)."""
+    parts = [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return np.concatenate(parts or [np.zeros(0, np.uint16)]), np.cumsum([0, *map(len, parts)])
+
+
+def id_counts(ids: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            total += np.bincount(_joined(batch.column(0))[0], minlength=VOCABULARY)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["h", "n"])
+
+    out = np.zeros(VOCABULARY)
+    for r in ids.select("ids").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        out[r["h"]] = r["n"]
+    return out
+
+
+def neighbours(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """How often each id has each of the NEAR most frequent ids before or after it, over all training texts."""
+    column, wide = columns_of(counts), 2 * NEAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((VOCABULARY, wide), np.int32)  # a task has fewer than 2**31 ids
+        for batch in batches:
+            add_neighbours(near, *_joined(batch.column(0)), column)
+        cell = np.flatnonzero(near)
+        for at in range(0, len(cell), 100_000):
+            part = cell[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(near.reshape(-1)[part].astype(np.int64))], ["cell", "n"])
+
+    def rows(table):
+        cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
+        of, at = np.unique(cell // wide, return_inverse=True)
+        near = np.zeros((len(of), wide), np.float32)
+        near[at.reshape(-1), cell % wide] = n
+        return pa.table({"id": pa.array(of), "near": pa.array([x.tobytes() for x in near], pa.binary())})
+
+    cells = ids.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros((VOCABULARY, wide), np.float32)
+    for r in cells.groupBy(F.floor(F.col("cell") / (wide * 1024))).applyInArrow(rows, "id long, near binary").toLocalIterator():  # a row an id
+        out[r["id"]] = np.frombuffer(r["near"], np.float32)
+    return out
+
+
+def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[n].ravel() for n in sorted(w)]).astype(np.float64)
+
+
+def _weight(model: Attention, n: int, came: np.ndarray) -> np.ndarray:
+    """The weight of each parameter after ``n`` ids, whose input rows came so often."""
+    return np.concatenate([np.repeat(came, model.w[k].shape[1]) if k == "emb" else np.full(model.w[k].size, n) for k in sorted(model.w)])
+
+
+def _round(model: Attention, ids: DataFrame, rate: float, tasks: int) -> Attention:
+    """The average of the models that each shard of ``ids`` makes of ``model``."""
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+    kind = "part long, n long, came binary, moved binary"
+
+    def fit(table):
+        m = shared.value.copied()
+        rows = sorted(zip(table["rank"].to_pylist(), table["ids"].to_pylist(), strict=True))
+        shard = table["shard"][0].as_py()
+        n, came = m.epoch([np.frombuffer(x, np.uint16) for _, x in rows], rate, shard)
+        moved = (_flat(m.w) - _flat(shared.value.w)) * _weight(m, n, came)
+        return pa.table({"part": [shard // ROUNDS % SUMS], "shard": [shard], "n": [n], "came": [came.tobytes()], "moved": [moved.tobytes()]})
+
+    def added(table):
+        n, came, moved = 0, np.zeros(OWN + CLASSES, np.int64), 0.0
+        for k in np.argsort(table["shard"].to_numpy()).tolist():
+            n += table["n"][k].as_py()
+            came += np.frombuffer(table["came"][k].as_py(), np.int64)
+            moved = moved + np.frombuffer(table["moved"][k].as_py(), np.float64)
+        return pa.table({"part": [table["part"][0].as_py()], "n": [n], "came": [came.tobytes()], "moved": [moved.tobytes()]})
+
+    parts = ids.repartition(tasks, "shard").groupBy("shard").applyInArrow(fit, kind.replace("n long", "shard long, n long"))
+    got = sorted(parts.groupBy("part").applyInArrow(added, kind).collect(), key=lambda r: r["part"])
+    if not got:
+        return model
+    n, came = sum(r["n"] for r in got), sum(np.frombuffer(r["came"], np.int64) for r in got)
+    moved = sum(np.frombuffer(r["moved"], np.float64) for r in got) / np.maximum(_weight(model, n, came), 1)
+    out, at = model.copied(), 0
+    for k in sorted(out.w):
+        size = out.w[k].size
+        out.w[k] += moved[at : at + size].reshape(out.w[k].shape).astype(np.float32)
+        at += size
+    return out
+
+
+def fit_all(model: Attention, ids: DataFrame, shards: int) -> Attention:
+    """``model`` after one pass through all training texts: in each round a part of the shards, then their average."""
+    rounds = min(ROUNDS, shards)
+    for turn in range(rounds):
+        model = _round(model, ids.where(F.col("shard") % rounds == turn), RATE * (1 - turn / rounds), -(-(shards - turn) // rounds))
+    return model
 
 
 def sample_ids(train: DataFrame, tokenizer: str, most: int = SAMPLE_IDS) -> list[np.ndarray]:
@@ -107,14 +228,16 @@ def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2)
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "text")
     train = base.where("NOT held_out")
-    counts = written(corpus_counts(train, tokenizer))
-    totals = counts.where("word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    share = np.zeros(VOCABULARY)
-    for r in counts.where("NOT word").collect():  # at most the vocabulary
-        share[r["h"]] = r["n"]
-    model = spark.sparkContext.broadcast(Attention(sample_ids(train, tokenizer), share))
+    counts = written(corpus_counts(train))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = docs.count()
+    shards = max(1, -(-rows // SHARD_ROWS))
+    ids = written(train_ids(train, tokenizer, shards))
+    share = id_counts(ids)
+    start = Attention(sample_ids(train, tokenizer), share, near=neighbours(ids, share))
+    model = spark.sparkContext.broadcast(fit_all(start, ids, shards))
     seen, kinds = int(totals[0]), int(totals[1])
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
+    blocks = max(1, -(-rows // BLOCK_ROWS))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +256,7 @@ def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2)
             h = np.unique(np.concatenate([np.array([END_WORD]), *parts]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(h)], ["block", "h"])
 
-    need = dealt.mapInArrow(asked, "block long, h long").join(counts.where("word").select("h", "n"), "h").select("block", "h", "n")
+    need = dealt.mapInArrow(asked, "block long, h long").join(counts, "h").select("block", "h", "n")
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         h = right["h"].to_numpy()

@@ -1,11 +1,48 @@
 """Cases from the review of round 1: whole jobs where a part was done."""
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from isoloom.llm import attention  # noqa: E402
+from isoloom.llm import attention, lm_scoring  # noqa: E402
 
 
 def test_an_id_inside_a_text_has_eight_ids_before_it():
     assert attention.WINDOW - attention.STRIDE >= 8
+
+
+def test_the_network_learns_from_all_training_documents(spark, monkeypatch):
+    """Documents beyond the sample change classes and weights."""
+    monkeypatch.setattr(lm_scoring, "RATE", 0.2)
+    monkeypatch.setattr(lm_scoring, "sample_ids", lambda *_: [])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(2)
+    texts = [" ".join(np.tile(rng.permutation(["red", "green", "blue", "black", "white"]), 12)) for _ in range(80)]
+    base = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    ids = lm_scoring.train_ids(base, path, 8).cache()
+    whole = [np.frombuffer(r["ids"], np.uint16).astype(np.int64) for r in ids.orderBy("rank").collect()]
+    count = lm_scoring.id_counts(ids)
+    assert (count == np.bincount(np.concatenate(whole), minlength=attention.VOCABULARY)).all()
+    column, near = attention.columns_of(count), np.zeros((attention.VOCABULARY, 2 * attention.NEAR))
+    for x in whole:
+        for a, b in zip(x[:-1], x[1:], strict=True):
+            near[a, column[b]] += column[b] >= 0
+            near[b, column[a] + attention.NEAR] += column[a] >= 0
+    got = lm_scoring.neighbours(ids, count)
+    assert (got == near).all()
+    start = attention.Attention([], count, near=got)
+    assert set(start.classes[np.flatnonzero(count)]) != {0}
+    before = start.score(whole).sum()
+    assert lm_scoring.fit_all(start, ids, 8).score(whole).sum() > before + 20
+
+
+def test_an_epoch_meets_every_id_once():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 31, 32, 33, 300):
+        m = attention.Attention([], np.ones(attention.VOCABULARY), steps=1, near=np.zeros((attention.VOCABULARY, 2 * attention.NEAR)))
+        seen = []
+        m._steps = lambda stream, starts, rates, seen=seen: seen.extend((s + k) for x in starts for s in x for k in range(attention.WINDOW))
+        total, came = m.epoch([rng.integers(0, 50, n)], 0.01, 0)
+        assert total == came.sum() == n + 1
+        assert set(range(n + 1)) <= set(seen)

@@ -1,10 +1,11 @@
 """Operator 2: licence scan.
 
-A file's segments (its lines, and its paragraphs of several lines) are compared with licence templates by the cosine of
-sparse TF-IDF vectors. Document frequencies come from all files, for the words of the templates; a word that no
-template has weighs as much as the rarest. A file whose best segment reaches LEAST carries that licence. A file of
-little else (its licence segment has half of its words) is a licence file: it rules its directory and all below, up to
-the next licence file. A file without a licence of its own takes that of the nearest ancestor directory, found by
+A file's segments (its lines, its paragraphs of several lines, and the whole of it) are compared with licence templates
+by the cosine of sparse TF-IDF vectors: notices, and the full texts of ``license_texts`` for segments that have at least
+half the words of the text. Document frequencies come from all files, for the words of the templates; a word that no
+template has weighs as much as the rarest. A file whose best segment reaches LEAST carries that licence. A file that
+reaches LEAST as a whole (its licence is then that of the whole), or has half of its words in its licence segment, is a
+licence file: it rules its directory and all below, up to the next licence file. A file without a licence of its own takes that of the nearest ancestor directory, found by
 joining the distinct directories' ancestor paths with the licence files' directories.
 
 Cases: null or empty text has no licence of its own; equal scores go to the template that comes first by name; several
@@ -15,6 +16,7 @@ nothing; equal rows stay; an empty table gives no row; further columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "SPDX-License-Identifier: BSD-3-Clause"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -45,15 +52,38 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "ISC": ["SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
         "SPDX-License-Identifier: MIT",
     ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "proprietary": ["All rights reserved."],
 }
 
 
+def full_texts() -> dict[str, list[str]]:
+    """The licences' whole texts, by name."""
+    return {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in resources.files("isoloom.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+
+
 def _hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffer(pa.array(texts, pa.string()))
     data = LOWER[data]
@@ -69,6 +99,7 @@ class Templates:
         self.names = [name for name, _ in pairs]
         h, first = _hash([text for _, text in pairs])
         self.vocabulary, at = np.unique(h, return_inverse=True)
+        self.half = np.diff(first) / 2
         self.tf = np.zeros((len(pairs), len(self.vocabulary)), np.float64)
         np.add.at(self.tf, (np.repeat(np.arange(len(pairs)), np.diff(first)), at.reshape(-1)), 1)
 
@@ -77,6 +108,7 @@ class Templates:
         self.other = float(np.log(1 + n) + 1)
         self.vectors = self.tf * self.idf
         self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
+        self.columns = np.concatenate([np.zeros((1, len(self.vectors))), self.vectors.T])
 
     def number(self, h: np.ndarray) -> np.ndarray:
         """1 + the place in the vocabulary, 0 for other words."""
@@ -124,43 +156,74 @@ def _segments(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> list
     return [(line, len(begin)), (paragraph[line] if len(line) else line, int(apart.sum()))]
 
 
-def own(files: DataFrame, t: Templates) -> DataFrame:
-    """path, doc_id, licence, score, is_file: what each file declares itself."""
-    shared = files.sparkSession.sparkContext.broadcast(t)
+def _notices(of: np.ndarray, n: int, number: np.ndarray, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments with a word of the templates, their best cosine and its template."""
+    inside = np.bincount(of, number > 0, n)
+    live = np.flatnonzero(inside)  # the others have cosine 0
+    if not len(live):
+        return live, np.zeros(0), live
+    row = np.full(n, -1)
+    row[live] = np.arange(len(live))
+    use = row[of] >= 0
+    tf = np.zeros((len(live), len(t.vocabulary) + 1))
+    np.add.at(tf, (row[of[use]], number[use]), 1)
+    x = tf[:, 1:] * t.idf
+    norm = np.sqrt((x**2).sum(1) + tf[:, 0] * t.other**2)
+    cosine = (x @ t.vectors.T) / np.maximum(norm, 1e-9)[:, None]
+    return live, cosine.max(1), cosine.argmax(1)
+
+
+def _texts(of: np.ndarray, n: int, number: np.ndarray, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _notices, of the segments that have half the words of a template at least; word by word, as the vocabulary is large."""
+    size = np.bincount(of, minlength=n)
+    use = size[of] >= t.half.min()
+    width = len(t.vocabulary) + 1
+    key, count = np.unique(of[use] * width + number[use], return_counts=True)
+    live, first = np.unique(key // width, return_index=True)
+    if not len(live):
+        return live, np.zeros(0), live
+    weight = count * np.concatenate([[0], t.idf])[key % width]
+    square = np.add.reduceat(np.where(key % width > 0, weight**2, count * t.other**2), first)
+    dot = np.add.reduceat(weight[:, None] * t.columns[key % width], first)
+    cosine = np.where(size[live][:, None] >= t.half, dot / np.sqrt(square)[:, None], 0)
+    return live, cosine.max(1), cosine.argmax(1)
+
+
+def own(files: DataFrame, t: Templates, full: Templates | None = None) -> DataFrame:
+    """path, doc_id, licence, score, is_file: what each file declares itself by notices ``t`` or the texts ``full``."""
+    shared = files.sparkSession.sparkContext.broadcast((t, full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        kinds = [(x, how) for x, how in zip(shared.value, (_notices, _texts), strict=True) if x]
+        names = np.array(sorted({n for x, _ in kinds for n in x.names}), object)
+        place = [np.searchsorted(names, np.array(x.names, object)) for x, _ in kinds]
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 data, offsets = text_buffer(batch.column(2).slice(a, b - a))
-                starts, first, number = _number(data, offsets, t)
+                lower = LOWER[data]
+                starts, ends, first = scan(lower, offsets, WORD)
+                h = hashes(lower, starts, ends)
                 doc = np.repeat(np.arange(b - a), np.diff(first))
-                best, name, words = np.zeros(b - a), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
-                for of, n in _segments(data, offsets, starts):
-                    if not n:
+                best, name, words, ruled = np.zeros(b - a), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, bool)
+                numbers = [x.number(h) for x, _ in kinds]
+                for of, n, whole in [(doc, b - a, True), *((of, n, False) for of, n in _segments(data, offsets, starts))]:
+                    if not n or not len(of):
                         continue
                     size = np.bincount(of, minlength=n)
-                    inside = np.bincount(of, number > 0, n)
-                    live = np.flatnonzero(inside)  # the others have cosine 0
-                    row = np.full(n, -1)
-                    row[live] = np.arange(len(live))
-                    use = row[of] >= 0
-                    tf = np.zeros((len(live), len(t.vocabulary) + 1))
-                    np.add.at(tf, (row[of[use]], number[use]), 1)
-                    x = tf[:, 1:] * t.idf
-                    norm = np.sqrt((x**2).sum(1) + tf[:, 0] * t.other**2)
-                    cosine = (x @ t.vectors.T) / np.maximum(norm, 1e-9)[:, None]
                     where = np.zeros(n, np.int64)
                     where[of] = doc
-                    for k in np.flatnonzero(cosine.max(1) >= LEAST) if len(live) else ():
-                        d, score, pick = where[live[k]], cosine[k].max(), int(cosine[k].argmax())
-                        if score > best[d]:
-                            best[d], name[d], words[d] = score, pick, size[live[k]]
+                    for (x, how), number, at in zip(kinds, numbers, place, strict=True):
+                        live, cosine, pick = how(of, n, number, x)
+                        for k in np.flatnonzero(cosine >= LEAST):
+                            d, score, of_name = where[live[k]], cosine[k], at[pick[k]]
+                            if score > best[d] and (whole or not ruled[d] or of_name == name[d]):
+                                best[d], name[d], words[d] = score, of_name, size[live[k]]
+                    if whole:
+                        ruled = best > 0
                 found = best > 0
-                names = np.array(t.names, object)[name]
-                names[~found] = None
-                whole = np.diff(first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(np.round(best, 6)), pa.array(found & (words >= FILE_SHARE * whole))], ["doc_id", "path", "license", "score", "is_file"])
+                licence = names[name]
+                licence[~found] = None
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(licence, pa.string()), pa.array(np.round(best, 6)), pa.array(ruled | (found & (words >= FILE_SHARE * np.diff(first))))], ["doc_id", "path", "license", "score", "is_file"])
 
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "doc_id long, path string, license string, score double, is_file boolean")
 
@@ -186,6 +249,10 @@ def inherit(rows: DataFrame) -> DataFrame:
 def scan_licenses(files: DataFrame) -> DataFrame:
     """One row for each file (doc_id, path, text)."""
     small_batches(files)
-    t = Templates()
-    t.weigh(*document_frequencies(files, t))
-    return inherit(written(own(files, t)))
+    texts = full_texts()
+    t, full = Templates(), Templates(texts)
+    both = Templates({n: [*TEMPLATES.get(n, []), *texts.get(n, [])] for n in {*TEMPLATES, *texts}})
+    found, n = document_frequencies(files, both)
+    for x in (t, full):
+        x.weigh(found[np.searchsorted(both.vocabulary, x.vocabulary)], n)
+    return inherit(written(own(files, t, full)))

@@ -5,7 +5,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from isoloom.llm import attention, lm_scoring  # noqa: E402
+from isoloom.llm import attention, licenses, lm_scoring  # noqa: E402
 
 
 def test_an_id_inside_a_text_has_eight_ids_before_it():
@@ -46,3 +46,14 @@ def test_an_epoch_meets_every_id_once():
         total, came = m.epoch([rng.integers(0, 50, n)], 0.01, 0)
         assert total == came.sum() == n + 1
         assert set(range(n + 1)) <= set(seen)
+
+
+def test_full_licence_texts_rule_their_directory(spark):
+    texts = licenses.full_texts()
+    assert {"AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"} <= set(texts)
+    files = [(0, "plain/x.py", "the words of the work to which you and the other may go, as it is in any of the parts. " * 400)]
+    for k, (name, (text,)) in enumerate(sorted(texts.items()), 1):
+        files += [(k, f"{name}/LICENSE", "Copyright (c) 2021 Somebody Else, Ltd.\n\n" + text), (100 + k, f"{name}/src/x.py", "code of no licence")]
+    got = {r["doc_id"]: (r["license"], r["from_path"]) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got.pop(0) == (None, None)
+    assert got == {d: (p.split("/")[0], p.split("/")[0] + "/LICENSE") for d, p, _ in files[1:]}

@@ -25,7 +25,7 @@ from isoloom.llm.common import slices, small_batches, text_buffer, written
 from isoloom.llm.near_dedup import BROADCAST_IDS, connect, crowded_blocks, labelled
 from isoloom.llm.words import LOWER, WHITE, hashes, mix, rolling, separators
 
-SHINGLE = 10
+SHINGLE = 5
 ROWS, BANDS = 3, 12
 #: Equal sketch bytes of 36 from which a pair is verified; a pair at the threshold has 27 on average, deviation 2.6.
 SKETCH = 18

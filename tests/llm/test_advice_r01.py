@@ -5,7 +5,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from isoloom.llm import attention, licenses, lm_scoring  # noqa: E402
+from isoloom.llm import attention, licenses, line_dedup, lm_scoring  # noqa: E402
 
 
 def test_an_id_inside_a_text_has_eight_ids_before_it():
@@ -57,3 +57,9 @@ def test_full_licence_texts_rule_their_directory(spark):
     got = {r["doc_id"]: (r["license"], r["from_path"]) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert got.pop(0) == (None, None)
     assert got == {d: (p.split("/")[0], p.split("/")[0] + "/LICENSE") for d, p, _ in files[1:]}
+
+
+def test_short_lines_that_differ_in_one_character_link(spark):
+    texts = [f"Page {k} of the yearly report of the small company" for k in range(1, 9)] + ["Страница 1 годового отчета", "Страница 2 годового отчета", "quite another line of about the same length"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_kept"] for r in line_dedup.mark(rows).orderBy("doc_id").collect()] == [1, *[0] * 7, 1, 0, 1]

@@ -7,7 +7,7 @@ after its ORDER bytes is one number for each language, tabulated for every strin
 score for a language is its exact code length; ``score`` is the share of the best among the languages, taken as
 equally likely.
 
-Training takes whole texts of at most SAMPLE_BYTES for each language (documents in hash order); its size and the tables
+Training takes whole texts of at most SAMPLE_BYTES for each language (documents in hash order, one at least); its size and the tables
 are bounded by that and by the number of languages, not by the corpus.
 
 Cases: null text, or one without a letter, is ``und`` with score 0; so is everything if no row has a label; equal code
@@ -45,11 +45,21 @@ def sample(docs: DataFrame, most: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
     """Labelled training texts of each language: whole ones, in hash order, up to ``most`` bytes."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * most / max(n, 1)))).otherwise(share)
     rank = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
-    got = rows.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= share).collect()
+    ranked = rows.select("lang", "text", rank.alias("rank"))
+    share = {lang: min(1.0, 1.5 * most / max(n, 1)) for lang, n in sizes.items()}
+    got, size, below, short = [], dict.fromkeys(sizes, 0), dict.fromkeys(sizes, -1.0), sorted(sizes)
+    while short:  # a language whose texts of least rank are too few or too short goes on with the next ranks
+        wanted = F.lit(False)
+        for lang in short:
+            wanted = F.when(F.col("lang") == lang, (F.col("rank") > below[lang]) & (F.col("rank") <= share[lang])).otherwise(wanted)
+        new = ranked.where(wanted).collect()
+        for r in new:
+            size[r["lang"]] += len(r["text"].encode())
+        got += new
+        short = [lang for lang in short if size[lang] < most and share[lang] < 1]
+        for lang in short:
+            below[lang], share[lang] = share[lang], min(1.0, 2 * share[lang])
     out: dict[str, list[bytes]] = {lang: [] for lang in sorted(sizes)}
     used = dict.fromkeys(out, 0)
     for r in sorted(got, key=lambda r: (r["rank"], r["text"])):

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from isoloom.llm import attention, licenses, line_dedup, lm_scoring  # noqa: E402
+from isoloom.llm import attention, language_id, licenses, line_dedup, lm_scoring  # noqa: E402
 
 
 def test_an_id_inside_a_text_has_eight_ids_before_it():
@@ -63,3 +64,12 @@ def test_short_lines_that_differ_in_one_character_link(spark):
     texts = [f"Page {k} of the yearly report of the small company" for k in range(1, 9)] + ["Страница 1 годового отчета", "Страница 2 годового отчета", "quite another line of about the same length"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["n_kept"] for r in line_dedup.mark(rows).orderBy("doc_id").collect()] == [1, *[0] * 7, 1, 0, 1]
+
+
+def test_every_language_has_a_training_text(spark):
+    """Few long texts a language, so that a share of the hashes can hold none."""
+    rows = [(k, f"text {k} " * 200, f"l{k % 12:02}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language_id.held_out(F.col("doc_id"), 5, 0))
+    got = language_id.sample(docs, 40)
+    labels = {r["lang"] for r in docs.select("lang").distinct().collect()}
+    assert set(got) == labels and all(len(x) == 1 for x in got.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import path_name
-from isoloom.operators.intervals import islands, overlap_anti
+from isoloom.operators.intervals import BROADCAST_ROWS, islands, overlap_anti
 from isoloom.schema import UNMAPPED, FilterParams
 
 
@@ -25,12 +25,12 @@ def confident(aln: DataFrame, params: FilterParams = FilterParams()) -> DataFram
     return rows.where(F.col("score").cast("float") >= F.lit(params.identity).cast("float") * F.col("qlen").cast("float"))
 
 
-def outside(aln: DataFrame, mask: DataFrame, strict: bool = False) -> DataFrame:
+def outside(aln: DataFrame, mask: DataFrame, strict: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Alignments that overlap no transcript of ``mask`` (tid, start, end), such as ribosomal RNA."""
     shift = 1 if strict else 0
     spans = aln.withColumns({"_from": F.col("pos") + shift, "_to": F.col("pos") + shift + cg.reference_length(F.col("cigar")) - 1})
     other = mask.select(F.col("tid").alias("m_tid"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))
-    return overlap_anti(spans, other, "_from", "_to").drop("_from", "_to")
+    return overlap_anti(spans, other, "_from", "_to", rows=broadcast_rows).drop("_from", "_to")
 
 
 def best(rows: DataFrame, params: FilterParams = FilterParams(), partition: list[str] | None = None) -> DataFrame:
@@ -42,22 +42,22 @@ def best(rows: DataFrame, params: FilterParams = FilterParams(), partition: list
     keys = partition or []
     order = Window.partitionBy(*keys).orderBy("ord")
     runs = islands(rows, keys, ["ord"], F.col("qname") != F.lag("qname").over(order))
-    run = Window.partitionBy(*keys, "island")
-    ranked = run.orderBy(F.desc("score"), "ord")
-    rows = runs.withColumns({"path": F.row_number().over(run.orderBy("ord")), "rank": F.row_number().over(ranked), "second": F.greatest(F.coalesce(F.lead("score").over(ranked), F.lit(0)), F.lit(0))})
+    return _kept(runs, [*keys, "island"], params)
+
+
+def _kept(rows: DataFrame, run: list[str], params: FilterParams) -> DataFrame:
+    """The best row of each run (the first of equals), numbered within it, where the second stays clearly below."""
+    of = Window.partitionBy(*run)
+    ranked = of.orderBy(F.desc("score"), "ord")
+    placed = rows.withColumns({"path": F.row_number().over(of.orderBy("ord")), "rank": F.row_number().over(ranked), "second": F.greatest(F.coalesce(F.lead("score").over(ranked), F.lit(0)), F.lit(0))})
     ratio = F.lit(params.second_ratio).cast("float")
-    kept = rows.where((F.col("rank") == 1) & (F.col("second").cast("float") < ratio * F.col("score").cast("float")) & (F.col("introns") >= params.min_introns))
+    kept = placed.where((F.col("rank") == 1) & (F.col("second").cast("float") < ratio * F.col("score").cast("float")) & (F.col("introns") >= params.min_introns))
     return kept.withColumn("qname", path_name(F.col("qname"), F.col("path"))).drop("rank", "path")
 
 
 def best_of_names(rows: DataFrame, params: FilterParams = FilterParams()) -> DataFrame:
     """As ``best`` where a name has one run in the whole input: grouped by name, so it scales with the reads."""
-    name = Window.partitionBy("qname")
-    ranked = name.orderBy(F.desc("score"), "ord")
-    rows = rows.withColumns({"path": F.row_number().over(name.orderBy("ord")), "rank": F.row_number().over(ranked), "second": F.greatest(F.coalesce(F.lead("score").over(ranked), F.lit(0)), F.lit(0)), "island": F.min("ord").over(name)})
-    ratio = F.lit(params.second_ratio).cast("float")
-    kept = rows.where((F.col("rank") == 1) & (F.col("second").cast("float") < ratio * F.col("score").cast("float")) & (F.col("introns") >= params.min_introns))
-    return kept.withColumn("qname", path_name(F.col("qname"), F.col("path"))).drop("rank", "path")
+    return _kept(rows.withColumn("island", F.min("ord").over(Window.partitionBy("qname"))), ["qname"], params)
 
 
 def counters(before: DataFrame, after: DataFrame) -> DataFrame:

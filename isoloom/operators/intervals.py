@@ -34,10 +34,13 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str,
     return a.join(b, on & (F.col("_bin") == first)).drop("_bin", "_bin_r")
 
 
-def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, width: int = BIN) -> DataFrame:
-    """Rows of ``left`` (tid) that overlap no interval of ``mask`` (m_tid, m_start, m_end)."""
+def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, width: int = BIN, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``left`` (tid) that overlap no interval of ``mask`` (m_tid, m_start, m_end).
+
+    A mask of ``rows`` intervals or fewer is broadcast; beyond that both sides meet by bins.
+    """
     hit = (F.col("tid") == F.col("m_tid")) & (F.col("m_start") <= F.col(l_end)) & (F.col("m_end") >= F.col(l_start))
-    if small(mask):
+    if small(mask, rows):
         return left.join(F.broadcast(mask), hit, "left_anti")
     key = left.withColumn("_key", F.monotonically_increasing_id())
     a = key.select("tid", "_key", l_start, l_end, F.explode(bins(F.col(l_start), F.col(l_end), width)).alias("_bin"))
@@ -52,12 +55,37 @@ def islands(df: DataFrame, partition: list[str], order: list[str], breaks: Colum
     return df.withColumn(name, F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def overlap_islands(df: DataFrame, partition: list[str], order: list[str], touch: bool, name: str = "island") -> DataFrame:
-    """Runs of overlapping intervals (start, end). With ``touch``, an equal end and start overlap too."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    reach = df.withColumn("_reach", F.max("end").over(w))
-    breaks = (F.col("start") > F.col("_reach")) if touch else (F.col("start") >= F.col("_reach"))
-    return islands(reach, partition, order, breaks, name).drop("_reach")
+def overlap_islands(df: DataFrame, partition: list[str], order: list[str], touch: bool, name: str = "island", chunk: Column | None = None) -> DataFrame:
+    """Runs of overlapping intervals (start, end). With ``touch``, an equal end and start overlap too.
+
+    ``chunk`` is a number that never falls along ``order``, by default the bin of the start. Rows are dealt by
+    partition and chunk, so a chromosome is many tasks; what reaches into a chunk from those before comes from a table
+    of one row a chunk. A run is named by the chunk in which it begins and its number there.
+    """
+    rows = df.withColumn("_chunk", (F.floor(F.col("start") / BIN) if chunk is None else chunk).cast("long"))
+    keys = [*partition, "_chunk"]
+    along = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys).agg(F.max("end").alias("_end")).select(*keys, F.max("_end").over(along).alias("_into"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    reach = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_into"))
+    begins = (F.col("start") > reach) if touch else (F.col("start") >= reach)
+    marked = _same(rows, before, partition).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
+    marked = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = marked.groupBy(*keys).agg(F.sum("_new").alias("_n"))
+    number = F.when(F.col("_n") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_n").cast("string")))
+    earlier = last.select(*keys, F.last(number, ignorenulls=True).over(along).alias("_from"))
+    out = _same(marked, earlier, partition)
+    return out.withColumn(name, F.when(F.col("_run") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_run").cast("string"))).otherwise(F.col("_from"))).drop("_chunk", "_into", "_new", "_run", "_from")
+
+
+def _same(rows: DataFrame, chunks: DataFrame, partition: list[str]) -> DataFrame:
+    """``rows`` with the further columns of their chunk; null keys are equal."""
+    keys = [*partition, "_chunk"]
+    named = chunks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in chunks.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, on).drop(*[f"_k_{k}" for k in keys])
 
 
 def union(df: DataFrame, partition: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.schema import MOTIFS, PROPER_PAIR, UNMAPPED, JunctionParams
+from isoloom.sources.text import TILE, genome_tiles
 
 
 def is_unique(nh: Column) -> Column:
@@ -36,17 +37,22 @@ def motif(code: Column) -> tuple[Column, Column]:
 
 
 def with_motif(junctions: DataFrame, genome: DataFrame | None) -> DataFrame:
-    """Add motif and strand from the genome (chr, seq), joined by name; 0 without one.
+    """Add motif and strand from the genome (chr, seq, or tiles of ``genome_tiles``), joined by name; 0 without one.
 
-    Sequences are long, so each chromosome's junctions come to it once: distinct sites first, then the join.
+    Each distinct intron asks for the two bases at either end, by chromosome and tile: a hot chromosome is many keys,
+    and no sequence longer than a tile is in a join.
     """
     if genome is None:
         return junctions.withColumns({"motif": F.lit(0), "strand": F.lit(0)})
-    sites = junctions.select("chr", "don", "acc").distinct()
-    bases = F.upper(F.concat(F.substr("seq", F.col("don"), F.lit(2)), F.substr("seq", F.col("acc") - 1, F.lit(2))))
-    coded = sites.join(genome.select("chr", "seq"), "chr").select("chr", "don", "acc", bases.alias("code"))
+    tiles = genome if "tile" in genome.columns else genome_tiles(genome)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("don").alias("at")), F.struct(F.lit(1).alias("side"), (F.col("acc") - 1).alias("at"))))
+    asked = junctions.select("chr", "don", "acc").distinct().select("chr", "don", "acc", ends.alias("s"))
+    asked = asked.select("chr", "don", "acc", "s.side", F.floor((F.col("s.at") - 1) / TILE).cast("int").alias("tile"), F.pmod(F.col("s.at") - 1, F.lit(TILE)).alias("in"))
+    found = asked.join(tiles, ["chr", "tile"]).select("chr", "don", "acc", "side", F.upper(F.substr("piece", F.col("in") + 1, F.lit(2))).alias("two"))
+    code = F.concat(F.max(F.when(F.col("side") == 0, F.col("two"))), F.max(F.when(F.col("side") == 1, F.col("two"))))
     number, strand = motif(F.col("code"))
-    return junctions.join(coded.select("chr", "don", "acc", number.alias("motif"), strand.alias("strand")), ["chr", "don", "acc"], "left").fillna(0, ["motif", "strand"])
+    coded = found.groupBy("chr", "don", "acc").agg(code.alias("code")).select("chr", "don", "acc", number.alias("motif"), strand.alias("strand"))
+    return junctions.join(coded, ["chr", "don", "acc"], "left").fillna(0, ["motif", "strand"])
 
 
 def count(junctions: DataFrame) -> DataFrame:

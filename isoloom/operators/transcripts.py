@@ -11,6 +11,10 @@ from isoloom.operators.intervals import overlap_islands
 from isoloom.schema import UNMAPPED, ExonParams
 
 
+#: Order keys that are looked through together: about a megabyte of lines.
+ORDER_CHUNK = 1 << 20
+
+
 def carry_transcript(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
     """Give each exon line the number of the latest transcript line before it (file order ``ord``).
 
@@ -53,11 +57,35 @@ def gene_bounds(tx: DataFrame, gene: str = "gene_id") -> DataFrame:
 
 def fuse_genes(genes: DataFrame) -> DataFrame:
     """Genes (ord, tid, start, end, is_rev, name) that overlap in file order become one, with the first one's names."""
-    runs = overlap_islands(genes, ["tid"], ["ord"], touch=False)
+    runs = overlap_islands(genes, ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / ORDER_CHUNK))
     first = [F.min_by(c, "ord").alias(c) for c in ("is_rev", "gene_id", "gene_name")]
     return runs.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first, F.count("*").alias("n_genes")).drop("island").orderBy("tid", "start", "end")
 
 
+def gene_groups(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
+    """Genes of annotation lines (ord, tid, chr, type, start, end, is_rev, names) with their transcripts and exons.
+
+    A transcript belongs to the gene line before it, an exon to the transcript line before it; genes that overlap in
+    file order are one, with the names and strand of the first. One row a gene: tid, chr, is_rev, start, end, gene_id,
+    gene_name, transcripts (ord, is_rev, start, end, names, exons in the direction of transcription), by tid, start,
+    end. ``partition`` as in ``carry_transcript``.
+    """
+    keys = partition or []
+    used = lines.where(F.col("type").isin("gene", "transcript", "exon"))
+    along = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda kind: F.last_value(F.when(F.col("type") == kind, F.col("ord")), ignoreNulls=True).over(along)
+    placed = used.withColumns({"_gene": of("gene"), "_tx": of("transcript")})
+    genes = overlap_islands(placed.where("type = 'gene'"), ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / ORDER_CHUNK))
+    exons = placed.where("type = 'exon' AND _tx IS NOT NULL").groupBy(F.col("_tx").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("_e"))
+    in_order = F.transform("_e", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
+    tx = placed.where("type = 'transcript' AND _gene IS NOT NULL").join(exons, F.col("ord") == F.col("_of"), "left")
+    tx = tx.select("_gene", F.struct("ord", "is_rev", "start", "end", "transcript_id", "transcript_name", F.when(F.col("is_rev") == 1, F.reverse(in_order)).otherwise(in_order).alias("exons")).alias("t"))
+    owned = genes.select("ord", "tid", "island").join(tx, F.col("ord") == F.col("_gene"), "left").groupBy("tid", "island").agg(F.sort_array(F.collect_list("t")).alias("transcripts"))
+    first = [F.min_by(c, "ord").alias(c) for c in ("chr", "is_rev", "gene_id", "gene_name")]
+    bounds = genes.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first)
+    return bounds.join(owned, ["tid", "island"]).drop("island").orderBy("tid", "start", "end")
+
+
 def strand_order(exons: Column, is_rev: Column) -> Column:
     """Exons in the direction of transcription."""
     return F.when(is_rev == 1, F.reverse(F.array_sort(exons))).otherwise(F.array_sort(exons))

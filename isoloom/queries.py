@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoloom import views
@@ -13,8 +13,8 @@ from isoloom.functions import cigar as cg
 from isoloom.functions import strings
 from isoloom.operators import details, filtering, intervals, junctions, novelty, transcripts
 from isoloom.plans import commands
-from isoloom.schema import FilterParams, JunctionParams, UpdateParams
-from isoloom.sources import text
+from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParams
+from isoloom.sources import sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,7 +25,7 @@ it AS (SELECT a.tx, a.tid, a.is_rev, a.k AS i, a.s AS ls, a.e AS le, b.s AS rs,
 AL = f"""a0 AS ({views.ALIGNED}), al AS (SELECT *, h % 25 AS tid, CAST(floor(h/3) AS BIGINT) AS pos, l_qseq - clip5 - clip3 AS qlen,
 l_qseq - clip5 - clip3 - nm + del_len AS score, l_qseq - clip5 - clip3 + del_len + 100*intron_n AS rlen FROM a0)"""
 OK = "unmapped = 0 AND CAST(qlen AS DOUBLE)/l_qseq >= CAST(CAST(0.67 AS REAL) AS DOUBLE) AND CAST(score AS REAL) >= CAST(0.75 AS REAL)*CAST(qlen AS REAL)"
-MASK = "mask AS (SELECT tid, s0 AS start, e0 AS e FROM tx WHERE tx % 400 = 0)"
+MASK = f"mask AS ({views.MASK})"
 BEST = """SELECT concat(qname, '.path', CAST(path AS VARCHAR)) AS qname, ord, CAST(score AS BIGINT) AS score, CAST(second AS BIGINT) AS second FROM (
  SELECT *, row_number() OVER (PARTITION BY qname ORDER BY ord) AS path, row_number() OVER (PARTITION BY qname ORDER BY score DESC, ord) AS rk,
  greatest(coalesce(lead(score) OVER (PARTITION BY qname ORDER BY score DESC, ord), 0), 0) AS second FROM ok) q
@@ -51,7 +51,7 @@ def _aln(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
-    return _tx(spark, d).where("tx % 400 = 0").select("tid", "start", "end")
+    return views.mask(spark, d)
 
 
 def _junction_sql(more: str = "") -> str:
@@ -63,8 +63,8 @@ CAST(sum(1 - tx % 2) AS BIGINT) AS uniq_c, CAST(sum(tx % 2) AS BIGINT) AS multi_
 
 
 @query(_junction_sql())
-def bam2sj(spark, d):
-    return commands.bam_to_junctions(_aln(spark, d))
+def junction_table(spark, d):
+    return commands.junction_table(_aln(spark, d))
 
 
 @query(_junction_sql("HAVING sum(1 - tx % 2) >= 2 AND count(*) >= 3"))
@@ -102,13 +102,13 @@ def sj_motif(spark, d):
 
 
 @query(f"WITH {EX} SELECT tx, tid, is_rev, s AS start, e AS \"end\" FROM ex")
-def bam2gtf_exons(spark, d):
+def alignment_exons(spark, d):
     rows = transcripts.from_alignments(_aln(spark, d))
     return rows.select("tx", "tid", "is_rev", F.explode("exons").alias("x")).select("tx", "tid", "is_rev", "x.start", "x.end")
 
 
 @query(f"WITH {TX} SELECT tx, tid, is_rev, s0 AS start, e0 AS \"end\", CAST(n AS INT) AS n_exons, concat('t', CAST(tx AS VARCHAR)) AS transcript_id FROM tx")
-def bam2gtf_transcripts(spark, d):
+def alignment_transcripts(spark, d):
     return transcripts.from_alignments(_aln(spark, d)).select("tx", "tid", "is_rev", "start", "end", F.size("exons").alias("n_exons"), "transcript_id")
 
 
@@ -119,7 +119,7 @@ _LINE = "concat_ws(chr(9), concat('chr', CAST(tid+1 AS VARCHAR)), 'NONE', {kind}
 @query(f"""WITH {TX} SELECT tx, 0 AS k, {_LINE.format(kind="'transcript'", s="s0", e="e0")} AS value FROM tx
 UNION ALL SELECT tx, CAST(k+1 AS INT), {_LINE.format(kind="'exon'", s="s", e="e")} FROM ex""")
 def gtf_lines(spark, d):
-    return commands.bam_to_gtf(_aln(spark, d))
+    return commands.transcript_lines(_aln(spark, d))
 
 
 # ---- CIGAR arithmetic
@@ -151,6 +151,12 @@ def filter_rrna_anti(spark, d):
     return filtering.outside(views.grouped_alignments(spark, d), _mask(spark, d)).select("ord")
 
 
+@query(ORACLE_SQL["filter_rrna_anti"])
+def filter_rrna_bins(spark, d):
+    """As filter_rrna_anti, by the way that larger masks take."""
+    return filtering.outside(views.grouped_alignments(spark, d), _mask(spark, d), broadcast_rows=0).select("ord")
+
+
 @query(f"WITH {AL}, ok AS (SELECT * FROM al WHERE {OK}) {BEST}")
 def filter_best(spark, d):
     rows = filtering.best_of_names(filtering.confident(views.grouped_alignments(spark, d)))
@@ -310,34 +316,79 @@ def chain_merge(spark, d):
     return novelty.exact_chains(_tx(spark, d))
 
 
-@query()
+_SI = "si AS (SELECT DISTINCT tid, is_rev, le+1 AS s, rs-1 + CASE WHEN tx % 8 = 1 THEN 1 ELSE 0 END AS e FROM it WHERE tx % 4 = 1)"
+_SUPPORTED = f"""{_SI}, u AS (SELECT p.r, p.a, x.tid, x.is_rev, x.le+1 AS s, x.rs-1 AS e FROM p JOIN it x ON x.tx = p.r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.r = p.r AND h.a = p.a AND h.i = x.i)),
+w AS (SELECT u.r, u.a, min(CASE WHEN EXISTS (SELECT 1 FROM si WHERE si.tid = u.tid AND si.is_rev = u.is_rev AND si.s = u.s AND si.e = u.e) THEN 1 ELSE 0 END) AS ok FROM u GROUP BY u.r, u.a),
+v AS (SELECT f.*, CASE WHEN coalesce(w.ok, 1) = 1 AND EXISTS (SELECT 1 FROM si JOIN tx t ON t.tx = f.r WHERE si.tid = t.tid AND si.e > t.s0) THEN 1 ELSE 0 END AS sup FROM f LEFT JOIN w ON w.r = f.r AND w.a = f.a)"""
+
+
+def _merged(level: int, unclassified: bool, short: bool = False) -> str:
+    """kept(tx, tid, is_rev, s, e, cov, all_novel, gene): the ordered merge, read by read along each chromosome.
+
+    A read looks from the newest kept transcript back for one of its own chain (which gains coverage), one that holds
+    its chain or is held by it (the read goes), or one that ends before it starts (the search ends); a read that finds
+    none is kept if it is novel. Chains do not change in merging, so how they relate is known beforehand.
+    """
+    flags = _FLAGS.replace("FROM f GROUP", "FROM v GROUP").replace("iden_n > 0", "iden_n > 0 AND sup = 1") if short else _FLAGS
+    more = f"{_SUPPORTED}, " if short else ""
+    keep = "" if unclassified else " AND z.all_novel = 0"
+    return f"""WITH RECURSIVE {_chain()}, {more}{flags}, {_ENDS}, fl AS (SELECT r, CASE WHEN {_LEVELS[level]} THEN 1 ELSE 0 END AS fu FROM b GROUP BY r), z AS ({_CLASS}),
+ch AS (SELECT tx, list(concat(CAST(le AS VARCHAR), '-', CAST(rs AS VARCHAR)) ORDER BY i) AS c FROM it GROUP BY tx),
+rd AS (SELECT t.tx, t.tid, t.is_rev, t.s0, t.e0, ch.c, z.all_novel, z.gene_id AS gene, CASE WHEN z.novel = 1 AND z.all_iden = 0 AND coalesce(fl.fu, 0) = 1{keep} THEN 1 ELSE 0 END AS emit,
+row_number() OVER (PARTITION BY t.tid ORDER BY t.s0, t.tx) AS k FROM {READS} t JOIN ch ON ch.tx = t.tx JOIN z ON z.tx = t.tx LEFT JOIN fl ON fl.r = t.tx),
+lg AS (SELECT x.tx AS x, y.tx AS y, x.c = y.c AS same, CASE WHEN len(x.c) > len(y.c) THEN x.c ELSE y.c END AS l, CASE WHEN len(x.c) > len(y.c) THEN y.c ELSE x.c END AS s
+FROM rd x JOIN rd y ON x.tid = y.tid AND x.is_rev = y.is_rev AND x.k > y.k AND y.emit = 1 AND list_has_any(x.c, y.c)),
+rl AS (SELECT x, y, same, list_position(l, s[1]) AS p0, l, s FROM lg),
+rel AS (SELECT x, list(y) FILTER (WHERE same) AS eq, list(y) FILTER (WHERE NOT same AND p0 > 0 AND l[p0:p0+least(len(s), len(l)-p0+1)-1] = s[1:least(len(s), len(l)-p0+1)]) AS con FROM rl GROUP BY x),
+st AS (SELECT DISTINCT tid, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(tx BIGINT, e BIGINT, cov BIGINT)[]) AS kept FROM rd
+UNION ALL SELECT tid, k, CASE WHEN is_eq THEN list_transform(kept, lambda t: CASE WHEN t.tx = hit.tx THEN struct_pack(tx := t.tx, e := greatest(t.e, e0), cov := t.cov + 1) ELSE t END)
+WHEN is_con OR emit = 0 THEN kept ELSE list_append(kept, struct_pack(tx := tx, e := e0, cov := CAST(1 AS BIGINT))) END FROM (
+SELECT q.*, coalesce(list_contains(eq, hit.tx), false) AS is_eq, coalesce(list_contains(con, hit.tx), false) AS is_con FROM (
+SELECT st.tid, rd.k, rd.tx, CAST(rd.e0 AS BIGINT) AS e0, rd.emit, st.kept, rel.eq, rel.con, list_filter(list_reverse(st.kept), lambda t: coalesce(list_contains(rel.eq, t.tx), false) OR coalesce(list_contains(rel.con, t.tx), false) OR rd.s0 > t.e)[1] AS hit
+FROM st JOIN rd ON rd.tid = st.tid AND rd.k = st.k + 1 LEFT JOIN rel ON rel.x = rd.tx) q) q2),
+fin AS (SELECT st.tid, unnest(kept) AS t FROM st JOIN (SELECT tid, max(k) AS k FROM rd GROUP BY tid) m ON m.tid = st.tid AND m.k = st.k),
+kept AS (SELECT rd.tx, rd.tid, rd.is_rev, rd.s0 AS s, fin.t.e AS e, fin.t.cov AS cov, rd.all_novel, rd.gene, rd.k FROM fin JOIN rd ON rd.tx = fin.t.tx)"""
+
+
+@query(f"""{_merged(5, False)} SELECT kept.tx, kept.tid, kept.is_rev, CAST(kept.s AS INT) AS start, CAST(kept.e AS INT) AS "end", kept.cov, kept.gene AS gene_id, CAST(tx.n AS INT) AS n_exons FROM kept JOIN tx ON tx.tx = kept.tx""")
 def novel_merge(spark, d):
     tx = _tx(spark, d)
     return commands.novel_transcripts(views.reads(tx), views.annotation(tx)).select("tx", "tid", "is_rev", "start", "end", "cov", "gene_id", F.size("exons").alias("n_exons"))
 
 
-@query()
+@query(f"""{_merged(3, True)} SELECT tx, tid, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", cov, CASE WHEN all_novel = 1
+THEN concat('UNCLA_', CAST(row_number() OVER (PARTITION BY all_novel ORDER BY tid, s, tx) - 1 AS VARCHAR)) ELSE replace(gene, 'g', 'n') END AS gene_name FROM kept""")
 def novel_merge_unclassified(spark, d):
     tx = _tx(spark, d)
     params = UpdateParams(keep_unclassified=True, full_level=3)
     return commands.novel_transcripts(views.reads(tx), views.annotation(tx), params).select("tx", "tid", "start", "end", "cov", "gene_name")
 
 
-@query()
-def update_gtf(spark, d):
+_GTF = """concat_ws(chr(9), concat('chr', CAST(tid+1 AS VARCHAR)), 'isoloom', {kind}, CAST({s} AS VARCHAR), CAST({e} AS VARCHAR), {score}, CASE is_rev WHEN 1 THEN '-' ELSE '+' END, '.',
+concat('gene_id "', gene, '"; transcript_id "t', CAST(tx AS VARCHAR), '"; gene_name "', replace(gene, 'g', 'n'), '";'))"""
+
+
+@query(f"""{_merged(5, False, True)}, kx AS (SELECT kept.*, ex.k AS xk, ex.s AS xs, CASE WHEN ex.k = tx.n - 1 THEN kept.e ELSE ex.e END AS xe, tx.n FROM kept JOIN tx ON tx.tx = kept.tx JOIN ex ON ex.tx = kept.tx)
+SELECT tx, 0 AS k, {_GTF.format(kind="'transcript'", s="s", e="e", score="'.'")} AS value FROM kept
+UNION ALL SELECT tx, CAST(CASE WHEN is_rev = 1 THEN n - xk ELSE xk + 1 END AS INT), {_GTF.format(kind="'exon'", s="xs", e="xe", score="CAST(450 + 50*cov AS VARCHAR)")} FROM kx""")
+def novel_gtf(spark, d):
     tx = _tx(spark, d)
-    return commands.update_gtf(views.reads(tx), views.annotation(tx), introns=_short(spark, d))
+    return commands.novel_lines(views.reads(tx), views.annotation(tx), introns=_short(spark, d))
 
 
 # ---- intervals and details
 
 
-@query(f"""WITH {TX}, g AS (SELECT tx AS ord, tid, s0 AS start, e0 AS e FROM tx WHERE tx % 11 = 0),
-w AS (SELECT *, max(e) OVER (PARTITION BY tid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+_GENES = "g AS (SELECT CAST(s AS BIGINT)*1000000000 + tx*10 + k AS ord, tid, s AS start, e FROM ex)"
+
+
+@query(f"""WITH {EX}, {_GENES}, w AS (SELECT *, max(e) OVER (PARTITION BY tid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
 v AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY ord) AS island FROM w)
 SELECT tid, min(start) AS start, max(e) AS "end", CAST(count(*) AS BIGINT) AS n_genes, arg_min(concat('g', CAST(ord AS VARCHAR)), ord) AS gene_id FROM v GROUP BY tid, island""")
 def gene_fusion(spark, d):
-    genes = _tx(spark, d).where("tx % 11 = 0").select(F.col("tx").alias("ord"), "tid", "start", "end", "is_rev", F.concat(F.lit("g"), F.col("tx").cast("string")).alias("gene_id"), F.lit("x").alias("gene_name"))
+    """Every exon stands for a gene, in the order of a sorted file."""
+    rows = views.exon_rows(spark, d).select((F.col("s").cast("long") * 1_000_000_000 + F.col("tx") * 10 + F.col("k")).alias("ord"), "tid", F.col("s").alias("start"), F.col("e").alias("end"), "is_rev")
+    genes = rows.select("*", F.concat(F.lit("g"), F.col("ord").cast("string")).alias("gene_id"), F.lit("x").alias("gene_name"))
     return transcripts.fuse_genes(genes).select("tid", "start", "end", "n_genes", "gene_id")
 
 
@@ -422,9 +473,9 @@ def gtf_assemble(spark, d):
 
 @query(f"""WITH {TX}, o AS (SELECT tx*100 AS ord, tid, s0, e0 FROM tx UNION ALL SELECT ex.tx*100+k+1, ex.tid, s0, e0 FROM ex JOIN tx ON tx.tx = ex.tx)
 SELECT ord, CASE WHEN tid < 22 THEN tid+1 ELSE 25 + (SELECT count(*) FROM (SELECT tid, min(ord) AS f FROM o GROUP BY tid) z WHERE z.tid >= 22 AND z.f <= (SELECT min(ord) FROM o q WHERE q.tid = o.tid)) END AS rank, s0 AS tx_start, e0 AS tx_end FROM o""".replace("AS rank", "AS \"rank\""))
-def sort_gtf(spark, d):
+def sorted_gtf(spark, d):
     rows = _lines(spark, d).withColumn("part", F.floor(F.col("ord") / 1_000_000))
-    return commands.sort_gtf(rows, ["part"]).select("ord", F.col("rank").cast("long").alias("rank"), "tx_start", "tx_end")
+    return commands.sorted_lines(rows, ["part"]).select("ord", F.col("rank").cast("long").alias("rank"), "tx_start", "tx_end")
 
 
 @query(f"WITH {TX} SELECT concat('chr', CAST(tid+1 AS VARCHAR)) AS chr, CAST(row_number() OVER (ORDER BY min(tx)) - 1 AS INT) AS tid FROM tx GROUP BY tx.tid")
@@ -502,5 +553,103 @@ def string_functions(spark, d):
     return part.select("p_partkey", F.size(words).alias("n_tokens"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("second"), strings.find(t, F.lit("T")).alias("first_t"), strings.find(t, F.lit("E"), 3).alias("e_after_3"), strings.find_within(t, F.lit("T"), 6).alias("t_within_6"), strings.count(t, F.lit("A")).cast("int").alias("n_a"), strings.middle(F.col("p_size"), F.lit(7)).cast("int").alias("middle"))
 
 
+# ---- files: written to the shared folder, then read
+
+
+@query(f"""WITH {TX} SELECT concat('t', CAST(tx AS VARCHAR)) AS qname, CAST(CASE WHEN tx % 5 = 0 THEN 0 ELSE 2 END + is_rev * 16 AS INT) AS flag, CAST(tid AS INT) AS tid, CAST(s0 - 1 AS INT) AS pos,
+CAST(2 * n - 1 AS INT) AS n_ops, CASE WHEN tx % 2 = 0 THEN 1 ELSE 2 END AS nh, CAST(row_number() OVER (ORDER BY tx % 2, tx) - 1 AS BIGINT) AS place FROM tx""")
+def sam_scan(spark, d):
+    """Two SAM files with headers of their own: even reads in one, odd ones in the other."""
+    rows = text.sam(spark, views.sam_files(spark, d))
+    place = F.row_number().over(Window.orderBy("ord")) - 1  # a test of the order key; one task
+    return rows.select("qname", "flag", "tid", "pos", F.size("cigar").alias("n_ops"), "nh", place.cast("long").alias("place"))
+
+
+@query("SELECT CAST(range AS INT) AS tid, concat('chr', CAST(range+1 AS VARCHAR)) AS chr, CAST(1000000+range AS BIGINT) AS len FROM range(25)")
+def sam_dictionary(spark, d):
+    return text.sam_header(spark, views.sam_files(spark, d)).select(F.col("tid").cast("int").alias("tid"), "chr", "len")
+
+
+@query(f"""WITH {TX} SELECT concat('t', CAST(tx AS VARCHAR), '.z') AS qname, CAST(CASE WHEN tx % 5 = 0 THEN 0 ELSE 2 END + is_rev * 16 AS INT) AS flag, CAST(tid AS INT) AS tid, CAST(s0 - 1 AS INT) AS pos,
+CAST(2 * n - 1 AS INT) AS n_ops, CASE WHEN tx % 2 = 0 THEN 1 ELSE 2 END AS nh FROM tx""")
+def bam_round_trip(spark, d):
+    """Alignments as BAM files, read, renamed, written and read again."""
+    return views.bam_copy(spark, _aln(spark, d)).select("qname", "flag", "tid", "pos", F.size("cigar").alias("n_ops"), "nh")
+
+
+_SEQ = "(SELECT repeat(string_agg(substr('ACGT', CAST(p_size % 4 + 1 AS INT), 1), '' ORDER BY p_partkey), 20) FROM part)"
+
+
+@query(f"SELECT concat('chr', CAST(range+1 AS VARCHAR)) AS chr, CAST(length({_SEQ}) AS INT) AS len, substr({_SEQ}, 50, 30) AS head, md5({_SEQ}) AS digest FROM range(25)")
+def fasta_scan(spark, d):
+    genome = views.genome(spark, d)
+    path = views.stored_text(genome.select(F.concat(F.lit(">"), "chr", F.lit(" a>b\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")))
+    return text.fasta(spark, path).select("chr", F.length("seq").alias("len"), F.substring("seq", 50, 30).alias("head"), F.md5("seq").alias("digest"))
+
+
+@query("SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS name, repeat('ACGTN', CAST(p_size AS INT)) AS seq, repeat('@+>I ', CAST(p_size AS INT)) AS qual FROM part")
+def fastq_scan(spark, d):
+    """Records of several lines, whose qualities begin with the marks of other lines."""
+    part = views.table(spark, d, "part").withColumn("n", F.col("p_size").cast("int"))
+    cut = lambda c: F.regexp_replace(F.repeat(F.lit(c), F.col("n")), "(.{10})(?=.)", "$1\n")
+    value = F.concat(F.lit("@p"), F.col("p_partkey").cast("string"), F.lit(" x\n"), cut("ACGTN"), F.lit("\n+\n"), cut("@+>I "))
+    return text.fastq(spark, views.stored_text(part.select(value.alias("value")))).select("name", "seq", "qual")
+
+
+@query(_junction_sql().replace("SELECT tid, concat", "SELECT concat_ws(chr(9), chr, CAST(don AS VARCHAR), CAST(acc AS VARCHAR), '0', '1', CAST(uniq_c AS VARCHAR), CAST(multi_c AS VARCHAR), '0') AS value FROM (SELECT tid, concat").replace("GROUP BY tid, le, rs ", "GROUP BY tid, le, rs) q"))
+def junction_text(spark, d):
+    return sinks.junction_lines(junctions.table(_aln(spark, d)))
+
+
+@query(f"""WITH {TX}, c AS (SELECT *, sum(CASE WHEN s - pe - 1 >= 70 THEN 1 ELSE 0 END) OVER (PARTITION BY tx ORDER BY k ROWS UNBOUNDED PRECEDING) AS blk FROM (SELECT *, lag(e) OVER (PARTITION BY tx ORDER BY k) AS pe FROM ex) q),
+b AS (SELECT tx, blk, min(s) AS s, max(e) AS e FROM c GROUP BY tx, blk) SELECT tx, s AS start, e AS "end" FROM (SELECT *, min(blk) OVER (PARTITION BY tx) AS lo, max(blk) OVER (PARTITION BY tx) AS hi FROM b) q WHERE blk = lo OR blk = hi OR e - s + 1 >= 30""")
+def short_blocks(spark, d):
+    """Gaps under 70 bases are no introns; internal exons under 30 go."""
+    rows = transcripts.from_alignments(_aln(spark, d), ExonParams(min_exon=30, min_intron=70))
+    return rows.select("tx", F.explode("exons").alias("x")).select("tx", "x.start", "x.end")
+
+
+@query(f"""WITH {TX} SELECT tid, le+1 AS don, rs-1 AS acc, CAST(count(*) AS BIGINT) AS n FROM it WHERE tx % 5 <> 0 AND rs - le - 1 >= 70 GROUP BY tid, le, rs""")
+def short_gaps(spark, d):
+    return junctions.table(_aln(spark, d), params=JunctionParams(min_intron=70)).select("tid", "don", "acc", (F.col("uniq_c") + F.col("multi_c")).alias("n"))
+
+
+@query(f"""WITH {TX} SELECT tx*100 AS ord, 'transcript' AS type FROM tx UNION ALL SELECT tx*100+k+1, 'exon' FROM ex""")
+def gtf_comments(spark, d):
+    """Every other line has a comment before it."""
+    rows = views.lines(_tx(spark, d))
+    noise = rows.where("ord % 2 = 0").select((F.col("ord") - 50).alias("ord"), F.concat(F.lit("#"), "value").alias("value"))
+    return text.parse_gtf(rows.unionByName(noise)).select("ord", "type")
+
+
+@query(f"""WITH {TX}, s AS (SELECT tid, is_rev, le+1 AS don, rs-1 AS acc, CAST(sum(tx % 9) AS BIGINT) AS u, CAST(count(*) AS BIGINT) AS m FROM it GROUP BY tid, is_rev, le, rs)
+SELECT tid, don, acc, is_rev + 1 AS strand, 1 AS anno, u AS uniq_c, m AS multi_c, 2 AS motif, 20 AS max_over, CAST(row_number() OVER (PARTITION BY tid ORDER BY don, acc, is_rev) AS INT) AS place FROM s""")
+def star_junction_table(spark, d):
+    rows = _tx(spark, d).where("size(exons) > 1").select("tx", "tid", "chr", "is_rev", "exons", F.explode(F.sequence(F.lit(0), F.size("exons") - 2)).alias("i"))
+    one = rows.groupBy("chr", "is_rev", (F.get("exons", F.col("i"))["end"] + 1).alias("s"), (F.get("exons", F.col("i") + 1)["start"] - 1).alias("e")).agg(F.sum(F.col("tx") % 9).alias("u"), F.count("*").alias("m"))
+    lines = one.select(F.concat_ws("\t", "chr", *[F.col(c).cast("string") for c in ("s", "e")], (F.col("is_rev") + 1).cast("string"), F.lit("2"), F.lit("1"), F.col("u").cast("string"), F.col("m").cast("string"), F.lit("20")).alias("value"))
+    header = spark.range(25).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("chr"))
+    got = text.star_table(text.parse_star(lines, header))
+    place = F.row_number().over(Window.partitionBy("tid").orderBy("don", "acc", "strand"))
+    return got.select("tid", "don", "acc", "strand", "anno", "uniq_c", "multi_c", "motif", "max_over", place.alias("place"))
+
+
+@query(f"""WITH {TX}, o AS (SELECT *, CASE WHEN is_rev = 1 THEN n - 1 - k ELSE k END AS rank FROM (SELECT ex.*, tx.n FROM ex JOIN tx ON tx.tx = ex.tx) q),
+tt AS (SELECT tx, any_value(tid) AS tid, min(s) AS s, max(e) AS e, any_value(n) AS n, string_agg(concat(CAST(s AS VARCHAR), '-', CAST(e AS VARCHAR)), ',' ORDER BY rank) AS exons FROM o GROUP BY tx),
+gl AS (SELECT *, s AS gs, s + 80 AS ge FROM tt), w AS (SELECT *, max(ge) OVER (PARTITION BY tid ORDER BY s, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gl),
+v AS (SELECT *, sum(CASE WHEN reach IS NULL OR gs >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY s, tx) AS island FROM w)
+SELECT tid, min(gs) AS start, max(ge) AS "end", concat('g', CAST(arg_min(tx, CAST(s AS BIGINT) * 1000000000 + tx) AS VARCHAR)) AS gene_id, string_agg(concat('t', CAST(tx AS VARCHAR), ':', exons), ';' ORDER BY s, tx) AS transcripts FROM v GROUP BY tid, island""")
+def gene_groups(spark, d):
+    """Each transcript has a gene line of 81 bases at its start; lines are sorted by start."""
+    tx = _tx(spark, d)
+    base = F.col("start").cast("long") * 1_000_000_000 + F.col("tx") * 10
+    kinds = F.concat(F.array(F.struct(F.lit(-2).alias("k"), F.lit("gene").alias("type"), F.col("start"), (F.col("start") + 80).alias("end")), F.struct(F.lit(-1).alias("k"), F.lit("transcript").alias("type"), F.col("start"), F.col("end"))), F.transform("exons", lambda e, i: F.struct(i.alias("k"), F.lit("exon").alias("type"), e["start"].alias("start"), e["end"].alias("end"))))
+    rows = tx.select("tx", "tid", "chr", "is_rev", "transcript_id", "transcript_name", base.alias("base"), F.explode(kinds).alias("x"))
+    name = F.concat(F.lit("g"), F.col("tx").cast("string"))
+    lines = rows.select((F.col("base") + F.col("x.k") + 2).alias("ord"), "tid", "chr", "x.type", "x.start", "x.end", "is_rev", name.alias("gene_id"), name.alias("gene_name"), "transcript_id", "transcript_name")
+    one = F.transform("transcripts", lambda t: F.concat(t["transcript_id"], F.lit(":"), F.array_join(F.transform(t["exons"], lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ",")))
+    return transcripts.gene_groups(lines, ["tid"]).select("tid", "start", "end", "gene_id", F.array_join(one, ";").alias("transcripts"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bam2sj(spark, sf_dir)
+    return junction_table(spark, sf_dir)

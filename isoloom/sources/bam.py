@@ -3,39 +3,78 @@
     spark.dataSource.register(BamSource)
     spark.read.format("bam").load("reads.bam")
 
-A file is one partition, as records cross BGZF blocks without marks; many files give many partitions.
+A file is one partition, as records cross BGZF blocks without marks; many files give many partitions. Their order keys
+follow the files by path, and one dictionary numbers the sequence names of all headers. Each row carries its whole
+record (``raw``), so what is written again keeps bases, qualities, mates and all tags. Paths may be of any file system
+that pyarrow opens, which driver and executors must share.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
-import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
+from pyarrow import fs
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from isoloom.schema import ALIGNMENT
+from isoloom.sources.text import FILE_BITS
 
+#: A row: the alignment, its file and its record without the length before it.
+COLUMNS = f"{ALIGNMENT}, file string, raw binary"
 OPS = "MIDNSHP=XB"
-BASES = "=ACMGRSVTWYHKDBN"
 _SIZES = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 #: Fixed value: the empty block that ends a BGZF file.
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def read_header(f) -> list[tuple[str, int]]:
-    """Names and lengths of the reference sequences."""
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def listed(path: str) -> list[str]:
+    """The BAM files of a path (a file, a folder, or a pattern in the last part), in order."""
+    system, at = opened(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [path]
+    folder, _, pattern = (at, "", "*.bam") if info.type == fs.FileType.Directory else at.rpartition("/")
+    base = path if info.type == fs.FileType.Directory else path.rpartition("/")[0]
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(folder or ".")) if f.type == fs.FileType.File]
+    return [f"{base.rstrip('/')}/{n}" for n in sorted(names) if fnmatch.fnmatch(n, pattern) and not n.startswith(".")]
+
+
+def unpacked(path: str):
+    system, at = opened(path)
+    return gzip.GzipFile(fileobj=system.open_input_file(at))
+
+
+def read_header(f) -> tuple[str, list[tuple[str, int]]]:
+    """The header's text; names and lengths of the reference sequences."""
     if f.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    f.read(struct.unpack("<i", f.read(4))[0])
+    text = f.read(struct.unpack("<i", f.read(4))[0]).rstrip(b"\0").decode()
     refs = []
     for _ in range(struct.unpack("<i", f.read(4))[0]):
         name = f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode()
         refs.append((name, struct.unpack("<i", f.read(4))[0]))
-    return refs
+    return text, refs
+
+
+def merged_refs(headers: list[list[tuple[str, int]]]) -> list[tuple[str, int]]:
+    """Each name once, in order of first appearance; headers must agree on its length."""
+    sizes: dict[str, int] = {}
+    for refs in headers:
+        for name, size in refs:
+            if sizes.setdefault(name, size) != size:
+                raise ValueError(f"headers disagree on the length of {name}")
+    return list(sizes.items())
 
 
 def tags(data: bytes) -> dict[str, object]:
@@ -61,16 +100,17 @@ def tags(data: bytes) -> dict[str, object]:
     return found
 
 
-def records(f, refs: list[tuple[str, int]]) -> Iterator[tuple]:
-    """Rows of ALIGNMENT."""
-    ord_ = 0
+def records(f, refs: list[tuple[str, int]], tids: dict[str, int], file: str = "", rank: int = 0) -> Iterator[tuple]:
+    """Rows of COLUMNS; ``refs`` are this file's names, ``tids`` the numbers of all files' names."""
+    ord_ = rank << FILE_BITS
     while len(head := f.read(4)) == 4:
         data = f.read(struct.unpack("<i", head)[0])
         tid, pos, n_name, _, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
         at = 32 + n_name
         cigar = [{"op": OPS[c & 15], "len": c >> 4} for c in struct.unpack_from(f"<{n_cigar}I", data, at)]
         rest = tags(data[at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq :])
-        yield (ord_, data[32 : 31 + n_name].decode(), flag, tid, refs[tid][0] if tid >= 0 else None, pos, l_seq, cigar, rest.get("NM"), rest.get("XS"), rest.get("NH"))
+        name = refs[tid][0] if tid >= 0 else None
+        yield (ord_, data[32 : 31 + n_name].decode(), flag, tids.get(name, -1), name, pos, l_seq, cigar, rest.get("NM"), rest.get("XS"), rest.get("NH"), file, data)
         ord_ += 1
 
 
@@ -83,8 +123,17 @@ def bgzf(data: bytes) -> bytes:
 
 
 def encode(row, tids: dict[str, int]) -> bytes:
-    """A record of ALIGNMENT; bases and qualities are unknown, so they are written as N and 255."""
+    """The record of a row. Where the row has its ``raw`` record, all of it stays but the name and the numbers of the
+    sequences, which follow the new header; a row without one has unknown bases and qualities (N and 255)."""
     name = row["qname"].encode() + b"\0"
+    raw = row["raw"] if "raw" in row else None
+    if raw is not None:
+        raw = bytes(raw)
+        mine, mate = tids.get(row["chr"], -1), struct.unpack_from("<i", raw, 20)[0]
+        if mate >= 0 and mate == struct.unpack_from("<i", raw)[0]:
+            mate = mine
+        body = struct.pack("<i", mine) + raw[4:8] + bytes([len(name)]) + raw[9:20] + struct.pack("<i", mate) + raw[24:32] + name + raw[32 + raw[8] :]
+        return struct.pack("<i", len(body)) + body
     cigar = b"".join(struct.pack("<I", c["len"] << 4 | OPS.index(c["op"])) for c in row["cigar"] or [])
     extra = b"" if row["nm"] is None else b"NMi" + struct.pack("<i", row["nm"])
     extra += b"" if row["xs"] is None else b"XSA" + row["xs"].encode()
@@ -96,42 +145,47 @@ def encode(row, tids: dict[str, int]) -> bytes:
 
 
 class BamPartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, rank: int):
+        self.path, self.rank = path, rank
 
 
 class BamReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(glob.glob(os.path.join(self.path, "*.bam"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [BamPartition(p) for p in paths]
+        return [BamPartition(p, k) for k, p in enumerate(listed(self.path))]
 
     def read(self, partition: BamPartition) -> Iterator[tuple]:
-        with gzip.open(partition.path, "rb") as f:
-            yield from records(f, read_header(f))
+        tids = {name: k for k, (name, _) in enumerate(references(self.path))}
+        with unpacked(partition.path) as f:
+            yield from records(f, read_header(f)[1], tids, partition.path, partition.rank)
 
 
 class BamWriter(DataSourceWriter):
-    """Each task writes a whole BAM file under a name of its own; the commit renames them."""
+    """Each task writes a whole BAM file under a name of its own; the commit gives them their names.
 
-    def __init__(self, path: str, header: str):
-        self.path = path.removeprefix("file://")
-        self.refs = [(n, int(s)) for n, s in (x.split(":") for x in header.split(",") if x)]
+    Overwriting removes the parts of earlier writes when all new ones are there; appending adds parts of new names.
+    """
+
+    def __init__(self, path: str, header: str, text: str | None, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
+        self.refs = [(n, int(s)) for n, s in (x.rsplit(":", 1) for x in header.split(",") if x)]
+        self.text = text if text is not None else "".join(f"@SQ\tSN:{n}\tLN:{s}\n" for n, s in self.refs)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = opened(self.path)
+        system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}"
-        temporary = os.path.join(self.path, f".{name}.{context.taskAttemptId()}")
+        name = f"part-{context.partitionId():05d}-{self.job}"
+        temporary = f"{folder}/.{name}.{context.taskAttemptId()}"
         tids = {n: k for k, (n, _) in enumerate(self.refs)}
-        text = "".join(f"@SQ\tSN:{n}\tLN:{s}\n" for n, s in self.refs).encode()
+        text = self.text.encode()
         head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.refs))
-        head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", s) for n, s in self.refs)
-        with open(temporary, "wb") as out:
+        head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", s) for n, s in self.refs)
+        with system.open_output_stream(temporary) as out:
             held = bytearray(head)
             for row in rows:
                 held += encode(row, tids)
@@ -142,38 +196,61 @@ class BamWriter(DataSourceWriter):
                 out.write(bgzf(bytes(held)))
             out.write(END_BLOCK)
         message = WriterCommitMessage()
-        message.files = (temporary, os.path.join(self.path, f"{name}.bam"))
+        message.files = (temporary, f"{folder}/{name}.bam")
         return message
 
     def commit(self, messages: list) -> None:
+        system, folder = opened(self.path)
+        old = [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("part-") and f.base_name.endswith(".bam")] if self.overwrite else []
         for m in messages:
             if m is not None:
-                os.replace(*m.files)
+                system.move(*m.files)
+        for path in old:
+            system.delete_file(path)
 
     def abort(self, messages: list) -> None:
+        system, _ = opened(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.files[0]):
-                os.remove(m.files[0])
+            if m is not None and system.get_file_info(m.files[0]).type == fs.FileType.File:
+                system.delete_file(m.files[0])
 
 
 class BamSource(DataSource):
-    """Options of the writer: header, as name:length,name:length."""
+    """Options of the writer: header, as name:length,name:length; text, the header's text (else its @SQ lines)."""
 
     @classmethod
     def name(cls) -> str:
         return "bam"
 
     def schema(self) -> str:
-        return ALIGNMENT
+        return COLUMNS
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> BamWriter:
-        return BamWriter(self.options["path"], self.options.get("header", ""))
+        return BamWriter(self.options["path"], self.options.get("header", ""), self.options.get("text"), overwrite)
+
+
+def references(path: str) -> list[tuple[str, int]]:
+    """Names and lengths of the common dictionary of a path's files."""
+    found = []
+    for p in listed(path):
+        with unpacked(p) as f:
+            found.append(read_header(f)[1])
+    return merged_refs(found)
 
 
 def header(spark, path: str):
-    """tid, chr, len of one file's header."""
-    with gzip.open(path.removeprefix("file://"), "rb") as f:
-        return spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(read_header(f))], "tid int, chr string, len long")
+    """tid, chr, len of the common dictionary of a path's files."""
+    return spark.createDataFrame([(k, n, s) for k, (n, s) in enumerate(references(path))], "tid int, chr string, len long")
+
+
+def header_text(path: str) -> str:
+    """The text of the first file's header, with the @SQ lines of all files in the common order."""
+    with unpacked(listed(path)[0]) as f:
+        lines = read_header(f)[0].splitlines()
+    own = {x.split("SN:", 1)[1].split("\t")[0]: x for x in lines if x.startswith("@SQ") and "SN:" in x}
+    sequences = [own.get(n, f"@SQ\tSN:{n}\tLN:{s}") for n, s in references(path)]
+    first = [x for x in lines if x.startswith("@HD")]
+    return "".join(f"{x}\n" for x in [*first, *sequences, *(x for x in lines if not x.startswith(("@HD", "@SQ")))])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,31 +14,67 @@ from isoloom.functions.attributes import attribute
 from isoloom.schema import STAR
 
 
+#: Bits of an order key below the file's rank: enough for files of 8 TB.
+FILE_BITS = 43
+
+
+def file_ranks(rows: DataFrame) -> DataFrame:
+    """file, rank of the input files in path order. The driver lists them for any scan, so it holds them anyway."""
+    files = sorted(rows.inputFiles())
+    if len(files) >= 1 << (63 - FILE_BITS):
+        raise ValueError("too many files for one order key")
+    return rows.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "file string, rank long")
+
+
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """ord, file, value: lines in file order. The order key is the file, the split and the place within it."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
-    # within one split ids rise with the lines; splits of a file are ordered by where they start
-    key = F.col("_split") * F.lit(1 << 20) + F.col("_id").bitwiseAND((1 << 33) - 1)
-    return rows.select(key.cast("long").alias("ord"), "file", F.regexp_replace("value", "\r$", "").alias("value"))
+    """ord, file, value: lines in order; ``ord`` is unique over all files of ``path``, which follow each other by path.
 
+    Within a split ids rise with the lines, and a split that shares its task is the last of its file, so the split's
+    start plus the id within the task orders a file's lines. The file's rank stands above.
+    """
+    rows = spark.read.text(path)
+    named = rows.select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    place = F.col("_split") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    ranks = file_ranks(rows)
+    if ranks.limit(2).count() > 1:
+        named = named.join(F.broadcast(ranks), "file")  # one row a file
+        place += F.shiftleft("rank", FILE_BITS)
+    return named.select(place.cast("long").alias("ord"), "file", F.regexp_replace("value", "\r$", "").alias("value"))
 
-def sam_header(spark: SparkSession, path: str) -> DataFrame:
-    """tid, chr, len of the @SQ lines. One row a chromosome goes through the numbering task."""
+
+def dictionary(lines: DataFrame) -> DataFrame:
+    """tid, chr, len of the @SQ lines of one or more headers: each name once, numbered by first appearance.
+
+    Headers that give a name different lengths are an error. One row a chromosome goes through the numbering task.
+    """
     from pyspark.sql import Window
 
-    rows = ordered_lines(spark, path).where(F.col("value").startswith("@SQ"))
+    rows = lines.where(F.col("value").startswith("@SQ"))
     named = rows.select("ord", F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("chr"), F.regexp_extract("value", "\tLN:([0-9]+)", 1).cast("long").alias("len"))
-    return named.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("tid"), "chr", "len")
+    agree = F.when(F.min("len").eqNullSafe(F.max("len")), F.min("len")).otherwise(F.raise_error(F.concat(F.lit("headers disagree on the length of "), F.first("chr"))).cast("long"))
+    once = named.groupBy("chr").agg(F.min("ord").alias("ord"), agree.alias("len"))
+    return once.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("tid"), "chr", "len")
 
 
-def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a SAM file. Tags NM, XS and NH are null if absent."""
-    rows = ordered_lines(spark, path).where(~F.col("value").startswith("@"))
+def sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """tid, chr, len of the headers of all files of ``path``."""
+    return dictionary(ordered_lines(spark, path))
+
+
+def sam_records(lines: DataFrame) -> DataFrame:
+    """Alignments of SAM lines (ord, file, value) without tid. Tags NM, XS and NH are null if absent."""
+    rows = lines.where(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
     at = lambda k: F.get(f, F.lit(k))
     tag = lambda name, kind: F.nullif(F.regexp_extract("value", f"\t{name}:{kind}:([^\t]*)", 1), F.lit(""))
-    out = rows.select("ord", "file", at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("chr"), (at(3).cast("int") - 1).alias("pos"), F.when(at(9) == "*", 0).otherwise(F.length(at(9))).alias("l_qseq"), cg.parse(at(5)).alias("cigar"), tag("NM", "i").cast("int").alias("nm"), tag("XS", "A").alias("xs"), tag("NH", "i").cast("int").alias("nh"), "value")
-    return out.join(F.broadcast(sam_header(spark, path).select("tid", "chr")), "chr", "left")  # one row a chromosome
+    # a filter on these may be tried on header lines first, so the casts must not fail
+    return rows.select("ord", "file", at(0).alias("qname"), at(1).try_cast("int").alias("flag"), at(2).alias("chr"), (at(3).try_cast("int") - 1).alias("pos"), F.when(at(9) == "*", 0).otherwise(F.length(at(9))).alias("l_qseq"), cg.parse(at(5)).alias("cigar"), tag("NM", "i").try_cast("int").alias("nm"), tag("XS", "A").alias("xs"), tag("NH", "i").try_cast("int").alias("nh"), "value")
+
+
+def sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of one or more SAM files, with the numbers of their common dictionary."""
+    lines = ordered_lines(spark, path)
+    return sam_records(lines).join(F.broadcast(dictionary(lines).select("tid", "chr")), "chr", "left")  # one row a chromosome
 
 
 def gtf(spark: SparkSession, path: str, header: DataFrame | None = None) -> DataFrame:
@@ -69,18 +109,74 @@ def parse_star(lines: DataFrame, header: DataFrame | None = None) -> DataFrame:
     return rows if header is None else rows.join(F.broadcast(header.select("tid", "chr")), "chr")  # one row a chromosome
 
 
+def star_table(rows: DataFrame) -> DataFrame:
+    """Short-read junctions (tid, ...) as a junction table in (tid, don, acc) order; max_over is the longest overhang."""
+    return rows.select("tid", "chr", F.col("start").alias("don"), F.col("end").alias("acc"), "strand", F.col("annotated").alias("anno"), F.col("uniq").alias("uniq_c"), F.col("multi").alias("multi_c"), "motif", F.col("overhang").alias("max_over")).orderBy("tid", "don", "acc")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """chr, seq: the name ends at white space, the rest of its line is dropped, sequence lines are joined."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    cut = F.regexp_extract("value", "(?s)^([^\\s]*)[^\\n]*\\n?(.*)$", 2)
-    return rows.select(F.regexp_extract("value", "^([^\\s]*)", 1).alias("chr"), F.regexp_replace(cut, "\\s", "").alias("seq")).where("chr <> ''")
+    """chr, seq: a record begins with > at the start of a line; its name ends at white space, the rest of that line is
+    a comment (which may hold >), sequence lines are joined."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    head, rest = F.substring_index("value", "\n", 1), F.regexp_extract("value", "(?s)^[^\\n]*\\n?(.*)$", 1)
+    return rows.select(F.regexp_extract(head, "^([^\\s]*)", 1).alias("chr"), F.regexp_replace(rest, "\\s", "").alias("seq")).where("chr <> ''")
+
+
+#: Bases of a genome tile.
+TILE = 4096
+
+
+def genome_tiles(genome: DataFrame, width: int = TILE) -> DataFrame:
+    """chr, tile, piece: sequences (chr, seq) in pieces of ``width`` bases and the next one, so that any two bases that
+    stand together are within a piece. A chromosome is many rows then, and a lookup never walks a long string."""
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{1,{width + 1}}})).{{1,{width}}}"), F.lit(1))
+    return genome.select("chr", F.posexplode(pieces).alias("tile", "piece"))
+
+
+def _fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
+    """name, seq, qual (null for a FASTA record). Sequence and quality may take several lines; a quality line may begin
+    with any letter, as its end is known by its length."""
+    line = next(lines, None)
+    while line is not None:
+        if line[:1] not in (">", "@"):
+            line = next(lines, None)
+            continue
+        name = (line[1:].split(None, 1) or [""])[0] if line[1:2].strip() else ""
+        bases: list[str] = []
+        line = next(lines, None)
+        while line is not None and line[:1] not in (">", "@", "+"):
+            bases.append(line)
+            line = next(lines, None)
+        seq = "".join(bases)
+        if line is None or line[0] != "+":
+            yield name, seq, None
+            continue
+        quality, size = [], 0
+        while (line := next(lines, None)) is not None:
+            quality.append(line)
+            size += len(line)
+            if size >= len(seq):
+                break
+        if size != len(seq):
+            raise ValueError(f"the quality of {name} has {size} letters, its sequence {len(seq)}")
+        yield name, seq, "".join(quality)
+        line = next(lines, None)
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of four-line records."""
-    rows = spark.read.option("lineSep", "\n@").text(path)
-    f = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return rows.select(F.regexp_extract(F.get(f, F.lit(0)), "^([^\\s]*)", 1).alias("name"), F.get(f, F.lit(1)).alias("seq"), F.get(f, F.lit(3)).alias("qual")).where("seq IS NOT NULL")
+    """file, name, seq, qual. Records have no marks that tell them from quality lines, so a file is read in order by one
+    task, as a stream; many files are many tasks."""
+    lines = ordered_lines(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, v) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for file, group in itertools.groupby(rows, key=lambda r: r[0]):
+            found = _fastq_records(v for _, v in group)
+            while part := list(itertools.islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), *(pa.array([r[k] for r in part], pa.string()) for k in range(3))], ["file", "name", "seq", "qual"])
+
+    in_order = lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value")
+    return in_order.mapInArrow(run, "file string, name string, seq string, qual string")
 
 
 def samples(spec: str) -> list[list[str]]:

@@ -86,14 +86,16 @@ def test_bam_round_trip(spark, tmp_path):
 
 def test_commands(spark, tmp_path):
     sam, gtf = put(tmp_path, "a.sam", SAM), put(tmp_path, "a.gtf", GTF)
-    cli.main(["bam2sj", sam, str(tmp_path / "sj")], spark)
+    cli.main(["junctions", sam, str(tmp_path / "sj")], spark)
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "sj/rows")).collect()) == ["chr1\t111\t210\t0\t1\t1\t0\t0", "chr1\t213\t262\t0\t1\t1\t0\t0", "chr2\t11\t40\t0\t1\t0\t1\t0"]
-    cli.main(["bam2gtf", sam, str(tmp_path / "gtf")], spark)
+    cli.main(["transcripts", sam, str(tmp_path / "gtf")], spark)
     assert spark.read.text(str(tmp_path / "gtf")).count() == 6
     cli.main(["filter", sam, gtf, str(tmp_path / "kept")], spark)
-    assert [r[0].split("\t")[0] for r in spark.read.text(str(tmp_path / "kept")).collect()] == ["r2.path1"]
-    cli.main(["update-gtf", sam, gtf, "-o", str(tmp_path / "novel")], spark)
-    cli.main(["sort-gtf", gtf, str(tmp_path / "sorted")], spark)
+    kept = [r[0] for r in spark.read.text(str(tmp_path / "kept")).collect()]
+    assert kept[:3] == SAM.splitlines()[:3] and [x.split("\t")[0] for x in kept[3:]] == ["r2.path1"]
+    assert {(r["tid"], r["chr"]) for r in text.sam_header(spark, str(tmp_path / "kept")).collect()} == {(0, "chr1"), (1, "chr2")}
+    cli.main(["novel", sam, gtf, "-o", str(tmp_path / "novel")], spark)
+    cli.main(["sort", gtf, str(tmp_path / "sorted")], spark)
     assert spark.read.text(str(tmp_path / "sorted")).count() == 7
 
 
@@ -124,6 +126,117 @@ def test_gene_fusion_is_strict(spark):
     assert [(r["tid"], r["start"], r["end"], r["gene_id"]) for r in got] == [(0, 1, 100, "a"), (0, 100, 200, "b"), (1, 1, 200, "c")]
 
 
+def test_files_of_one_folder(spark, tmp_path):
+    folder = tmp_path / "two files"
+    folder.mkdir()
+    put(folder, "a.sam", SAM)
+    put(folder, "b.sam.gz", SAM.replace("@SQ\tSN:chr1\tLN:1000\n", "@SQ\tSN:chr3\tLN:70\n").replace("chr1", "chr3"))
+    rows = text.sam(spark, str(folder)).collect()
+    assert len(rows) == 6 and len({r["ord"] for r in rows}) == 6
+    assert [(r["qname"], r["chr"], r["tid"]) for r in sorted(rows, key=lambda r: r["ord"])] == [("r1", "chr1", 0), ("r2", "chr2", 1), ("r3", "*", None), ("r1", "chr3", 2), ("r2", "chr2", 1), ("r3", "*", None)]
+    put(folder, "c.sam", "@SQ\tSN:chr1\tLN:7\n")
+    try:
+        text.sam_header(spark, str(folder)).collect()
+        raise AssertionError("lengths that differ")
+    except Exception as e:
+        assert "disagree" in str(e)
+
+
+def test_order_key_over_splits(spark, tmp_path):
+    put(tmp_path, "a.txt", "".join(f"a{k}\n" for k in range(4000)))
+    put(tmp_path, "b.txt", "".join(f"b{k}\n" for k in range(700)))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        rows = text.ordered_lines(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["ord"])] == [f"a{k}" for k in range(4000)] + [f"b{k}" for k in range(700)]
+    assert len({r["ord"] for r in rows}) == 4700
+
+
+def test_sequence_grammar(spark, tmp_path):
+    fa = text.fasta(spark, put(tmp_path, "b.fa", ">chr1 A>B variant\r\nAC\r\n\r\nGT\r\n>chr2\n>chr3 x\nGG"))
+    assert sorted(map(tuple, fa.collect())) == [("chr1", "ACGT"), ("chr2", ""), ("chr3", "GG")]
+    fq = text.fastq(spark, put(tmp_path, "b.fq", "junk\n@a one\nACGT\n+\n@III\n@b\nAC\nGT\n+b\n@@\n+I\n>c\nTT\n@d\n\n+\n"))
+    assert sorted((r["name"], r["seq"], r["qual"]) for r in fq.collect() if r["name"] != "d") == [("a", "ACGT", "@III"), ("b", "ACGT", "@@+I"), ("c", "TT", None)]
+
+
+def test_genome_tiles(spark):
+    seq = "".join("ACGT"[k * k % 7 % 4] for k in range(25))
+    tiles = text.genome_tiles(spark.createDataFrame([("c", seq)], "chr string, seq string"), 8).orderBy("tile").collect()
+    assert [(r["tile"], r["piece"]) for r in tiles] == [(k, seq[8 * k : 8 * k + 9]) for k in range(4)]
+
+
+def test_motif_at_tile_edges(spark):
+    n = text.TILE
+    seq = "A" * (n - 1) + "GT" + "C" * (n - 3) + "AG" + "T" * 10
+    rows = spark.createDataFrame([(0, "c", n, 2 * n - 1, 1), (0, "c", n, 9 * n, 1)], "tid int, chr string, don int, acc int, uniq int")
+    got = {r["acc"]: (r["motif"], r["strand"]) for r in junctions.with_motif(rows, spark.createDataFrame([("c", seq)], "chr string, seq string")).collect()}
+    assert seq[n - 1 : n + 1] == "GT" and seq[2 * n - 3 : 2 * n - 1] != "" and got[9 * n] == (0, 0)
+    at = seq.index("AG", n) + 2
+    exact = spark.createDataFrame([(0, "c", n, at, 1)], "tid int, chr string, don int, acc int, uniq int")
+    assert [(r["motif"], r["strand"]) for r in junctions.with_motif(exact, spark.createDataFrame([("c", seq)], "chr string, seq string")).collect()] == [(1, 1)]
+
+
+def _bam(path, refs, names, text_head=""):
+    """A BAM file whose records have bases, qualities, a mate and a tag of their own."""
+    import struct
+
+    head = text_head.encode()
+    out = b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", len(refs))
+    for n, size in refs:
+        out += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
+    for k, name in enumerate(names):
+        body = struct.pack("<iiBBHHHiiii", k % len(refs), 10 + k, len(name) + 1, 37, 4680, 1, 2, 4, k % len(refs), 90, 100) + name.encode() + b"\0"
+        body += struct.pack("<I", 4 << 4) + bytes([0x12, 0x48]) + bytes([30, 31, 32, 33]) + b"NMi" + struct.pack("<i", 0) + b"RGZgrp\0"
+        out += struct.pack("<i", len(body)) + body
+    path.write_bytes(bam.bgzf(out) + bam.END_BLOCK)
+
+
+def test_bam_files_keep_all(spark, tmp_path):
+    spark.dataSource.register(bam.BamSource)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    _bam(folder / "a.bam", [("c1", 100), ("c2", 200)], ["x", "y"], "@HD\tVN:1.6\n@SQ\tSN:c1\tLN:100\tM5:q\n@SQ\tSN:c2\tLN:200\n@PG\tID:p\n")
+    _bam(folder / "b.bam", [("c2", 200), ("c3", 300)], ["x", "z", "z"])
+    rows = spark.read.format("bam").load(str(folder))
+    got = sorted(rows.collect(), key=lambda r: r["ord"])
+    assert [(r["qname"], r["chr"], r["tid"], r["file"][-5:]) for r in got] == [("x", "c1", 0, "a.bam"), ("y", "c2", 1, "a.bam"), ("x", "c2", 1, "b.bam"), ("z", "c3", 2, "b.bam"), ("z", "c2", 1, "b.bam")]
+    assert len({r["ord"] for r in got}) == 5
+    gtf = put(tmp_path, "m.gtf", GTF)
+    out = str(tmp_path / "kept")
+    for _ in range(2):  # the second run replaces the first
+        cli.main(["filter", str(folder) + "/*.bam", gtf, out, "-v", "0.1"], spark)
+    back = sorted(spark.read.format("bam").load(out).collect(), key=lambda r: r["ord"])
+    assert [(r["qname"], r["chr"]) for r in back] == [("x.path1", "c1"), ("y.path1", "c2"), ("x.path1", "c2")]
+    assert bam.references(out) == [("c1", 100), ("c2", 200), ("c3", 300)]
+    assert bam.header_text(out).startswith("@HD\tVN:1.6\n@SQ\tSN:c1\tLN:100\tM5:q\n") and "@PG\tID:p" in bam.header_text(out)
+    raw = bytes(back[2]["raw"])
+    name = b"x.path1\0"
+    assert raw[32 : 32 + len(name)] == name and raw[9] == 37 and raw.endswith(b"RGZgrp\0") and bytes([0x12, 0x48, 30, 31, 32, 33]) in raw
+    assert int.from_bytes(raw[20:24], "little") == 1  # the mate's sequence has its new number
+
+
+def test_limits_on_the_command_line(spark, tmp_path):
+    sam = put(tmp_path, "a.sam", SAM)
+    cli.main(["junctions", sam, str(tmp_path / "u"), "-U", "1,1,1,1,1"], spark)
+    assert spark.read.text(str(tmp_path / "u/rows")).count() == 2
+    cli.main(["junctions", sam, str(tmp_path / "n"), "-A", "2,2,2,2,2"], spark)
+    assert spark.read.text(str(tmp_path / "n/rows")).count() == 0
+    cli.main(["junctions", sam, str(tmp_path / "a"), "-a", "20,1,1,1,1"], spark)
+    assert spark.read.text(str(tmp_path / "a/rows")).count() == 0
+
+
+def test_junction_file_as_table(spark, tmp_path):
+    path = put(tmp_path, "SJ.out.tab", "b\t30\t40\t0\t0\t0\t1\t0\t9\na\t10\t20\t1\t1\t1\t5\t6\t7\na\t10\t15\t2\t1\t1\t5\t6\t7\n")
+    header = spark.createDataFrame([(0, "a", 1), (1, "b", 1)], "tid int, chr string, len long")
+    rows = text.star_table(text.star_junctions(spark, path, header)).collect()
+    assert [tuple(r) for r in rows] == [(0, "a", 10, 15, 2, 1, 5, 6, 1, 7), (0, "a", 10, 20, 1, 1, 5, 6, 1, 7), (1, "b", 30, 40, 0, 0, 1, 0, 0, 9)]
+
+
 def test_streaming_counts(spark, tmp_path):
     rows = text.sam(spark, put(tmp_path, "a.sam", SAM)).select(*[c.split()[0] for c in ALIGNMENT.split(", ")])
     rows.write.parquet(str(tmp_path / "in/1"))

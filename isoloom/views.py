@@ -6,14 +6,12 @@ in Spark and in DuckDB.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.sources import bam
+from isoloom.storage import shared_folder
 
 EXON = """
 SELECT l_orderkey AS tx, CAST(l_orderkey % 25 AS INT) AS tid, CAST(floor(l_orderkey/25) % 2 AS INT) AS is_rev, rn-1 AS k,
@@ -39,20 +37,9 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MASK.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part")).withColumnRenamed("e", "end")
 
 
-def stored(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one for a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='isoloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/isoloom-{uuid.uuid4().hex}"
-
-
 def stored_text(lines: DataFrame) -> str:
     """The folder of text files that hold ``lines`` (value)."""
-    path = stored(lines.sparkSession)
+    path = shared_folder(lines.sparkSession)
     lines.write.text(path)
     return path
 
@@ -63,7 +50,7 @@ def sam_files(spark: SparkSession, sf_dir: str) -> str:
     head = spark.range(50).select(F.floor(F.col("id") / 25).cast("long").alias("half"), (F.col("id") % 25 - 25).alias("ord"), F.format_string("@SQ\tSN:chr%d\tLN:%d", F.col("id") % 25 + 1, F.col("id") % 25 + 1_000_000).alias("value"))
     fields = ["qname", F.col("flag").cast("string"), "chr", (F.col("pos") + 1).cast("string"), F.lit("60"), cg.text(F.col("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), F.repeat(F.lit("A"), F.col("l_qseq")), F.lit("*"), F.format_string("NH:i:%d", "nh")]
     rows = head.unionByName(aln.select("half", "ord", F.concat_ws("\t", *fields).alias("value")))
-    base = stored(spark)
+    base = shared_folder(spark)
     for half in (0, 1):
         rows.where(F.col("half") == half).orderBy("ord").select("value").coalesce(1).write.text(f"{base}/half={half}")
     return base
@@ -73,7 +60,7 @@ def bam_copy(spark: SparkSession, aln: DataFrame) -> DataFrame:
     """Alignments written as BAM, read, renamed, written and read."""
     spark.dataSource.register(bam.BamSource)
     names = ",".join(f"chr{k + 1}:{1_000_000 + k}" for k in range(25))
-    first, second = stored(spark), stored(spark)
+    first, second = shared_folder(spark), shared_folder(spark)
     aln.write.format("bam").mode("append").option("header", names).save(first)
     rows = spark.read.format("bam").load(first)
     rows.withColumn("qname", F.concat("qname", F.lit(".z"))).write.format("bam").mode("overwrite").option("header", names).save(second)

@@ -4,11 +4,13 @@ Each language has a tree of byte contexts up to ORDER bytes with counts. A byte
 context that has it, and each longer known context on the way down costs its escape (method C: distinct bytes over
 distinct bytes plus count), down to 1/256 for any byte. Statistics are frozen after training, so the cost of a byte
 after its ORDER bytes is one number for each language, tabulated for every string that any language has. A text's
-score for a language is its exact code length; ``score`` is the share of the best among the languages, taken as
-equally likely.
+score for a language is its exact code length. ``score`` says how much of the text's bytes the best language's code
+saves: 1 less its bits over 8 bits a byte, 0 at least. Prose of a learned language has about 0.7, keys, numbers and
+other languages less; ``accepted`` drops what does not save half.
 
-Training takes whole texts of at most SAMPLE_BYTES for each language (documents in hash order, one at least); its size and the tables
-are bounded by that and by the number of languages, not by the corpus.
+Training takes whole texts of at most SAMPLE_BYTES for each language (distinct documents in hash order, one at least),
+and of TOTAL_BYTES over all languages if they are many, so the sample and the tables are bounded by that and by the
+number of languages, not by the corpus.
 
 Cases: null text, or one without a letter, is ``und`` with score 0; so is everything if no row has a label; equal code
 lengths go to the language that sorts first; labels are never read in prediction; a null doc_id counts as text "";
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import per_row, slices, small_batches, text_buffer
+from isoloom.llm.common import per_row, ranked_sample, slices, small_batches, text_buffer
 from isoloom.llm.words import LOWER
 
 ORDER = 4
-SAMPLE_BYTES = 1_000_000
+SAMPLE_BYTES, TOTAL_BYTES = 1_000_000, 32_000_000
+#: Bytes of text that are scored together: scratch arrays take some 70 times as much.
+SLICE = 1 << 18
 #: Documents below it are rejected by ``accepted``.
 LEAST_SCORE = 0.5
 PAD = np.full(ORDER, 10, np.uint8)
@@ -41,33 +45,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sample(docs: DataFrame, most: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Labelled training texts of each language: whole ones, in hash order, up to ``most`` bytes."""
+def sample(docs: DataFrame, most: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> dict[str, list[bytes]]:
+    """Labelled training texts of each language: whole distinct ones, in hash order, up to ``most`` bytes."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    rank = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
-    ranked = rows.select("lang", "text", rank.alias("rank"))
-    share = {lang: min(1.0, 1.5 * most / max(n, 1)) for lang, n in sizes.items()}
-    got, size, below, short = [], dict.fromkeys(sizes, 0), dict.fromkeys(sizes, -1.0), sorted(sizes)
-    while short:  # a language whose texts of least rank are too few or too short goes on with the next ranks
-        wanted = F.lit(False)
-        for lang in short:
-            wanted = F.when(F.col("lang") == lang, (F.col("rank") > below[lang]) & (F.col("rank") <= share[lang])).otherwise(wanted)
-        new = ranked.where(wanted).collect()
-        for r in new:
-            size[r["lang"]] += len(r["text"].encode())
-        got += new
-        short = [lang for lang in short if size[lang] < most and share[lang] < 1]
-        for lang in short:
-            below[lang], share[lang] = share[lang], min(1.0, 2 * share[lang])
-    out: dict[str, list[bytes]] = {lang: [] for lang in sorted(sizes)}
-    used = dict.fromkeys(out, 0)
-    for r in sorted(got, key=lambda r: (r["rank"], r["text"])):
-        text = r["text"].encode()
-        if used[r["lang"]] + len(text) <= most or not used[r["lang"]]:
-            out[r["lang"]].append(text)
-            used[r["lang"]] += len(text)
-    return {lang: texts for lang, texts in out.items() if texts}
+    n = rows.select("lang").distinct().count()
+    found = ranked_sample(rows.select(F.col("lang").alias("kind"), "doc_id", "text"), min(most, total // max(n, 1)))
+    return {lang: [t.encode() for t in texts] for lang, texts in found.items()}
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -147,6 +130,18 @@ class Model:
         return out + 8.0 * np.bincount(row, minlength=len(out))[:, None]
 
 
+def _named(model: Model, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """lang_pred and score of a column of texts."""
+    names = np.array([*model.langs, "und"], object)
+    data, offsets = text_buffer(column)
+    bits = model.lengths(data, offsets)
+    letters = per_row(_LETTER[data].astype(np.int64), offsets) > 0
+    for d in np.flatnonzero(~letters):
+        letters[d] = any(c.isalpha() for c in column[int(d)].as_py() or "")
+    saved = np.maximum(1 - bits.min(1) / np.maximum(8 * np.diff(offsets), 1), 0)
+    return pa.array(names[np.where(letters, bits.argmin(1), len(names) - 1)], pa.string()), np.where(letters, saved, 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, and lang_pred, score. Only the text is used."""
     small_batches(docs)
@@ -155,19 +150,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*shared.value.langs, "und"], object)
         for whole in batches:
-            for a, b in slices(whole.column(text)):
+            for a, b in slices(whole.column(text), SLICE):
                 batch = whole.slice(a, b - a)
-                column = batch.column(text)
-                data, offsets = text_buffer(column)
-                bits = shared.value.lengths(data, offsets)
-                letters = per_row(_LETTER[data].astype(np.int64), offsets) > 0
-                for d in np.flatnonzero(~letters):
-                    letters[d] = any(c.isalpha() for c in column[int(d)].as_py() or "")
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[np.where(letters, best, len(names) - 1)], pa.string()), pa.array(np.where(letters, score, 0.0))], [*batch.schema.names, "lang_pred", "score"])
+                named, score = _named(shared.value, batch.column(text))
+                yield pa.RecordBatch.from_arrays([*batch.columns, named, pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return docs.mapInArrow(run, schema)
@@ -178,8 +165,22 @@ def train(docs: DataFrame, most: int = SAMPLE_BYTES) -> Model:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents with a language: not ``und``, and with a score of ``least`` or more."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(named, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    """The documents with a language: not ``und``, and with a score of ``least`` or more.
+
+    Each text goes to the worker once; what stays comes back as it came.
+    """
+    small_batches(docs)
+    if not model.langs:
+        return docs.limit(0)
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    # by place, as further columns may have one name
+    placed, text = docs.toDF(*[f"c{k}" for k in range(len(names))]), names.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in slices(whole.column(text), SLICE):
+                batch = whole.slice(a, b - a)
+                named, score = _named(shared.value, batch.column(text))
+                yield batch.filter(pa.array((score >= least) & (np.asarray(named) != "und")))
 
+    return placed.mapInArrow(run, placed.schema).toDF(*names)

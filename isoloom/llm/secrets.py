@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, small_batches, text_buffer
+from isoloom.llm.common import ranked_sample, slices, small_batches, text_buffer
 from isoloom.llm.words import LOWER, hashes, scan, separators
 
 #: The base patterns and least lengths, in the order of kinds.
@@ -211,18 +211,8 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[tuple[in
 
 
 def sample(docs: DataFrame, most: int = SAMPLE_BYTES) -> list[str]:
-    """Whole texts in hash order, up to ``most`` bytes."""
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rank = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
-    got = rows.where(rank <= min(1.0, 1.2 * most / max(size, 1))).select(rank.alias("rank"), "text").collect()
-    out, used = [], 0
-    for r in sorted(got, key=lambda r: (r["rank"], r["text"])):
-        used += len(r["text"].encode())
-        if used > most and out:
-            break
-        out.append(r["text"])
-    return out
+    """Whole distinct texts in hash order, up to ``most`` bytes, one at least."""
+    return ranked_sample(docs.select(F.lit("").alias("kind"), "doc_id", "text"), most).get("", [])
 
 
 def train(texts: list[str]) -> Field | None:

@@ -1,10 +1,17 @@
 """Operator 7: fuzzy line dedup.
 
-A line is compared without the white space at its ends, by its distinct shingles of SHINGLE bytes, at a Jaccard
-similarity of 0.75 or more. Equal lines are one class. Signatures of BANDS x ROWS minwise hashes put a pair at the
-threshold into a common bucket with probability 0.9986. In a bucket every class meets one representative, links are
-verified on the full sets, and components are joined; then only buckets of more than one component go on, first with
-other representatives, at last with all pairs across components (block by block where a bucket is crowded). One line of
+A line is compared without the white space at its ends, by its distinct shingles of SHINGLE characters (A-Z lowered), at
+a Jaccard similarity of 0.75 or more. Equal lines are one class, known by 128 bits of a cryptographic hash.
+
+Signatures have BANDS x ROWS minwise hashes, which put a pair at the threshold into a common bucket with probability
+0.9987; six rows a band keep unlike lines apart, as these grow with the square of the lines. A line of few shingles has
+independent hashes; of LONG or more, BINS minwise hashes come from each of four permutations (the least hash of each bin;
+an empty bin takes the next one's). Lines whose sizes lie near LONG have both kinds, so a pair always shares one.
+
+Bucket keys never become rows. A task packs (key, class) as bytes by ranges of keys, with one class a key: of lines that
+share a bucket in the task, the least goes on, and all of them go beside it as members. So a hot bucket sends one entry
+from each task. A range's task sorts what comes and reports the buckets with several classes. These are joined to
+components by exact Jaccard, first each member with one representative, then what stays apart exhaustively. One line of
 each component stays: that of the least (doc_id, line number).
 
 Cases: a line of white space alone always stays; a line shorter than a shingle is one shingle; null or empty text is
@@ -14,6 +21,7 @@ gives no row; further columns are ignored by ``mark`` and carried by ``clean``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.llm.common import slices, small_batches, text_buffer, written
-from isoloom.llm.near_dedup import BROADCAST_IDS, connect, crowded_blocks, labelled
-from isoloom.llm.words import LOWER, WHITE, hashes, mix, rolling, separators
+from isoloom.llm.near_dedup import alike, connect, crowded_blocks
+from isoloom.llm.words import WHITE, mix, rolling, separators
 
 SHINGLE = 5
-ROWS, BANDS = 3, 12
+ROWS, BANDS = 6, 34
+#: Shingles from which minwise hashes come from bins; bins of a permutation.
+LONG, BINS, TURNS = 64, 64, 4
+#: A pair at the threshold has sizes within this ratio.
+RATIO = 0.75
 #: Equal sketch bytes of 36 from which a pair is verified; a pair at the threshold has 27 on average, deviation 2.6.
-SKETCH = 18
+SKETCH, SKETCH_BYTES = 18, 36
 #: Members of a bucket whose sketches are compared exhaustively.
 SMALL = 4000
+#: Bucket keys of a range, which one task sorts; of a task before it packs them; lines that a task knows as seen.
+RANGE, PACK, SEEN = 2_000_000, 1_500_000, 1_000_000
+#: Bytes of the filter that picks the lines whose texts are compared.
+FILTER = 1 << 23
 _INK = separators(WHITE)
 _random = np.random.default_rng(20240611)
 _MULTIPLY = (_random.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_FOLD = (_random.integers(0, 1 << 63, ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,100 +75,306 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, doc, number
 
 
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of each line as two numbers (lines x 2)."""
+    whole = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines (with repeats), and each line's first."""
-    n = np.maximum(ends - starts - SHINGLE + 1, 1)
+    """32-bit hashes of the shingles of lines (with repeats), and each line's first. ``data`` is UTF-8."""
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    if data.max(initial=0) < 128:
+        code = data.astype(np.uint32)
+    else:
+        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        starts, ends = place[starts], place[ends]
+    code = np.where((code >= 65) & (code < 91), code + 32, code)
+    size = ends - starts
+    n = np.maximum(size - SHINGLE + 1, 1)
     first = np.concatenate([[0], np.cumsum(n)])
-    if len(data) < SHINGLE:
-        begin = np.repeat(starts - first[:-1], n) + np.arange(first[-1])
-        return hashes(data, begin, np.minimum(begin + SHINGLE, np.repeat(ends, n))), first
-    rolled = rolling(data, SHINGLE)
-    # the places where a whole shingle fits; +1 at a line's first, -1 after its last
-    edge = np.zeros(len(data) + 1, np.int8)
-    long = ends - starts >= SHINGLE
-    edge[starts[long]] += 1
-    edge[ends[long] - SHINGLE + 1] -= 1
-    inside = np.cumsum(edge[: len(rolled)], dtype=np.int8).view(bool)
-    if long.all():
-        return rolled[inside], first
-    out = np.empty(first[-1], np.uint64)
-    whole = np.repeat(long, n)
-    out[whole] = rolled[inside]
-    out[~whole] = hashes(data, starts[~long], ends[~long])
+    # a line shorter than a shingle is one: padded with zeros, which no longer one has unless its text does
+    pad = np.concatenate([code, np.zeros(SHINGLE, np.uint32)])
+    rolled = (rolling(pad, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+    out = rolled[np.repeat(starts - first[:-1], n) + np.arange(first[-1])]
+    for k in np.flatnonzero(size < SHINGLE).tolist():
+        short = np.zeros(SHINGLE, np.uint32)
+        short[: size[k]] = code[starts[k] : ends[k]]
+        out[first[k]] = (rolling(short, SHINGLE) >> np.uint64(32)).astype(np.uint32)[0] ^ np.uint32(0x5BD1E995)
     return out, first
 
 
+def _distinct(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct values, sorted, and each line's first."""
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    both = np.sort((row << np.uint64(32)) | value)
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    count = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(first) - 1)
+    return both.astype(np.uint32), np.concatenate([[0], np.cumsum(count)])
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """The distinct shingle hashes of each line of a column."""
     data, offsets = text_buffer(column)
-    h, first = _shingles(LOWER[data], offsets[:-1], offsets[1:])
-    return [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    value, first = _distinct(*_shingles(data, offsets[:-1], offsets[1:]))
+    return [value[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _independent(value: np.ndarray, first: np.ndarray, columns: int = ROWS * BANDS) -> np.ndarray:
+    """Minwise hashes of as many permutations (lines x columns)."""
+    out = np.empty((len(first) - 1, columns), np.uint32)
+    for k in range(columns):
+        out[:, k] = np.minimum.reduceat(value * _MULTIPLY[k] + _ADD[k], first[:-1])
+    return out
+
+
+def _binned(value: np.ndarray, first: np.ndarray, turns: int = TURNS) -> np.ndarray:
+    """Minwise hashes of the bins of ``turns`` permutations (lines x turns * BINS); an empty bin takes the next full
+    one's, changed by the distance."""
+    n = len(first) - 1
+    shift = np.uint32(32 - (BINS - 1).bit_length())
+    base = np.repeat(np.arange(n) * (turns * BINS), np.diff(first))
+    out = np.full((n, turns, BINS), _NONE)
+    for t in range(turns):
+        x = value * _MULTIPLY[t] + _ADD[t]
+        np.minimum.at(out.reshape(-1), base + (x >> shift) + t * BINS, x)
+    out = out.reshape(n * turns, BINS)
+    for r in np.array_split(np.flatnonzero((out == _NONE).any(1)), 1 + n * turns // 50_000):
+        part = out[r]
+        twice = np.concatenate([part, part], 1)
+        full = np.where(twice != _NONE, np.arange(2 * BINS), 2 * BINS)
+        to = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1][:, :BINS]
+        away = (to - np.arange(BINS)).astype(np.uint32)
+        out[r] = np.take_along_axis(twice, np.minimum(to, 2 * BINS - 1), 1) + away * np.uint32(0x9E3779B1)
+    return out.reshape(n, turns * BINS)
+
+
+def _part(value: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the picked lines."""
+    return value[np.repeat(pick, np.diff(first))], np.concatenate([[0], np.cumsum(np.diff(first)[pick])])
+
+
+def _keys(signature: np.ndarray, kind: int) -> np.ndarray:
+    """The keys of all buckets (lines x BANDS). A band's rows lie far apart, so that bins beside each other, which may
+    have one value, are in different bands."""
+    out = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS), (len(signature), 1))
+    for r in range(ROWS):
+        out += signature[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64) * _FOLD[r]
+    return mix(out)
+
+
+def bucket_keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the buckets of lines with distinct shingle hashes, and the line of each."""
+    size = np.diff(first)
+    keys, lines = [], []
+    for kind, pick, make in ((0, size * RATIO < LONG, _independent), (1, size >= LONG, _binned)):
+        rows = np.flatnonzero(pick)
+        if len(rows):
+            k = _keys(make(*_part(value, first, pick)), kind)
+            keys.append(k.ravel())
+            lines.append(np.repeat(rows, BANDS))
+    return (np.concatenate(keys), np.concatenate(lines)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+
+
+class _Seen:
+    """Classes that a task has met, so that a line that comes again there is not hashed again."""
+
+    def __init__(self):
+        self.known: set[int] = set()
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the ids that come for the first time."""
+        if len(self.known) > SEEN:
+            self.known.clear()
+        out = []
+        for k, x in enumerate(ids.tolist()):
+            if x not in self.known:
+                self.known.add(x)
+                out.append(k)
+        return np.array(out, np.int64)
+def _new_lines(column: pa.Array, seen: _Seen, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of a column of texts: its bytes, starts, ends and digests of lines that are new to the task (and
+    that pass the filter of ``wanted`` ids)."""
+    for a, b in slices(column):
+        data, offsets = text_buffer(column.slice(a, b - a))
+        starts, ends, _, _ = _lines(data, offsets)
+        if not len(starts):
+            continue
+        digest = _digests(data, starts, ends)
+        if wanted is not None:
+            keep = _passes(wanted, digest[:, 0])
+            starts, ends, digest = starts[keep], ends[keep], digest[keep]
+        new = seen.new(digest[:, 0])
+        if len(new):
+            yield data, starts[new], ends[new], digest[new]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the document), line, h (class of the line), keys (of its buckets), sketch (a byte of each hash)."""
+    """doc_id, row (hash of the document), line, h and g (the class of the line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 data, offsets = text_buffer(batch.column(2).slice(a, b - a))
                 starts, ends, doc, number = _lines(data, offsets)
-                if not len(starts):
-                    continue
-                h = hashes(data, starts, ends).view(np.int64)
-                shingle, first = _shingles(LOWER[data], starts, ends)
-                small = (shingle >> np.uint64(32)).astype(np.uint32)
-                keys, sketch = np.empty((len(h), BANDS), np.uint64), np.empty((len(h), BANDS * ROWS), np.uint8)
-                for band in range(BANDS):
-                    key = np.full(len(h), band, np.uint64)
-                    for r in range(band * ROWS, band * ROWS + ROWS):
-                        least = np.minimum.reduceat(small * _MULTIPLY[r] + _ADD[r], first[:-1])
-                        sketch[:, r] = mix(least.astype(np.uint64)) & np.uint64(255)
-                        key = mix(key + least)
-                    keys[:, band] = key
-                pick = [pa.array(np.asarray(batch.column(k).slice(a, b - a).fill_null(0))[doc]) if k else batch.column(0).slice(a, b - a).take(pa.array(doc)) for k in (0, 1)]
-                _, once = np.unique(h, return_index=True)  # a line that comes again here needs no buckets
-                new = np.zeros(len(h), bool)
-                new[once] = True
-                buckets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new * BANDS)]).astype(np.int32)), pa.array(keys[new].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*pick, pa.array(number.astype(np.int32)), pa.array(h), buckets, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "row", "line", "h", "keys", "sketch"])
+                digest, doc = _digests(data, starts, ends), pa.array(doc)
+                pick = [batch.column(k).slice(a, b - a).take(doc) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*pick, pa.array(number.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["doc_id", "row", "line", "h", "g"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, line int, h long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row long, line int, h long, g long")
+
+
+def _packed(keys: np.ndarray, ids: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows of packed bucket keys, one a range: alone (key, class) where a bucket has one line here; where it has more,
+    head (key, class) of the least and all members (node, class)."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count = np.diff(np.append(begin, len(keys)))
+    least = np.minimum.reduceat(ids, begin)
+    several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    low = keys.astype(np.uint32)
+    node = (part.astype(np.uint64) << np.uint64(32)) | low
+    inside = np.repeat(several, count)
+    bounds = np.searchsorted(part, np.arange(ranges + 1))
+    of, heads = np.searchsorted(begin, bounds), ~several
+    for r in np.unique(part).tolist():
+        b = np.s_[of[r] : of[r + 1]]
+        at, one = begin[b], heads[b]
+        m = np.s_[bounds[r] : bounds[r + 1]]
+        blobs = [low[at[one]], least[b][one], low[at[~one]], least[b][~one], node[m][inside[m]], ids[m][inside[m]]]
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["range", "alone", "alone_id", "head", "head_id", "node", "member"])
+
+
+def bucket_rows(docs: DataFrame, ranges: int) -> DataFrame:
+    """range and the bytes that ``_packed`` gives, of all lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, ids, size = _Seen(), [], [], 0
+        for batch in batches:
+            for data, starts, ends, digest in _new_lines(batch.column(0), seen):
+                k, line = bucket_keys(*_distinct(*_shingles(data, starts, ends)))
+                keys.append(k)
+                ids.append(digest[line, 0])
+                size += len(k)
+                if size > PACK:
+                    yield from _packed(np.concatenate(keys), np.concatenate(ids), ranges)
+                    keys, ids, size = [], [], 0
+        if size:
+            yield from _packed(np.concatenate(keys), np.concatenate(ids), ranges)
+
+    return docs.select("text").mapInArrow(run, "range int, alone binary, alone_id binary, head binary, head_id binary, node binary, member binary")
+
+
+def shared_buckets(packed: DataFrame, ranges: int) -> DataFrame:
+    """node, cid of the buckets that hold several classes."""
+
+    def rows(node: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid)], ["node", "cid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for k, r in enumerate(batch.column(0).to_pylist()):
+                alone, head = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (1, 3))
+                alone_id, head_id, member = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 4, 6))
+                node = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint64)
+                if len(node):
+                    yield rows(node, member)
+                held.setdefault(r, []).append((np.concatenate([alone, head]), np.concatenate([alone_id, head_id]), np.arange(len(alone) + len(head)) < len(alone)))
+        for r in list(held):
+            low, ids, single = (np.concatenate(x) for x in zip(*held.pop(r), strict=True))
+            order = (np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            low, ids, single = low[order], ids[order], single[order]
+            begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+            use = np.repeat(several, np.diff(np.append(begin, len(low)))) & single
+            if use.any():
+                yield rows((np.uint64(r) << np.uint64(32)) | low[use].astype(np.uint64), ids[use])
+
+    return packed.repartition(ranges, "range").mapInArrow(run, "node long, cid long")
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of an id in the filter."""
+    bits, x = FILTER * 8, ids.view(np.uint64)
+    return (x % np.uint64(bits)).astype(np.int64), (x // np.uint64(bits) % np.uint64(bits)).astype(np.int64)
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for at in _places(np.ascontiguousarray(ids)):
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER bytes that all ``ids`` (id) pass, and few others while they are some tens of millions; the
+    driver gets at most its 64-bit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(np.ascontiguousarray(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
+
+    words = ids.select("id").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 4, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
 
+def _fetch(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """cid, sketch (``kind`` "sketch") or id, g, text ("text") of the classes in ``ids`` (id), one row each.
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text (the stripped line) of the classes in ``ids``, one row each."""
-    ids = written(ids.distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["id"] for r in ids.collect()], np.int64)) if few else None)
+    The scan passes on the lines that a filter of bounded size lets through; a join with the ids drops the rest.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                data, offsets = text_buffer(batch.column(0).slice(a, b - a))
-                starts, ends, _, _ = _lines(data, offsets)
-                h, once = np.unique(hashes(data, starts, ends).view(np.int64), return_index=True)
-                if wanted.value is not None:
-                    place = np.minimum(np.searchsorted(wanted.value, h), max(len(wanted.value) - 1, 0))
-                    use = wanted.value[place] == h if len(wanted.value) else np.zeros(len(h), bool)
-                    h, once = h[use], once[use]
-                text = [data[x:y].tobytes().decode() for x, y in zip(starts[once].tolist(), ends[once].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(text, pa.string())], ["id", "text"])
-
-    lines = docs.select("text").mapInArrow(run, "id long, text string")
-    return (lines if few else lines.join(ids, "id", "left_semi")).dropDuplicates(["id"])
-
-
-def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
-    """id, component of the line classes that have a link; None if there is none."""
-    rows = lines.select(F.explode("keys").alias("node"), F.col("h").alias("cid"))
-    many = written(rows.groupBy("node").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("node"))
-    shared = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
-    nodes = written(rows.join(shared, "node").distinct())
-    met = nodes.select(F.col("cid").alias("h")).distinct()
-    classes = written(lines.join(met, "h", "left_semi").select(F.col("h").alias("cid"), "sketch").dropDuplicates(["cid"]))
-    return connect(nodes, classes, _below, lambda ids: written(_texts(docs, ids)), shingle_sets, SKETCH)
+            for data, starts, ends, digest in _new_lines(batch.column(0), seen, wanted.value):
+                h, g = (pa.array(digest[:, k].copy()) for k in (0, 1))
+                if kind == "text":
+                    text = [data[x:y].tobytes().decode() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([h, g, pa.array(text, pa.string())], ["id", "g", "text"])
+                else:
+                    least = _independent(*_distinct(*_shingles(data, starts, ends)), SKETCH_BYTES)
+                    sketch = (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([h, pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "sketch"])
+
+    found = docs.select("text").mapInArrow(run, "id long, g long, text string" if kind == "text" else "id long, sketch binary")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def line_components(docs: DataFrame, n_lines: int) -> DataFrame | None:
+    """h, g, component of the line classes that have a link; None if there is none."""
+    ranges = max(1, -(-n_lines * (BANDS + 2) // RANGE))
+    nodes = written(shared_buckets(bucket_rows(docs, ranges), ranges))
+    head = written(nodes.groupBy("node").agg(F.min("cid").alias("h"), F.count("*").alias("n")))
+    met = nodes.join(head, "node")
+    pairs = written(met.where("cid <> h").select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct())
+    if pairs.isEmpty():
+        return None
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    classes = written(_fetch(docs, ids, "sketch").withColumnRenamed("id", "cid"))
+    near = written(alike(pairs, classes, SKETCH))
+    # only a bucket of three or more can hold pairs that its representative does not show
+    large = written(met.where("n > 2").select("node", "cid"))
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("cid")).distinct())
+    texts = written(_fetch(docs, wanted, "text"))
+    labels = connect(large, classes, _below, lambda _: texts.select("id", "text"), shingle_sets, SKETCH, near)
+    if labels is None:
+        return None
+    return labels.join(texts.select("id", "g"), "id").select(F.col("id").alias("h"), "g", "component")
 
 
 def _below(nodes: DataFrame) -> DataFrame:
@@ -164,12 +388,14 @@ def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, row, line of every line that goes."""
     small_batches(docs)
     lines = written(line_table(docs))
-    labels = line_components(docs, lines)
-    at = labelled(lines.select("doc_id", "row", "line", F.col("h").alias("cid")), labels)
+    labels = line_components(docs, lines.count())
+    at = lines.withColumn("component", F.lit(None).cast("long")) if labels is None else lines.join(written(labels), ["h", "g"], "left")
+    # a class without a link is known by both numbers; a component by its least class
+    at = at.select("doc_id", "row", "line", F.coalesce("component", "h").alias("comp"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("more"))
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line", "row")
-    first = at.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
+    first = at.groupBy("comp", "more").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "more", "first")
     first = written(first)  # so that the join can split a hot component
-    return at.join(first, "comp").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("line") != F.col("first.line")) | (F.col("row") != F.col("first.row"))).select("doc_id", "row", "line")
+    return at.join(first, ["comp", "more"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("line") != F.col("first.line")) | (F.col("row") != F.col("first.row"))).select("doc_id", "row", "line")
 
 
 def _marked(docs: DataFrame, *columns) -> DataFrame:

@@ -293,16 +293,18 @@ def exhaustive(texts: DataFrame, members: DataFrame, make) -> DataFrame:
     return rows.groupBy("node").applyInArrow(run, "a long, b long")
 
 
-def connect(nodes: DataFrame, classes: DataFrame, below, texts, make, least: int = SKETCH) -> DataFrame | None:
+def connect(nodes: DataFrame, classes: DataFrame, below, texts, make, least: int = SKETCH, near: DataFrame | None = None) -> DataFrame | None:
     """id, component of all classes with a link; None if there is none.
 
     ``nodes`` (node, cid) say which classes may be compared, ``classes`` has their sketches. ``below`` gives the small
-    nodes of labelled nodes, ``texts`` the rows (id, text) of a table of ids, ``make`` the sets of a column of texts.
+    nodes of labelled nodes, ``texts`` the rows (id, text) of a table of ids, ``make`` the sets of a column of texts. ``near`` are the first
+    round's pairs, if they are known.
     """
     edges, labels = [], None
-    for k in range(ROUNDS):
-        pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
-        near = written(alike(pairs, classes, least))
+    for k in range(ROUNDS if near is None else max(ROUNDS, 1)):
+        if k or near is None:
+            pairs = written(stars(labelled(nodes, labels), F.xxhash64("node", F.lit(k), "cid") if k else F.col("cid")))
+            near = written(alike(pairs, classes, least))
         found = written(confirm(texts(near.select(F.explode(F.array("a", "b")).alias("id"))), near, make))
         n = found.count()
         if not n:

@@ -61,7 +61,7 @@ def test_full_licence_texts_rule_their_directory(spark):
 
 
 def test_short_lines_that_differ_in_one_character_link(spark):
-    texts = [f"Page {k} of the yearly report of the small company" for k in range(1, 9)] + ["Страница 1 годового отчета", "Страница 2 годового отчета", "quite another line of about the same length"]
+    texts = [f"Page {k} of the yearly report of the small company" for k in range(1, 9)] + ["Страница 1 годового отчета небольшой частной компании", "Страница 2 годового отчета небольшой частной компании", "quite another line of about the same length"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["n_kept"] for r in line_dedup.mark(rows).orderBy("doc_id").collect()] == [1, *[0] * 7, 1, 0, 1]
 

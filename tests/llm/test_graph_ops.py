@@ -105,7 +105,7 @@ def test_components(spark, shape):
 
 
 def line_shingles(t):
-    b = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode()
+    b = re.sub("[A-Z]", lambda m: m[0].lower(), t)  # characters
     return {b[i : i + line_dedup.SHINGLE] for i in range(max(1, len(b) - line_dedup.SHINGLE + 1))}
 
 
@@ -155,3 +155,56 @@ def test_line_shingles_follow_the_definition():
     texts = ["Abc", "abcdefghijkl", "é" * 12]
     for t, s in zip(texts, line_dedup.shingle_sets(pa.array(texts)), strict=True):
         assert len(s) == len(line_shingles(t))
+
+
+def test_line_buckets_of_many_tasks(spark, monkeypatch):
+    """Buckets over several tasks, packs and ranges, a hot one among them, against brute force."""
+    rng = random.Random(3)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(16))
+    texts = []
+    for k in range(400):
+        if k % 3:
+            w = base.split(" ")
+            w[rng.randrange(16)] = f"{k:06d}"  # a large group of near copies
+            texts.append(" ".join(w) + "\n" + "".join(rng.choice("abcdefghijklmnop é") for _ in range(rng.randint(1, 90))).strip())
+        else:
+            texts.append("".join(rng.choice("ijklmnop") for _ in range(rng.randint(40, 200))) + "\n" + base)
+    frame = docs(spark, texts).repartition(7)
+    monkeypatch.setattr(line_dedup, "PACK", 500)
+    monkeypatch.setattr(line_dedup, "RANGE", 3000)
+    lines = [(d, k, x.strip()) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.strip()]
+    kinds = sorted({x for *_, x in lines})
+    sets = [line_shingles(x) for x in kinds]
+    comp = dict(zip(kinds, roots(len(kinds), [(i, j) for i in range(len(kinds)) for j in range(i) if linked(sets[i], sets[j])]), strict=True))
+    seen, gone = set(), {}
+    for d, k, x in lines:
+        if comp[x] in seen:
+            gone.setdefault(d, []).append(k)
+        seen.add(comp[x])
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.mark(frame).collect()}
+    assert got == {d: gone.get(d, []) for d in range(len(texts))}
+
+
+def test_line_recall():
+    """Pairs at the threshold and above share a bucket and pass the sketch."""
+    rng, pairs = random.Random(8), []
+    for _ in range(1500):
+        n = rng.choice([40, 60, 70, 85, 120, 300, 600])
+        a = "".join(rng.choice("abcdefghij é") for _ in range(n)).strip()
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, n // 35))):
+            b[rng.randrange(len(b))] = rng.choice("xyzé")
+        pairs.append((a, "".join(b)))
+    flat = [x for p in pairs for x in p]
+    sets = line_dedup.shingle_sets(pa.array(flat))
+    first = np.cumsum([0, *map(len, sets)])
+    value = np.concatenate(sets)
+    key, line = line_dedup.bucket_keys(value, first)
+    buckets = [set() for _ in flat]
+    for k, x in zip(key.tolist(), line.tolist(), strict=True):
+        buckets[x].add(k)
+    sketch = line_dedup._independent(value, first, line_dedup.SKETCH_BYTES)
+    close = [i for i in range(0, len(flat), 2) if linked(line_shingles(flat[i]), line_shingles(flat[i + 1]))]
+    assert len(close) > 500
+    assert sum(bool(buckets[i] & buckets[i + 1]) for i in close) >= 0.995 * len(close)
+    assert sum((sketch[i] == sketch[i + 1]).sum() >= line_dedup.SKETCH for i in close) >= 0.995 * len(close)

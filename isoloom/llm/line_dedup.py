@@ -5,8 +5,9 @@ a Jaccard similarity of 0.75 or more. Equal lines are one class, known by 128 bi
 
 Signatures have BANDS x ROWS minwise hashes, which put a pair at the threshold into a common bucket with probability
 0.9987; six rows a band keep unlike lines apart, as these grow with the square of the lines. A line of few shingles has
-independent hashes; of LONG or more, BINS minwise hashes come from each of four permutations (the least hash of each bin;
-an empty bin takes the next one's). Lines whose sizes lie near LONG have both kinds, so a pair always shares one.
+independent hashes; one of 64 or more has the least hash of each of 64 bins in four permutations, one of 256 or more of
+256 bins in one (an empty bin takes the next one's). Lines whose sizes lie near a bound have both kinds, so a pair at
+the threshold always shares one.
 
 Bucket keys never become rows. A task packs (key, class) as bytes by ranges of keys, with one class a key: of lines that
 share a bucket in the task, the least goes on, and all of them go beside it as members. So a hot bucket sends one entry
@@ -31,14 +32,20 @@ from pyspark.sql import functions as F
 
 from isoloom.llm.common import slices, small_batches, text_buffer, written
 from isoloom.llm.near_dedup import alike, connect, crowded_blocks
-from isoloom.llm.words import WHITE, mix, rolling, separators
+from isoloom.llm.words import LOWER, WHITE, mix, separators
 
 SHINGLE = 5
 ROWS, BANDS = 6, 34
-#: Shingles from which minwise hashes come from bins; bins of a permutation.
-LONG, BINS, TURNS = 64, 64, 4
 #: A pair at the threshold has sizes within this ratio.
 RATIO = 0.75
+#: Minwise hashes of binned lines in all, of which ROWS x BANDS are used.
+COLUMNS = 256
+#: By distinct shingles, from and below: how many permutations share the bins (0: independent hashes).
+KINDS = ((0, 64, 0), (64, 256, 4), (256, 1 << 40, 1))
+#: Numbers of distinct shingles at which the kinds of a line change; places of the table that tells them.
+BOUNDS, PLACES = (64, 86, 256, 342), 4096
+#: Bytes of text that are hashed together, so that scratch arrays stay in the cache.
+SLICE = 1 << 18
 #: Equal sketch bytes of 36 from which a pair is verified; a pair at the threshold has 27 on average, deviation 2.6.
 SKETCH, SKETCH_BYTES = 18, 36
 #: Members of a bucket whose sketches are compared exhaustively.
@@ -51,6 +58,7 @@ _INK = separators(WHITE)
 _random = np.random.default_rng(20240611)
 _MULTIPLY = (_random.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_LETTER = (_random.integers(0, 1 << 31, SHINGLE, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _FOLD = (_random.integers(0, 1 << 63, ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -81,47 +89,89 @@ def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.frombuffer(b"".join([hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
+def _codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, A-Z lowered, and where the lines start and end among them."""
+    data = LOWER[data]
+    if data.max(initial=0) < 128:
+        return data.astype(np.uint32), starts, ends
+    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), place[starts], place[ends]
+
+
+def _inside(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Where shingles begin: the places of each line but the last SHINGLE - 1; a shorter line has its first place."""
+    edge = np.zeros(size + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.maximum(ends - SHINGLE + 1, starts + 1), -1)
+    return np.cumsum(edge[:size], dtype=np.int8).view(bool)
+
+
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of lines (with repeats), and each line's first. ``data`` is UTF-8."""
-    if not len(starts):
-        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    if data.max(initial=0) < 128:
-        code = data.astype(np.uint32)
-    else:
-        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        starts, ends = place[starts], place[ends]
-    code = np.where((code >= 65) & (code < 91), code + 32, code)
-    size = ends - starts
-    n = np.maximum(size - SHINGLE + 1, 1)
-    first = np.concatenate([[0], np.cumsum(n)])
-    # a line shorter than a shingle is one: padded with zeros, which no longer one has unless its text does
-    pad = np.concatenate([code, np.zeros(SHINGLE, np.uint32)])
-    rolled = (rolling(pad, SHINGLE) >> np.uint64(32)).astype(np.uint32)
-    out = rolled[np.repeat(starts - first[:-1], n) + np.arange(first[-1])]
-    for k in np.flatnonzero(size < SHINGLE).tolist():
-        short = np.zeros(SHINGLE, np.uint32)
-        short[: size[k]] = code[starts[k] : ends[k]]
-        out[first[k]] = (rolling(short, SHINGLE) >> np.uint64(32)).astype(np.uint32)[0] ^ np.uint32(0x5BD1E995)
+    code, starts, ends = _codes(data, starts, ends)
+    first = np.concatenate([[0], np.cumsum(np.maximum(ends - starts - SHINGLE + 1, 1))])
+    pad = np.concatenate([code, np.zeros(SHINGLE - 1, np.uint32)])
+    out = pad[: len(code)] * _LETTER[0]
+    for k in range(1, SHINGLE):
+        out += pad[k : len(code) + k] * _LETTER[k]
+    short = np.flatnonzero(ends - starts < SHINGLE)
+    for d in short.tolist():
+        a, b = starts[d], ends[d]
+        out[a] = np.dot(code[a:b], _LETTER[: b - a]) + _LETTER[b - a]
+    out = out[_inside(starts, ends, len(code))]
+    out ^= out >> np.uint32(16)
+    out *= np.uint32(0x85EBCA6B)
+    out ^= out >> np.uint32(13)
+    out *= np.uint32(0xC2B2AE35)
+    out ^= out >> np.uint32(16)
     return out, first
 
 
-def _distinct(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's distinct values, sorted, and each line's first."""
-    row = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-    both = np.sort((row << np.uint64(32)) | value)
-    new = np.ones(len(both), bool)
-    new[1:] = both[1:] != both[:-1]
-    both = both[new]
-    count = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(first) - 1)
-    return both.astype(np.uint32), np.concatenate([[0], np.cumsum(count)])
+def _exact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _shingles, as numbers that tell shingles apart: 12 bits a character below U+1000 (the number of characters
+    above them if a shingle is short); a shingle with others has a 63-bit hash and the top bit."""
+    code, starts, ends = _codes(data, starts, ends)
+    first = np.concatenate([[0], np.cumsum(np.maximum(ends - starts - SHINGLE + 1, 1))])
+    pad = np.concatenate([code, np.zeros(SHINGLE - 1, np.uint32)]).astype(np.uint64)
+    out, high = np.zeros(len(code), np.uint64), np.zeros(len(code), bool)
+    for k in range(SHINGLE):
+        part = pad[k : len(code) + k]
+        out |= part << np.uint64(12 * k)
+        high |= part > 0xFFF
+    for at in np.flatnonzero(high).tolist():
+        out[at] = int.from_bytes(hashlib.blake2b(pad[at : at + SHINGLE].tobytes(), digest_size=8).digest(), "little") | 1 << 63
+    for d in np.flatnonzero(ends - starts < SHINGLE).tolist():
+        a, b = starts[d], ends[d]
+        text = pad[a:b].tobytes()
+        plain = int(sum(int(c) << (12 * k) for k, c in enumerate(pad[a:b].tolist()))) | int(b - a) << 60
+        out[a] = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") | 1 << 63 if (pad[a:b] > 0xFFF).any() else plain
+    return out[_inside(starts, ends, len(code))], first
+
+
+def _distinct(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Distinct values of each line, or a number on the same side of every bound in BOUNDS: between the places of a table
+    that the values fill and all values; lines with a bound between these two are counted."""
+    n, size = len(first) - 1, np.diff(first)
+    used = np.zeros(n * PLACES, bool)
+    at = value >> np.uint32(32 - (PLACES - 1).bit_length())
+    at += np.repeat((np.arange(n) * PLACES).astype(np.uint32), size)
+    used[at] = True
+    out = np.count_nonzero(used.reshape(n, PLACES), axis=1)
+    unsure = np.searchsorted(BOUNDS, out, "right") != np.searchsorted(BOUNDS, size, "right")
+    if unsure.any():
+        some, begin = _part(value, first, unsure)
+        row = np.repeat(np.arange(len(begin) - 1, dtype=np.uint64) << np.uint64(32), np.diff(begin))
+        both = np.sort(row | some)
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        out[unsure] = np.bincount((both[new] >> np.uint64(32)).astype(np.int64), minlength=len(begin) - 1)
+    return out
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """The distinct shingle hashes of each line of a column."""
+    """The distinct shingles of each line of a column, as sorted numbers."""
     data, offsets = text_buffer(column)
-    value, first = _distinct(*_shingles(data, offsets[:-1], offsets[1:]))
-    return [value[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    value, first = _exact(data, offsets[:-1], offsets[1:])
+    return [np.unique(value[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def _independent(value: np.ndarray, first: np.ndarray, columns: int = ROWS * BANDS) -> np.ndarray:
@@ -132,25 +182,28 @@ def _independent(value: np.ndarray, first: np.ndarray, columns: int = ROWS * BAN
     return out
 
 
-def _binned(value: np.ndarray, first: np.ndarray, turns: int = TURNS) -> np.ndarray:
-    """Minwise hashes of the bins of ``turns`` permutations (lines x turns * BINS); an empty bin takes the next full
-    one's, changed by the distance."""
-    n = len(first) - 1
-    shift = np.uint32(32 - (BINS - 1).bit_length())
-    base = np.repeat(np.arange(n) * (turns * BINS), np.diff(first))
-    out = np.full((n, turns, BINS), _NONE)
+def _binned(value: np.ndarray, first: np.ndarray, turns: int) -> np.ndarray:
+    """Minwise hashes of the bins of ``turns`` permutations (lines x COLUMNS); an empty bin takes the next full one's,
+    changed by the distance."""
+    n, bins = len(first) - 1, COLUMNS // turns
+    shift = np.uint32(32 - (bins - 1).bit_length())
+    base = np.repeat(np.arange(n) * COLUMNS, np.diff(first))
+    out = np.full((n, turns, bins), _NONE)
     for t in range(turns):
-        x = value * _MULTIPLY[t] + _ADD[t]
-        np.minimum.at(out.reshape(-1), base + (x >> shift) + t * BINS, x)
-    out = out.reshape(n * turns, BINS)
-    for r in np.array_split(np.flatnonzero((out == _NONE).any(1)), 1 + n * turns // 50_000):
+        x = value * _MULTIPLY[t]
+        x += _ADD[t]
+        np.minimum.at(out.reshape(-1), base + (x >> shift), x)
+        base += bins
+    out = out.reshape(n * turns, bins)
+    gaps = np.flatnonzero((out == _NONE).any(1))
+    for r in np.array_split(gaps, 1 + len(gaps) * bins // 500_000):
         part = out[r]
         twice = np.concatenate([part, part], 1)
-        full = np.where(twice != _NONE, np.arange(2 * BINS), 2 * BINS)
-        to = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1][:, :BINS]
-        away = (to - np.arange(BINS)).astype(np.uint32)
-        out[r] = np.take_along_axis(twice, np.minimum(to, 2 * BINS - 1), 1) + away * np.uint32(0x9E3779B1)
-    return out.reshape(n, turns * BINS)
+        full = np.where(twice != _NONE, np.arange(2 * bins), 2 * bins)
+        to = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1][:, :bins]
+        away = (to - np.arange(bins)).astype(np.uint32)
+        out[r] = np.take_along_axis(twice, np.minimum(to, 2 * bins - 1), 1) + away * np.uint32(0x9E3779B1)
+    return out.reshape(n, COLUMNS)
 
 
 def _part(value: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,20 +221,20 @@ def _keys(signature: np.ndarray, kind: int) -> np.ndarray:
 
 
 def bucket_keys(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the buckets of lines with distinct shingle hashes, and the line of each."""
-    size = np.diff(first)
+    """Keys of the buckets of lines with shingle hashes, and the line of each."""
+    size = _distinct(value, first)
     keys, lines = [], []
-    for kind, pick, make in ((0, size * RATIO < LONG, _independent), (1, size >= LONG, _binned)):
+    for kind, (least, below, turns) in enumerate(KINDS):
+        pick = (size >= least) & (size * RATIO < below)
         rows = np.flatnonzero(pick)
         if len(rows):
-            k = _keys(make(*_part(value, first, pick)), kind)
+            part = _part(value, first, pick)
+            k = _keys(_binned(*part, turns) if turns else _independent(*part), kind)
             keys.append(k.ravel())
             lines.append(np.repeat(rows, BANDS))
     return (np.concatenate(keys), np.concatenate(lines)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-
-
 class _Seen:
     """Classes that a task has met, so that a line that comes again there is not hashed again."""
 
@@ -201,7 +254,7 @@ class _Seen:
 def _new_lines(column: pa.Array, seen: _Seen, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice of a column of texts: its bytes, starts, ends and digests of lines that are new to the task (and
     that pass the filter of ``wanted`` ids)."""
-    for a, b in slices(column):
+    for a, b in slices(column, SLICE):
         data, offsets = text_buffer(column.slice(a, b - a))
         starts, ends, _, _ = _lines(data, offsets)
         if not len(starts):
@@ -261,7 +314,7 @@ def bucket_rows(docs: DataFrame, ranges: int) -> DataFrame:
         seen, keys, ids, size = _Seen(), [], [], 0
         for batch in batches:
             for data, starts, ends, digest in _new_lines(batch.column(0), seen):
-                k, line = bucket_keys(*_distinct(*_shingles(data, starts, ends)))
+                k, line = bucket_keys(*_shingles(data, starts, ends))
                 keys.append(k)
                 ids.append(digest[line, 0])
                 size += len(k)
@@ -275,10 +328,11 @@ def bucket_rows(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def shared_buckets(packed: DataFrame, ranges: int) -> DataFrame:
-    """node, cid of the buckets that hold several classes."""
+    """node, cid, h of the buckets that hold several classes: each class with a representative (h) it has to be compared
+    with, which leads to the least of the bucket. ``node`` is null where the bucket holds but these two."""
 
-    def rows(node: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(cid)], ["node", "cid"])
+    def rows(node: np.ndarray, cid: np.ndarray, h: np.ndarray, pair: bool = False) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(cid), pa.int64()) if pair else pa.array(node.view(np.int64)), pa.array(cid), pa.array(h)], ["node", "cid", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -287,20 +341,27 @@ def shared_buckets(packed: DataFrame, ranges: int) -> DataFrame:
                 alone, head = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (1, 3))
                 alone_id, head_id, member = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 4, 6))
                 node = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint64)
-                if len(node):
-                    yield rows(node, member)
+                if len(node):  # members of one bucket follow each other, in the order of its heads
+                    new = np.concatenate([[True], node[1:] != node[:-1]])
+                    yield rows(node, member, head_id[np.cumsum(new) - 1])
                 held.setdefault(r, []).append((np.concatenate([alone, head]), np.concatenate([alone_id, head_id]), np.arange(len(alone) + len(head)) < len(alone)))
         for r in list(held):
             low, ids, single = (np.concatenate(x) for x in zip(*held.pop(r), strict=True))
             order = (np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             low, ids, single = low[order], ids[order], single[order]
             begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
-            use = np.repeat(several, np.diff(np.append(begin, len(low)))) & single
+            count = np.diff(np.append(begin, len(low)))
+            least = np.minimum.reduceat(ids, begin)
+            several = least != np.maximum.reduceat(ids, begin)
+            two = several & (count == 2) & np.logical_and.reduceat(single, begin)
+            if two.any():
+                pair = np.unique(np.stack([least[two], np.maximum.reduceat(ids, begin)[two]], 1), axis=0)
+                yield rows(pair, pair[:, 1].copy(), pair[:, 0].copy(), True)
+            use = np.repeat(several & ~two, count)
             if use.any():
-                yield rows((np.uint64(r) << np.uint64(32)) | low[use].astype(np.uint64), ids[use])
+                yield rows((np.uint64(r) << np.uint64(32)) | low[use].astype(np.uint64), ids[use], np.repeat(least, count)[use])
 
-    return packed.repartition(ranges, "range").mapInArrow(run, "node long, cid long")
+    return packed.repartition(ranges, "range").mapInArrow(run, "node long, cid long, h long")
 
 
 def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +392,8 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _fetch(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
-    """cid, sketch (``kind`` "sketch") or id, g, text ("text") of the classes in ``ids`` (id), one row each.
+def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, g, text, sketch of the classes in ``ids`` (id), one row each.
 
     The scan passes on the lines that a filter of bounded size lets through; a join with the ids drops the rest.
     """
@@ -342,16 +403,17 @@ def _fetch(docs: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
         seen = _Seen()
         for batch in batches:
             for data, starts, ends, digest in _new_lines(batch.column(0), seen, wanted.value):
-                h, g = (pa.array(digest[:, k].copy()) for k in (0, 1))
-                if kind == "text":
-                    text = [data[x:y].tobytes().decode() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([h, g, pa.array(text, pa.string())], ["id", "g", "text"])
-                else:
-                    least = _independent(*_distinct(*_shingles(data, starts, ends)), SKETCH_BYTES)
-                    sketch = (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([h, pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "sketch"])
-
-    found = docs.select("text").mapInArrow(run, "id long, g long, text string" if kind == "text" else "id long, sketch binary")
+                whole = data.tobytes()
+                text = [whole[x:y].decode() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                # only the bytes of these lines
+                size = ends - starts
+                first = np.concatenate([[0], np.cumsum(size)])
+                own = data[np.repeat(starts - first[:-1], size) + np.arange(first[-1])]
+                least = _independent(*_shingles(own, first[:-1], first[1:]), SKETCH_BYTES)
+                sketch = (mix(least.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*(pa.array(digest[:, k].copy()) for k in (0, 1)), pa.array(text, pa.string()), pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "g", "text", "sketch"])
+
+    found = docs.select("text").mapInArrow(run, "id long, g long, text string, sketch binary")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -359,22 +421,19 @@ def line_components(docs: DataFrame, n_lines: int) -> DataFrame | None:
     """h, g, component of the line classes that have a link; None if there is none."""
     ranges = max(1, -(-n_lines * (BANDS + 2) // RANGE))
     nodes = written(shared_buckets(bucket_rows(docs, ranges), ranges))
-    head = written(nodes.groupBy("node").agg(F.min("cid").alias("h"), F.count("*").alias("n")))
-    met = nodes.join(head, "node")
-    pairs = written(met.where("cid <> h").select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct())
+    pairs = written(nodes.where("cid <> h").select(F.least("cid", "h").alias("a"), F.greatest("cid", "h").alias("b")).distinct())
     if pairs.isEmpty():
         return None
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    classes = written(_fetch(docs, ids, "sketch").withColumnRenamed("id", "cid"))
+    met = written(_fetch(docs, ids))
+    classes = met.select(F.col("id").alias("cid"), "sketch")
     near = written(alike(pairs, classes, SKETCH))
-    # only a bucket of three or more can hold pairs that its representative does not show
-    large = written(met.where("n > 2").select("node", "cid"))
-    wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("cid")).distinct())
-    texts = written(_fetch(docs, wanted, "text"))
-    labels = connect(large, classes, _below, lambda _: texts.select("id", "text"), shingle_sets, SKETCH, near)
+    # only a bucket of three or more can hold pairs that its representatives do not show
+    large = nodes.where("node IS NOT NULL").select("node", "cid")
+    labels = connect(large, classes, _below, lambda wanted: met.select("id", "text").join(wanted.distinct(), "id", "left_semi"), shingle_sets, SKETCH, near)
     if labels is None:
         return None
-    return labels.join(texts.select("id", "g"), "id").select(F.col("id").alias("h"), "g", "component")
+    return labels.join(met.select("id", "g"), "id").select(F.col("id").alias("h"), "g", "component")
 
 
 def _below(nodes: DataFrame) -> DataFrame:
@@ -389,12 +448,12 @@ def dropped(docs: DataFrame) -> DataFrame:
     small_batches(docs)
     lines = written(line_table(docs))
     labels = line_components(docs, lines.count())
-    at = lines.withColumn("component", F.lit(None).cast("long")) if labels is None else lines.join(written(labels), ["h", "g"], "left")
-    # a class without a link is known by both numbers; a component by its least class
-    at = at.select("doc_id", "row", "line", F.coalesce("component", "h").alias("comp"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("more"))
+    # lines of classes that come again or have a link; a class is known by both numbers, a component by its least class
+    again = lines.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    linked = again.withColumn("component", F.lit(None).cast("long")) if labels is None else again.join(written(labels), ["h", "g"], "full")
+    at = written(lines.join(written(linked), ["h", "g"]).select("doc_id", "row", "line", F.coalesce("component", "h").alias("comp"), F.when(F.col("component").isNull(), F.col("g")).otherwise(0).alias("more")))
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line", "row")
-    first = at.groupBy("comp", "more").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "more", "first")
-    first = written(first)  # so that the join can split a hot component
+    first = written(at.groupBy("comp", "more").agg(F.min(order).alias("first")))  # so that the join can split a hot component
     return at.join(first, ["comp", "more"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("line") != F.col("first.line")) | (F.col("row") != F.col("first.row"))).select("doc_id", "row", "line")
 
 

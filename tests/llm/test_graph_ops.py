@@ -10,6 +10,7 @@ import pytest
 pytest.importorskip("isoloom.llm")
 
 from isoloom.llm import line_dedup, near_dedup  # noqa: E402
+from isoloom.llm.common import text_buffer  # noqa: E402
 from isoloom.llm.components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, digest string"
@@ -196,9 +197,8 @@ def test_line_recall():
             b[rng.randrange(len(b))] = rng.choice("xyzé")
         pairs.append((a, "".join(b)))
     flat = [x for p in pairs for x in p]
-    sets = line_dedup.shingle_sets(pa.array(flat))
-    first = np.cumsum([0, *map(len, sets)])
-    value = np.concatenate(sets)
+    data, offsets = text_buffer(pa.array(flat))
+    value, first = line_dedup._shingles(data, offsets[:-1], offsets[1:])
     key, line = line_dedup.bucket_keys(value, first)
     buckets = [set() for _ in flat]
     for k, x in zip(key.tolist(), line.tolist(), strict=True):

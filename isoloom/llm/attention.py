@@ -78,18 +78,22 @@ class Attention:
         return out
 
     def _forward(self, x: np.ndarray):
-        w = self.w
-        h = w["emb"][x] + w["pos"]
-        q, k, v = h @ w["q"], h @ w["k"], h @ w["v"]
+        """Input rows, queries, keys, values, attention weights, what they gather, and outputs. Windows stand one below
+        another where they meet weights, so that each is one product."""
+        w, n = self.w, len(x)
+        h = w["emb"].take(x, axis=0)
+        h += w["pos"]
+        h = h.reshape(-1, DIM)
+        qkv = h @ np.concatenate([w["q"], w["k"], w["v"]], 1)
+        q, k, v = (np.ascontiguousarray(qkv[:, j * DIM : (j + 1) * DIM]).reshape(n, WINDOW, DIM) for j in range(3))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= DIM**-0.5
+        a *= np.float32(DIM**-0.5)
         np.clip(a, -30, 30, a)
         np.exp(a, a)
         a *= self.future
-        a /= a.sum(2, keepdims=True)
-        z = np.matmul(a, v)
-        out = h + z @ w["o"]
-        return h, q, k, v, a, z, out
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
+        z = np.matmul(a, v).reshape(-1, DIM)
+        return h, q, k, v, a, z, (h + z @ w["o"]).reshape(n, WINDOW, DIM)
 
     def _train(self, stream: np.ndarray, steps: int, rng: np.random.Generator, batch: int = 64) -> None:
         rates = 0.01 * np.minimum(1, np.arange(1, steps + 1) / 20) * (1 - 0.9 * np.arange(1, steps + 1) / steps)
@@ -110,49 +114,70 @@ class Attention:
 
     def _steps(self, stream: np.ndarray, starts, rates: np.ndarray) -> None:
         first, second = ({n: np.zeros_like(p) for n, p in self.w.items()} for _ in range(2))
+        of_class, of_place, scale = np.ones(CLASSES, np.float32), np.ones((WINDOW, 1), np.float32), np.float32(DIM**-0.5)
         for step, (start, rate) in enumerate(zip(starts, rates.tolist(), strict=True), 1):
             at = start[:, None] + np.arange(WINDOW)
-            x, y = self.row[stream[at]], self.classes[stream[at + 1]]
-            w = self.w
+            x, y = self.row[stream[at]], self.classes[stream[at + 1]].ravel()
+            w, n = self.w, len(x)
             h, q, k, v, a, z, out = self._forward(x)
-            logits = out @ w["u"] + w["b"]
-            logits -= logits.max(2, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(2, keepdims=True)
-            np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
-            p /= y.size
-            flat = lambda t: t.reshape(-1, t.shape[-1])
+            out = out.reshape(-1, DIM)
+            p = out @ w["u"]
+            p += w["b"]
+            np.clip(p, -60, 60, p)
+            np.exp(p, p)
+            p /= (p @ of_class)[:, None]
+            p[np.arange(len(y)), y] -= 1
+            p /= np.float32(len(y))
             d_out = p @ w["u"].T
-            d_z = d_out @ w["o"].T
-            d_a = np.matmul(d_z, v.transpose(0, 2, 1))
-            d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * DIM**-0.5
-            d_q, d_k, d_v = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_z)
-            d_h = d_out + d_q @ w["q"].T + d_k @ w["k"].T + d_v @ w["v"].T
-            g = {"u": flat(out).T @ flat(p), "b": flat(p).sum(0), "o": flat(z).T @ flat(d_out), "q": flat(h).T @ flat(d_q), "k": flat(h).T @ flat(d_k), "v": flat(h).T @ flat(d_v), "pos": d_h.sum(0), "emb": np.zeros_like(w["emb"])}
+            d_z = (d_out @ w["o"].T).reshape(n, WINDOW, DIM)
+            d_s = np.matmul(d_z, v.transpose(0, 2, 1))
+            d_s -= np.matmul(d_s * a, of_place)
+            d_s *= a
+            d_s *= scale
+            d_qkv = np.concatenate([np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_z)], 2).reshape(-1, 3 * DIM)
+            d_h = d_out + d_qkv @ np.concatenate([w["q"], w["k"], w["v"]], 1).T
+            g_qkv = h.T @ d_qkv
+            g = {"u": out.T @ p, "b": p.sum(0), "o": z.T @ d_out, "q": g_qkv[:, :DIM], "k": g_qkv[:, DIM : 2 * DIM], "v": g_qkv[:, 2 * DIM :], "pos": d_h.reshape(n, -1).sum(0).reshape(WINDOW, DIM)}
             order = np.argsort(x, None, "stable")
-            rows, begin = np.unique(x.ravel()[order], return_index=True)
-            g["emb"][rows] = np.add.reduceat(flat(d_h)[order], begin, 0)
-            for n, grad in g.items():
-                first[n] += 0.1 * (grad - first[n])
-                second[n] += 0.01 * (grad * grad - second[n])
-                w[n] -= rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)
+            sorted_ = x.ravel()[order]
+            begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            rows, grad = sorted_[begin], np.add.reduceat(d_h[order], begin, 0)
+            # unseen input rows have no gradient: their averages only shrink
+            first["emb"] *= np.float32(0.9)
+            second["emb"] *= np.float32(0.99)
+            first["emb"][rows] += np.float32(0.1) * grad
+            second["emb"][rows] += np.float32(0.01) * (grad * grad)
+            for name, grad in g.items():
+                first[name] += 0.1 * (grad - first[name])
+                second[name] += 0.01 * (grad * grad - second[name])
+            for name in w:
+                change = second[name] * np.float32(1 / (1 - 0.99**step))
+                np.sqrt(change, change)
+                change += np.float32(1e-8)
+                np.divide(first[name], change, change)
+                change *= np.float32(rate / (1 - 0.9**step))
+                w[name] -= change
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
-        """As _forward, for scoring: fewer passes over the attention weights, and a last column of ones for the bias."""
-        w = self.w
+        """As _forward, for scoring (places x DIM + 1): fewer passes over the attention weights, and a last column of
+        ones for the bias."""
+        w, n = self.w, len(x)
         h = w["emb"].take(x, axis=0)
         h += w["pos"]
-        q, k = h @ (w["q"] * np.float32(DIM**-0.5)), h @ w["k"]
-        v = np.ones((*x.shape, DIM + 1), np.float32)
-        np.matmul(h, w["v"], out=v[..., :DIM])
+        h = h.reshape(-1, DIM)
+        qkv = h @ np.concatenate([w["q"] * np.float32(DIM**-0.5), w["k"], w["v"]], 1)
+        q, k = (np.ascontiguousarray(qkv[:, j * DIM : (j + 1) * DIM]).reshape(n, WINDOW, DIM) for j in range(2))
+        v = np.ones((n, WINDOW, DIM + 1), np.float32)
+        v[..., :DIM] = qkv[:, 2 * DIM :].reshape(n, WINDOW, DIM)
         a = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(a, -30, 30, a)
         np.exp(a, a)
         a *= self.future
-        z = np.matmul(a, v)
-        out = np.ones((*x.shape, DIM + 1), np.float32)
-        np.matmul(z[..., :DIM] / z[..., DIM:], w["o"], out=out[..., :DIM])
-        out[..., :DIM] += h
+        z = np.matmul(a, v).reshape(-1, DIM + 1)
+        out = np.ones((len(h), DIM + 1), np.float32)
+        z[:, :DIM] /= z[:, DIM:]
+        np.matmul(z[:, :DIM], w["o"], out=out[:, :DIM])
+        out[:, :DIM] += h
         return out
 
     def score(self, ids: list[np.ndarray]) -> np.ndarray:
@@ -175,10 +200,10 @@ class Attention:
             at = start[c : c + CHUNK, None] + step
             live = (at <= last[c : c + CHUNK, None]) & ((turn[c : c + CHUNK, None] == 0) | (step >= WINDOW - STRIDE))
             at = np.minimum(at, last[c : c + CHUNK, None])
-            logits = self._hidden(rows[at])[live] @ last_layer
+            logits = self._hidden(rows[at])[live.ravel()] @ last_layer
             next_ = at[live] + 1
-            picked = logits[np.arange(len(logits)), goal[next_]]
             np.clip(logits, -60, 60, logits)
+            picked = logits[np.arange(len(logits)), goal[next_]]
             np.exp(logits, logits)
             value = picked - np.log(logits @ ones) + share[next_]
             out += np.bincount(np.repeat(doc[c : c + CHUNK], live.sum(1)), value, len(out))

@@ -89,11 +89,23 @@ class ByteEncoder:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(os.path.splitext(path)[0] + ".tiktoken", "rb"))}
+        names = [b""] * (max(ranks.values(), default=0) + 2)
+        for name, k in [*ranks.items(), (b"<|endoftext|>", 50256)]:
+            names[k] = name
+        self.letters = np.frombuffer(b"".join(names), np.uint8)
+        self.sizes = np.array([len(n) for n in names], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.encoding.encode(t, allowed_special="all") if "<|endoftext|>" in t else self.encoding.encode_ordinary(t), np.uint16) for t in texts]
 
+    def text(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each id's begin (ids + 1)."""
+        size = self.sizes[ids]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return self.letters[np.repeat(self.starts[ids] - at[:-1], size) + np.arange(at[-1])], at
+
 
 _encoders: dict[tuple[type, str], object] = {}
 

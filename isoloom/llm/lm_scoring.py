@@ -2,13 +2,14 @@
 
 The model is a causal self-attention network (``attention``) on subword ids of the lower-cased texts; overlapping
 windows score each id once. Unigram shares, the neighbour counts behind the classes of ids and the word counts of the
-base score come from all training documents. The network starts on the driver, on whole documents of at most SAMPLE_IDS
-ids in hash order, and then goes once through all training documents: these are dealt to shards of about SHARD_ROWS by
-hash, ROUNDS times a part of the shards takes its gradient steps side by side from the same weights, and the weights are
-averaged, each shard by its ids (an input row by how often the shard has it).
+base score come from all training documents. The network starts on the driver, on whole documents of at most
+SAMPLE_BYTES in hash order, and then goes once through all training documents: these are dealt to shards of about
+SHARD_BYTES by hash, ROUNDS times a part of the shards takes its gradient steps side by side from the same weights, and
+the weights are averaged, each shard by its ids (an input row by how often the shard has it).
 
-Word counts stay distributed. Documents are dealt to blocks of about BLOCK_ROWS by hash; each block asks for the counts
-of its own distinct words, and gets them beside its documents. A word is known by its 64-bit hash.
+Texts are encoded once. Ids spell the lower-cased bytes exactly, so words are read off the table of ids too. Word counts
+stay distributed: blocks of at most BLOCK_IDS ids ask for the counts of their own distinct words, and get them beside
+their rows. A word is known by its 64-bit hash.
 
 Cases: null or empty text is the end token alone; a null doc_id counts as text "" in the split; rows are scored each,
 equal ones too; without training rows all counts are 0 and the network keeps its initial weights; an empty table gives
@@ -22,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.llm.attention import CLASSES, NEAR, OWN, VOCABULARY, Attention, add_neighbours, columns_of
-from isoloom.llm.common import per_row, slices, small_batches, text_buffer, written
+from isoloom.llm.common import per_row, ranked_sample, slices, small_batches, text_buffer, written
 from isoloom.llm.encode import ByteEncoder, encoder
 from isoloom.llm.language_id import held_out
 from isoloom.llm.words import LOWER, WHITE, hashes, scan, separators
 
-SAMPLE_IDS = 1_500_000
-BLOCK_ROWS = 6000
-SHARD_ROWS = 2000
+#: Text on which the network starts, before it goes through all training documents.
+SAMPLE_BYTES = 4_000_000
+#: Ids of a block, whose words are looked up together; bytes of text of a training shard.
+BLOCK_IDS, SHARD_BYTES = 8_000_000, 6_000_000
 ROUNDS = 4
 #: Of the distributed steps' first round; it falls in proportion.
 RATE = 0.003
@@ -47,20 +51,34 @@ END_WORD = 1
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Word hashes, each text's first word, lower-cased texts."""
-    data, offsets = text_buffer(column)
-    data = LOWER[data]
-    starts, ends, first = scan(data, offsets, WORD)
-    whole, bounds = data.tobytes(), offsets.tolist()
-    return hashes(data, starts, ends).view(np.int64), first, [whole[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows, and each row's bounds (rows + 1)."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
+    return np.concatenate(parts or [np.zeros(0, np.uint16)]), np.cumsum([0, *map(len, parts)])
+
+
+def _words(code: ByteEncoder, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts given as ids, and each text's first word. Ids spell the lower-cased text exactly."""
+    data, at = code.text(ids)
+    starts, ends, first = scan(data, at[bounds], WORD)
+    return hashes(data, starts, ends).view(np.int64), first
 
 
-def corpus_counts(train: DataFrame) -> DataFrame:
-    """h (of a word), n over all training texts."""
+def _parts(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of a column of ids in runs of about ``most`` ids: first and last row, ids and bounds."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) // 2
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")) + at)
+        yield at, end, *_joined(column.slice(at, end - at))
+        at = end
+
+
+def corpus_counts(train: DataFrame, tokenizer: str) -> DataFrame:
+    """h (of a word), n over all training texts (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = 0
+        texts, code = 0, encoder(ByteEncoder, tokenizer)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +91,8 @@ def corpus_counts(train: DataFrame) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                h, _, _ = _words(batch.column(0).slice(a, b - a))
+            for a, b, ids, bounds in _parts(batch.column(0)):
+                h, _ = _words(code, ids, bounds)
                 parts.append(np.unique(h, return_counts=True))
                 size += len(parts[-1][0])
                 texts += b - a
@@ -89,29 +107,40 @@ def corpus_counts(train: DataFrame) -> DataFrame:
         if texts:
             yield rows(np.array([END_WORD]), np.array([texts]))
 
-    return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return train.select("ids").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def train_ids(train: DataFrame, tokenizer: str, shards: int) -> DataFrame:
-    """shard, rank, ids (two bytes each) of all training texts."""
+def id_table(docs: DataFrame, tokenizer: str, shards: int) -> DataFrame:
+    """doc_id, held_out, block, shard, rank, ids (two bytes each) of all texts (doc_id, held_out, text).
+
+    A block is a run of rows of one task, up to BLOCK_IDS ids (one row at least). Shards go by hash and by the place in
+    the task, so that equal rows are spread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(ByteEncoder, tokenizer)
+        code, block, size, place = encoder(ByteEncoder, tokenizer), TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                data, offsets = text_buffer(batch.column(1).slice(a, b - a))
+            for a, b in slices(batch.column(3)):
+                data, offsets = text_buffer(batch.column(3).slice(a, b - a))
                 whole, bounds = LOWER[data].tobytes(), offsets.tolist()
                 ids = code.ids([whole[x:y].decode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-                rank = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.to_numpy() % shards), rank, pa.array([x.tobytes() for x in ids], pa.binary())], ["shard", "rank", "ids"])
+                rank = batch.column(2).slice(a, b - a).to_numpy()
+                blocks = []
+                for x in ids:
+                    if size and size + len(x) > BLOCK_IDS:
+                        block, size = block + 1, 0
+                    size += len(x) + 1
+                    blocks.append(block)
+                shard = (rank % shards + np.arange(place, place + b - a)) % shards
+                place += b - a
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(blocks, pa.int64()), pa.array(shard), pa.array(rank), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "held_out", "block", "shard", "rank", "ids"])
 
-    return train.select(F.xxhash64("doc_id", "text"), "text").mapInArrow(run, "shard long, rank long, ids binary")
+    return docs.select("doc_id", "held_out", F.xxhash64("doc_id", "text"), "text").mapInArrow(run, "doc_id long, held_out boolean, block long, shard long, rank long, ids binary")
 
 
-def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rows, and each row's bounds (rows + 1)."""
-    parts = [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
-    return np.concatenate(parts or [np.zeros(0, np.uint16)]), np.cumsum([0, *map(len, parts)])
+def train_ids(train: DataFrame, tokenizer: str, shards: int) -> DataFrame:
+    """shard, rank, ids of training texts (doc_id, text)."""
+    return id_table(train.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), tokenizer, shards).select("shard", "rank", "ids")
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
@@ -206,20 +235,11 @@ def fit_all(model: Attention, ids: DataFrame, shards: int) -> Attention:
     return model
 
 
-def sample_ids(train: DataFrame, tokenizer: str, most: int = SAMPLE_IDS) -> list[np.ndarray]:
-    """Ids of whole training texts in hash order, about ``most`` in all."""
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rank = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5
-    rows = train.select(rank.alias("rank"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("rank") <= min(1.0, 3.0 * most / max(size, 1))).collect()
-    out, total = [], 0
+def sample_ids(train: DataFrame, tokenizer: str, most: int = SAMPLE_BYTES) -> list[np.ndarray]:
+    """Ids of whole distinct training texts in hash order, of about ``most`` bytes of text in all, one at least."""
     code = encoder(ByteEncoder, tokenizer)
-    for r in sorted(rows, key=lambda r: (r["rank"], r["text"])):
-        text = LOWER[np.frombuffer(r["text"].encode(), np.uint8)].tobytes().decode()
-        out.append(code.ids([text])[0].astype(np.int64))
-        total += len(out[-1])
-        if total >= most:
-            break
-    return out
+    texts = ranked_sample(train.select(F.lit("").alias("kind"), "doc_id", "text"), most).get("", [])
+    return [code.ids([LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes().decode()])[0].astype(np.int64) for t in texts]
 
 
 def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -227,36 +247,34 @@ def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2)
     small_batches(docs)
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "text")
-    train = base.where("NOT held_out")
-    counts = written(corpus_counts(train))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    every = written(id_table(base, tokenizer, shards))  # texts are encoded once; all that follows reads ids
+    ids = every.where("NOT held_out")
+    counts = written(corpus_counts(ids, tokenizer))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = docs.count()
-    shards = max(1, -(-rows // SHARD_ROWS))
-    ids = written(train_ids(train, tokenizer, shards))
     share = id_counts(ids)
-    start = Attention(sample_ids(train, tokenizer), share, near=neighbours(ids, share))
-    model = spark.sparkContext.broadcast(fit_all(start, ids, shards))
+    start = Attention(sample_ids(base.where("NOT held_out"), tokenizer), share, near=neighbours(ids, share))
+    model = spark.sparkContext.broadcast(fit_all(start, ids.select("shard", "rank", "ids"), shards))
     seen, kinds = int(totals[0]), int(totals[1])
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(ByteEncoder, tokenizer)
         found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for a, b in slices(batch.column(2)):
-                part = batch.slice(a, b - a)
-                data, offsets = text_buffer(part.column(2))
-                data = LOWER[data]
-                starts, ends, first = scan(data, offsets, WORD)
-                block = part.column(3).to_numpy()
-                h, of = hashes(data, starts, ends).view(np.int64), np.repeat(block, np.diff(first))
+            for a, b, part, bounds in _parts(batch.column(1)):
+                block = batch.column(0).slice(a, b - a).to_numpy()
+                h, first = _words(code, part, bounds)
+                of = np.repeat(block, np.diff(first))
                 for k in np.unique(block).tolist():
                     found.setdefault(k, []).append(np.unique(h[of == k]))
+                last = int(block[-1])
+                for k in [k for k in found if k != last]:  # a block's rows follow each other
+                    yield _asked(k, found.pop(k))
         for k, parts in found.items():
-            h = np.unique(np.concatenate([np.array([END_WORD]), *parts]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(h)], ["block", "h"])
+            yield _asked(k, parts)
 
-    need = dealt.mapInArrow(asked, "block long, h long").join(counts, "h").select("block", "h", "n")
+    need = every.select("block", "ids").mapInArrow(asked, "block long, h long").join(counts, "h").select("block", "h", "n")
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         h = right["h"].to_numpy()
@@ -265,23 +283,26 @@ def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2)
         code = encoder(ByteEncoder, tokenizer)
         at = int(np.searchsorted(h, END_WORD))
         end = int(n[at]) if at < len(h) and h[at] == END_WORD else 0
-        left = left.combine_chunks()
-        text = left["text"].combine_chunks() if left.num_rows else pa.array([], pa.string())
-        text = text if isinstance(text, pa.Array) else text.chunk(0)
         tokens, known, base_score, scores = [], [], [], []
-        for a, b in slices(text):
-            words, first, lowered = _words(text.slice(a, b - a))
-            c = np.zeros(len(words), np.int64)
-            if len(h):
-                place = np.minimum(np.searchsorted(h, words), len(h) - 1)
-                c = np.where(h[place] == words, n[place], 0)
-            size = np.diff(first) + 1
-            tokens.append(size)
-            known.append(per_row((c > 0).astype(np.int64), first) + (end > 0))
-            base_score.append(per_row(np.log10(c + 1.0), first) + math.log10(end + 1) - size * math.log10(seen + kinds + 1))
-            scores.append(model.value.score(code.ids(lowered)) / math.log(10))
+        for column in left["ids"].chunks:
+            for _, _, part, bounds in _parts(column):
+                words, first = _words(code, part, bounds)
+                c = np.zeros(len(words), np.int64)
+                if len(h):
+                    place = np.minimum(np.searchsorted(h, words), len(h) - 1)
+                    c = np.where(h[place] == words, n[place], 0)
+                size = np.diff(first) + 1
+                tokens.append(size)
+                known.append(per_row((c > 0).astype(np.int64), first) + (end > 0))
+                base_score.append(per_row(np.log10(c + 1.0), first) + math.log10(end + 1) - size * math.log10(seen + kinds + 1))
+                scores.append(model.value.score([part[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]) / math.log(10))
         join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
         count = pa.array(np.full(left.num_rows, seen), pa.int64())
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": join(tokens, pa.int64()), "n_known": join(known, pa.int64()), "train_tokens": count, "base_score": join(base_score, pa.float64()), "score": join(scores, pa.float64())})
 
-    return dealt.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(finish, SCORES)
+    return every.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(need.groupBy("block")).applyInArrow(finish, SCORES)
+
+
+def _asked(block: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+    h = np.unique(np.concatenate([np.array([END_WORD]), *parts]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h)], ["block", "h"])

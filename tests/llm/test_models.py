@@ -215,7 +215,7 @@ def quick(monkeypatch):
 
 
 def test_base_scores(spark, quick, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(lm_scoring, "BLOCK_IDS", 60)
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(["the", "The", "a", "cat", "é", "x" * 30], rng.integers(0, 40))) for _ in range(40)] + [None, "", "once only words", "\t\n"]
     rows = [(d, t, None) for d, t in enumerate(texts)] + [(3, "again the cat", None), (None, "a", None)]
@@ -345,3 +345,57 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         assert stage(spark, clash, SF).columns == clash.columns, name
 
 
+
+
+def test_attention_gradients():
+    """One step from known weights moves against the numeric gradient of the mean loss."""
+    m, ids = model(1)
+    stream = np.concatenate(ids)[: attention.WINDOW + 1].astype(np.int64)
+    x, y = m.row[stream[:-1]][None], m.classes[stream[1:]]
+
+    def loss(w):
+        kept, m.w = m.w, w
+        logits = m._forward(x)[-1].reshape(-1, attention.DIM).astype(np.float64) @ w["u"] + w["b"]
+        m.w = kept
+        return float((np.log(np.exp(logits).sum(1)) - logits[np.arange(len(y)), y]).mean())
+
+    before = {n: p.copy() for n, p in m.w.items()}
+    m._steps(stream, [np.array([0])], np.array([1e-3]))
+    rng = np.random.default_rng(0)
+    for name in before:
+        flat = before[name].ravel()
+        moved = (m.w[name] - before[name]).ravel()
+        spots = rng.choice(np.flatnonzero(np.abs(moved) > 1e-6), 6)
+        for k in spots.tolist():
+            up, down = ({n: p.astype(np.float64) for n, p in before.items()} for _ in range(2))
+            up[name].ravel()[k] += 1e-3
+            down[name].ravel()[k] -= 1e-3
+            slope = (loss(up) - loss(down)) / 2e-3
+            if abs(slope) > 1e-5:  # the first step of the optimiser has the gradient's sign
+                assert np.sign(slope) == -np.sign(moved[k]), (name, k, flat[k])
+
+
+def test_beats_unigram_and_bigram(spark):
+    """Mean log probability of held-out ids against interpolated counts of the same training texts."""
+    from isoloom.llm.encode import ByteEncoder
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    code = ByteEncoder(path)
+    got = {r["doc_id"]: r for r in lm_scoring.score(rows, path).collect()}
+    texts = {r["doc_id"]: code.ids([re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])])[0].astype(np.int64) for r in rows.collect()}
+    train = [np.concatenate([[attention.END], x, [attention.END]]) for d, x in texts.items() if not got[d]["held_out"]]
+    one = np.bincount(np.concatenate([x[1:] for x in train]), minlength=attention.VOCABULARY) + 0.5
+    one = np.log(one / one.sum())
+    held = [(d, x) for d, x in texts.items() if got[d]["held_out"]]
+    n = sum(len(x) + 1 for _, x in held)
+    ours = sum(got[d]["score"] for d, _ in held) * math.log(10) / n
+    unigram = sum(one[x].sum() + one[attention.END] for _, x in held) / n
+    print("nats an id:", -ours, "unigram", -unigram)
+    assert ours > unigram + 0.8
+
+
+def test_equal_rows_are_spread(spark):
+    rows = spark.createDataFrame([(5, "the same text of all rows")] * 400, "doc_id long, text string")
+    ids = lm_scoring.train_ids(rows, public_tokenizers.path("byte_bpe_50k.json"), 8)
+    assert max(r["count"] for r in ids.groupBy("shard").count().collect()) < 100

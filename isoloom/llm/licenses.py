@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.llm.common import slices, small_batches, text_buffer, written
-from isoloom.llm.words import LOWER, PUNCT, hashes, scan, separators
+from isoloom.llm.words import LOWER, PUNCT, hashes, mix, scan, separators
 
 LEAST = 0.7
 #: From this share of its words in the licence segment a file is a licence file.
@@ -156,37 +156,47 @@ def _segments(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> list
     return [(line, len(begin)), (paragraph[line] if len(line) else line, int(apart.sum()))]
 
 
-def _notices(of: np.ndarray, n: int, number: np.ndarray, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The segments with a word of the templates, their best cosine and its template."""
-    inside = np.bincount(of, number > 0, n)
-    live = np.flatnonzero(inside)  # the others have cosine 0
-    if not len(live):
-        return live, np.zeros(0), live
-    row = np.full(n, -1)
-    row[live] = np.arange(len(live))
-    use = row[of] >= 0
-    tf = np.zeros((len(live), len(t.vocabulary) + 1))
-    np.add.at(tf, (row[of[use]], number[use]), 1)
-    x = tf[:, 1:] * t.idf
-    norm = np.sqrt((x**2).sum(1) + tf[:, 0] * t.other**2)
-    cosine = (x @ t.vectors.T) / np.maximum(norm, 1e-9)[:, None]
-    return live, cosine.max(1), cosine.argmax(1)
-
-
-def _texts(of: np.ndarray, n: int, number: np.ndarray, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _notices, of the segments that have half the words of a template at least; word by word, as the vocabulary is large."""
+#: (segment, word) pairs that are multiplied together.
+PAIRS = 50_000
+
+
+def _cosines(of: np.ndarray, n: int, number: np.ndarray, h: np.ndarray, t: Templates, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments that can match, their best cosine and its template (the first of equals), by sorted (segment, word)
+    pairs and one sparse product.
+
+    A segment can match if it has a word of the templates; with ``whole`` also only if it has half a template's words.
+    Words that no template has count by what they are, each with the weight of a word that no file has.
+    """
+    inside = np.bincount(of, number > 0, n) > 0
     size = np.bincount(of, minlength=n)
-    use = size[of] >= t.half.min()
-    width = len(t.vocabulary) + 1
-    key, count = np.unique(of[use] * width + number[use], return_counts=True)
-    live, first = np.unique(key // width, return_index=True)
+    if whole:
+        inside &= size >= t.half.min()
+    live = np.flatnonzero(inside)
     if not len(live):
         return live, np.zeros(0), live
+    use = inside[of]
+    seg, word, h = of[use], number[use], h[use]
+    rest = word == 0
+    # (segment, word) of other words as one number
+    other, at, count = np.unique(mix(h[rest].astype(np.uint64) + seg[rest].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+    square = np.bincount(seg[rest][at], (count * t.other) ** 2.0, n)[live] if len(other) else np.zeros(len(live))
+    width = len(t.vocabulary) + 1
+    key, count = np.unique(seg[~rest] * width + word[~rest], return_counts=True)
+    of_pair, first = np.unique(key // width, return_index=True)
     weight = count * np.concatenate([[0], t.idf])[key % width]
-    square = np.add.reduceat(np.where(key % width > 0, weight**2, count * t.other**2), first)
-    dot = np.add.reduceat(weight[:, None] * t.columns[key % width], first)
-    cosine = np.where(size[live][:, None] >= t.half, dot / np.sqrt(square)[:, None], 0)
-    return live, cosine.max(1), cosine.argmax(1)
+    square = square + np.add.reduceat(weight**2, first)
+    bounds, cosine, pick = np.append(first, len(key)), np.zeros(len(live)), np.zeros(len(live), np.int64)
+    at = 0
+    while at < len(live):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PAIRS, "right")) - 1)
+        part = np.s_[bounds[at] : bounds[end]]
+        dot = np.add.reduceat(weight[part, None] * t.columns[key[part] % width], bounds[at:end] - bounds[at])
+        c = dot / np.sqrt(square[at:end])[:, None]
+        if whole:
+            c = np.where(size[live[at:end]][:, None] >= t.half, c, 0)
+        cosine[at:end], pick[at:end] = c.max(1), c.argmax(1)
+        at = end
+    return live, cosine, pick
 
 
 def own(files: DataFrame, t: Templates, full: Templates | None = None) -> DataFrame:
@@ -194,7 +204,7 @@ def own(files: DataFrame, t: Templates, full: Templates | None = None) -> DataFr
     shared = files.sparkSession.sparkContext.broadcast((t, full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [(x, how) for x, how in zip(shared.value, (_notices, _texts), strict=True) if x]
+        kinds = [(x, whole) for x, whole in zip(shared.value, (False, True), strict=True) if x]
         names = np.array(sorted({n for x, _ in kinds for n in x.names}), object)
         place = [np.searchsorted(names, np.array(x.names, object)) for x, _ in kinds]
         for batch in batches:
@@ -212,11 +222,12 @@ def own(files: DataFrame, t: Templates, full: Templates | None = None) -> DataFr
                     size = np.bincount(of, minlength=n)
                     where = np.zeros(n, np.int64)
                     where[of] = doc
-                    for (x, how), number, at in zip(kinds, numbers, place, strict=True):
-                        live, cosine, pick = how(of, n, number, x)
+                    for (x, long), number, at in zip(kinds, numbers, place, strict=True):
+                        live, cosine, pick = _cosines(of, n, number, h, x, long)
                         for k in np.flatnonzero(cosine >= LEAST):
                             d, score, of_name = where[live[k]], cosine[k], at[pick[k]]
-                            if score > best[d] and (whole or not ruled[d] or of_name == name[d]):
+                            better = score > best[d] or (score == best[d] and of_name < name[d])
+                            if better and (whole or not ruled[d] or of_name == name[d]):
                                 best[d], name[d], words[d] = score, of_name, size[live[k]]
                     if whole:
                         ruled = best > 0
@@ -228,16 +239,19 @@ def own(files: DataFrame, t: Templates, full: Templates | None = None) -> DataFr
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text").mapInArrow(run, "doc_id long, path string, license string, score double, is_file boolean")
 
 
-def _directory(path: str):
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-
-
 def inherit(rows: DataFrame) -> DataFrame:
-    """doc_id, path, license, score, from_path: a file's own licence, or the nearest ancestor's."""
-    rows = rows.withColumn("directory", F.when(F.col("path").contains("/"), _directory("path")))
+    """doc_id, path, license, score, from_path: a file's own licence, or the nearest ancestor's.
+
+    The top of relative paths is the directory "", that of absolute ones "/".
+    """
+    path, absolute = F.col("path"), F.col("path").startswith("/")
+    top = F.when(absolute, "/").otherwise("")
+    below = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    rows = rows.withColumn("directory", F.when(path.isNotNull(), F.when(below == "", top).otherwise(below)))
     ruling = rows.where("is_file AND directory IS NOT NULL").groupBy(F.col("directory").alias("at")).agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("f")).select("at", F.col("f.license").alias("up"), F.col("f.path").alias("up_path"))
     parts = F.split("directory", "/")
-    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    inner = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")), lambda x: x != "")
+    steps = F.array_distinct(F.concat(F.array(F.when(F.col("directory").startswith("/"), "/").otherwise("")), inner))
     distinct = rows.where("directory IS NOT NULL").select("directory").distinct()
     ancestors = distinct.select("directory", F.explode(steps).alias("at"))
     nearest = ancestors.join(ruling, "at").groupBy("directory").agg(F.max_by(F.struct("up", "up_path"), F.length("at")).alias("r"))

@@ -399,3 +399,25 @@ def test_equal_rows_are_spread(spark):
     rows = spark.createDataFrame([(5, "the same text of all rows")] * 400, "doc_id long, text string")
     ids = lm_scoring.train_ids(rows, public_tokenizers.path("byte_bpe_50k.json"), 8)
     assert max(r["count"] for r in ids.groupBy("shard").count().collect()) < 100
+
+
+def test_a_licence_at_the_top_rules(spark):
+    files = [(1, "LICENSE", "Released under the MIT License."), (2, "src/x.py", "code"), (3, "x.py", "code"), (4, "/LICENSE", "Licensed under the Apache License, Version 2.0"), (5, "/a/b.py", "code"), (6, "/c.py", "code"), (7, None, "code")]
+    got = {r["doc_id"]: r["from_path"] for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "LICENSE", 2: "LICENSE", 3: "LICENSE", 4: "/LICENSE", 5: "/LICENSE", 6: "/LICENSE", 7: None}
+
+
+def test_equal_scores_go_to_the_first_name(spark):
+    texts = {"b": ["alpha beta gamma"], "a": ["delta epsilon zeta"]}
+    t = licenses.Templates(texts)
+    files = spark.createDataFrame([(1, "d/x", "alpha beta gamma\n\ndelta epsilon zeta")], "doc_id long, path string, text string")
+    t.weigh(np.ones(len(t.vocabulary), np.int64), 1)
+    assert licenses.own(files, t).first()["license"] == "a"
+
+
+def test_other_words_count_by_what_they_are(spark):
+    t = licenses.Templates({"a": ["alpha beta gamma delta"]})
+    t.weigh(np.zeros(len(t.vocabulary), np.int64), 1)
+    rows = [(1, "d/1", "alpha beta gamma delta zig zag"), (2, "d/2", "alpha beta gamma delta zig zig")]
+    got = {r["doc_id"]: r["score"] for r in licenses.own(spark.createDataFrame(rows, "doc_id long, path string, text string"), t).collect()}
+    assert got[1] == pytest.approx(4 / math.sqrt(4 * 6), abs=1e-5) and got[2] == pytest.approx(4 / math.sqrt(4 * 8), abs=1e-5)

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import slices, small_batches, text_buffer
+from isoloom.llm.common import slices, small_batches, text_buffer, written
 from isoloom.llm.words import LOWER, PUNCT, hashes, mix, scan, separators
 
 WINDOW = 13
@@ -151,56 +152,110 @@ def _runs(h: np.ndarray, first: np.ndarray, automaton: Automaton) -> Iterator[tu
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items, a block at a time; the driver never holds more than BLOCK_WORDS words (or one item)."""
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", "[^A-Za-z0-9\u0080-\U0010ffff]+")))).first()[0] or 0
-    n = -(-words // BLOCK_WORDS) or 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    """The distinct items, a block at a time; the driver never holds many more than BLOCK_WORDS words (or one item).
+
+    Items go to buckets by hash, of which a block takes as many as its words allow.
+    """
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = F.size(F.split("text", "[^A-Za-z0-9\u0080-\U0010ffff]+"))
+    words = items.agg(F.sum(size)).first()[0] or 0
+    if words <= BLOCK_WORDS:
+        yield [(r["item_id"], r["text"]) for r in items.collect()]
+        return
+    n = 64 * -(-words // BLOCK_WORDS)  # a bucket is a small part of a block
+    placed = written(items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).withColumn("n", size))
+    sums = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    low, held = 0, 0
+    for k in range(n + 1):
+        more = sums.get(k, 0)
+        if k == n or (held and held + more > BLOCK_WORDS):
+            yield [(r["item_id"], r["text"]) for r in placed.where((F.col("bucket") >= low) & (F.col("bucket") < k)).collect()]
+            low, held = k, 0
+        held += more
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of ``docs`` (all by default), and a struct ``hit``: n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to)."""
+    """The ``carry`` columns of ``docs`` (all by default), and a struct ``hit``: n_words, n_hit, n_items, items_sha256, contaminated, spans (bytes from, to).
+
+    One block of items is looked for while the texts are read. Of several blocks each has a pass of its own, which
+    writes what it finds by a 128-bit hash of the text; then all finds of a text are put together.
+    """
     small_batches(docs)
     spark, carry = docs.sparkSession, docs.columns if carry is None else carry
     blocks = _blocks(items)
-    out = docs.select(*[c for c in docs.columns if c in carry], F.col("text").alias("_text"), F.lit(None).cast("struct<spans: array<bigint>, items: array<string>>").alias("_found"))
-    schema = out.select(*carry, F.lit(None).cast(HIT).alias("hit")).schema
-    block = next(blocks)
-    for after in blocks:
-        out = out.mapInArrow(_pass(_shared(spark, block, window), coverage, None), out.schema)
-        block = after
-    return out.mapInArrow(_pass(_shared(spark, block, window), coverage, carry), schema)
+    block, after = next(blocks), next(blocks, None)
+    kept = [c for c in docs.columns if c in carry]
+    schema = docs.select(*kept, F.lit(None).cast(HIT).alias("hit")).schema
+    if after is None:
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(_digests(kept, coverage, shared), schema)
+    finds = []
+    keys = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2")]
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Automaton(block, window))
+        finds.append(written(docs.select(*keys, "text").mapInArrow(_finds(shared), FOUND)))
+        shared.destroy()  # before the next one is made
+        block, after = after, next(blocks, None)
+    every = reduce(DataFrame.unionByName, finds).distinct()  # equal texts find the same
+    found = every.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    of = written(found.select(F.col("_k1").alias("_f1"), F.col("_k2").alias("_f2"), F.struct("spans", "items").alias("_found")))
+    rows = docs.select(*kept, F.col("text").alias("_text"), *keys).join(of, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left")
+    return rows.select(*kept, "_text", "_found").mapInArrow(_digests(kept, coverage, None), schema)
+
+
+#: What one block's pass finds in a text.
+FOUND = "_k1 long, _k2 long, spans array<long>, items array<string>"
+
+
+def _scan(column: pa.Array, automaton: Automaton):
+    """Of a column of texts: offsets, word starts, ends and each text's first, and what the automaton finds by row."""
+    data, offsets = text_buffer(column)
+    data = LOWER[data]
+    starts, ends, first = scan(data, offsets, WORD)
+    found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    if automaton is not None:
+        for d, at, run in _runs(hashes(data, starts, ends), first, automaton):
+            spans: list[tuple[int, int]] = []
+            items: set[str] = set()
+            automaton.stream(run, at - int(first[d]), spans, items)
+            if spans:
+                old = found.setdefault(d, ([], set()))
+                old[0].extend(_merged(spans))
+                old[1].update(items)
+    return offsets, starts, ends, first, found
+
+
+def _finds(shared):
+    """The pass of one of several blocks: FOUND of the texts it hits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b in slices(whole.column(2), 1 << 20):
+                batch = whole.slice(a, b - a)
+                *_, found = _scan(batch.column(2), shared.value)
+                rows = sorted(found)
+                spans = pa.array([[x << 32 | y for x, y in found[d][0]] for d in rows], pa.list_(pa.int64()))
+                items = pa.array([sorted(found[d][1]) for d in rows], pa.list_(pa.string()))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), spans, items], ["_k1", "_k2", "spans", "items"])
 
-def _shared(spark: SparkSession, block: list[tuple[str, str]], window: int):
-    return spark.sparkContext.broadcast(Automaton(block, window))
+    return run
 
 
-def _pass(shared, coverage: int, carry: list[str] | None):
-    """Add what one block's automaton finds; with ``carry``, end with the digest."""
+def _digests(kept: list[str], coverage: int, shared):
+    """``kept`` and hit, from one automaton, or from the column after the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in slices(whole.column(whole.num_columns - 2), 1 << 20):
+            for a, b in slices(whole.column(len(kept)), 1 << 20):
                 batch = whole.slice(a, b - a)
-                data, offsets = text_buffer(batch.column(batch.num_columns - 2))
-                data = LOWER[data]
-                starts, ends, first = scan(data, offsets, WORD)
-                found = batch.columns[-1].to_pylist()
-                for d, at, run_ in _runs(hashes(data, starts, ends), first, shared.value):
-                    spans: list[tuple[int, int]] = []
-                    items: set[str] = set()
-                    shared.value.stream(run_, at - int(first[d]), spans, items)
-                    if spans:
-                        old = found[d] or {"spans": [], "items": []}
-                        found[d] = {"spans": old["spans"] + [x << 32 | y for x, y in _merged(spans)], "items": sorted(items.union(old["items"]))}
-                if carry is None:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.columns[-1].type)], batch.schema.names)
-                else:
-                    digest = pa.array(_digest(found, offsets, starts, ends, first, coverage), HIT_ARROW)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], digest], [*carry, "hit"])
+                offsets, starts, ends, first, found = _scan(batch.column(len(kept)), shared and shared.value)
+                if shared is None:
+                    for d, x in enumerate(batch.column(len(kept) + 1).to_pylist()):
+                        if x is not None:
+                            found[d] = ([(s >> 32, s & 0xFFFFFFFF) for s in x["spans"]], set(x["items"]))
+                digest = pa.array(_digest(found, offsets, starts, ends, first, coverage), HIT_ARROW)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], digest], [*kept, "hit"])
 
     return run
 
@@ -215,11 +270,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(found: list, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, coverage: int) -> list[dict]:
+def _digest(found: dict[int, tuple[list[tuple[int, int]], set[str]]], offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, coverage: int) -> list[dict]:
     out = []
-    for d, x in enumerate(found):
-        spans = _merged([(s >> 32, s & 0xFFFFFFFF) for s in (x or {}).get("spans", [])])
-        items = sorted((x or {}).get("items", []))
+    for d in range(len(first) - 1):
+        spans, items = found.get(d, ([], set()))
+        spans, items = _merged(spans), sorted(items)
         n, hit = int(first[d + 1] - first[d]), sum(b - a for a, b in spans)
         base = int(offsets[d])
         where = [{"start": int(starts[first[d] + a]) - base, "end": int(ends[first[d] + b - 1]) - base} for a, b in spans]

@@ -73,6 +73,25 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def all_links(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Which sets of a group link: sizes of all intersections as products of incidence matrices, some columns at a time."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    both = np.zeros((n, n), np.float32)  # exact below 2**24
+    if n and size.sum():
+        every = np.concatenate(sets)
+        _, column = np.unique(every, return_inverse=True)
+        row, column = np.repeat(np.arange(n), size), column.reshape(-1)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int(column[-1]) + 1, columns):
+            a, b = np.searchsorted(column, [low, low + columns])
+            part = np.zeros((n, columns), np.float32)
+            part[row[a:b], column[a:b] - low] = 1
+            both += part @ part.T
+    union = size[:, None] + size[None] - both
+    return (100 * both >= PERCENT * union) & (both > 0)
+
+
 class Sets:
     """Shingle sets of a task's texts by id, made once each; ``most`` elements are held, then it starts anew."""
 
@@ -273,7 +292,7 @@ def exhaustive(texts: DataFrame, members: DataFrame, make) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         cid, comp = table["cid"].to_pylist(), table["comp"].to_pylist()
-        sets = make(table["text"].combine_chunks())
+        links = all_links(make(table["text"].combine_chunks()))
         parent: dict[int, int] = {c: c for c in comp}
 
         def root(c: int) -> int:
@@ -282,12 +301,11 @@ def exhaustive(texts: DataFrame, members: DataFrame, make) -> DataFrame:
             return c
 
         found = []
-        for i in range(len(cid)):
-            for j in range(i):
-                x, y = root(comp[i]), root(comp[j])
-                if x != y and linked(sets[i], sets[j]):
-                    parent[x] = y
-                    found.append((cid[i], cid[j]))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.tril(links, -1))), strict=True):
+            x, y = root(comp[i]), root(comp[j])
+            if x != y:
+                parent[x] = y
+                found.append((cid[i], cid[j]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return rows.groupBy("node").applyInArrow(run, "a long, b long")

@@ -37,7 +37,7 @@ from isoloom.llm.words import LOWER, WHITE, hashes, scan, separators
 #: Text on which the network starts, before it goes through all training documents.
 SAMPLE_BYTES = 4_000_000
 #: Ids of a block, whose words are looked up together; bytes of text of a training shard.
-BLOCK_IDS, SHARD_BYTES = 8_000_000, 6_000_000
+BLOCK_IDS, SHARD_BYTES = 4_000_000, 6_000_000
 ROUNDS = 4
 #: Of the distributed steps' first round; it falls in proportion.
 RATE = 0.003

@@ -38,16 +38,14 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """doc_id, ids (uint16 bytes); and for each task one row whose ``counts`` has the document frequency of each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, counts, seen = encoder(ByteEncoder, tokenizer), np.zeros(IDS, np.int32), np.zeros(IDS, np.int32)
+        code, counts = encoder(ByteEncoder, tokenizer), np.zeros(IDS, np.int32)
         end = np.array([end_id], np.uint16)
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32())]
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 ids = [np.concatenate([x, end]) for x in code.ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])]
                 for x in ids:
-                    seen[x] = 1
-                    counts += seen
-                    seen[x] = 0
+                    counts[np.unique(x)] += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], kinds[1]), pa.nulls(b - a, kinds[2])], ["doc_id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.array([counts], kinds[2])], ["doc_id", "ids", "counts"])
 

@@ -63,7 +63,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

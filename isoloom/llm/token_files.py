@@ -6,12 +6,13 @@ number of ids and start at a byte, so any range is read by its own blocks alone
     magic "IDPK1\\0\\0\\0" | blocks | footer: block offsets u64, document ids i64, id present u8, lengths i64
     | trailer: bits u32, ids a block u32, ids u64, blocks u64, documents u64, footer start u64
 
-Cases: null or empty text is the end id alone; a null document id comes first and stays null; rows with equal ids keep
-the order of their texts; an empty table gives no file and no row; further columns are ignored.
+Cases: null or empty text is the end id alone; a null document id comes first and stays null; rows with equal ids have
+an order by hash of their texts; an empty table gives no file and no row; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from isoloom.llm.encode import WordEncoder, encoder
 MAGIC, TRAILER = b"IDPK1\0\0\0", struct.Struct("<IIQQQQ")
 BLOCK_IDS = 1 << 14
 #: Beyond so many ids a task begins another file, which bounds its memory.
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 
 
 def width(vocabulary: int) -> int:
@@ -88,9 +90,15 @@ class TokenFile:
 
 
 def _place(folder: str):
-    from pyarrow import fs
+    """The file system of a folder and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
 
-    return fs.FileSystem.from_uri(folder)
+
+def vocabulary_of(tokenizer: str) -> int:
+    """One more than the greatest id of a tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, folder: str) -> DataFrame:
@@ -111,7 +119,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
             path = f"{base}/part-{part:06d}-{piece:05d}.ids"
             lengths = np.array([len(x) for x in ids], np.int64)
             with place.open_output_stream(temporary := f"{path}.{uuid.uuid4().hex}") as out:
-                out.write(to_bytes(np.concatenate(ids), doc_ids, lengths, bits))
+                whole = np.concatenate(ids)
+                if int(whole.max()) >= vocabulary:
+                    raise ValueError(f"id {int(whole.max())} is beyond the vocabulary of {vocabulary}")
+                out.write(to_bytes(whole, doc_ids, lengths, bits))
+            if place.get_file_info(path).type == fs.FileType.File:  # of an earlier attempt; some file systems move onto nothing
+                place.delete_file(path)
             place.move(temporary, path)
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [path], "n_ids": [int(lengths.sum())], "n_docs": [len(ids)]}, pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
@@ -128,8 +141,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
         if ids:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "part int, piece int, path string, n_ids long, n_docs long")
+    # rows of one doc_id are dealt by their texts, so that many of them are no single task's
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    return dealt.select("doc_id", "text").mapInArrow(run, "part int, piece int, path string, n_ids long, n_docs long")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -158,9 +173,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     return placed.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
-    """Write all documents, then describe each from what the files hold."""
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int | None = None) -> DataFrame:
+    """Write all documents, then describe each from what the files hold. The vocabulary is that of the tokenizer's file,
+    or a larger one."""
     small_batches(docs)
+    vocabulary = vocabulary or vocabulary_of(tokenizer)
     folder = shared_folder(docs.sparkSession)
     files = written(write_token_files(docs, tokenizer, end_id, vocabulary, folder))
     return read_token_files(files, folder)

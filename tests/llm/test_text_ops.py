@@ -228,3 +228,33 @@ def test_decontamination_cuts_spans(spark):
     assert got == "é " * 100 + " y" * 100
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(docs(spark, ["a"]), none).count() == 1
+
+
+def test_blocks_of_items_are_even(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3000)
+    items = spark.createDataFrame([(str(k), "ten words of the very same text in each item") for k in range(1000)], "item_id string, text string")
+    blocks = list(decontaminate._blocks(items))
+    assert sum(map(len, blocks)) == 1000 and max(map(len, blocks)) <= 400 and len(blocks) < 8
+
+
+def test_several_blocks_make_no_chain(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    frame, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    several = decontaminate.hits(frame.select("doc_id", "text"), bench, carry=["doc_id"])
+    assert several._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    rows = sorted(map(str, several.collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10**9)
+    assert rows == sorted(map(str, decontaminate.hits(frame.select("doc_id", "text"), bench, carry=["doc_id"]).collect()))
+
+
+def test_token_files_of_another_width(spark, monkeypatch):
+    """Ids of 17 bits, and many rows of one id over several tasks and files."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 50)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, f"row number {k % 7} of many") for k in range(60)] + [(k, f"the text {k}") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wide, plain = (sorted(map(str, token_files.round_trip(frame, path, 1, n).select("doc_id", "n_tokens", "ids_crc32").collect())) for n in (100_000, None))
+    assert wide == plain and len(wide) == 80
+    assert token_files.vocabulary_of(path) == 49_408
+    with pytest.raises(Exception, match="beyond the vocabulary"):
+        token_files.round_trip(frame, path, 1, 300).collect()

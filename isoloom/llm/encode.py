@@ -81,10 +81,12 @@ class ByteEncoder:
     """Byte-level BPE: the ids that tokenizers gives for byte_bpe_50k.json.
 
     byte_bpe_50k.tiktoken holds the same vocabulary as ranks; the library that reads it takes a quarter of the time.
-    tests/llm compares both on texts with every kind of character.
+    ``check_vocabulary`` compares both libraries on every entry of the vocabulary, ``check`` on a text; tests/llm does so
+    on texts with every kind of character.
     """
 
     def __init__(self, path: str):
+        self.path, self._other = path, None
         import public_tokenizers
         import tiktoken
 
@@ -100,6 +102,33 @@ class ByteEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.encoding.encode(t, allowed_special="all") if "<|endoftext|>" in t else self.encoding.encode_ordinary(t), np.uint16) for t in texts]
 
+    @property
+    def other(self):
+        """The tokenizers library's reading of the same vocabulary."""
+        if self._other is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._other = Tokenizer.from_file(self.path)
+            self._other.encode_special_tokens = False
+        return self._other
+
+    def check(self, texts: list[str]) -> None:
+        """Raise if the libraries differ on any of ``texts``."""
+        for text, mine, theirs in zip(texts, self.ids(texts), self.other.encode_batch(texts, add_special_tokens=False), strict=True):
+            if mine.tolist() != theirs.ids:
+                raise ValueError(f"two readings of the vocabulary differ on {text[:60]!r}")
+
+    def check_vocabulary(self) -> None:
+        """As ``check``, on every entry of the vocabulary that is valid text, alone and after a letter."""
+        entries = []
+        for a, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
+            try:
+                entries.append(self.letters[a : a + n].tobytes().decode())
+            except UnicodeDecodeError:  # part of a character
+                continue
+        self.check(entries + ["a" + x for x in entries])
+
     def text(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids stand for, and where each id's begin (ids + 1)."""
         size = self.sizes[ids]

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ from isoloom.llm.encode import ByteEncoder, encoder
 
 WINDOW = 1024
 SHARD_IDS = 2_000_000
-#: A seed asks with its terms of greatest weight.
-QUERY_TERMS = 48
 K1, B = 1.2, 0.75
+#: Of each batch one text of fewer bytes is encoded by the vocabulary's other library too.
+CHECKED = 20_000
 IDS = 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed boolean"
 
@@ -42,6 +43,9 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         end = np.array([end_id], np.uint16)
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32())]
         for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero((sizes > 0) & (sizes < CHECKED))[:1]
+            code.check([batch.column(1)[int(k)].as_py() for k in some])
             for a, b in slices(batch.column(1)):
                 ids = [np.concatenate([x, end]) for x in code.ids([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])]
                 for x in ids:
@@ -84,15 +88,27 @@ class Index:
             terms.append(term)
             places.append(np.full(len(term), d, np.int32))
             weights.append(weight.astype(np.float32))
-            self.asks.append(term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]] if len(term) > QUERY_TERMS else term)
+            self.asks.append(term)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.places, self.weights, self.size = np.concatenate(places)[order], np.concatenate(weights)[order], len(docs)
-        self.bounds = np.searchsorted(term[order], np.arange(IDS + 1)).tolist()
+        self.bounds = np.searchsorted(term[order], np.arange(IDS + 1))
+        self.alive = len(docs)
+
+    def keep(self, left: np.ndarray) -> None:
+        """Drop the postings of used documents, once half of the indexed ones are used."""
+        now = int(np.count_nonzero(left))
+        if 2 * now <= self.alive:
+            stay = left[self.places] > 0
+            self.bounds = np.concatenate([[0], np.cumsum(stay)])[self.bounds]
+            self.places, self.weights, self.alive = self.places[stay], self.weights[stay], now
 
     def scores(self, d: int) -> np.ndarray:
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in self.asks[d].tolist()]
-        return np.bincount(np.concatenate([self.places[a:b] for a, b in spans]), np.concatenate([self.weights[a:b] for a, b in spans]), self.size)
+        """BM25 of all documents for all distinct ids of document ``d``."""
+        begin, end = self.bounds[self.asks[d]], self.bounds[self.asks[d].astype(np.int64) + 1]
+        n = end - begin
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.places[at], self.weights[at], self.size)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:
@@ -120,6 +136,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     while total >= window:
         while not left[seed]:
             seed += 1
+        index.keep(left)
         score = index.scores(seed)
         filled = take(seed, window, 0, True)
         score[left == 0] = -1
@@ -144,6 +161,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row a piece: PIECES. sequence_id is unique over the table."""
     small_batches(docs)
+    encoder(ByteEncoder, tokenizer).check_vocabulary()
     tokens = written(token_table(docs, tokenizer, end_id))
     found, n, mean = document_frequencies(tokens)
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - found + 0.5) / (found + 0.5)))

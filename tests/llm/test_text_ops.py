@@ -258,3 +258,41 @@ def test_token_files_of_another_width(spark, monkeypatch):
     assert token_files.vocabulary_of(path) == 49_408
     with pytest.raises(Exception, match="beyond the vocabulary"):
         token_files.round_trip(frame, path, 1, 300).collect()
+
+
+def test_neighbours_are_the_best_by_bm25():
+    """Scores of whole queries against the formula, and the first neighbour of each seed among the unused."""
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 60, rng.integers(5, 90)).astype(np.uint16) for _ in range(40)]
+    df = np.zeros(packing.IDS)
+    for x in ids:
+        df[np.unique(x)] += 1
+    mean = sum(map(len, ids)) / len(ids)
+    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+
+    def bm25(q, d):
+        total = 0.0
+        for t in set(q.tolist()):
+            tf = int((d == t).sum())
+            total += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        return total
+
+    index = packing.Index(ids, idf, mean)
+    for d in range(40):
+        assert index.scores(d) == pytest.approx([bm25(ids[d], x) for x in ids], rel=1e-5)
+    left = np.array([len(x) for x in ids])
+    left[::2] = 0
+    left[1::4] = 0
+    index.keep(left)
+    assert index.scores(3)[left > 0] == pytest.approx([bm25(ids[3], x) for x, n in zip(ids, left, strict=True) if n], rel=1e-5)
+    pieces = packing.pack_shard(ids, idf, mean, 128)
+    unused = {d: len(x) for d, x in enumerate(ids)}
+    for s in sorted({p[3] for p in pieces}):
+        row = sorted((p for p in pieces if p[3] == s), key=lambda p: p[4])
+        seed = row[0][0]
+        if sum(p[2] for p in row) == 128 and len(row) > 1:
+            score = {d: bm25(ids[seed], ids[d]) for d, n in unused.items() if n and d != seed}
+            assert score[row[1][0]] == pytest.approx(max(score.values()), rel=1e-5)
+        for p in row:
+            unused[p[0]] -= p[2]
+    assert not any(unused.values())

@@ -43,7 +43,7 @@ COLUMNS = 256
 #: By distinct shingles, from and below: how many permutations share the bins (0: independent hashes).
 KINDS = ((0, 64, 0), (64, 256, 4), (256, 1 << 40, 1))
 #: Numbers of distinct shingles at which the kinds of a line change; places of the table that tells them.
-BOUNDS, PLACES = (64, 86, 256, 342), 4096
+BOUNDS, PLACES = (64, 86, 256, 342), 2048
 #: Bytes of text that are hashed together, so that scratch arrays stay in the cache.
 SLICE = 1 << 18
 #: Equal sketch bytes of 36 from which a pair is verified; a pair at the threshold has 27 on average, deviation 2.6.

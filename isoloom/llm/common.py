@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoloom.storage import shared_folder
@@ -37,6 +37,42 @@ def listed(keys: DataFrame, most: int) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+#: Rows of a table of sums up to which it is broadcast.
+BROADCAST_SUMS = 100_000
+
+
+def running(rows: DataFrame, group: list[str], order: list[str | Column], size: str | None = None) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``size`` (null: a row counts 1) over the rows of its ``group`` that precede it.
+
+    The rows are dealt by ranges of group and order, so a hot group spreads over many tasks. A task sums its own rows;
+    the sums of whole tasks, one row for each task and group in it, are then added up. ``order`` must tell all rows
+    apart that may not trade places.
+    """
+    places = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    counted = places.select(*rows.columns, (F.col(size) if size else F.lit(1)).cast("long").alias("_n"), F.spark_partition_id().alias("_task"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            n = b.column(len(b.schema) - 2).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(n) + total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(upto - n, pa.int64())], [*b.schema.names, "_at"])
+            total = int(upto[-1]) if len(upto) else total
+
+    placed = written(counted.mapInArrow(sum_up, f"{fields}, _at long"))
+    mine = [F.col(g).alias(f"_g{k}") for k, g in enumerate(group)]
+    keys = [f"_g{k}" for k in range(len(group))]
+    sums = placed.groupBy(F.col("_task").alias("_part"), *mine).agg(F.min("_at").alias("_first"), F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(sums.withColumn("_prior", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))))
+    on = F.col("_task") == F.col("_part")
+    for g, k in zip(group, keys, strict=True):
+        on &= F.col(g).eqNullSafe(F.col(k))
+    found = placed.join(F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums, on)
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_prior")).alias("before"))
+
+
 #: Steps of a rank to a factor of two in the share of rows: a step has 19 percent more rows than all before it.
 STEPS = 4
 

@@ -18,6 +18,7 @@ cuts go through DuckDB in blocks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -30,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import per_row, small_batches, written
+from isoloom.llm.common import per_row, small_batches, text_buffer, written
 from isoloom.llm.encode import encoder
 
 #: Bytes of text of a chunk, at least one row; letters of a text that are cut at once; tokens of a block for DuckDB.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SECTION = 4 << 20
-TOKENS = 1_000_000
-#: Cuts whose ids a worker remembers in either of two generations.
-REMEMBERED = 200_000
+TOKENS = 250_000
+#: Cuts of a text that goes to a tokenizer; cuts above which a worker forgets all, before its next chunk.
+JOINED = 2000
+REMEMBERED = 300_000
 #: Rows of the table of pair counts up to which it is broadcast.
 BROADCAST_PAIRS = 200_000
 
@@ -82,8 +84,16 @@ class _Numbers(dict):
         return found
 
 
+def _gather(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The bytes of ids, one after the other."""
+    size = sizes[ids]
+    at = np.cumsum(size) - size
+    return letters[np.repeat(starts[ids] - at, size) + np.arange(int(size.sum()))]
+
+
 class Pair:
-    """Both tokenizers, the bytes of their ids, and the ids of cuts seen lately."""
+    """Both tokenizers, the bytes of their ids, and the cuts that this worker has aligned lately: their numbers by key,
+    and by number their counts, groups and links."""
 
     def __init__(self, paths: tuple[str, str]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,100 +116,127 @@ class Pair:
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for name, k in self.a.get_vocab().items():
             self.bytes_a[k] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-
-    def encoded(self, keys: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of cuts (int32) by both tokenizers; None where their bytes are not the cut's."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = []
-        for k in keys:
-            if k not in known:
-                if k in old:
-                    known[k] = old[k]
-                else:
-                    new.append(k)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            texts = [k[1:] if k[:1] == _BARE and k[1:2] in ("\n", "\t") else f" {k}" for k in part]
-            ours = self.a.encode_batch_fast(texts, add_special_tokens=False)
-            theirs = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-            for k, t, x, y in zip(part, texts, ours, theirs, strict=True):
-                x = x.ids
-                if t[0] != " ":
-                    y = y[1:]  # the space that the model put before it
-                elif t == " ":
-                    y = [self.space]
-                whole = t.encode()
-                same = b"".join([self.bytes_a[i] for i in x]) == whole and b"".join([self.bytes_b[i] for i in y]) == whole
-                known[k] = (np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()) if same else None
-        return [known[k] for k in keys]
-
-    def aligned(self, keys: list[str]) -> tuple[np.ndarray, list[str], pa.Table]:
-        """For each cut its numbers of tokens, pieces, groups and links (-1 where it has no tokens) and its groups as
-        text; the links as cut, a, b."""
-        ids = self.encoded(keys)
-        counts, texts, links = np.full((len(keys), 4), -1, np.int64), [""] * len(keys), []
-        fine = [k for k, x in enumerate(ids) if x is not None]
-        size = np.cumsum([len(ids[k][0]) // 4 for k in fine])
-        at = 0
-        while at < len(fine):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOKENS, "right")))
-            part = fine[at:end]
-            n, text, link = self._block([ids[k][0] for k in part], [ids[k][1] for k in part], np.array(part, np.int32))
-            counts[part] = n
-            for k, t in zip(part, text, strict=True):
-                texts[k] = t
-            links.append(link)
+        self.tables = []
+        for names in (self.bytes_a, self.bytes_b):
+            sizes = np.array([len(x) for x in names], np.int64)
+            self.tables.append((np.frombuffer(b"".join(names), np.uint8), np.cumsum(sizes) - sizes, sizes))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.counts = np.zeros((0, 4), np.int64)
+        self.groups: list[str] = []
+        self.first = np.zeros(1, np.int64)
+        self.links = np.zeros((2, 0), np.int32)
+
+    def ids_a(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def ids_b(self, text: str) -> list[int]:
+        """The pieces of a text that begins with white space, without a space of the model's own."""
+        if text == " ":
+            return [self.space]
+        return self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By either tokenizer the ids of cuts and the bytes that each cut's ids stand for, as far as those are the cut
+        (else it has no ids).
+
+        Cuts in a row are encoded as one text, as in the texts that they come from. Where that does not give its bytes
+        back or the ends of its cuts, and for cuts that end in white space, it is done cut by cut.
+        """
+        data, bounds = text_buffer(pa.array(texts, pa.large_string()))
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for at in range(0, len(texts), JOINED):
+            part = texts[at : at + JOINED]
+            inner = bounds[at : at + len(part) + 1] - bounds[at]
+            bare = data[bounds[at] : bounds[at + len(part)]]
+            joined = None if any(t[-1].isspace() for t in part) else "".join(part)
+            both = []
+            for encode, table in ((self.ids_a, self.tables[0]), (self.ids_b, self.tables[1])):
+                ids = np.array(encode(joined) if joined is not None else [], np.int32)
+                ends = np.cumsum(table[2][ids])
+                upto = np.searchsorted(ends, inner[1:], "right")
+                if joined is None or len(ends) == 0 or ends[-1] != inner[-1] or (ends[upto - 1] != inner[1:]).any() or (_gather(*table, ids) != bare).any():
+                    break
+                both.append((ids, np.diff(upto, prepend=0)))
+            if len(both) < 2:
+                both = [list(x) for x in zip(*(self._alone(t) for t in part), strict=True)]
+                both = [(np.concatenate(x) if x else np.zeros(0, np.int32), np.array([len(i) for i in x], np.int64)) for x in both]
+            for k in (0, 1):
+                found[k].append(both[k])
+        return [(np.concatenate([x[0] for x in f]), np.concatenate([x[1] for x in f])) for f in found]
+
+    def _alone(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        both = [np.array(x, np.int32) for x in (self.ids_a(text), self.ids_b(text))]
+        same = all(_gather(*t, x).tobytes() == text.encode() for t, x in zip(self.tables, both, strict=True))
+        return tuple(both) if same else (np.zeros(0, np.int32),) * 2
+
+    def numbered(self, keys: Iterator[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int32)
+
+    def align(self) -> None:
+        """Align the cuts that have a number only."""
+        known = len(self.groups)
+        new = list(itertools.islice(self.numbers, known, None))
+        texts = [k[1:] if k[:1] == _BARE and k[1:2] in ("\n", "\t") else f" {k}" for k in new]
+        if not new:
+            return
+        (a, n_a), (b, n_b) = self.encoded(texts)
+        at_a, at_b = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        at, parts = 0, []
+        while at < len(new):
+            end = max(at + 1, int(np.searchsorted(at_a, at_a[at] + TOKENS, "right")) - 1)
+            parts.append(self._block(a[at_a[at] : at_a[end]], n_a[at:end], b[at_b[at] : at_b[end]], n_b[at:end]))
             at = end
-        none = pa.table({"cut": pa.array([], pa.int32()), "a": pa.array([], pa.int32()), "b": pa.array([], pa.int32())})
-        return counts, texts, pa.concat_tables([none, *links])
-
-    def _intervals(self, ids: list[bytes], sizes: np.ndarray, cut: np.ndarray) -> pa.Table:
-        n = np.array([len(x) // 4 for x in ids])
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        end = np.cumsum(sizes[flat])
-        return pa.table({"k": np.arange(len(flat), dtype=np.int32), "cut": np.repeat(cut, n), "id": flat, "s": end - sizes[flat], "e": end})
-
-    def _block(self, a: list[bytes], b: list[bytes], cut: np.ndarray) -> tuple[np.ndarray, list[str], pa.Table]:
-        db, tables = self.db, {"a": self._intervals(a, self.size_a, cut), "b": self._intervals(b, self.size_b, cut)}
-        for name, table in tables.items():
-            db.register("given", table)
+        self.counts = np.concatenate([self.counts, *(p[0] for p in parts)])
+        for p in parts:
+            self.groups += p[1]
+        self.first = np.r_[0, np.cumsum(np.maximum(self.counts[:, 3], 0))]
+        self.links = np.concatenate([self.links, *(p[2] for p in parts)], 1)
+
+    def _block(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """For each cut its numbers of tokens, pieces, groups and links (-1 where it has no tokens) and its groups as
+        text; the links by cut."""
+        db, tables = self.db, {}
+        for name, ids, n, sizes in (("a", a, n_a, self.tables[0][2]), ("b", b, n_b, self.tables[1][2])):
+            end = np.cumsum(sizes[ids])
+            tables[name] = pa.table({"k": np.arange(len(ids), dtype=np.int32), "cut": np.repeat(np.arange(len(n), dtype=np.int32), n), "id": ids, "s": end - sizes[ids], "e": end})
+            db.register("given", tables[name])
             db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
             db.unregister("given")
         db.execute("CREATE OR REPLACE TEMP TABLE covered AS SELECT a.cut, a.id AS a, b.id AS b, a.s, a.e, b.e < a.e AS more FROM a ASOF JOIN b ON a.s >= b.s")
-        link = db.sql("""SELECT cut, a, b FROM covered UNION ALL
-SELECT c.cut, c.a, b.id FROM (SELECT * FROM covered WHERE more) c JOIN (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.s = b.s)) b ON b.s > c.s AND b.s < c.e""").to_arrow_table()
-        grouped = """SELECT sum(CASE WHEN y.e IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY x.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM {} x LEFT JOIN {} y ON y.e = x.e ORDER BY x.k"""
+        link = db.execute("""SELECT cut, a, b FROM (SELECT cut, a, b FROM covered UNION ALL
+SELECT c.cut, c.a, b.id FROM (SELECT * FROM covered WHERE more) c JOIN (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.s = b.s)) b ON b.s > c.s AND b.s < c.e) z ORDER BY cut""").fetchnumpy()
         joined = []
         for x, y in (("a", "b"), ("b", "a")):
-            g = db.execute(grouped.format(x, y)).fetchnumpy()["g"]
-            g = np.ma.filled(g, 0).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else g
+            g = db.execute(f"""SELECT coalesce(sum(CASE WHEN y.e IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY x.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS g
+FROM {x} x LEFT JOIN {y} y ON y.e = x.e ORDER BY x.k""").fetchnumpy()["g"]
+            first = np.flatnonzero(np.diff(g, prepend=-1))
             names = tables[x].column("id").cast(pa.string()).combine_chunks()
             joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[first, len(g)], pa.int32()), names), ","))
             if x == "a":
                 of = tables[x].column("cut").to_numpy()[first]
-        bound = np.searchsorted(of, np.r_[cut, cut[-1] + 1])
+        bound = np.searchsorted(of, np.arange(len(n_a) + 1))
         groups = pc.binary_join_element_wise(*joined, "|")
         text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bound, pa.int32()), groups), ";").to_pylist()
-        n_links = np.bincount(np.searchsorted(cut, link.column("cut").to_numpy()), minlength=len(cut))
-        return np.stack([[len(x) // 4 for x in a], [len(x) // 4 for x in b], np.diff(bound), n_links], 1), text, link
+        counts = np.stack([n_a, n_b, np.diff(bound), np.bincount(link["cut"], minlength=len(n_a))], 1)
+        counts[n_a == 0] = -1
+        return counts, text, np.stack([link["a"], link["b"]]).astype(np.int32)
 
     def chunk(self, number: int, ids: pa.ChunkedArray, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
         """Rows of CHUNKS: one for each text, one for each pair of ids linked in any."""
-        numbers = _Numbers()
+        if len(self.groups) > REMEMBERED:
+            self.forget()
         parts, n = [], []
         for text in texts:
-            mine = [np.fromiter(map(numbers.__getitem__, cuts(s)), np.int32) for s in sections(" " + text)] if text else []
+            mine = [self.numbered(cuts(s)) for s in sections(" " + text)] if text else []
             parts += mine
             n.append(sum(map(len, mine)))
+        self.align()
+        counts, groups = self.counts, self.groups
         flat, n = np.concatenate([*parts, np.zeros(0, np.int32)]), np.array(n, np.int64)
-        counts, groups, links = self.aligned(list(numbers))
         first = np.r_[0, np.cumsum(n)]
         fine = (n > 0) & (per_row(counts[flat, 0], first, np.minimum) >= 0)
         keep = np.repeat(fine, n)
@@ -214,6 +251,10 @@ SELECT c.cut, c.a, b.id FROM (SELECT * FROM covered WHERE more) c JOIN (SELECT *
         lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32()))
         yield _rows(0, number, m, [ids, *map(pa.array, sums), pa.array(shas), none(m, pa.int32()), none(m, pa.int32()), none(m, pa.int64()), lists])
         given = pa.table({"doc": np.repeat(np.arange(m, dtype=np.int32), np.diff(first)), "cut": flat})
+        own = np.unique(flat)
+        size = np.maximum(counts[own, 3], 0)
+        at = np.repeat(self.first[own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        links = pa.table({"cut": np.repeat(own, size), "a": self.links[0][at], "b": self.links[1][at]})
         self.db.register("given", given)
         self.db.register("links", links)
         pairs = self.db.sql("""WITH p AS (SELECT a, b, list(cut) AS cuts FROM links GROUP BY a, b), lp AS (SELECT DISTINCT cut, a, b FROM links),

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,24 +171,35 @@ def test_alignment_equals_brute_force(spark, pair):
     assert got == [(k, *x) for k, x in enumerate(aligned(pair, texts))]
 
 
+def told(pair, text):
+    """The cuts of a text with their counts, groups and links."""
+    flat = pair.numbered(align.cuts(" " + text))
+    pair.align()
+    return [(pair.counts[c].tolist(), pair.groups[c], sorted(pair.links[:, pair.first[c] : pair.first[c + 1]].T.tolist())) for c in flat.tolist()]
+
+
 def test_alignment_in_blocks_and_sections(pair, monkeypatch):
-    text = "The first line, and über.\nThe second line\n\nwith  gaps " * 40
-    whole = pair.aligned(list(dict.fromkeys(align.cuts(" " + text))))
+    text = "The first line, and über.\nThe second line\n\nwith  gaps ▁ and " * 40
+    pair.forget()
+    whole = told(pair, text)
     monkeypatch.setattr(align, "TOKENS", 7)
     monkeypatch.setattr(align, "SECTION", 30)
+    monkeypatch.setattr(align, "JOINED", 5)
     parts = list(align.sections(" " + text))
     assert len(parts) > 20 and "".join(parts) == " " + text
     assert [c for p in parts for c in align.cuts(p)] == align.cuts(" " + text)
-    again = pair.aligned(list(dict.fromkeys(align.cuts(" " + text))))
-    assert whole[0].tolist() == again[0].tolist() and whole[1] == again[1]
-    assert sorted(map(str, whole[2].to_pylist())) == sorted(map(str, again[2].to_pylist()))
-
-
-def test_known_cuts_turn(pair, monkeypatch):
-    monkeypatch.setattr(align, "REMEMBERED", 3)
-    keys = [f"w{k}" for k in range(10)]
-    first = pair.encoded(keys)
-    assert pair.encoded(keys[::-1]) == first[::-1] and pair.encoded(["other"]) and pair.encoded(keys) == first
+    pair.forget()
+    assert told(pair, text) == whole
+
+
+def test_cuts_are_known_and_forgotten(pair, monkeypatch):
+    texts = ["one two three", "two three four", None, "one ▁ x", "one two three"]
+    rows = lambda: [x for k in range(2) for b in pair.chunk(k, pa.chunked_array([pa.array(range(5))]), texts) for x in b.select(["kind", "doc_id", "n_a", "n_links", "groups_sha256", "a", "b", "docs"]).to_pylist()]
+    pair.forget()
+    key = lambda r: str(sorted(r.items()))
+    first = sorted(map(key, rows()))
+    monkeypatch.setattr(align, "REMEMBERED", 2)
+    assert sorted(map(key, rows())) == first
 
 
 def test_alignment_of_nothing(spark):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import path_name
-from isoloom.operators.intervals import BROADCAST_ROWS, islands, overlap_anti
+from isoloom.operators.intervals import BROADCAST_ROWS, overlap_anti
+from isoloom.operators.scans import ORDER_CHUNK, runs
 from isoloom.schema import UNMAPPED, FilterParams
 
 
@@ -33,16 +34,12 @@ def outside(aln: DataFrame, mask: DataFrame, strict: bool = False, broadcast_row
     return overlap_anti(spans, other, "_from", "_to", rows=broadcast_rows).drop("_from", "_to")
 
 
-def best(rows: DataFrame, params: FilterParams = FilterParams(), partition: list[str] | None = None) -> DataFrame:
+def best(rows: DataFrame, params: FilterParams = FilterParams(), partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
     """The best alignment of each run of equal names, if the second stays clearly below.
 
-    Runs follow ``ord``. ``partition`` names columns that never split a run (an input file), so that no single task
-    has to see all rows.
+    Runs follow ``ord``, over the edges of splits and chunks; those of ``partition`` (an input file) are apart.
     """
-    keys = partition or []
-    order = Window.partitionBy(*keys).orderBy("ord")
-    runs = islands(rows, keys, ["ord"], F.col("qname") != F.lag("qname").over(order))
-    return _kept(runs, [*keys, "island"], params)
+    return _kept(runs(rows, "qname", "island", partition, chunk), [*(partition or []), "island"], params)
 
 
 def _kept(rows: DataFrame, run: list[str], params: FilterParams) -> DataFrame:

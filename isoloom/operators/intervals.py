@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoloom.operators.scans import with_chunk_columns
+
 #: Width of a bin of coordinates: about the length of a gene, so most intervals fall into one or two.
 BIN = 1 << 15
 #: Rows of an interval table up to which it may be broadcast (checked by a count bounded by this).
@@ -49,12 +51,6 @@ def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, wid
     return key.join(bad, "_key", "left_anti").drop("_key")
 
 
-def islands(df: DataFrame, partition: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
-    """Number the runs that begin where ``breaks`` holds (a null counts as a begin)."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def overlap_islands(df: DataFrame, partition: list[str], order: list[str], touch: bool, name: str = "island", chunk: Column | None = None) -> DataFrame:
     """Runs of overlapping intervals (start, end). With ``touch``, an equal end and start overlap too.
 
@@ -69,25 +65,15 @@ def overlap_islands(df: DataFrame, partition: list[str], order: list[str], touch
     inside = Window.partitionBy(*keys).orderBy(*order)
     reach = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_into"))
     begins = (F.col("start") > reach) if touch else (F.col("start") >= reach)
-    marked = _same(rows, before, partition).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
+    marked = with_chunk_columns(rows, before, partition).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
     marked = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     last = marked.groupBy(*keys).agg(F.sum("_new").alias("_n"))
     number = F.when(F.col("_n") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_n").cast("string")))
     earlier = last.select(*keys, F.last(number, ignorenulls=True).over(along).alias("_from"))
-    out = _same(marked, earlier, partition)
+    out = with_chunk_columns(marked, earlier, partition)
     return out.withColumn(name, F.when(F.col("_run") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_run").cast("string"))).otherwise(F.col("_from"))).drop("_chunk", "_into", "_new", "_run", "_from")
 
 
-def _same(rows: DataFrame, chunks: DataFrame, partition: list[str]) -> DataFrame:
-    """``rows`` with the further columns of their chunk; null keys are equal."""
-    keys = [*partition, "_chunk"]
-    named = chunks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in chunks.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(named, on).drop(*[f"_k_{k}" for k in keys])
-
-
 def union(df: DataFrame, partition: list[str]) -> DataFrame:
     """Merged intervals: an interval joins the one before if it starts at or before its end."""
     runs = overlap_islands(df, partition, ["start", "end"], touch=True)

@@ -8,30 +8,26 @@ from pyspark.sql import functions as F
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import coverage_score, gtf_line, tagged
 from isoloom.operators.intervals import overlap_islands
+from isoloom.operators.scans import ORDER_CHUNK, carried
 from isoloom.schema import UNMAPPED, ExonParams
 
 
-#: Order keys that are looked through together: about a megabyte of lines.
-ORDER_CHUNK = 1 << 20
+def carry_transcript(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
+    """Give each line the number of the latest transcript line up to it (order ``ord``), over the edges of splits.
 
-
-def carry_transcript(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """Give each exon line the number of the latest transcript line before it (file order ``ord``).
-
-    ``partition`` names columns that never split a transcript (an input file); without it one task sees all lines.
+    ``partition`` names columns (an input file) over which nothing is carried.
     """
-    at = Window.partitionBy(*(partition or [])).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("tx", F.last_value(F.when(F.col("type") == "transcript", F.col("ord")), ignoreNulls=True).over(at))
+    return carried(lines, {"tx": F.when(F.col("type") == "transcript", F.col("ord"))}, partition, chunk)
 
 
-def assemble(lines: DataFrame, min_exons: int = 2, partition: list[str] | None = None) -> DataFrame:
+def assemble(lines: DataFrame, min_exons: int = 2, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
     """Transcripts of annotation lines (ord, chr, type, start, end, is_rev, gene_id, ...).
 
     Names are those of the last exon line. Transcripts with fewer than ``min_exons`` exons go, but the last of the
     input stays with one exon or more.
     """
     keys = partition or []
-    used = carry_transcript(lines.where(F.col("type").isin("transcript", "exon")), keys).where("tx IS NOT NULL AND type = 'exon'")
+    used = carry_transcript(lines.where(F.col("type").isin("transcript", "exon")), keys, chunk).where("tx IS NOT NULL AND type = 'exon'")
     named = [F.max_by(c, "ord").alias(c) for c in ("chr", "is_rev", "gene_id", "gene_name", "transcript_id", "transcript_name")]
     one = used.groupBy(*keys, "tx").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"), *named)
     last = one.agg(F.max("tx").alias("last"))
@@ -62,7 +58,7 @@ def fuse_genes(genes: DataFrame) -> DataFrame:
     return runs.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first, F.count("*").alias("n_genes")).drop("island").orderBy("tid", "start", "end")
 
 
-def gene_groups(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
+def gene_groups(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
     """Genes of annotation lines (ord, tid, chr, type, start, end, is_rev, names) with their transcripts and exons.
 
     A transcript belongs to the gene line before it, an exon to the transcript line before it; genes that overlap in
@@ -72,10 +68,9 @@ def gene_groups(lines: DataFrame, partition: list[str] | None = None) -> DataFra
     """
     keys = partition or []
     used = lines.where(F.col("type").isin("gene", "transcript", "exon"))
-    along = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    of = lambda kind: F.last_value(F.when(F.col("type") == kind, F.col("ord")), ignoreNulls=True).over(along)
-    placed = used.withColumns({"_gene": of("gene"), "_tx": of("transcript")})
-    genes = overlap_islands(placed.where("type = 'gene'"), ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / ORDER_CHUNK))
+    of = lambda kind: F.when(F.col("type") == kind, F.col("ord"))
+    placed = carried(used, {"_gene": of("gene"), "_tx": of("transcript")}, keys, chunk)
+    genes = overlap_islands(used.where("type = 'gene'"), ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / chunk))
     exons = placed.where("type = 'exon' AND _tx IS NOT NULL").groupBy(F.col("_tx").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("_e"))
     in_order = F.transform("_e", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
     tx = placed.where("type = 'transcript' AND _gene IS NOT NULL").join(exons, F.col("ord") == F.col("_of"), "left")
@@ -97,7 +92,7 @@ def chromosome_ids(lines: DataFrame) -> DataFrame:
     return first.select("chr", (F.row_number().over(Window.orderBy("ord")) - 1).alias("tid"))
 
 
-def sort_lines(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
+def sort_lines(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
     """Transcript and exon lines by chromosome, start and end of their transcript, then file order.
 
     chr1 to chr22, X, Y and M come first; further names follow in order of their first transcript line.
@@ -107,9 +102,8 @@ def sort_lines(lines: DataFrame, partition: list[str] | None = None) -> DataFram
     known = F.when(F.col("chr").rlike("^chr([1-9]|1[0-9]|2[0-2])$"), F.substring("chr", 4, 2).cast("int")).when(F.col("chr") == "chrX", 23).when(F.col("chr") == "chrY", 24).when(F.col("chr") == "chrM", 25)
     other = used.where(is_tx).withColumn("k", known).where("k IS NULL").groupBy("chr").agg(F.min("ord").alias("o"))
     rank = other.select(F.col("chr").alias("_chr"), (25 + F.row_number().over(Window.orderBy("o"))).alias("_rank"))
-    at = Window.partitionBy(*(partition or [])).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    carried = used.withColumns({f"tx_{c}": F.last_value(F.when(is_tx, F.col(c)), ignoreNulls=True).over(at) for c in ("chr", "start", "end")})
-    joined = carried.join(F.broadcast(rank), carried["tx_chr"] == rank["_chr"], "left")  # one row a chromosome
+    named = carried(used, {f"tx_{c}": F.when(is_tx, F.col(c)) for c in ("chr", "start", "end")}, partition, chunk)
+    joined = named.join(F.broadcast(rank), F.col("tx_chr") == F.col("_chr"), "left")  # one row a chromosome
     tx_known = F.when(F.col("tx_chr").rlike("^chr([1-9]|1[0-9]|2[0-2])$"), F.substring("tx_chr", 4, 2).cast("int")).when(F.col("tx_chr") == "chrX", 23).when(F.col("tx_chr") == "chrY", 24).when(F.col("tx_chr") == "chrM", 25)
     return joined.withColumn("rank", F.coalesce(tx_known, F.col("_rank"), F.lit(0))).orderBy("rank", F.coalesce("tx_start", F.lit(0)), F.coalesce("tx_end", F.lit(0)), "ord").select("ord", "rank", "tx_start", "tx_end", "value")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.operators import filtering, junctions, novelty, transcripts
+from isoloom.operators.scans import ORDER_CHUNK
 from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParams
 
 
@@ -46,5 +47,5 @@ def novel_lines(reads: DataFrame, anno: DataFrame, params: UpdateParams = Update
     return transcripts.novel_lines(novel_transcripts(reads, anno, params, introns), params.source)
 
 
-def sorted_lines(lines: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    return transcripts.sort_lines(lines, partition)
+def sorted_lines(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
+    return transcripts.sort_lines(lines, partition, chunk)

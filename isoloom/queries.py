@@ -12,6 +12,7 @@ from isoloom.functions import attributes as at
 from isoloom.functions import cigar as cg
 from isoloom.functions import strings
 from isoloom.operators import details, filtering, intervals, junctions, novelty, transcripts
+from isoloom.operators.scans import numbered
 from isoloom.plans import commands
 from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParams
 from isoloom.sources import sinks, text
@@ -165,8 +166,9 @@ def filter_best(spark, d):
 
 @query(f"WITH {AL}, ok AS (SELECT * FROM al WHERE {OK}) {BEST}")
 def filter_islands(spark, d):
-    rows = filtering.confident(views.grouped_alignments(spark, d)).withColumn("part", F.floor(F.col("ord") / 3000))
-    return filtering.best(rows, partition=["part"]).select("qname", "ord", F.col("score").cast("long").alias("score"), F.col("second").cast("long").alias("second"))
+    """Runs of names in the order of the input, in chunks of 4096 rows whose edges cut many of them."""
+    rows = filtering.confident(views.grouped_alignments(spark, d))
+    return filtering.best(rows, chunk=4096).select("qname", "ord", F.col("score").cast("long").alias("score"), F.col("second").cast("long").alias("second"))
 
 
 @query(f"""WITH {TX}, {AL}, {MASK}, ok AS (SELECT * FROM al WHERE {OK} AND NOT EXISTS (SELECT 1 FROM mask m WHERE m.tid = al.tid AND m.start <= al.pos + al.rlen - 1 AND m.e >= al.pos))
@@ -467,15 +469,13 @@ def gtf_attrs(spark, d):
 
 @query(f'WITH {TX} SELECT tx*100 AS tx, s0 AS start, e0 AS "end", CAST(n AS INT) AS n_exons, concat(\'t\', CAST(tx AS VARCHAR)) AS transcript_id FROM tx WHERE n > 1 OR tx = (SELECT max(tx) FROM tx)')
 def gtf_assemble(spark, d):
-    rows = _lines(spark, d).withColumn("part", F.floor(F.col("ord") / 1_000_000))
-    return transcripts.assemble(rows, partition=["part"]).select("tx", "start", "end", F.size("exons").alias("n_exons"), "transcript_id")
+    return transcripts.assemble(_lines(spark, d)).select("tx", "start", "end", F.size("exons").alias("n_exons"), "transcript_id")
 
 
 @query(f"""WITH {TX}, o AS (SELECT tx*100 AS ord, tid, s0, e0 FROM tx UNION ALL SELECT ex.tx*100+k+1, ex.tid, s0, e0 FROM ex JOIN tx ON tx.tx = ex.tx)
 SELECT ord, CASE WHEN tid < 22 THEN tid+1 ELSE 25 + (SELECT count(*) FROM (SELECT tid, min(ord) AS f FROM o GROUP BY tid) z WHERE z.tid >= 22 AND z.f <= (SELECT min(ord) FROM o q WHERE q.tid = o.tid)) END AS rank, s0 AS tx_start, e0 AS tx_end FROM o""".replace("AS rank", "AS \"rank\""))
 def sorted_gtf(spark, d):
-    rows = _lines(spark, d).withColumn("part", F.floor(F.col("ord") / 1_000_000))
-    return commands.sorted_lines(rows, ["part"]).select("ord", F.col("rank").cast("long").alias("rank"), "tx_start", "tx_end")
+    return commands.sorted_lines(_lines(spark, d)).select("ord", F.col("rank").cast("long").alias("rank"), "tx_start", "tx_end")
 
 
 @query(f"WITH {TX} SELECT concat('chr', CAST(tid+1 AS VARCHAR)) AS chr, CAST(row_number() OVER (ORDER BY min(tx)) - 1 AS INT) AS tid FROM tx GROUP BY tx.tid")
@@ -557,16 +557,16 @@ def string_functions(spark, d):
 
 
 @query(f"""WITH {TX} SELECT concat('t', CAST(tx AS VARCHAR)) AS qname, CAST(CASE WHEN tx % 5 = 0 THEN 0 ELSE 2 END + is_rev * 16 AS INT) AS flag, CAST(tid AS INT) AS tid, CAST(s0 - 1 AS INT) AS pos,
-CAST(2 * n - 1 AS INT) AS n_ops, CASE WHEN tx % 2 = 0 THEN 1 ELSE 2 END AS nh, CAST(row_number() OVER (ORDER BY tx % 2, tx) - 1 AS BIGINT) AS place FROM tx""")
+CAST(2 * n - 1 AS INT) AS n_ops, CASE WHEN tx % 2 = 0 THEN 1 ELSE 2 END AS nh, CAST(row_number() OVER (PARTITION BY tx % 2 ORDER BY tx) - 1 AS BIGINT) AS place FROM tx""")
 def sam_scan(spark, d):
     """Two SAM files with headers of their own: even reads in one, odd ones in the other."""
-    rows = text.sam(spark, views.sam_files(spark, d))
-    place = F.row_number().over(Window.orderBy("ord")) - 1  # a test of the order key; one task
-    return rows.select("qname", "flag", "tid", "pos", F.size("cigar").alias("n_ops"), "nh", place.cast("long").alias("place"))
+    rows = numbered(text.sam(spark, views.sam_files(spark, d)), "place", ["file"])
+    return rows.select("qname", "flag", "tid", "pos", F.size("cigar").alias("n_ops"), "nh", "place")
 
 
-@query("SELECT CAST(range AS INT) AS tid, concat('chr', CAST(range+1 AS VARCHAR)) AS chr, CAST(1000000+range AS BIGINT) AS len FROM range(25)")
+@query(f"WITH {TX} SELECT CAST(row_number() OVER (ORDER BY min(tx % 2), min(tx.tid)) - 1 AS INT) AS tid, concat('chr', CAST(tx.tid+1 AS VARCHAR)) AS chr, CAST(max(e0) AS BIGINT) AS len FROM tx GROUP BY tx.tid")
 def sam_dictionary(spark, d):
+    """A header names the sequences of its own half's reads, each as long as its last read reaches in either half."""
     return text.sam_header(spark, views.sam_files(spark, d)).select(F.col("tid").cast("int").alias("tid"), "chr", "len")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
-from isoloom.sources import bam
+from isoloom.sources import bam, sinks
 from isoloom.storage import shared_folder
 
 EXON = """
@@ -47,12 +47,14 @@ def stored_text(lines: DataFrame) -> str:
 def sam_files(spark: SparkSession, sf_dir: str) -> str:
     """SAM text of the transcripts' alignments: a file of the even ones, then a file of the odd ones."""
     aln = alignments_of(transcripts(spark, sf_dir)).withColumn("half", F.col("ord") % 2)
-    head = spark.range(50).select(F.floor(F.col("id") / 25).cast("long").alias("half"), (F.col("id") % 25 - 25).alias("ord"), F.format_string("@SQ\tSN:chr%d\tLN:%d", F.col("id") % 25 + 1, F.col("id") % 25 + 1_000_000).alias("value"))
+    tx = transcripts(spark, sf_dir)
+    sizes = tx.groupBy("tid", "chr").agg(F.max("end").alias("len"))
+    head = tx.select(F.col("tid"), (F.col("tx") % 2).alias("half")).distinct().join(sizes, "tid").select("half", (F.col("tid") - 1_000_000).cast("long").alias("ord"), F.format_string("@SQ\tSN:%s\tLN:%d", "chr", "len").alias("value"))
     fields = ["qname", F.col("flag").cast("string"), "chr", (F.col("pos") + 1).cast("string"), F.lit("60"), cg.text(F.col("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), F.repeat(F.lit("A"), F.col("l_qseq")), F.lit("*"), F.format_string("NH:i:%d", "nh")]
     rows = head.unionByName(aln.select("half", "ord", F.concat_ws("\t", *fields).alias("value")))
     base = shared_folder(spark)
     for half in (0, 1):
-        rows.where(F.col("half") == half).orderBy("ord").select("value").coalesce(1).write.text(f"{base}/half={half}")
+        sinks.write_single(rows.where(F.col("half") == half).select("ord", "value"), f"{base}/half-{half}.sam", ["ord"])
     return base
 
 
@@ -62,9 +64,9 @@ def bam_copy(spark: SparkSession, aln: DataFrame) -> DataFrame:
     names = ",".join(f"chr{k + 1}:{1_000_000 + k}" for k in range(25))
     first, second = shared_folder(spark), shared_folder(spark)
     aln.write.format("bam").mode("append").option("header", names).save(first)
-    rows = spark.read.format("bam").load(first)
+    rows = spark.read.format("bam").option("split", 1 << 17).load(first)
     rows.withColumn("qname", F.concat("qname", F.lit(".z"))).write.format("bam").mode("overwrite").option("header", names).save(second)
-    return spark.read.format("bam").load(second)
+    return spark.read.format("bam").option("split", 1 << 17).load(second)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

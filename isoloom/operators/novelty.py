@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoloom.operators.intervals import band_join, overlap_islands
+from isoloom.operators.intervals import band_join
 from isoloom.schema import UpdateParams
+from isoloom.storage import written
 
 
 def pairs(reads: DataFrame, anno: DataFrame) -> DataFrame:
@@ -116,48 +116,6 @@ def contains_chain(a: list, b: list, distance: int) -> bool:
     return False
 
 
-def fold(rows: list[dict], distance: int) -> list[dict]:
-    """The ordered merge of one locus: a read joins the newest kept transcript that it equals (coverage, ends) or whose
-    chain contains it; otherwise it is kept if ``emit``. The search ends at the first kept one that lies before it."""
-    kept: list[dict] = []
-    for r in rows:
-        for t in reversed(kept):
-            if t["is_rev"] == r["is_rev"] and same_chain(r["exons"], t["exons"], distance):
-                t["cov"] += 1
-                t["exons"][0][0] = min(t["exons"][0][0], r["exons"][0][0])
-                t["exons"][-1][1] = max(t["exons"][-1][1], r["exons"][-1][1])
-                break
-            if t["is_rev"] == r["is_rev"] and contains_chain(r["exons"], t["exons"], distance):
-                break
-            if r["start"] > t["exons"][-1][1]:
-                if r["emit"]:
-                    kept.append(r | {"cov": 1})
-                break
-        else:
-            if r["emit"]:
-                kept.append(r | {"cov": 1})
-    return kept
-
-
-def merge(flags: DataFrame, params: UpdateParams) -> DataFrame:
-    """Kept novel transcripts with coverage. The only ordered step: a fold over each locus of overlapping reads."""
-    runs = overlap_islands(flags, ["tid"], ["start", "end", "tx"], touch=True, name="locus")
-    names = ["chr", "new_gene_id", "new_gene_name", "transcript_id", "transcript_name"]
-    slim = runs.select("tid", "locus", "tx", "is_rev", "start", "exons", "emit", "all_novel", *names)
-    distance = params.distance
-
-    def locus(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r | {"exons": [[e["start"], e["end"]] for e in r["exons"]]} for r in pdf.sort_values(["start", "tx"]).to_dict("records")]
-        kept = fold(rows, distance)
-        out = [{"tx": t["tx"], "tid": t["tid"], "is_rev": t["is_rev"], "cov": t["cov"], "all_novel": t["all_novel"], "exons": [{"start": s, "end": e} for s, e in t["exons"]], **{n: t[n] for n in names}} for t in kept]
-        return pd.DataFrame(out, columns=["tx", "tid", "is_rev", "cov", "all_novel", "exons", *names])
-
-    schema = "tx long, tid int, is_rev int, cov long, all_novel boolean, exons array<struct<start:int,end:int>>, " + ", ".join(f"{n} string" for n in names)
-    kept = slim.groupBy("tid", "locus").applyInPandas(locus, schema)
-    ends = kept.withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
-    return ends.withColumns({"gene_id": F.col("new_gene_id"), "gene_name": F.col("new_gene_name")}).drop("new_gene_id", "new_gene_name")
-
-
 def name_unclassified(novel: DataFrame) -> DataFrame:
     """gene_name UNCLA_<n> for unclassified transcripts, numbered in output order (tid, start, tx) from 0.
 
@@ -166,7 +124,7 @@ def name_unclassified(novel: DataFrame) -> DataFrame:
     mark = novel.where("all_novel")
     parts = mark.repartitionByRange("tid", "start", "tx").sortWithinPartitions("tid", "start", "tx").withColumn("_part", F.spark_partition_id())
     w = Window.partitionBy("_part").orderBy("tid", "start", "tx")
-    local = parts.select("tx", "_part", F.row_number().over(w).alias("_n"))
+    local = written(parts.select("tx", "_part", F.row_number().over(w).alias("_n")))  # once, as ranges may fall otherwise another time
     before = local.groupBy("_part").agg(F.count("*").alias("c")).select("_part", F.coalesce(F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = local.join(F.broadcast(before), "_part").select("tx", (F.col("_n") + F.col("_before") - 1).alias("_k"))  # one row a partition
     return novel.join(number, "tx", "left").withColumn("gene_name", F.when(F.col("_k").isNotNull(), F.concat(F.lit("UNCLA_"), F.col("_k").cast("string"))).otherwise(F.col("gene_name"))).drop("_k")

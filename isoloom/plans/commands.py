@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
-from isoloom.operators import filtering, junctions, novelty, transcripts
+from isoloom.operators import filtering, junctions, merging, novelty, transcripts
 from isoloom.operators.scans import ORDER_CHUNK
 from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParams
 
@@ -38,7 +38,7 @@ def with_anchors(aln: DataFrame, least: int, min_intron: int = 3) -> DataFrame:
 
 def novel_transcripts(reads: DataFrame, anno: DataFrame, params: UpdateParams = UpdateParams(), introns: DataFrame | None = None) -> DataFrame:
     """Novel transcripts with coverage, merged."""
-    kept = novelty.merge(novelty.classify(reads, anno, params, introns), params)
+    kept = merging.merge(novelty.classify(reads, anno, params, introns), params)
     return novelty.name_unclassified(kept) if params.keep_unclassified else kept
 
 

@@ -34,8 +34,8 @@ SHARD = 1 << 16
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 13
-#: Shards that one row asks a task to draw.
-DRAWN = 1 << 12
+#: Shards that one row asks a task to draw; tasks at most that fill slots.
+DRAWN, TASKS = 1 << 12, 10_000
 _ROUNDS = 4
 _U = np.uint64
 
@@ -120,10 +120,11 @@ def draws(sources: DataFrame, slots: int, shard: int = SHARD) -> DataFrame:
     return asked.repartition("k", "first").mapInArrow(run, "k long, shard long, n long, before long, blocks long")
 
 
-def slot_table(drawn_slots: DataFrame, seed: int = SEED) -> DataFrame:
-    """shard, slot, k, block, pass: what stands in each slot of each output shard."""
+def slot_table(drawn_slots: DataFrame, tasks: int, seed: int = SEED) -> DataFrame:
+    """shard, slot, k, block, pass: what stands in each slot of each output shard, by that many tasks."""
     ahead = Window.partitionBy("shard").orderBy("k")
-    rows = drawn_slots.withColumn("ahead", F.sum("n").over(ahead) - F.col("n")).withColumn("in_shard", F.sum("n").over(Window.partitionBy("shard")))
+    # a row is thousands of slots, so the number of tasks must not follow from the bytes of the rows
+    rows = drawn_slots.repartition(tasks, "shard").withColumn("ahead", F.sum("n").over(ahead) - F.col("n")).withColumn("in_shard", F.sum("n").over(Window.partitionBy("shard")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,18 +157,21 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("tie")))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     blocks = F.ceil(F.col("source_size") / block)
-    slots = F.coalesce(F.round(F.col("target") * blocks / F.nullif(F.col("source_size"), F.lit(0).cast("long"))), F.lit(0)).cast("long")
-    aims = written(aims.withColumn("blocks", blocks).withColumn("slots", F.least(slots, MOST * blocks)))
+    wanted = F.coalesce(F.round(F.col("target") * blocks / F.nullif(F.col("source_size"), F.lit(0).cast("long"))), F.lit(0)).cast("long")
+    aims = written(aims.withColumn("blocks", blocks).withColumn("slots", F.least(wanted, MOST * blocks)))
     whole = aims.agg(F.sum("slots"), F.count("*")).first()
     placed = running(sized, ["source"], ["doc_id", "size", "tie"], "size")
     names = aims.select(F.col("source").alias("_source"), "k", "source_size", "target")
     named = placed.join(F.broadcast(names) if whole[1] <= BROADCAST_SUMS else names, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return pieces(named, block), slot_table(draws(aims.where("slots > 0"), whole[0] or 0, shard), seed)
+    slots = whole[0] or 0
+    tasks = min(TASKS, max(1, -(-slots // shard)))
+    return pieces(named, block), slot_table(draws(aims.where("slots > 0"), slots, shard), tasks, seed)
 
 
 def taken(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes of each row of ``docs``, repeats counted."""
     parts, slots = mix(docs, block, shard, seed)
-    times = slots.groupBy("k", "block").agg(F.count("*").alias("times"))
+    # as many rows as blocks, though they come from a few rows of draws: never to be broadcast by that estimate
+    times = slots.groupBy("k", "block").agg(F.count("*").alias("times")).hint("merge")
     rows = parts.join(times, ["k", "block"], "left").groupBy("tie").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.coalesce(F.sum(F.col("length") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     return rows.drop("tie")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from isoloom.operators import filtering, junctions, transcripts
 from isoloom.plans import commands
 from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParams
 from isoloom.sources import bam, sinks, text
+from isoloom.storage import written
 
 
 def alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -87,18 +89,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         rows, header = alignments(spark, a.reads if a.command == "novel" else a.alignments)
     if a.command == "filter":
         mask = transcripts.assemble(text.gtf(spark, a.rrna), partition=["file"]).join(header.select("tid", "chr"), "chr").select("tid", "start", "end")
-        kept = commands.filter_alignments(rows, mask, FilterParams(a.coverage, a.map_quality, a.sec_rat, a.introns), ["file"] if "file" in rows.columns else None)
+        params = FilterParams(a.coverage, a.map_quality, a.sec_rat, a.introns)
+        confident, counts = filtering.counted(rows, lambda x: filtering.confident(x, params))
+        kept = written(commands.unambiguous(confident, mask, params, ["file"] if "file" in rows.columns else None))
         if "value" in kept.columns:
             sinks.write_sam(kept, text.ordered_lines(spark, a.alignments), a.out)
         else:
             names = ",".join(f"{r['chr']}:{r['len']}" for r in header.orderBy("tid").collect())  # one row a chromosome
             out = kept.orderBy("ord").select(*rows.columns).write.format("bam").mode("overwrite")
             out.option("header", names).option("text", bam.header_text(a.alignments)).save(a.out)
-        filtering.counters(rows, kept).show()
+        counts.select("n_in", F.lit(kept.count()).alias("n_out"), (F.col("n_in") - kept.count()).alias("filtered")).show()
     elif a.command == "transcripts":
         sinks.write_gtf(commands.transcript_lines(rows, ExonParams(a.min_exon, a.min_intron), a.source), a.out)
     elif a.command == "junctions":
-        genome = text.fasta(spark, a.genome) if a.genome else None
+        genome = text.fasta_tiles(spark, a.genome) if a.genome else None
         params = JunctionParams(a.min_intron, not a.single_end)
         used = commands.with_anchors(rows, a.anchor[0], params.min_intron) if a.anchor else rows
         table = commands.junction_table(used, genome, params)

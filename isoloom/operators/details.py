@@ -9,6 +9,7 @@ from isoloom.functions import cigar as cg
 from isoloom.operators import intervals
 from isoloom.operators.junctions import is_unique, usable
 from isoloom.schema import JunctionParams
+from isoloom.storage import written
 
 
 def details(aln: DataFrame, params: JunctionParams = JunctionParams(), skips_only: bool = False) -> DataFrame:
@@ -66,7 +67,39 @@ def segments(rows: DataFrame) -> DataFrame:
     return intervals.split(intervals.union(exons.join(several, "tid", "left_semi"), ["tid"]), split_points(rows), ["tid"])
 
 
-def kth_smallest(df: DataFrame, value: Column, k: int, partition: list[str]) -> DataFrame:
-    """The k-th smallest value (from 1) of each group."""
-    w = Window.partitionBy(*partition).orderBy("value")
-    return df.withColumn("value", value).withColumn("_k", F.row_number().over(w)).where(F.col("_k") == k).select(*partition, "value")
+#: Rows of a group that are sorted; value ranges into which a larger group is cut at once.
+SORTED, CUTS = 50_000, 256
+
+
+def kth_smallest(df: DataFrame, value: Column, k: int, partition: list[str], most: int = SORTED) -> DataFrame:
+    """The k-th smallest value (from 1; nulls left out) of each group that has so many.
+
+    A group of more than ``most`` rows is not sorted: its range of values is cut into equal parts, their rows are
+    counted, and the search goes on in the part that holds rank k, between the least and greatest value there, until few
+    rows or a single value are left. What is passed on is one row a group and part.
+    """
+    keys = [f"_g{n}" for n in range(len(partition))]
+    rows = df.select(*[F.col(c).alias(g) for c, g in zip(partition, keys, strict=True)], value.alias("value")).where("value IS NOT NULL")
+    left = written(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")).where(F.col("_n") >= k).withColumn("_k", F.lit(k).cast("long")))
+    while left.where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        wide = (F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))
+        share = (F.col("value") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+        part = F.least(F.floor(share * CUTS), F.lit(CUTS - 1))
+        inside = _within(rows, left.where(wide), keys)
+        sums = inside.withColumn("_part", part).groupBy(*keys, "_k", "_part").agg(F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part"))  # CUTS rows a group
+        found = sums.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+        left = written(left.where(~wide).unionByName(found.select(*keys, "_n", "_lo", "_hi", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))))
+    single = left.where("_lo = _hi").select(*keys, F.col("_lo").alias("value"))
+    few = _within(rows, left.where("_lo < _hi"), keys)
+    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).where("_rank = _k")
+    return single.unionByName(ranked.select(*keys, "value")).toDF(*partition, "value")
+
+
+def _within(rows: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups of ``left`` between their bounds; null keys are equal."""
+    other = left.select(*[F.col(g).alias(f"_o{g}") for g in keys], "_lo", "_hi", "_k")
+    on = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
+    for g in keys:
+        on &= F.col(g).eqNullSafe(F.col(f"_o{g}"))
+    return rows.join(other, on).drop(*[f"_o{g}" for g in keys])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
@@ -10,6 +12,7 @@ from isoloom.functions.attributes import path_name
 from isoloom.operators.intervals import BROADCAST_ROWS, overlap_anti
 from isoloom.operators.scans import ORDER_CHUNK, runs
 from isoloom.schema import UNMAPPED, FilterParams
+from isoloom.storage import written
 
 
 def scored(aln: DataFrame) -> DataFrame:
@@ -57,6 +60,12 @@ def best_of_names(rows: DataFrame, params: FilterParams = FilterParams()) -> Dat
     return _kept(rows.withColumn("island", F.min("ord").over(Window.partitionBy("qname"))), ["qname"], params)
 
 
-def counters(before: DataFrame, after: DataFrame) -> DataFrame:
-    """How many alignments went and stayed."""
-    return before.agg(F.count("*").alias("n_in")).crossJoin(after.agg(F.count("*").alias("n_out"))).withColumn("filtered", F.col("n_in") - F.col("n_out"))
+def counted(aln: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What ``keep`` leaves of the alignments, written; and one row with how many there were, stayed and went.
+
+    The alignments are counted in the pass that filters them. ``keep`` must not read them twice.
+    """
+    seen = Observation()
+    kept = written(keep(aln.observe(seen, F.count("*").alias("n"))))
+    n_in, n_out = seen.get["n"], kept.count()
+    return kept, aln.sparkSession.createDataFrame([(n_in, n_out, n_in - n_out)], "n_in long, n_out long, filtered long")

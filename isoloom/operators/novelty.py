@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoloom.operators.intervals import band_join
+from isoloom.operators.merging import chain_of
 from isoloom.schema import UpdateParams
 from isoloom.storage import written
 
@@ -18,13 +19,27 @@ def pairs(reads: DataFrame, anno: DataFrame) -> DataFrame:
     return band_join(r, a, ["tid", "is_rev"], "start", "end", "r_start", "r_end")
 
 
-def junction_match(pair: DataFrame, distance: int = 0) -> DataFrame:
-    """Add iden_n (matching splice sites), iden_intron_n, consecutive, matched (read introns with a partner).
+def _exact_sites(e: Column, a: Column) -> tuple[Column, Column, Column, Column]:
+    """iden_n, iden_intron_n, consecutive, matched where sites must be equal and none comes twice in a transcript: sets of
+    sites and of introns are intersected, so the work grows with the exons of a pair and not with their product."""
+    ends = lambda x: F.slice(x["end"], F.lit(1), F.size(x) - 1)
+    starts = lambda x: F.slice(x["start"], F.lit(2), F.size(x))
+    mine, theirs = chain_of(e), chain_of(a)
+    hits = F.array_intersect(mine, theirs)
+    sites = F.size(F.array_intersect(ends(e), ends(a))) + F.size(F.array_intersect(starts(e), starts(a)))
+    first = F.array_position(theirs, F.get(hits, F.lit(0))).cast("int")
+    follow = F.when(F.size(hits) > 1, F.slice(theirs, first, F.size(hits)) == hits).otherwise(True)
+    return sites, F.size(hits), follow, F.transform(hits, lambda h: (F.array_position(mine, h) - 1).cast("int"))
 
-    Arrays stay within their pair, so this adds no shuffle. Read intron i meets annotation intron j unless an earlier j
-    already began beyond it; sites match within ``distance``.
-    """
-    e, a = F.col("exons"), F.col("r_exons")
+
+def _once(x: Column) -> Column:
+    """Whether no site comes twice."""
+    n = F.size(x)
+    return (F.size(F.array_distinct(x["end"])) == n) & (F.size(F.array_distinct(x["start"])) == n)
+
+
+def _near_sites(e: Column, a: Column, distance: int) -> tuple[Column, Column, Column, Column]:
+    """As ``_exact_sites`` for sites within a distance, or that come twice, intron by intron."""
     near = lambda x, y: F.abs(x - y) <= distance
 
     def row(i):
@@ -32,13 +47,26 @@ def junction_match(pair: DataFrame, distance: int = 0) -> DataFrame:
         seen = F.filter(F.sequence(F.lit(0), F.size(a) - 2), lambda j: (j == 0) | (F.get(a, j)["start"] <= right))
         return F.transform(seen, lambda j: F.struct(i.alias("i"), j.alias("j"), near(left, F.get(a, j)["end"]).cast("int").alias("l"), near(right, F.get(a, j + 1)["start"]).cast("int").alias("r")))
 
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), row))
+    cells = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), row)), lambda c: c["l"] + c["r"] > 0)
+    hits = F.filter(cells, lambda c: (c["l"] == 1) & (c["r"] == 1))
+    steps = F.forall(F.sequence(F.lit(1), F.greatest(F.size(hits) - 1, F.lit(1))), lambda k: F.coalesce(F.get(hits, k)["j"] == F.get(hits, k - 1)["j"] + 1, F.lit(True)))
+    return F.aggregate(cells, F.lit(0), lambda s, c: s + c["l"] + c["r"]), F.size(hits), steps, F.array_distinct(F.transform(hits, lambda c: c["i"]))
+
+
+def junction_match(pair: DataFrame, distance: int = 0) -> DataFrame:
+    """Add iden_n (matching splice sites), iden_intron_n, consecutive, matched (read introns with a partner).
+
+    Arrays stay within their pair, so this adds no shuffle. Read intron i meets annotation intron j unless an earlier j
+    already began beyond it; sites match within ``distance``.
+    """
+    e, a = F.col("exons"), F.col("r_exons")
+    found = _near_sites(e, a, distance)
+    if distance == 0:
+        found = tuple(F.when(_once(e) & _once(a), x).otherwise(y) for x, y in zip(_exact_sites(e, a), found, strict=True))
     # a single-exon annotation has no intron to meet
-    cells = F.when(F.size(a) > 1, cells).otherwise(F.array().cast("array<struct<i:int,j:int,l:int,r:int>>"))
-    out = pair.withColumn("_cells", cells)
-    out = out.withColumn("_hits", F.filter("_cells", lambda c: (c["l"] == 1) & (c["r"] == 1)))
-    steps = F.forall(F.sequence(F.lit(1), F.greatest(F.size("_hits") - 1, F.lit(1))), lambda k: F.coalesce(F.get("_hits", k)["j"] == F.get("_hits", k - 1)["j"] + 1, F.lit(True)))
-    return out.withColumns({"iden_n": F.aggregate("_cells", F.lit(0), lambda s, c: s + c["l"] + c["r"]), "iden_intron_n": F.size("_hits"), "consecutive": steps, "matched": F.array_distinct(F.transform("_hits", lambda c: c["i"]))}).drop("_cells", "_hits")
+    none = (F.lit(0), F.lit(0), F.lit(True), F.array().cast("array<int>"))
+    names = ("iden_n", "iden_intron_n", "consecutive", "matched")
+    return pair.withColumns({n: F.when(F.size(a) > 1, x).otherwise(y) for n, x, y in zip(names, found, none, strict=True)})
 
 
 def short_support(pair: DataFrame, introns: DataFrame, distance: int = 0) -> DataFrame:

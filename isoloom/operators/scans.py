@@ -59,12 +59,17 @@ def runs(rows: DataFrame, value: str, name: str, partition: list[str] | None = N
     return with_chunk_columns(found, open_, keys).withColumn(name, F.coalesce("_begin", "_into")).drop("_chunk", "_begin", "_into")
 
 
-def numbered(rows: DataFrame, name: str, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
-    """``rows`` with ``name``: how many rows come before, by ``ord``."""
+def summed(rows: DataFrame, size: Column, name: str, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``size`` (an integer) over the rows before, by ``ord``."""
     keys = partition or []
-    placed = _chunked(rows, chunk)
+    placed = _chunked(rows.withColumn("_size", size.cast("long")), chunk)
     along = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = placed.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n")).select(*keys, "_chunk", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("ord")
-    found = placed.withColumn("_k", F.row_number().over(inside) - 1)
-    return with_chunk_columns(found, before, keys).withColumn(name, (F.col("_k") + F.col("_before")).cast("long")).drop("_chunk", "_k", "_before")
+    before = placed.groupBy(*keys, "_chunk").agg(F.sum("_size").alias("_n")).select(*keys, "_chunk", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_upto", F.sum("_size").over(inside))
+    return with_chunk_columns(found, before, keys).withColumn(name, F.col("_upto") - F.col("_size") + F.col("_before")).drop("_chunk", "_size", "_upto", "_before")
+
+
+def numbered(rows: DataFrame, name: str, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
+    """``rows`` with ``name``: how many rows come before, by ``ord``."""
+    return summed(rows, F.lit(1), name, partition, chunk)

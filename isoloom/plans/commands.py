@@ -13,7 +13,11 @@ from isoloom.schema import ExonParams, FilterParams, JunctionParams, UpdateParam
 
 def filter_alignments(aln: DataFrame, mask: DataFrame | None = None, params: FilterParams = FilterParams(), partition: list[str] | None = None) -> DataFrame:
     """The confident, unambiguous best alignment of each read, renamed to name.path<n>."""
-    rows = filtering.confident(aln, params)
+    return unambiguous(filtering.confident(aln, params), mask, params, partition)
+
+
+def unambiguous(rows: DataFrame, mask: DataFrame | None = None, params: FilterParams = FilterParams(), partition: list[str] | None = None) -> DataFrame:
+    """As ``filter_alignments`` for confident alignments."""
     if mask is not None:
         rows = filtering.outside(rows, mask, params.strict_coords)
     return filtering.best(rows, params, partition) if partition else filtering.best_of_names(rows, params)

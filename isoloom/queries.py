@@ -96,7 +96,7 @@ c AS (SELECT DISTINCT tid, le, rs, {_CODE} AS code FROM it, g WHERE tx % 5 <> 0)
 SELECT tid, le+1 AS don, rs-1 AS acc, CASE code WHEN 'GTAG' THEN 1 WHEN 'CTAC' THEN 2 WHEN 'GCAG' THEN 3 WHEN 'CTGC' THEN 4 WHEN 'ATAC' THEN 5 WHEN 'GTAT' THEN 6 ELSE 0 END AS motif,
 CASE WHEN code IN ('GTAG','GCAG','ATAC') THEN 1 WHEN code IN ('CTAC','CTGC','GTAT') THEN 2 ELSE 0 END AS strand FROM c""")
 def sj_motif(spark, d):
-    return junctions.table(_aln(spark, d), views.genome(spark, d)).select("tid", "don", "acc", "motif", "strand")
+    return junctions.table(_aln(spark, d), text.fasta_tiles(spark, views.genome_file(spark, d))).select("tid", "don", "acc", "motif", "strand")
 
 
 # ---- alignments to transcripts
@@ -180,8 +180,7 @@ def filter_full(spark, d):
 
 @query(f"WITH {AL} SELECT CAST(count(*) AS BIGINT) AS n_in, CAST(count(*) FILTER (WHERE {OK}) AS BIGINT) AS n_out, CAST(count(*) - count(*) FILTER (WHERE {OK}) AS BIGINT) AS filtered FROM al")
 def filter_counters(spark, d):
-    aln = views.grouped_alignments(spark, d)
-    return filtering.counters(aln, filtering.confident(aln))
+    return filtering.counted(views.grouped_alignments(spark, d), filtering.confident)[1]
 
 
 # ---- novelty
@@ -564,6 +563,26 @@ def sam_scan(spark, d):
     return rows.select("qname", "flag", "tid", "pos", F.size("cigar").alias("n_ops"), "nh", "place")
 
 
+@query(f"""WITH {TX} SELECT concat('t', CAST(tx AS VARCHAR)) AS qname, CAST(CASE WHEN tx % 5 = 0 THEN 0 ELSE 2 END + is_rev * 16 AS INT) AS flag, concat('chr', CAST(tid+1 AS VARCHAR)) AS chr, CAST(s0 - 1 AS INT) AS pos,
+CAST(2 * n - 1 AS INT) AS n_ops, CASE WHEN tx % 2 = 0 THEN 1 ELSE 2 END AS nh FROM tx""")
+def sam_compressed(spark, d):
+    """Compressed SAM text whose lines end in two letters."""
+    return text.sam(spark, views.sam_folders(spark, d)).select("qname", "flag", "chr", "pos", F.size("cigar").alias("n_ops"), "nh")
+
+
+@query("""SELECT r.r_regionkey AS region, CAST(dense_rank() OVER (PARTITION BY r.r_regionkey ORDER BY n.n_nationkey) - 1 AS INT) AS sample, CAST(k.range AS INT) AS replicate, concat(n.n_name, '/', CAST(k.range AS VARCHAR)) AS path
+FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey, range(3) k WHERE k.range <= n.n_nationkey % 3""")
+def sample_lists(spark, d):
+    """A list file for each region: a sample for each nation, with one to three replicates."""
+    name = F.col("n_name")
+    paths = F.transform(F.sequence(F.lit(0), (F.col("n_nationkey") % 3).cast("int")), lambda k: F.concat(name, F.lit("/"), k.cast("string")))
+    one = F.concat((F.col("n_nationkey") % 3 + 1).cast("string"), F.lit("\n"), F.array_join(paths, "\n"))
+    files = views.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("t")))).alias("s"))
+    whole = F.concat(F.size("s").cast("string"), F.lit("\n"), F.array_join(F.transform("s", lambda x: x["t"]), "\n"), F.lit("\n"))
+    got = text.sample_lists(files.select(F.col("n_regionkey").alias("region"), whole.alias("text")))
+    return got.select("region", "sample", "replicate", "path")
+
+
 @query(f"WITH {TX} SELECT CAST(row_number() OVER (ORDER BY min(tx % 2), min(tx.tid)) - 1 AS INT) AS tid, concat('chr', CAST(tx.tid+1 AS VARCHAR)) AS chr, CAST(max(e0) AS BIGINT) AS len FROM tx GROUP BY tx.tid")
 def sam_dictionary(spark, d):
     """A header names the sequences of its own half's reads, each as long as its last read reaches in either half."""
@@ -582,9 +601,13 @@ _SEQ = "(SELECT repeat(string_agg(substr('ACGT', CAST(p_size % 4 + 1 AS INT), 1)
 
 @query(f"SELECT concat('chr', CAST(range+1 AS VARCHAR)) AS chr, CAST(length({_SEQ}) AS INT) AS len, substr({_SEQ}, 50, 30) AS head, md5({_SEQ}) AS digest FROM range(25)")
 def fasta_scan(spark, d):
-    genome = views.genome(spark, d)
-    path = views.stored_text(genome.select(F.concat(F.lit(">"), "chr", F.lit(" a>b\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value")))
-    return text.fasta(spark, path).select("chr", F.length("seq").alias("len"), F.substring("seq", 50, 30).alias("head"), F.md5("seq").alias("digest"))
+    return text.fasta(spark, views.genome_file(spark, d)).select("chr", F.length("seq").alias("len"), F.substring("seq", 50, 30).alias("head"), F.md5("seq").alias("digest"))
+
+
+@query(f"""WITH g AS (SELECT {_SEQ} AS seq) SELECT concat('chr', CAST(c.range+1 AS VARCHAR)) AS chr, CAST(t.range AS INT) AS tile, md5(substr(seq, CAST(t.range*4096+1 AS INT), 4097)) AS digest
+FROM g, range(25) c, range(CAST((SELECT ceil(length(seq)/4096.0) FROM g) AS BIGINT)) t""")
+def fasta_tiles(spark, d):
+    return text.fasta_tiles(spark, views.genome_file(spark, d)).select("chr", "tile", F.md5("piece").alias("digest"))
 
 
 @query("SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS name, repeat('ACGTN', CAST(p_size AS INT)) AS seq, repeat('@+>I ', CAST(p_size AS INT)) AS qual FROM part")

@@ -6,11 +6,12 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import attribute
+from isoloom.operators.scans import ORDER_CHUNK, carried, summed
 from isoloom.schema import STAR
 
 
@@ -133,6 +134,33 @@ def genome_tiles(genome: DataFrame, width: int = TILE) -> DataFrame:
     return genome.select("chr", F.posexplode(pieces).alias("tile", "piece"))
 
 
+def fasta_tiles(spark: SparkSession, path: str, width: int = TILE, chunk: int = ORDER_CHUNK) -> DataFrame:
+    """chr, tile, piece, as ``genome_tiles`` gives them, straight from the lines of a file.
+
+    Sums of line lengths tell each line its place in its record, so lines are cut into tiles where they stand and only
+    a tile's pieces meet: no sequence is ever whole, neither in a row nor in a task. A record that comes again under its
+    name is an error.
+    """
+    lines = ordered_lines(spark, path)
+    is_head = F.col("value").startswith(">")
+    bases = F.regexp_replace("value", "\\s", "")
+    rows = summed(lines.withColumn("_n", F.when(is_head, 0).otherwise(F.length(bases))), F.col("_n"), "_at", ["file"], chunk)
+    name = F.regexp_extract("value", "^>([^\\s]*)", 1)
+    placed = carried(rows, {"chr": F.when(is_head, name), "_begin": F.when(is_head, F.col("_at")), "_record": F.when(is_head, F.col("ord"))}, ["file"], chunk)
+    at = F.col("_at") - F.col("_begin")
+    own = placed.where(~is_head & (F.col("_n") > 0) & (F.col("chr") != "")).select("chr", "_record", at.alias("_at"), bases.alias("bases"))
+    end = F.col("_at") + F.length("bases")
+    # a tile has the first base of the next one too
+    first, last = F.floor(F.greatest(F.col("_at") - 1, F.lit(0)) / width), F.floor((end - 1) / width)
+    cut = own.withColumn("tile", F.explode(F.sequence(first, last)))
+    low = F.col("tile") * width
+    start, stop = F.greatest(F.col("_at"), low), F.least(end, low + width + 1)
+    parts = cut.select("chr", F.col("tile").cast("int").alias("tile"), "_record", start.alias("_at"), F.substr("bases", (start - F.col("_at") + 1).cast("int"), (stop - start).cast("int")).alias("part")).where("part <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "part"))), lambda x: x["part"]), "")
+    once = F.when(F.min("_record") == F.max("_record"), joined).otherwise(F.raise_error(F.concat(F.lit("two sequences are named "), F.first("chr"))).cast("string"))
+    return parts.groupBy("chr", "tile").agg(once.alias("piece"))
+
+
 def _fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
     """name, seq, qual (null for a FASTA record). Sequence and quality may take several lines; a quality line may begin
     with any letter, as its end is known by its length."""
@@ -190,6 +218,28 @@ def sample_table(specs: DataFrame, column: str = "spec") -> DataFrame:
     return rows.select(*specs.columns, "sample", F.posexplode(F.split("_s", ",")).alias("replicate", "path")).where("path <> ''")
 
 
+def sample_lists(files: DataFrame, column: str = "text") -> DataFrame:
+    """sample, replicate, path for a column of whole list files: the number of samples, then for each a count and that
+    many paths. A file that ends too early or has a count below 1 is an error."""
+    words = F.filter(F.split(column, "\\s+"), lambda w: w != "")
+    number = lambda w: w.try_cast("int")
+    none = F.array().cast("array<struct<sample:int,replicate:int,path:string>>")
+    zero = F.struct(F.lit(-1).alias("sample"), F.lit(0).alias("open"), F.lit(0).alias("size"), F.lit(True).alias("good"), none.alias("out"))
+
+    def step(s: Column, w: Column) -> Column:
+        path = s["open"] > 0
+        n = F.coalesce(number(w), F.lit(0))
+        one = F.array_append(s["out"], F.struct(s["sample"].alias("sample"), (s["size"] - s["open"]).alias("replicate"), w.alias("path")))
+        return F.struct(F.when(path, s["sample"]).otherwise(s["sample"] + 1).alias("sample"), F.when(path, s["open"] - 1).otherwise(n).alias("open"), F.when(path, s["size"]).otherwise(n).alias("size"), (s["good"] & (path | (n > 0))).alias("good"), F.when(path, one).otherwise(s["out"]).alias("out"))
+
+    declared = F.coalesce(number(F.get(words, F.lit(0))), F.lit(0))
+    read = F.aggregate(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), zero, step)
+    rows = files.withColumns({"_n": declared, "_r": read})
+    whole = (F.col("_n") > 0) & F.col("_r")["good"] & (F.col("_r")["open"] == 0) & (F.col("_r")["sample"] + 1 >= F.col("_n"))
+    out = F.when(whole, F.col("_r")["out"]).otherwise(F.raise_error(F.lit("the list of samples is not whole")).cast("array<struct<sample:int,replicate:int,path:string>>"))
+    return rows.select(*files.columns, "_n", F.explode(out).alias("_o")).where("_o.sample < _n").select(*files.columns, "_o.sample", "_o.replicate", "_o.path")
+
+
 def sample_list(text: str) -> list[list[str]]:
     """A list file: the number of samples; then for each a count and that many paths."""
     words = iter(text.split())

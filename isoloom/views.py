@@ -44,20 +44,33 @@ def stored_text(lines: DataFrame) -> str:
     return path
 
 
-def sam_files(spark: SparkSession, sf_dir: str) -> str:
-    """SAM text of the transcripts' alignments: a file of the even ones, then a file of the odd ones."""
+def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """half, ord, value: SAM lines of the transcripts' alignments, of the even ones and of the odd ones, each half with a
+    header of its own sequences."""
     aln = alignments_of(transcripts(spark, sf_dir)).withColumn("half", F.col("ord") % 2)
     tx = transcripts(spark, sf_dir)
     sizes = tx.groupBy("tid", "chr").agg(F.max("end").alias("len"))
     head = tx.select(F.col("tid"), (F.col("tx") % 2).alias("half")).distinct().join(sizes, "tid").select("half", (F.col("tid") - 1_000_000).cast("long").alias("ord"), F.format_string("@SQ\tSN:%s\tLN:%d", "chr", "len").alias("value"))
     fields = ["qname", F.col("flag").cast("string"), "chr", (F.col("pos") + 1).cast("string"), F.lit("60"), cg.text(F.col("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), F.repeat(F.lit("A"), F.col("l_qseq")), F.lit("*"), F.format_string("NH:i:%d", "nh")]
-    rows = head.unionByName(aln.select("half", "ord", F.concat_ws("\t", *fields).alias("value")))
-    base = shared_folder(spark)
+    return head.unionByName(aln.select("half", "ord", F.concat_ws("\t", *fields).alias("value")))
+
+
+def sam_files(spark: SparkSession, sf_dir: str) -> str:
+    """SAM text: a file of the even ones, then a file of the odd ones."""
+    rows, base = sam_lines(spark, sf_dir), shared_folder(spark)
     for half in (0, 1):
         sinks.write_single(rows.where(F.col("half") == half).select("ord", "value"), f"{base}/half-{half}.sam", ["ord"])
     return base
 
 
+def sam_folders(spark: SparkSession, sf_dir: str) -> str:
+    """The same lines compressed and with line ends of two letters, in many files; headers are in the first ones."""
+    base = shared_folder(spark)
+    ordered = sam_lines(spark, sf_dir).orderBy("half", "ord").select("value")
+    ordered.write.option("compression", "gzip").option("lineSep", "\r\n").text(base)
+    return base
+
+
 def bam_copy(spark: SparkSession, aln: DataFrame) -> DataFrame:
     """Alignments written as BAM, read, renamed, written and read."""
     spark.dataSource.register(bam.BamSource)
@@ -115,15 +128,25 @@ def grouped_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "qname", F.col("unmapped").cast("int").alias("flag"), (F.col("h") % 25).cast("int").alias("tid"), F.concat(F.lit("chr"), (F.col("h") % 25 + 1).cast("string")).alias("chr"), F.floor(F.col("h") / 3).cast("int").alias("pos"), "l_qseq", cigar.alias("cigar"), "nm", F.lit(None).cast("string").alias("xs"), F.lit(1).alias("nh"))
 
 
-def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chr, seq: a base for each part (size modulo 4) in key order, twenty times over.
-
-    Small by construction: one row for each of 25 chromosomes.
-    """
-    base = F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1))
-    rows = table(spark, sf_dir, "part").select("p_partkey", base.alias("b"))
-    one = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "b"))), lambda x: x["b"]), "").alias("seq"))
-    return spark.range(25).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("chr")).crossJoin(one.select(F.repeat("seq", F.lit(20)).alias("seq")))
+def genome_lines(spark: SparkSession, sf_dir: str, copies: int = 20, width: int = 70) -> DataFrame:
+    """ord, value: FASTA lines of 25 chromosomes that are alike: a base for each part (size modulo 4) in key order, over
+    and over. The keys are 1, 2, ..., so a base's place follows from its key."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("b"))
+    n = part.count()
+    at = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "key", "b").select((F.col("copy") * n + F.col("key") - 1).alias("at"), "b")
+    line = at.groupBy(F.floor(F.col("at") / width).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]), "").alias("value"))
+    one = 1 << 32  # order keys of a chromosome
+    chrs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("c")
+    body = line.select(chrs, "line", "value").select((F.col("c") * one + F.col("line") + 1).alias("ord"), "value")
+    head = spark.range(25).select((F.col("id") * one).alias("ord"), F.format_string(">chr%d a>b", F.col("id") + 1).alias("value"))
+    return head.unionByName(body)
+
+
+def genome_file(spark: SparkSession, sf_dir: str) -> str:
+    """The FASTA file of ``genome_lines``."""
+    path = f"{shared_folder(spark)}/genome.fa"
+    sinks.write_single(genome_lines(spark, sf_dir), path, ["ord"])
+    return path
 
 
 def lines(tx: DataFrame) -> DataFrame:

@@ -246,3 +246,47 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("sj").agg(F.sum("uniq_c"), F.sum("multi_c")).first() == (4, 2)
+
+
+def test_tiles_from_lines(spark, tmp_path):
+    """Lines of any length, blank ones, records that fill tiles to the letter, in chunks that cut records."""
+    import random
+
+    rng, seqs, lines = random.Random(5), {}, []
+    for k, n in enumerate([0, 1, 15, 16, 17, 32, 33, 200]):
+        seq, at = "".join(rng.choice("ACGTn") for _ in range(n)), 0
+        seqs[f"c{k}"] = seq
+        lines.append(f">c{k} note >x")
+        while at < n:
+            step = rng.choice([1, 5, 16, 40])
+            lines.append(seq[at : at + step] + rng.choice(["", " ", "\r"]))
+            lines += [""] * rng.randrange(2)
+            at += step
+    path = put(tmp_path, "a.fa", "\n".join(lines) + "\n")
+    expected = {(c, t): s[t * 16 : t * 16 + 17] for c, s in seqs.items() for t in range(-(-len(s) // 16))}
+    for chunk in (30, 1 << 20):
+        got = {(r["chr"], r["tile"]): r["piece"] for r in text.fasta_tiles(spark, path, 16, chunk).collect()}
+        assert got == expected
+    whole = {(r["chr"], r["tile"]): r["piece"] for r in text.genome_tiles(text.fasta(spark, path), 16).collect()}
+    assert whole == expected
+
+
+def test_a_sequence_named_twice_is_an_error(spark, tmp_path):
+    path = put(tmp_path, "b.fa", ">a\nACGT\n>b\nGG\n>a\nTT\n")
+    try:
+        text.fasta_tiles(spark, path).collect()
+        raise AssertionError
+    except Exception as e:
+        assert "two sequences are named a" in str(e)
+
+
+def test_sample_lists(spark):
+    rows = spark.createDataFrame([("x", "2\n2\na\nb\n1\nc\n")], "id string, text string")
+    got = sorted((r["sample"], r["replicate"], r["path"]) for r in text.sample_lists(rows).collect())
+    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c")]
+    for bad in ("0", "1 0", "1 2 a", "", "2 1 a"):
+        try:
+            text.sample_lists(spark.createDataFrame([("x", bad)], "id string, text string")).collect()
+            raise AssertionError(bad)
+        except Exception as e:
+            assert "not whole" in str(e), bad

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+import functools
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import attribute
+from isoloom.operators.intervals import small
 from isoloom.operators.scans import ORDER_CHUNK, carried, summed
 from isoloom.schema import STAR
+from isoloom.sources import fastq as fq
+from isoloom.storage import written
 
 
 #: Bits of an order key below the file's rank: enough for files of 8 TB.
@@ -27,20 +30,25 @@ def file_ranks(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "file string, rank long")
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """ord, file, split (offset of its start), value. The lines of a split stand together and in order."""
+    rows = spark.read.text(path)
+    named = rows.select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_id"))
+    place = F.col("split") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    ranks = file_ranks(rows)
+    if ranks.limit(2).count() > 1:
+        named = named.join(F.broadcast(ranks), "file")  # one row a file
+        place += F.shiftleft("rank", FILE_BITS)
+    return named.select(place.cast("long").alias("ord"), "file", "split", F.regexp_replace("value", "\r$", "").alias("value"))
+
+
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, file, value: lines in order; ``ord`` is unique over all files of ``path``, which follow each other by path.
 
     Within a split ids rise with the lines, and a split that shares its task is the last of its file, so the split's
     start plus the id within the task orders a file's lines. The file's rank stands above.
     """
-    rows = spark.read.text(path)
-    named = rows.select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
-    place = F.col("_split") + F.col("_id").bitwiseAND((1 << 33) - 1)
-    ranks = file_ranks(rows)
-    if ranks.limit(2).count() > 1:
-        named = named.join(F.broadcast(ranks), "file")  # one row a file
-        place += F.shiftleft("rank", FILE_BITS)
-    return named.select(place.cast("long").alias("ord"), "file", F.regexp_replace("value", "\r$", "").alias("value"))
+    return _split_lines(spark, path).drop("split")
 
 
 def dictionary(lines: DataFrame) -> DataFrame:
@@ -161,50 +169,37 @@ def fasta_tiles(spark: SparkSession, path: str, width: int = TILE, chunk: int =
     return parts.groupBy("chr", "tile").agg(once.alias("piece"))
 
 
-def _fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
-    """name, seq, qual (null for a FASTA record). Sequence and quality may take several lines; a quality line may begin
-    with any letter, as its end is known by its length."""
-    line = next(lines, None)
-    while line is not None:
-        if line[:1] not in (">", "@"):
-            line = next(lines, None)
-            continue
-        name = (line[1:].split(None, 1) or [""])[0] if line[1:2].strip() else ""
-        bases: list[str] = []
-        line = next(lines, None)
-        while line is not None and line[:1] not in (">", "@", "+"):
-            bases.append(line)
-            line = next(lines, None)
-        seq = "".join(bases)
-        if line is None or line[0] != "+":
-            yield name, seq, None
-            continue
-        quality, size = [], 0
-        while (line := next(lines, None)) is not None:
-            quality.append(line)
-            size += len(line)
-            if size >= len(seq):
-                break
-        if size != len(seq):
-            raise ValueError(f"the quality of {name} has {size} letters, its sequence {len(seq)}")
-        yield name, seq, "".join(quality)
-        line = next(lines, None)
-
-
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """file, name, seq, qual. Records have no marks that tell them from quality lines, so a file is read in order by one
-    task, as a stream; many files are many tasks."""
-    lines = ordered_lines(spark, path)
+#: Bytes of lines that a task of ``fastq`` holds at a time.
+FASTQ_CHUNK = 4 << 20
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((f, v) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for file, group in itertools.groupby(rows, key=lambda r: r[0]):
-            found = _fastq_records(v for _, v in group)
-            while part := list(itertools.islice(found, 10_000)):
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), *(pa.array([r[k] for r in part], pa.string()) for k in range(3))], ["file", "name", "seq", "qual"])
+def fastq(spark: SparkSession, path: str, chunk: int = FASTQ_CHUNK) -> DataFrame:
+    """file, name, seq, qual (null for a FASTA record). Sequence and quality may take several lines.
 
-    in_order = lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value")
-    return in_order.mapInArrow(run, "file string, name string, seq string, qual string")
+    A quality line may look like a header, so what a line is depends on all before it. The splits of a file are read
+    side by side nevertheless: each first tells what it makes of every state it may be entered in (``fastq``), a walk
+    over these summaries gives its true one, and it then parses its lines where they stand. Only parts of records that
+    reach over an edge are shuffled.
+    """
+    lines = _split_lines(spark, path)
+    mapped = lambda rows, f, kind, *more: rows.mapInArrow(functools.partial(f, schema=to_arrow_schema(StructType.fromDDL(kind)), **dict(more)), kind)
+    cut = (("file_bits", FILE_BITS), ("size", chunk))
+    told = mapped(lines.select("ord", "split", "value"), fq.summaries, f"rank long, split long, at long, {fq.SUMMARY}", *cut)
+    in_order = told.repartition("rank").sortWithinPartitions("rank", "split", "at")
+    entered = written(mapped(in_order, fq.entries, f"rank long, split long, lines long, {fq.STATE}"))
+    few = small(entered)
+    known = lines.withColumn("rank", F.shiftright("ord", FILE_BITS)).join(F.broadcast(entered) if few else entered.hint("shuffle_hash"), ["rank", "split"])
+    # a broadcast join leaves the lines in their order
+    known = (known if few else known.sortWithinPartitions("rank", "split", "ord")).select("ord", "split", "value", "lines", "kind", "letters", "record")
+    part = "record long, at long, name string, seq string, qual string"
+    whole, open_ = (mapped(known, fq.parsed, part, *cut, ("edges", e)) for e in (False, True))
+    text_of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c)))), lambda x: x[c]), "")
+    joined = open_.groupBy("record").agg(F.max("name").alias("name"), text_of("seq").alias("seq"), F.when(F.count("qual") > 0, text_of("qual")).alias("qual"))
+    right = F.col("qual").isNull() | (F.length("qual") == F.length("seq"))
+    wrong = F.format_string("the quality of %s has %d letters, its sequence %d", "name", F.length("qual"), F.length("seq"))
+    joined = joined.withColumn("qual", F.when(right, F.col("qual")).otherwise(F.raise_error(wrong).cast("string")))
+    both = whole.drop("at").unionByName(joined).withColumn("rank", F.shiftright("record", FILE_BITS))
+    return both.join(F.broadcast(file_ranks(lines)), "rank").select("file", "name", "seq", "qual")  # one row a file
 
 
 def samples(spec: str) -> list[list[str]]:

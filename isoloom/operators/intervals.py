@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoloom.operators.scans import with_chunk_columns
+from isoloom.storage import written
 
 #: Width of a bin of coordinates: about the length of a gene, so most intervals fall into one or two.
 BIN = 1 << 15
+#: Rows of one side in a bin from which on the bin is cut into parts.
+DEEP = 50_000
 #: Rows of an interval table up to which it may be broadcast (checked by a count bounded by this).
 BROADCAST_ROWS = 200_000
 
@@ -21,25 +24,66 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def band_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, width: int = BIN) -> DataFrame:
+def deep_bins(left: DataFrame, right: DataFrame, l_keys: list[str], r_keys: list[str], deep: int) -> DataFrame:
+    """l_keys, l_parts, r_parts: the keys (with bins) under which a side has more than ``deep`` rows, and in how many
+    parts each side is to be cut. They are at most as many as the rows divided by ``deep``."""
+    l, r = (df.select(*[F.col(k).alias(to) for k, to in zip(keys, l_keys, strict=True)], F.lit(side).alias("_r")) for df, keys, side in ((left, l_keys, 0), (right, r_keys, 1)))  # noqa: E741
+    n = l.unionByName(r).groupBy(*l_keys).agg(F.sum(1 - F.col("_r")).alias("_nl"), F.sum("_r").alias("_nr"))
+    parts = [F.greatest(F.ceil(F.col(c) / deep), F.lit(1)).cast("int").alias(to) for c, to in (("_nl", "l_parts"), ("_nr", "r_parts"))]
+    return written(n.where((F.greatest("_nl", "_nr") > deep) & (F.least("_nl", "_nr") > 0)).select(*l_keys, *parts))
+
+
+def _dealt(df: DataFrame, parts: DataFrame, keys: list[str], own: str, other: str, few: bool) -> DataFrame:
+    """``df`` with ``own`` and ``other``: under a deep key a row is in one part of its own side, for each of the other."""
+    named = parts.toDF(*[f"_d_{c}" for c in (*keys, "l_parts", "r_parts")])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k) == F.col(f"_d_{k}")
+    met = df.join(F.broadcast(named) if few else named, on, "left")
+    # a row keeps its part when its task is run again, as that follows from its values
+    part = F.when(F.col(f"_d_{own}") > 1, F.pmod(F.xxhash64(*df.columns), f"_d_{own}").cast("int")).otherwise(0)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_d_{other}", F.lit(1)) - 1))
+    return met.withColumn(own, part).withColumn(other, every).drop(*named.columns)
+
+
+def spread(left: DataFrame, right: DataFrame, l_keys: list[str], r_keys: list[str], deep: int) -> tuple[DataFrame, DataFrame, Column, list[str]]:
+    """Both sides of a join on ``l_keys`` = ``r_keys``, the condition that joins them, and columns to drop after it.
+
+    Keys are counted first, without any other column. One with more than ``deep`` rows of a side is cut into parts of
+    about so many, and the rows of the other side go to each part, so a key with a third of all rows is as many tasks
+    as its depth asks for, and each pair still meets once. Rows equal in every column share a part.
+    """
+    on = F.lit(True)
+    for l, r in zip(l_keys, r_keys, strict=True):  # noqa: E741
+        on &= F.col(l) == F.col(r)
+    parts = deep_bins(left, right, l_keys, r_keys, deep)
+    if parts.isEmpty():
+        return left, right, on, []
+    few = small(parts)
+    a = _dealt(left, parts, l_keys, "l_parts", "r_parts", few)
+    b = _dealt(right, parts, r_keys, "r_parts", "l_parts", few).withColumnsRenamed({"l_parts": "_l_parts", "r_parts": "_r_parts"})
+    return a, b, on & (F.col("l_parts") == F.col("_l_parts")) & (F.col("r_parts") == F.col("_r_parts")), ["l_parts", "r_parts", "_l_parts", "_r_parts"]
+
+
+def band_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, width: int = BIN, deep: int = DEEP) -> DataFrame:
     """Pairs of overlapping intervals with equal ``keys`` (right's are named with r_ before).
 
     Either side is exploded to bins and joined on keys and bin; a pair counts in its first common bin alone, so no
-    distinct is needed. A chromosome is many join keys then, which keeps large ones from landing in one task.
+    distinct is needed. A chromosome is many join keys then, which keeps large ones from landing in one task, and a bin
+    of more than ``deep`` rows is cut into parts (``spread``).
     """
     a = left.withColumn("_bin", F.explode(bins(F.col(l_start), F.col(l_end), width)))
     b = right.withColumn("_bin_r", F.explode(bins(F.col(r_start), F.col(r_end), width)))
-    on = (F.col("_bin") == F.col("_bin_r")) & (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
-    for k in keys:
-        on &= F.col(k) == F.col(f"r_{k}")
+    a, b, on, more = spread(a, b, [*keys, "_bin"], [*(f"r_{k}" for k in keys), "_bin_r"], deep)
+    on &= (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
     first = F.greatest(F.floor(F.col(l_start) / width), F.floor(F.col(r_start) / width))
-    return a.join(b, on & (F.col("_bin") == first)).drop("_bin", "_bin_r")
+    return a.join(b, on & (F.col("_bin") == first)).drop("_bin", "_bin_r", *more)
 
 
-def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, width: int = BIN, rows: int = BROADCAST_ROWS) -> DataFrame:
+def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, width: int = BIN, rows: int = BROADCAST_ROWS, deep: int = DEEP) -> DataFrame:
     """Rows of ``left`` (tid) that overlap no interval of ``mask`` (m_tid, m_start, m_end).
 
-    A mask of ``rows`` intervals or fewer is broadcast; beyond that both sides meet by bins.
+    A mask of ``rows`` intervals or fewer is broadcast; beyond that both sides meet by bins, deep ones in parts.
     """
     hit = (F.col("tid") == F.col("m_tid")) & (F.col("m_start") <= F.col(l_end)) & (F.col("m_end") >= F.col(l_start))
     if small(mask, rows):
@@ -47,7 +91,8 @@ def overlap_anti(left: DataFrame, mask: DataFrame, l_start: str, l_end: str, wid
     key = left.withColumn("_key", F.monotonically_increasing_id())
     a = key.select("tid", "_key", l_start, l_end, F.explode(bins(F.col(l_start), F.col(l_end), width)).alias("_bin"))
     b = mask.withColumn("_bin_m", F.explode(bins(F.col("m_start"), F.col("m_end"), width)))
-    bad = a.join(b, hit & (F.col("_bin") == F.col("_bin_m")), "left_semi").select("_key").distinct()
+    a, b, on, _ = spread(a, b, ["tid", "_bin"], ["m_tid", "_bin_m"], deep)
+    bad = a.join(b, hit & on, "left_semi").select("_key").distinct()
     return key.join(bad, "_key", "left_anti").drop("_key")
 
 

@@ -12,9 +12,10 @@ with more than one component go on, and only pairs across components are compare
 that is linked already. Links are confirmed on the full shingle sets of the texts. What is still crowded at DEPTH is
 compared block by block, all pairs across components.
 
-Cases: null or empty text has an empty set and no link; fewer than five words are one shingle; a null doc_id is never
-a representative and gets its set's component; rows with the same doc_id count as one document; an empty table gives
-no row; further columns are ignored by ``mark`` and carried by ``keep_first``.
+Cases: null or empty text has an empty set and no link; fewer than five words are one shingle; a null doc_id links like
+any other, but a component is named by its least doc_id that is not null (null if it has none: then the rows of one set
+stay); rows with one doc_id and different sets are documents of their own, those with the same set count as one; an
+empty table gives no row; further columns are ignored by ``mark`` and carried by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +127,13 @@ def confirm(texts: DataFrame, pairs: DataFrame, make) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), sig (minwise hashes), sketch (a byte of each)."""
+def signatures(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, digest (of the set), sig (minwise hashes), sketch (a byte of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(a, b - a))
+            for a, b in slices(batch.column(2)):
+                sets = shingle_sets(batch.column(2).slice(a, b - a))
                 n = np.array([len(s) for s in sets], np.int64)
                 first = np.concatenate([[0], np.cumsum(n)])
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -140,16 +142,45 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sig[:, k] = per_row(((every * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), first, np.minimum)
                 sketch = (sig & 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel())), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sig", "sketch"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel())), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    ["doc_id", "mark", "n_shingles", "digest", "sig", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(salt), "text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, sig array<int>, sketch binary")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the documents in ``ids``."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(listed(ids, BROADCAST_IDS), "id", "left_semi")
+class Identities:
+    """A number for each row that no row with another set has: its doc_id where that stands for one set, else a hash of
+    its text. Should two texts have one hash, all are made anew with another salt. ``rows`` are the signatures with it."""
+
+    def __init__(self, docs: DataFrame):
+        for self.salt in count():
+            found = written(signatures(docs, self.salt))
+            several = F.min("digest") != F.max("digest")
+            self.shared = listed(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(several.alias("_several")).where("_several").select(F.col("doc_id").alias("_shared")), BROADCAST_IDS)
+            self.any_shared = not self.shared.isEmpty()
+            self.rows = self._joined(found).withColumn("rid", self._number(F.col("doc_id"), F.col("mark")))
+            if not self.any_shared and found.where("doc_id IS NULL").isEmpty():
+                break
+            self.rows = written(self.rows)
+            if self.rows.groupBy("rid").agg(several.alias("_several")).where("_several").isEmpty():
+                break
+
+    def _joined(self, df: DataFrame) -> DataFrame:
+        return df.join(self.shared, df["doc_id"].cast("long") == self.shared["_shared"], "left") if self.any_shared else df
+
+    def _number(self, doc_id: Column, mark: Column) -> Column:
+        own = F.when(self.shared["_shared"].isNull(), doc_id.cast("long")) if self.any_shared else doc_id.cast("long")
+        return F.coalesce(own, mark)
+
+    def of(self, docs: DataFrame) -> tuple[DataFrame, Column]:
+        """``docs``, perhaps with a further column, and their numbers."""
+        return self._joined(docs), self._number(docs["doc_id"], F.xxhash64(F.lit(self.salt), docs["text"]))
+
+    def texts(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
+        """id, text of the rows whose numbers are in ``ids``."""
+        rows, number = self.of(docs.select("doc_id", "text"))
+        return rows.select(number.alias("id"), "text").join(listed(ids, BROADCAST_IDS), "id", "left_semi")
 
 
 def alike(pairs: DataFrame, classes: DataFrame, least: int = SKETCH) -> DataFrame:
@@ -341,24 +372,39 @@ def connect(nodes: DataFrame, classes: DataFrame, below, texts, make, least: int
     return labels if last.isEmpty() else written(components(reduce(DataFrame.union, [*edges, last])))
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each document."""
+def _marked(docs: DataFrame) -> tuple[DataFrame, Identities]:
     small_batches(docs)
-    rows = written(signatures(docs))
-    classes = written(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    unique = written(classes.select("cid", "sig", "sketch").dropDuplicates(["cid"]))  # so that joins with it can be split
+    ids = Identities(docs)
+    rows = ids.rows
+    classes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     paths = F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.xxhash64(F.lit(r), F.get("sig", F.lit(r))).alias("node")) for r in range(ROOTS)]))
     nodes = classes.select("cid", paths.alias("p")).select("p.root", "p.node", "cid")
-    labels = connect(nodes, unique, lambda n: small_nodes(n, unique), lambda ids: _texts(docs, ids), shingle_sets)
-    of = labelled(classes.select("digest", "cid"), labels).select("digest", "comp")
-    out = rows.join(of, "digest", "left").withColumn("component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    labels = connect(nodes, classes, lambda n: small_nodes(n, classes), lambda wanted: ids.texts(docs, wanted), shingle_sets)
+    of = classes.select("digest", "cid", "first_id")
+    if labels is None:
+        of = of.select("digest", F.col("cid").alias("comp"), F.col("first_id").alias("component_id"))
+    else:
+        least = labels.join(of, labels["id"] == of["cid"]).groupBy("component").agg(F.min("first_id").alias("least"))
+        named = labels.join(least, "component")
+        of = of.join(named, of["cid"] == named["id"], "left").select("digest", F.coalesce("component", "cid").alias("comp"), F.when(F.col("id").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("component_id"))
+    some = F.col("n_shingles") > 0
+    out = rows.join(of.withColumnRenamed("component_id", "_name"), "digest", "left").withColumn("component_id", F.when(some, F.col("_name")).otherwise(F.col("doc_id")))
+    stays = F.when(~some, True).when(F.col("component_id").isNull(), F.col("rid") == F.col("comp")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "rid", "n_shingles", "component_id", stays.alias("kept")), ids
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each document."""
+    return _marked(docs)[0].drop("rid")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each component."""
-    gone = listed(mark(docs).where("NOT kept").select(F.col("doc_id").alias("_id")), BROADCAST_IDS)
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*docs.columns)
+    marked, ids = _marked(docs)
+    gone = listed(marked.where("NOT kept").select(F.col("rid").alias("_gone"), F.col("doc_id").alias("_gone_id")), BROADCAST_IDS)
+    rows, number = ids.of(docs)
+    left = rows.join(gone, (number == gone["_gone"]) & docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]), "left_anti")
+    return left.select(*[docs[c] for c in docs.columns])
 
 
 #: The same rows in SQL, for tables whose doc_id is unique and not null.

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("isoloom.llm")
 
@@ -84,6 +85,30 @@ def test_near_dedup_edges(spark):
     assert got == {(5, 5, True), (None, 5, False), (None, None, True), (9, 5, False)}
 
 
+def test_near_dedup_of_shared_and_null_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, other = long + " tail", "other text here that is like nothing else"
+    lost = "another one without any number " + long[::-1]
+    rows = docs(spark, [long, near, other, other, lost, lost + " x", "alone", None, "", other], [7, 8, 8, 8, None, None, None, 8, None, 3])
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in near_dedup.mark(rows).collect()), key=str)
+    n = [len(shingles(t)) for t in (long, near, other, lost)]
+    nulls = [g for g in got if g[0] is None]
+    assert [g for g in got if g[0] is not None] == sorted([(7, 7, True, n[0]), (8, 7, False, n[1]), (8, 3, False, n[2]), (8, 3, False, n[2]), (8, 8, True, 0), (3, 3, True, n[2])], key=str)
+    assert all(g[1] is None for g in nulls) and sorted((g[3], g[2]) for g in nulls if g[3] > 1) in ([(n[3], False), (n[3] + 1, True)], [(n[3], True), (n[3] + 1, False)])
+    assert sorted((g[3], g[2]) for g in nulls if g[3] < 2) == [(0, True), (1, True)]
+    kept = near_dedup.keep_first(rows)
+    assert kept.columns == rows.columns
+    texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(texts) == 6 and {(7, long), (3, other), (8, None), (None, ""), (None, "alone")} < set(texts)
+
+
+def test_near_dedup_keeps_an_unlike_text_of_a_shared_id(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = docs(spark, [long, long + " tail", "other text here"], [7, 8, 8]).withColumns({"_shared": F.lit(1), "_gone": F.lit(2)})
+    kept = near_dedup.keep_first(rows)
+    assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"], r["_shared"], r["_gone"]) for r in kept.collect()) == [(7, long, 1, 2), (8, "other text here", 1, 2)]
+
+
 def test_groups_meet_all_pairs():
     comp = np.array([1] * 30 + list(range(2, 25)) + [40] * 4)
     number, place = near_dedup._groups(77, comp, 10)

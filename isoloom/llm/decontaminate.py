@@ -3,7 +3,7 @@
 The automaton holds the word sequences of all items. Document words stream through it; after each word its state and
 matched length say which item words end here. A match of a whole window (13 item words, or all words of a shorter item)
 hits the words it covers. Words that no item has, and word pairs that stand beside each other in no item, end a match,
-so only runs without them are streamed.
+so only runs without them are streamed. Hashes of words find these runs; within them words are known by their bytes.
 
 Items are taken in blocks of at most BLOCK_WORDS words (about 300 bytes of automaton each), one pass over the
 documents for each block; the driver and every executor hold one block at a time.
@@ -45,19 +45,21 @@ class Automaton:
         data, offsets = text_buffer(texts)
         data = LOWER[data]
         starts, ends, first = scan(data, offsets, WORD)
-        h = hashes(data, starts, ends)
-        self.vocabulary, number = np.unique(h, return_inverse=True)
-        number = number.reshape(-1).astype(np.int64) + 1
+        #: Word numbers by bytes. Hashes, which unlike words may share, have numbers of their own: they choose the runs.
+        self.exact: dict[bytes, int] = {}
+        number = [self.exact.setdefault(data[a:b].tobytes(), len(self.exact) + 1) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self.vocabulary, hashed = np.unique(hashes(data, starts, ends), return_inverse=True)
+        hashed = hashed.reshape(-1).astype(np.int64) + 1
         self.length, self.link, self.next = [0], [-1], [{}]
         paths, pairs, self.least = [], [], window
         for k, (item, _) in enumerate(items):
-            run = number[first[k] : first[k + 1]].tolist()
+            run, like = number[first[k] : first[k + 1]], hashed[first[k] : first[k + 1]]
             if run:
                 self.least = min(self.least, len(run))
-                pairs += [a << 32 | b for a, b in zip(run, run[1:], strict=False)]
+                pairs.append(like[:-1] << 32 | like[1:])
                 paths.append((item, run))
                 self._add(run)
-        self.pairs = np.unique(np.array(pairs, np.int64))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
         #: Items of windows: by the state of a 13-word string, and by the state where a short item ends.
         self.of_state: dict[int, set[str]] = {}
         self.short: dict[int, dict[int, set[str]]] = {}
@@ -129,8 +131,8 @@ class Automaton:
                 v = self.above[link[v]]
 
 
-def _runs(h: np.ndarray, first: np.ndarray, automaton: Automaton) -> Iterator[tuple[int, int, list[int]]]:
-    """(document, first word, word numbers) of runs that can hold a window."""
+def _runs(h: np.ndarray, first: np.ndarray, automaton: Automaton) -> Iterator[tuple[int, int, int]]:
+    """(document, first word, word after the last) of runs that can hold a window, going by hashes."""
     vocabulary = automaton.vocabulary
     if not len(vocabulary) or not len(h):
         return
@@ -148,7 +150,7 @@ def _runs(h: np.ndarray, first: np.ndarray, automaton: Automaton) -> Iterator[tu
     stops = np.flatnonzero(~joined)
     after = np.append(stops, len(h))[np.searchsorted(stops, begin, "right")]
     for a, b in zip(begin[after - begin >= automaton.least].tolist(), after[after - begin >= automaton.least].tolist(), strict=True):
-        yield int(np.searchsorted(first, a, "right")) - 1, a, number[a:b].tolist()
+        yield int(np.searchsorted(first, a, "right")) - 1, a, b
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
@@ -214,9 +216,10 @@ def _scan(column: pa.Array, automaton: Automaton):
     starts, ends, first = scan(data, offsets, WORD)
     found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
     if automaton is not None:
-        for d, at, run in _runs(hashes(data, starts, ends), first, automaton):
+        for d, at, end in _runs(hashes(data, starts, ends), first, automaton):
             spans: list[tuple[int, int]] = []
             items: set[str] = set()
+            run = [automaton.exact.get(data[a:b].tobytes(), 0) for a, b in zip(starts[at:end].tolist(), ends[at:end].tolist(), strict=True)]
             automaton.stream(run, at - int(first[d]), spans, items)
             if spans:
                 old = found.setdefault(d, ([], set()))

@@ -9,7 +9,8 @@ missed), and below crowded ones with about 1 - 0.34**ROOTS.
 First, every member of a node is compared with one representative, and found links are joined to components. That
 takes rows in proportion to the members, and it makes large groups of near copies one component each. Then only nodes
 with more than one component go on, and only pairs across components are compared, so nothing is quadratic in a group
-that is linked already. Links are confirmed on the full shingle sets of the texts. What is still crowded at DEPTH is
+that is linked already. Links are confirmed on the full shingle sets of the texts (64-bit
+hashes of shingles; what makes two texts one class is a digest of 128 bits a shingle). What is still crowded at DEPTH is
 compared block by block, all pairs across components.
 
 Cases: null or empty text has an empty set and no link; fewer than five words are one shingle; a null doc_id links like
@@ -52,21 +53,42 @@ DENSE = 4
 #: Longest list of ids that may be broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 WORD = separators(WHITE)
+#: Seed of the second hashes of words.
+SECOND = 20240607
 _random = np.random.default_rng(20240607)
 _MULTIPLY = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
-def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, sorted."""
+def _scanned(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case, word starts and ends, and each text's first word."""
     data, offsets = text_buffer(column)
     data = LOWER[data]
-    starts, ends, first = scan(data, offsets, WORD)
-    value, at = grams(hashes(data, starts, ends), first, n)
+    return data, *scan(data, offsets, WORD)
+
+
+def shingle_sets(column: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    *words, first = _scanned(column)
+    value, at = grams(hashes(*words), first, n)
     bounds = at.tolist()
     return [np.unique(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def set_digests(column: pa.Array, n: int = SHINGLE) -> tuple[list[np.ndarray], list[bytes]]:
+    """``shingle_sets``, and a digest of each set in which a shingle counts by two unrelated 64-bit hashes, since texts
+    of one digest are never compared."""
+    *words, first = _scanned(column)
+    value, at = grams(hashes(*words), first, n)
+    other, _ = grams(hashes(*words, SECOND), first, n)
+    bounds, sets, digests = at.tolist(), [], []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        found, place = np.unique(value[a:b], return_index=True)
+        sets.append(found)
+        digests.append(hashlib.sha256(found.tobytes() + other[a:b][place].tobytes()).digest()[:16])
+    return sets, digests
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
@@ -133,7 +155,7 @@ def signatures(docs: DataFrame, salt: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                sets = shingle_sets(batch.column(2).slice(a, b - a))
+                sets, digests = set_digests(batch.column(2).slice(a, b - a))
                 n = np.array([len(s) for s in sets], np.int64)
                 first = np.concatenate([[0], np.cumsum(n)])
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -142,7 +164,7 @@ def signatures(docs: DataFrame, salt: int = 0) -> DataFrame:
                     sig[:, k] = per_row(((every * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), first, np.minimum)
                 sketch = (sig & 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel())), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel())), pa.array([r.tobytes() for r in sketch], pa.binary())],
                     ["doc_id", "mark", "n_shingles", "digest", "sig", "sketch"],
                 )
 

@@ -32,6 +32,8 @@ K1, B = 1.2, 0.75
 #: Of each batch one text of fewer bytes is encoded by the vocabulary's other library too.
 CHECKED = 20_000
 IDS = 1 << 16
+#: Neighbours that are looked up at once; if they don't fill a window, eight times as many are.
+NEIGHBOURS = 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed boolean"
 
 
@@ -111,6 +113,17 @@ class Index:
         return np.bincount(self.places[at], self.weights[at], self.size)
 
 
+def best(score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` greatest scores that aren't negative, greatest first, equal ones in stored order."""
+    if most < len(score):
+        least = max(np.partition(score, len(score) - most)[-most], 0)
+        above = np.flatnonzero(score > least)
+        place = np.sort(np.concatenate([above, np.flatnonzero(score == least)[: most - len(above)]]))
+    else:
+        place = np.flatnonzero(score >= 0)
+    return place[np.argsort(-score[place], kind="stable")]
+
+
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int, bool]]:
     """(document, start, length, sequence, offset, seed) of each piece."""
     out: list[tuple[int, int, int, int, int, bool]] = []
@@ -140,10 +153,15 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         score = index.scores(seed)
         filled = take(seed, window, 0, True)
         score[left == 0] = -1
-        while filled < window:
-            best = int(score.argmax())
-            filled += take(best, window - filled, filled, False)
-            score[best] = -1
+        most = NEIGHBOURS
+        while filled < window:  # each neighbour has one id at least, so few rounds do
+            found = best(score, min(most, window - filled)).tolist()
+            for d in found:
+                filled += take(d, window - filled, filled, False)
+                if filled == window:
+                    break
+            score[found] = -1
+            most *= 8
         total -= window
         sequence += 1
     rest = [d for d in np.flatnonzero(left).tolist()]

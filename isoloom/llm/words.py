@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Bytes that separate words.
@@ -11,9 +13,11 @@ PUNCT = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Keeps the first so many bytes of a lane of eight.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def separators(which: bytes) -> np.ndarray:
@@ -23,15 +27,6 @@ def separators(which: bytes) -> np.ndarray:
     return word
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for k, base in (("up", _BASE), ("down", _INVERSE)):
-            step = np.full(max(n, 1 << 16), base, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,24 +49,29 @@ def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: a polynomial modulo 2**64, mixed with the length."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; those of two seeds are unrelated.
+
+    Eight bytes at a time are mixed in by ``mix``, so that no sums or products of letters cancel out whatever the words
+    are; ranges of more than LONG bytes are hashed by BLAKE2b. Unlike ranges share a hash by chance alone.
+    """
+    size = ends - starts
+    value = size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(mix(value) + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
-
-
-def rolling(data: np.ndarray, n: int) -> np.ndarray:
-    """The hashes of all runs of ``n`` bytes, as ``hashes`` gives them."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    value = (total[n:] - total[:-n]) * down[: len(data) - n + 1]
-    return mix(mix(value) + np.uint64((n * _BASE) & ((1 << 64) - 1)))
+        return value
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k] if k else at
+        if not len(at):
+            break
+        lane = lanes[starts[at] + k] & _KEEP[np.minimum(size[at] - k, 8)]
+        value[at] = mix((value[at] ^ lane) + np.uint64(_BASE))
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        value[k] = np.frombuffer(digest, np.uint64)[0]
+    return value
 
 
 def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

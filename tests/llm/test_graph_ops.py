@@ -109,6 +109,25 @@ def test_near_dedup_keeps_an_unlike_text_of_a_shared_id(spark):
     assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"], r["_shared"], r["_gone"]) for r in kept.collect()) == [(7, long, 1, 2), (8, "other text here", 1, 2)]
 
 
+def test_near_dedup_tells_alternating_words_apart(spark):
+    """Words of the two letters by the doubling rule, which a polynomial modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    tail = " two three four five six seven"
+    got = near_dedup.mark(docs(spark, [a + tail, b + tail, a, b, a + tail])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
+    assert len(set(near_dedup.set_digests(pa.array([a, b]))[1])) == 2
+
+
+def test_set_digests_ignore_order_and_repeats():
+    one, two = near_dedup.set_digests(pa.array(["a b c d e a b c d e", "c d e a b c d e a b c d", "", None, "a b"]))
+    assert two[0] != two[4] and two[2] == two[3]
+    assert (two[0] == two[1]) == (one[0].tolist() == one[1].tolist())
+    for x, y in zip(one, near_dedup.shingle_sets(pa.array(["a b c d e a b c d e", "c d e a b c d e a b c d", "", None, "a b"])), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_groups_meet_all_pairs():
     comp = np.array([1] * 30 + list(range(2, 25)) + [40] * 4)
     number, place = near_dedup._groups(77, comp, 10)

@@ -221,6 +221,59 @@ def test_decontamination(spark, monkeypatch, window, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in expected if not r[5]]
 
 
+def alternating(n):
+    """Two words of 2**n letters that any polynomial modulo a power of two confuses, for n = 11 modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_unlike_words_have_unlike_hashes():
+    texts = [*alternating(11), *alternating(5), "a", "aa", "a\0", "x" * 64, "x" * 65, "x" * 63 + "y", "yx" + "x" * 62]
+    data, offsets = common.text_buffer(pa.array(texts))
+    one, two = (words.hashes(data, offsets[:-1], offsets[1:], seed) for seed in (0, 7))
+    assert len(np.unique(np.concatenate([one, two]))) == 2 * len(texts)
+    again = words.hashes(np.concatenate([data[5:], data]), offsets[:-1] + len(data) - 5, offsets[1:] + len(data) - 5)
+    assert (again == one).all()
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_decontamination_knows_words_by_their_bytes(spark, monkeypatch, collide):
+    if collide:  # all words of one length share a hash
+        monkeypatch.setattr(decontaminate, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    a, b = alternating(11)
+    items = [(1, f"one two {a} four"), (2, "red sea"), (3, "tin man sea cow ant")]
+    texts = [f"one two {b} four", f"x one two {a} four", "tin sea", "red man", "a red sea", "cow ant tin", "tin man sea cow ant fox", "six two ten four"]
+    automaton = decontaminate.Automaton([(str(k), t) for k, t in items], 4)
+    *_, first, found = decontaminate._scan(pa.array(texts), automaton)
+    got = [(d, int(n), sum(y - x for x, y in decontaminate._merged(found.get(d, ([], set()))[0])), len(found.get(d, ([], set()))[1])) for d, n in enumerate(np.diff(first))]
+    assert got == [r[:4] for r in brute_hits(texts, items, 4)]
+    if not collide:
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        kept = decontaminate.clean(docs(spark, texts), bench, 4).select("doc_id").collect()
+        assert sorted(r["doc_id"] for r in kept) == [0, 2, 3, 5, 7]
+
+
+@given(st.lists(st.sampled_from([-1.0, 0.0, 0.5, 1.0, 2.5]), max_size=30), st.integers(1, 40))
+@settings(max_examples=80, deadline=None)
+def test_best_is_repeated_argmax(scores, most):
+    score, expected = np.array(scores), []
+    left = score.copy()
+    while len(expected) < most and len(left) and left.max() >= 0:
+        expected.append(int(left.argmax()))
+        left[expected[-1]] = -1
+    assert packing.best(score, most).tolist() == expected
+
+
+def test_many_tiny_texts_pack_in_steps():
+    """Every window of a shard of texts of one id takes some lookups, not one for each text."""
+    pieces = packing.pack_shard([np.array([k % 3], np.uint16) for k in range(20_000)], np.full(packing.IDS, 2.0), 1.0, 1024)
+    assert len(pieces) == 20_000 and sum(p[2] for p in pieces) == 20_000
+    full = [p for p in pieces if p[3] == 0]
+    assert len(full) == 1024 and {p[0] % 3 for p in full} == {0}  # the seed's own kind first
+
+
 def test_decontamination_cuts_spans(spark):
     text = "é " * 100 + "one two three four five" + " y" * 100
     bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")

@@ -32,8 +32,8 @@ K1, B = 1.2, 0.75
 #: Of each batch one text of fewer bytes is encoded by the vocabulary's other library too.
 CHECKED = 20_000
 IDS = 1 << 16
-#: Neighbours that are looked up at once; if they don't fill a window, eight times as many are.
-NEIGHBOURS = 32
+#: Neighbours that are looked up at once, beside those that fill a window on average; if they don't, eight times as many are.
+NEIGHBOURS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed boolean"
 
 
@@ -108,9 +108,8 @@ class Index:
     def scores(self, d: int) -> np.ndarray:
         """BM25 of all documents for all distinct ids of document ``d``."""
         begin, end = self.bounds[self.asks[d]], self.bounds[self.asks[d].astype(np.int64) + 1]
-        n = end - begin
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.places[at], self.weights[at], self.size)
+        parts = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
+        return np.bincount(np.concatenate([self.places[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.size)
 
 
 def best(score: np.ndarray, most: int) -> np.ndarray:
@@ -153,7 +152,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         score = index.scores(seed)
         filled = take(seed, window, 0, True)
         score[left == 0] = -1
-        most = NEIGHBOURS
+        most = NEIGHBOURS + window * index.alive // total
         while filled < window:  # each neighbour has one id at least, so few rounds do
             found = best(score, min(most, window - filled)).tolist()
             for d in found:

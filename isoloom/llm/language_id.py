@@ -5,8 +5,9 @@ context that has it, and each longer known context on the way down costs its esc
 distinct bytes plus count), down to 1/256 for any byte. Statistics are frozen after training, so the cost of a byte
 after its ORDER bytes is one number for each language, tabulated for every string that any language has. A text's
 score for a language is its exact code length. ``score`` says how much of the text's bytes the best language's code
-saves: 1 less its bits over 8 bits a byte, 0 at least. Prose of a learned language has about 0.7, keys, numbers and
-other languages less; ``accepted`` drops what does not save half.
+saves: 1 less its bits over 8 bits a byte, 0 at least. Prose of a learned language has about 0.7, short prose beside
+keys and addresses 0.15 or more; random letters, keys and unlearned scripts have 0, for a byte unknown in its context
+costs escapes. ``accepted`` drops what does not save a tenth.
 
 Training takes whole texts of at most SAMPLE_BYTES for each language (distinct documents in hash order, one at least),
 and of TOTAL_BYTES over all languages if they are many, so the sample and the tables are bounded by that and by the
@@ -35,7 +36,7 @@ SAMPLE_BYTES, TOTAL_BYTES = 1_000_000, 32_000_000
 #: Bytes of text that are scored together: scratch arrays take some 70 times as much.
 SLICE = 1 << 18
 #: Documents below it are rejected by ``accepted``.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.1
 PAD = np.full(ORDER, 10, np.uint8)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True

@@ -42,6 +42,8 @@ MAGIC, BLOCK, RECORD_BITS = b"\x1f\x8b\x08\x04", 1 << 16, 11
 #: Bytes of a range; blocks and records in a row that must hold together where one begins.
 SPLIT = 32 << 20
 BLOCKS_IN_ROW, RECORDS_IN_ROW = 4, 64
+#: Fixed value: the greatest length of a sequence.
+LONGEST = (1 << 31) - 1
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -182,15 +184,18 @@ class Blocks:
         return self.starts[0] if self.starts and self.has(at + 1) else (at, self.size)
 
 
-def well_formed(data: Blocks, at: int, lengths: list[int]) -> int | None:
-    """The size of a record at ``at`` with the length before it, None if there can't be one; 0 at the end of the data."""
+def well_formed(data: Blocks, at: int, n_refs: int) -> int | None:
+    """The size of a record at ``at`` with the length before it, None if there can't be one; 0 at the end of the data.
+
+    A position may lie beyond its sequence's length: a file that is one range is read with such records too.
+    """
     if not data.has(at + 36):
         return 0 if not data.has(at + 1) else None
     size, tid, pos, n_name, _, _, n_cigar, _, n_seq, mate, mate_pos, _ = struct.unpack("<iiiBBHHHiiii", data.get(at, 36))
     least = 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq
     if n_name < 1 or n_seq < 0 or size < least or size > 1 << 29:
         return None
-    if any(not -1 <= t < len(lengths) or p < -1 or t >= 0 and p >= max(lengths[t], 1) for t, p in ((tid, pos), (mate, mate_pos))):
+    if any(not -1 <= t < n_refs or p < -1 for t, p in ((tid, pos), (mate, mate_pos))):
         return None
     if not data.has(at + 36 + n_name + 4 * n_cigar):
         return None
@@ -203,12 +208,12 @@ def well_formed(data: Blocks, at: int, lengths: list[int]) -> int | None:
     return size + 4 if data.has(at + 4 + size) else None
 
 
-def first_record(data: Blocks, lengths: list[int]) -> int | None:
+def first_record(data: Blocks, n_refs: int) -> int | None:
     """The place of the first record in the data, None if none begins there."""
     at = data.base
     while data.has(at + 36):
         end, n = at, 0
-        while n < RECORDS_IN_ROW and (size := well_formed(data, end, lengths)):
+        while n < RECORDS_IN_ROW and (size := well_formed(data, end, n_refs)):
             end, n = end + size, n + 1
         if n == RECORDS_IN_ROW or n and size == 0:
             return at
@@ -238,10 +243,9 @@ def range_records(f, size: int, start: int, end: int, path: str = "") -> Iterato
     ``start`` on and before ``end``."""
     head = Blocks(f, 0, size, path)
     refs, at = header_of(head)
-    lengths = [n for _, n in refs]
     if start:
         data = Blocks(f, first_block(f, start, size), size, path)
-        at = first_record(data, lengths) if data.next < end else None
+        at = first_record(data, len(refs)) if data.next < end else None
     else:
         data = head
     last = k = -1
@@ -258,7 +262,7 @@ def range_records(f, size: int, start: int, end: int, path: str = "") -> Iterato
         at += 4 + n
     if end < size and at is not None:
         after = Blocks(f, first_block(f, end, size), size, path)
-        found = place(after, first_record(after, lengths))
+        found = place(after, first_record(after, len(refs)))
         if found != place(data, at):
             raise ValueError(f"{path}: records of the range from byte {start} on end at {place(data, at)}, those after it begin at {found}")
 

@@ -101,3 +101,15 @@ def test_one_file_from_many_tasks(spark, tmp_path):
     sinks.write_single(lines, str(tmp_path / "lines.txt"), ["id"], "head\n")
     sinks.write_single(lines, str(tmp_path / "lines.txt"), ["id"], "head\n")
     assert (tmp_path / "lines.txt").read_text() == "head\n" + "".join(f"line {k}\n" for k in range(1000))
+
+
+def test_positions_beyond_the_length_are_read_by_any_cuts():
+    """Ranges once took records beyond their sequence's length for no records, which a single range reads."""
+    rng = random.Random(6)
+    records = [record(rng, i, 300) for i in range(3000)]
+    refs = [(n, 10) for n, _ in REFS]
+    data = bam.bgzf_all(bam.head_bytes(refs) + b"".join(records)) + bam.END_BLOCK
+    size = len(data)
+    cuts = [*range(0, size, 40_000), size]
+    assert len(cuts) > 4
+    assert [x[1] for a, b in zip(cuts, cuts[1:]) for x in bam.range_records(io.BytesIO(data), size, a, b)] == [r[4:] for r in records]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
+from isoloom.operators.scans import numbered
 from isoloom.sources import bam, sinks
 from isoloom.storage import shared_folder
 
@@ -74,7 +75,8 @@ def sam_folders(spark: SparkSession, sf_dir: str) -> str:
 def bam_copy(spark: SparkSession, aln: DataFrame) -> DataFrame:
     """Alignments written as BAM, read, renamed, written and read."""
     spark.dataSource.register(bam.BamSource)
-    names = ",".join(f"chr{k + 1}:{1_000_000 + k}" for k in range(25))
+    # the format's greatest lengths less a number, as positions grow with the tables
+    names = ",".join(f"chr{k + 1}:{bam.LONGEST - k}" for k in range(25))
     first, second = shared_folder(spark), shared_folder(spark)
     aln.write.format("bam").mode("append").option("header", names).save(first)
     rows = spark.read.format("bam").option("split", 1 << 17).load(first)
@@ -128,13 +130,36 @@ def grouped_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", "qname", F.col("unmapped").cast("int").alias("flag"), (F.col("h") % 25).cast("int").alias("tid"), F.concat(F.lit("chr"), (F.col("h") % 25 + 1).cast("string")).alias("chr"), F.floor(F.col("h") / 3).cast("int").alias("pos"), "l_qseq", cigar.alias("cigar"), "nm", F.lit(None).cast("string").alias("xs"), F.lit(1).alias("nh"))
 
 
+#: Bases of a piece of the genome's period.
+PIECE = 1 << 12
+
+
 def genome_lines(spark: SparkSession, sf_dir: str, copies: int = 20, width: int = 70) -> DataFrame:
     """ord, value: FASTA lines of 25 chromosomes that are alike: a base for each part (size modulo 4) in key order, over
-    and over. The keys are 1, 2, ..., so a base's place follows from its key."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("b"))
+    and over.
+
+    Keys may start anywhere and have gaps, so parts are numbered. The bases are put together once, in pieces that go on
+    for a line's width beyond their end (behind the last base comes the first one), and lines are cut from pieces.
+    """
+    part = table(spark, sf_dir, "part").where("p_size IS NOT NULL").select(F.col("p_partkey").alias("ord"), F.substring(F.lit("ACGT"), (F.col("p_size") % 4 + 1).cast("int"), F.lit(1)).alias("b"))
     n = part.count()
-    at = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "key", "b").select((F.col("copy") * n + F.col("key") - 1).alias("at"), "b")
-    line = at.groupBy(F.floor(F.col("at") / width).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]), "").alias("value"))
+    if n:
+        more = width - 1
+        # those up to a line's width behind the end are the first ones again
+        again = F.sequence(F.lit(0).cast("long"), F.lit(-(-more // n)).cast("long"))
+        at = numbered(part, "_n", chunk=1 << 16).select("b", F.explode(again).alias("turn"), "_n").select("b", (F.col("_n") + F.col("turn") * n).alias("at")).where(F.col("at") < n + more)
+        piece = F.floor(F.col("at") / PIECE)
+        both = F.when((F.pmod("at", F.lit(PIECE)) < more) & (piece > 0), F.array(piece, piece - 1)).otherwise(F.array(piece))
+        pieces = at.select("b", "at", F.explode(both).alias("piece")).groupBy("piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]), "").alias("bases"))
+        start = F.col("piece") * PIECE
+        copied = pieces.where(start < n).select("bases", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"))
+        low, end = F.col("copy") * n + F.col("start"), F.col("copy") * n + F.least(F.col("start") + PIECE, F.lit(n))
+        first, last = F.ceil(low / width), F.ceil(end / width) - 1
+        cut = copied.where(first <= last).select("bases", low.alias("low"), F.explode(F.sequence(first, last)).alias("line"))
+        size = F.least(F.lit(width).cast("long"), F.lit(copies * n) - F.col("line") * width)
+        line = cut.select("line", F.substr("bases", (F.col("line") * width - F.col("low") + 1).cast("int"), size.cast("int")).alias("value"))
+    else:
+        line = spark.createDataFrame([], "line long, value string")
     one = 1 << 32  # order keys of a chromosome
     chrs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("c")
     body = line.select(chrs, "line", "value").select((F.col("c") * one + F.col("line") + 1).alias("ord"), "value")

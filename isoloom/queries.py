@@ -300,7 +300,9 @@ SELECT p.r AS tx, p.a AS r_tx, CASE WHEN coalesce(w.ok, 1) = 1 AND EXISTS (SELEC
 FROM p JOIN tx t ON t.tx = p.r LEFT JOIN w ON w.r = p.r AND w.a = p.a"""
 
     def run(spark, d):
-        rows = novelty.short_support(novelty.junction_match(_pairs(spark, d), distance), _short(spark, d), distance)
+        tx, introns = _tx(spark, d), _short(spark, d)
+        pair = novelty.pairs(novelty.with_short(views.reads(tx), introns, distance), views.annotation(tx))
+        rows = novelty.short_support(novelty.junction_match(pair, distance), introns, distance)
         return rows.select("tx", "r_tx", F.col("supported").cast("int").alias("supported"))
 
     run.__name__ = name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoloom.operators.scans import with_chunk_columns
+from isoloom.operators.scans import chunk_keys, keyed, with_chunk_columns
 from isoloom.storage import written
 
 #: Width of a bin of coordinates: about the length of a gene, so most intervals fall into one or two.
@@ -103,25 +103,45 @@ def overlap_islands(df: DataFrame, partition: list[str], order: list[str], touch
     partition and chunk, so a chromosome is many tasks; what reaches into a chunk from those before comes from a table
     of one row a chunk. A run is named by the chunk in which it begins and its number there.
     """
-    rows = df.withColumn("_chunk", (F.floor(F.col("start") / BIN) if chunk is None else chunk).cast("long"))
-    keys = [*partition, "_chunk"]
-    along = Window.partitionBy(*partition).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(*keys).agg(F.max("end").alias("_end")).select(*keys, F.max("_end").over(along).alias("_into"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    reach = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_into"))
+    return _named_runs(_local_runs(df, partition, order, touch, chunk), partition, name)
+
+
+def _local_runs(df: DataFrame, partition: list[str], order: list[str], touch: bool, chunk: Column | None = None) -> DataFrame:
+    """Rows with chunk_keys and _run: the number of their run among those that begin in the chunk, 0 for one that began
+    before it."""
+    by = chunk_keys(partition)
+    rows = keyed(df.withColumn("_chunk", (F.floor(F.col("start") / BIN) if chunk is None else chunk).cast("long")), partition)
+    along = Window.partitionBy(*by[1:]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by).agg(F.max("end").alias("_end")).select(*by, F.max("_end").over(along).alias("_into"))
+    inside = Window.partitionBy(*by).orderBy(*order)
+    placed = rows.withColumn("_reach", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    reach = F.greatest("_reach", "_into")
     begins = (F.col("start") > reach) if touch else (F.col("start") >= reach)
-    marked = with_chunk_columns(rows, before, partition).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
-    marked = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    last = marked.groupBy(*keys).agg(F.sum("_new").alias("_n"))
+    marked = with_chunk_columns(placed, before, partition).withColumn("_new", F.coalesce(begins, F.lit(True)).cast("int"))
+    return marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_into", "_new")
+
+
+def _named_runs(rows: DataFrame, partition: list[str], name: str) -> DataFrame:
+    """``name``: the chunk in which a run begins and its number there, for rows of ``_local_runs`` or sums of them by run."""
+    by = chunk_keys(partition)
+    along = Window.partitionBy(*by[1:]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     number = F.when(F.col("_n") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_n").cast("string")))
-    earlier = last.select(*keys, F.last(number, ignorenulls=True).over(along).alias("_from"))
-    out = with_chunk_columns(marked, earlier, partition)
-    return out.withColumn(name, F.when(F.col("_run") > 0, F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_run").cast("string"))).otherwise(F.col("_from"))).drop("_chunk", "_into", "_new", "_run", "_from")
+    earlier = rows.groupBy(*by).agg(F.max("_run").alias("_n")).select(*by, F.last(number, ignorenulls=True).over(along).alias("_from"))
+    own = F.concat_ws("-", F.col("_chunk").cast("string"), F.col("_run").cast("string"))
+    return with_chunk_columns(rows, earlier, partition).withColumn(name, F.when(F.col("_run") > 0, own).otherwise(F.col("_from"))).drop(*by, "_run", "_from")
+
+
+def run_sums(df: DataFrame, partition: list[str], order: list[str], touch: bool, more: list[Column], chunk: Column | None = None) -> DataFrame:
+    """Sums of the runs of ``overlap_islands``: partition, island, start, end and ``more``. A run has a row for each
+    chunk that it is in, which the caller sums up by partition and island."""
+    by = chunk_keys(partition)
+    local = _local_runs(df, partition, order, touch, chunk).groupBy(*by, *partition, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *more)
+    return _named_runs(written(local), partition, "island")
 
 
 def union(df: DataFrame, partition: list[str]) -> DataFrame:
     """Merged intervals: an interval joins the one before if it starts at or before its end."""
-    runs = overlap_islands(df, partition, ["start", "end"], touch=True)
+    runs = run_sums(df, partition, ["start", "end"], True, [])
     return runs.groupBy(*partition, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -133,6 +153,6 @@ def split(blocks: DataFrame, points: DataFrame, partition: list[str]) -> DataFra
     for k in partition:
         on &= F.col(k) == F.col(f"p_{k}")
     inside = b.join(p, on).select(*partition, "start", "end", "point")
-    cuts = blocks.select(*partition, "start", "end", F.col("start").alias("point")).unionByName(inside).distinct()
+    cuts = blocks.select(*partition, "start", "end", F.col("start").alias("point")).unionByName(inside).repartition(*partition, "start", "end").distinct()  # dealt once for both
     w = Window.partitionBy(*partition, "start", "end").orderBy("point")
     return cuts.select(*partition, F.col("point").alias("start"), F.coalesce(F.lead("point").over(w) - 1, F.col("end")).alias("end"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from isoloom.functions import cigar as cg
 from isoloom.functions.attributes import coverage_score, gtf_line, tagged
-from isoloom.operators.intervals import overlap_islands
+from isoloom.operators.intervals import overlap_islands, run_sums
 from isoloom.operators.scans import ORDER_CHUNK, carried
 from isoloom.schema import UNMAPPED, ExonParams
+from isoloom.storage import written
 
 
 def carry_transcript(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
@@ -30,8 +31,10 @@ def assemble(lines: DataFrame, min_exons: int = 2, partition: list[str] | None =
     used = carry_transcript(lines.where(F.col("type").isin("transcript", "exon")), keys, chunk).where("tx IS NOT NULL AND type = 'exon'")
     named = [F.max_by(c, "ord").alias(c) for c in ("chr", "is_rev", "gene_id", "gene_name", "transcript_id", "transcript_name")]
     one = used.groupBy(*keys, "tx").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"), *named)
-    last = one.agg(F.max("tx").alias("last"))
-    return with_bounds(one.crossJoin(F.broadcast(last)).where((F.size("exons") >= min_exons) | (F.col("tx") == F.col("last"))).drop("last"))
+    # the last is seen in the pass that assembles, not in one of its own
+    seen = Observation()
+    one = written(one.observe(seen, F.max("tx").alias("last")))
+    return with_bounds(one.where((F.size("exons") >= min_exons) | (F.col("tx") == F.lit(seen.get.get("last")))))
 
 
 def with_bounds(tx: DataFrame) -> DataFrame:
@@ -51,11 +54,15 @@ def gene_bounds(tx: DataFrame, gene: str = "gene_id") -> DataFrame:
     return tx.groupBy(gene).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_transcripts"))
 
 
-def fuse_genes(genes: DataFrame) -> DataFrame:
-    """Genes (ord, tid, start, end, is_rev, name) that overlap in file order become one, with the first one's names."""
-    runs = overlap_islands(genes, ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / ORDER_CHUNK))
-    first = [F.min_by(c, "ord").alias(c) for c in ("is_rev", "gene_id", "gene_name")]
-    return runs.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first, F.count("*").alias("n_genes")).drop("island").orderBy("tid", "start", "end")
+def fuse_genes(genes: DataFrame, chunk: int = ORDER_CHUNK) -> DataFrame:
+    """Genes (ord, tid, start, end, is_rev, name) that overlap in file order become one, with the first one's names.
+
+    Those of a chunk are summed up where they stand, so only sums meet over the edges of chunks.
+    """
+    first = F.min_by(F.struct("is_rev", "gene_id", "gene_name"), "ord").alias("_first")
+    sums = run_sums(genes, ["tid"], ["ord"], False, [F.min("ord").alias("ord"), first, F.count("*").alias("n_genes")], F.floor(F.col("ord") / chunk))
+    whole = sums.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("_first", "ord").alias("_first"), F.sum("n_genes").alias("n_genes"))
+    return whole.select("tid", "start", "end", "_first.is_rev", "_first.gene_id", "_first.gene_name", "n_genes").orderBy("tid", "start", "end")
 
 
 def gene_groups(lines: DataFrame, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
@@ -67,18 +74,20 @@ def gene_groups(lines: DataFrame, partition: list[str] | None = None, chunk: int
     end. ``partition`` as in ``carry_transcript``.
     """
     keys = partition or []
-    used = lines.where(F.col("type").isin("gene", "transcript", "exon"))
+    used = written(lines.where(F.col("type").isin("gene", "transcript", "exon")))  # four passes read them
     of = lambda kind: F.when(F.col("type") == kind, F.col("ord"))
-    placed = carried(used, {"_gene": of("gene"), "_tx": of("transcript")}, keys, chunk)
+    placed = carried(used, {"_gene": of("gene"), "_tx": of("transcript")}, keys, chunk).where("type <> 'gene' AND _tx IS NOT NULL")
+    # a transcript line carries its own number, so it meets its exons in one grouping
+    head = F.first(F.when(F.col("type") == "transcript", F.struct("_gene", "ord", "is_rev", "start", "end", "transcript_id", "transcript_name")), ignorenulls=True).alias("_t")
+    tx = placed.groupBy("_tx").agg(head, F.sort_array(F.collect_list(F.when(F.col("type") == "exon", F.struct("ord", "start", "end")))).alias("_e")).where("_t._gene IS NOT NULL")
+    spans = F.transform("_e", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
+    spans = F.when(F.size("_e") > 0, F.when(F.col("_t.is_rev") == 1, F.reverse(spans)).otherwise(spans))
+    one = F.struct(*[F.col(f"_t.{c}").alias(c) for c in ("ord", "is_rev", "start", "end", "transcript_id", "transcript_name")], spans.alias("exons"))
+    owned = tx.select(F.col("_t._gene").alias("_gene"), one.alias("t")).groupBy("_gene").agg(F.collect_list("t").alias("_own"))
     genes = overlap_islands(used.where("type = 'gene'"), ["tid"], ["ord"], touch=False, chunk=F.floor(F.col("ord") / chunk))
-    exons = placed.where("type = 'exon' AND _tx IS NOT NULL").groupBy(F.col("_tx").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("_e"))
-    in_order = F.transform("_e", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end")))
-    tx = placed.where("type = 'transcript' AND _gene IS NOT NULL").join(exons, F.col("ord") == F.col("_of"), "left")
-    tx = tx.select("_gene", F.struct("ord", "is_rev", "start", "end", "transcript_id", "transcript_name", F.when(F.col("is_rev") == 1, F.reverse(in_order)).otherwise(in_order).alias("exons")).alias("t"))
-    owned = genes.select("ord", "tid", "island").join(tx, F.col("ord") == F.col("_gene"), "left").groupBy("tid", "island").agg(F.sort_array(F.collect_list("t")).alias("transcripts"))
-    first = [F.min_by(c, "ord").alias(c) for c in ("chr", "is_rev", "gene_id", "gene_name")]
-    bounds = genes.groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first)
-    return bounds.join(owned, ["tid", "island"]).drop("island").orderBy("tid", "start", "end")
+    first = F.min_by(F.struct("chr", "is_rev", "gene_id", "gene_name"), "ord").alias("_first")
+    fused = genes.join(owned, F.col("ord") == F.col("_gene"), "left").groupBy("tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), first, F.sort_array(F.flatten(F.collect_list("_own"))).alias("transcripts"))
+    return fused.select("tid", "start", "end", "_first.chr", "_first.is_rev", "_first.gene_id", "_first.gene_name", "transcripts").orderBy("tid", "start", "end")
 
 
 def strand_order(exons: Column, is_rev: Column) -> Column:

@@ -382,6 +382,8 @@ def novel_gtf(spark, d):
 # ---- intervals and details
 
 
+#: Order keys that begin with a start are 10^9 a base: a chunk is a bin of bases, so rows of a chunk don't thin out.
+_START_CHUNK = 1_000_000_000 * intervals.BIN
 _GENES = "g AS (SELECT CAST(s AS BIGINT)*1000000000 + tx*10 + k AS ord, tid, s AS start, e FROM ex)"
 
 
@@ -392,7 +394,7 @@ def gene_fusion(spark, d):
     """Every exon stands for a gene, in the order of a sorted file."""
     rows = views.exon_rows(spark, d).select((F.col("s").cast("long") * 1_000_000_000 + F.col("tx") * 10 + F.col("k")).alias("ord"), "tid", F.col("s").alias("start"), F.col("e").alias("end"), "is_rev")
     genes = rows.select("*", F.concat(F.lit("g"), F.col("ord").cast("string")).alias("gene_id"), F.lit("x").alias("gene_name"))
-    return transcripts.fuse_genes(genes).select("tid", "start", "end", "n_genes", "gene_id")
+    return transcripts.fuse_genes(genes, _START_CHUNK).select("tid", "start", "end", "n_genes", "gene_id")
 
 
 _UNION = """w AS (SELECT *, max(e) OVER (PARTITION BY tid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
@@ -673,7 +675,7 @@ def gene_groups(spark, d):
     name = F.concat(F.lit("g"), F.col("tx").cast("string"))
     lines = rows.select((F.col("base") + F.col("x.k") + 2).alias("ord"), "tid", "chr", "x.type", "x.start", "x.end", "is_rev", name.alias("gene_id"), name.alias("gene_name"), "transcript_id", "transcript_name")
     one = F.transform("transcripts", lambda t: F.concat(t["transcript_id"], F.lit(":"), F.array_join(F.transform(t["exons"], lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ",")))
-    return transcripts.gene_groups(lines, ["tid"]).select("tid", "start", "end", "gene_id", F.array_join(one, ";").alias("transcripts"))
+    return transcripts.gene_groups(lines, ["tid"], _START_CHUNK).select("tid", "start", "end", "gene_id", F.array_join(one, ";").alias("transcripts"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,18 +37,27 @@ def with_chunk_columns(rows: DataFrame, chunks: DataFrame, partition: list[str])
     return rows.join(chunks.select(*keys, *[c for c in chunks.columns if c not in keys and c not in partition]), keys)
 
 
+def _joined(rows: DataFrame, chunks: DataFrame, partition: list[str]) -> DataFrame:
+    """``rows`` with the further columns of their chunk, joined by its own keys: small tables of chunks are broadcast then. Null keys are equal."""
+    keys = [*partition, "_chunk"]
+    named = chunks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in chunks.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, on).drop(*[f"_k_{k}" for k in keys])
+
+
 def carried(rows: DataFrame, values: dict[str, Column], partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:
     """``rows`` with a column for each of ``values``: its last value that is not null, at the row or before it."""
     keys = partition or []
-    by = chunk_keys(keys)
-    placed = _chunked(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), chunk, keys)
+    placed = rows.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_chunk", F.floor(F.col("ord") / chunk))
     last = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("ord"))).alias(f"_l_{n}") for n in values]
-    along = Window.partitionBy(*by[1:]).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    into = placed.groupBy(*by).agg(*last).select(*by, *[F.last(f"_l_{n}", ignorenulls=True).over(along).alias(f"_i_{n}") for n in values])
-    inside = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    into = placed.groupBy(*keys, "_chunk").agg(*last).select(*keys, "_chunk", *[F.last(f"_l_{n}", ignorenulls=True).over(along).alias(f"_i_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     found = placed.withColumns({f"_v_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
-    both = with_chunk_columns(found, into, keys).withColumns({n: F.coalesce(f"_v_{n}", f"_i_{n}") for n in values})
-    return both.drop(*by, *[f"_{k}_{n}" for n in values for k in "vi"])
+    both = _joined(found, into, keys).withColumns({n: F.coalesce(f"_v_{n}", f"_i_{n}") for n in values})
+    return both.drop("_chunk", *[f"_{k}_{n}" for n in values for k in "vi"])
 
 
 def runs(rows: DataFrame, value: str, name: str, partition: list[str] | None = None, chunk: int = ORDER_CHUNK) -> DataFrame:

@@ -62,9 +62,9 @@ def split_points(rows: DataFrame) -> DataFrame:
 
 def segments(rows: DataFrame) -> DataFrame:
     """Exon segments of each tid with more than one distinct exon: exon union, cut at the split points."""
-    exons = exon_ends(blocks(rows))
-    several = exons.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid")
-    return intervals.split(intervals.union(exons.join(several, "tid", "left_semi"), ["tid"]), split_points(rows), ["tid"])
+    exons = written(exon_ends(blocks(rows)))  # read by three passes
+    several = exons.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid")  # one row a chromosome
+    return intervals.split(intervals.union(exons.join(F.broadcast(several), "tid", "left_semi"), ["tid"]), split_points(rows), ["tid"])
 
 
 #: Rows of a group that are sorted; value ranges into which a larger group is cut at once.

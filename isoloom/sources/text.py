@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,21 +147,49 @@ def genome_tiles(genome: DataFrame, width: int = TILE) -> DataFrame:
     return genome.select("chr", F.posexplode(pieces).alias("tile", "piece"))
 
 
+#: Letters of a sequence in a row of ``_bases``.
+PIECE = 1 << 15
+_SPACES = dict.fromkeys(map(ord, " \t\n\v\f\r"))
+
+
+def _bases(batches: Iterator[pa.RecordBatch], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    """ord, name, n, off, bases of lines (ord, split, value): a row a header with its name, and lines of a split that
+    stand together without white space, in rows of ``size`` letters. ``ord`` is that of the first line, ``n`` counts the
+    letters of all these rows and ``off`` those before a row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ords, split, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        head = pc.starts_with(batch.column(2), ">").to_numpy(zero_copy_only=False)
+        # two files have other ranks in their order keys, or begin their splits anew
+        fresh = head[1:] | head[:-1] | (split[1:] != split[:-1]) | (ords[1:] - ords[:-1] != 1)
+        begin = [0, *(np.flatnonzero(fresh) + 1).tolist()]
+        out: list[tuple] = []
+        for a, b in zip(begin, [*begin[1:], len(lines)], strict=True):
+            if head[a]:
+                out.append((ords[a], re.match(">([^ \t\n\v\f\r]*)", lines[a])[1], 0, 0, None))
+            elif text := "".join(lines[a:b]).translate(_SPACES):
+                out.extend((ords[a], None, len(text), k, text[k : k + size]) for k in range(0, len(text), size))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def fasta_tiles(spark: SparkSession, path: str, width: int = TILE, chunk: int = ORDER_CHUNK) -> DataFrame:
     """chr, tile, piece, as ``genome_tiles`` gives them, straight from the lines of a file.
 
-    Sums of line lengths tell each line its place in its record, so lines are cut into tiles where they stand and only
-    a tile's pieces meet: no sequence is ever whole, neither in a row nor in a task. A record that comes again under its
-    name is an error.
+    Lines are read once, joined in rows of bounded size where they stand, and written: what orders them depends on the
+    splits, which may differ between two readings. Sums of lengths, of one short row a batch of lines, tell each row its
+    place in its record, so rows are cut into tiles where they stand and only a tile's pieces meet: no sequence is ever
+    whole, neither in a row nor in a task. A record that comes again under its name is an error.
     """
-    lines = ordered_lines(spark, path)
-    is_head = F.col("value").startswith(">")
-    bases = F.regexp_replace("value", "\\s", "")
-    rows = summed(lines.withColumn("_n", F.when(is_head, 0).otherwise(F.length(bases))), F.col("_n"), "_at", ["file"], chunk)
-    name = F.regexp_extract("value", "^>([^\\s]*)", 1)
-    placed = carried(rows, {"chr": F.when(is_head, name), "_begin": F.when(is_head, F.col("_at")), "_record": F.when(is_head, F.col("ord"))}, ["file"], chunk)
-    at = F.col("_at") - F.col("_begin")
-    own = placed.where(~is_head & (F.col("_n") > 0) & (F.col("chr") != "")).select("chr", "_record", at.alias("_at"), bases.alias("bases"))
+    kind = "ord long, name string, n long, off long, bases string"
+    told = functools.partial(_bases, schema=to_arrow_schema(StructType.fromDDL(kind)), size=min(PIECE, chunk))
+    rows = written(_split_lines(spark, path).select("ord", "split", "value").mapInArrow(told, kind))
+    slim = rows.where("off = 0").select("ord", "name", "n", F.shiftright("ord", FILE_BITS).alias("rank"))
+    is_head = F.col("name").isNotNull()
+    placed = carried(summed(slim, F.col("n"), "_at", ["rank"], chunk), {"chr": F.col("name"), "_begin": F.when(is_head, F.col("_at")), "_record": F.when(is_head, F.col("ord"))}, ["rank"], chunk)
+    known = written(placed.where("name IS NULL AND chr <> ''").select("ord", "chr", "_record", (F.col("_at") - F.col("_begin")).alias("_from")))
+    own = rows.join(F.broadcast(known) if small(known) else known.hint("shuffle_hash"), "ord").select("chr", "_record", (F.col("_from") + F.col("off")).alias("_at"), "bases")
     end = F.col("_at") + F.length("bases")
     # a tile has the first base of the next one too
     first, last = F.floor(F.greatest(F.col("_at") - 1, F.lit(0)) / width), F.floor((end - 1) / width)

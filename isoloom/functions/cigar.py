@@ -78,7 +78,13 @@ def exons(cigar: Column, pos: Column, min_exon: int = 3, min_intron: int = 3) ->
 
 def introns(cigar: Column, pos: Column, min_intron: int = 3) -> Column:
     """Intron intervals; exon lengths play no part."""
-    return _walk(cigar, pos, min_intron, lambda s, n: F.array_append(s["out"], _pair(s["end"] + 1, s["end"] + n)))["out"]
+    zero = F.struct(pos.cast("int").alias("end"), F.array().cast(EXONS).alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        out = F.when((c["op"] == "N") & (c["len"] >= min_intron), F.array_append(s["out"], _pair(s["end"] + 1, s["end"] + c["len"]))).otherwise(s["out"])
+        return F.struct((s["end"] + F.when(c["op"].isin(ON_REFERENCE), c["len"]).otherwise(0)).alias("end"), out.alias("out"))
+
+    return F.aggregate(cigar, zero, step)["out"]
 
 
 def matches_and_skips_only(cigar: Column) -> Column:

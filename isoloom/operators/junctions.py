@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoloom.functions import cigar as cg
 from isoloom.schema import MOTIFS, PROPER_PAIR, UNMAPPED, JunctionParams
 from isoloom.sources.text import TILE, genome_tiles
+from isoloom.storage import written
 
 
 def is_unique(nh: Column) -> Column:
@@ -28,11 +29,17 @@ def extract(aln: DataFrame, params: JunctionParams = JunctionParams()) -> DataFr
     return rows.select("tid", "chr", F.col("i.start").alias("don"), F.col("i.end").alias("acc"), "uniq")
 
 
-def motif(code: Column) -> tuple[Column, Column]:
-    """Motif number and strand of an intron's first two and last two bases; 0 and 0 if none of the known."""
+def _two(bases: Column) -> Column:
+    """Two bases as a number; fewer are like no two."""
+    return F.ascii(bases) * 65536 + F.ascii(F.substring(bases, 2, 1))
+
+
+def motif(ends: Column) -> tuple[Column, Column]:
+    """Motif number and strand of an intron's first and last two bases (a struct of ``_two``); 0 and 0 if none of the known."""
     number, strand = F.lit(0), F.lit(0)
     for bases, (n, s) in MOTIFS.items():
-        number, strand = F.when(code == bases, n).otherwise(number), F.when(code == bases, s).otherwise(strand)
+        here = (ends["_0"] == (ord(bases[0]) << 16) + ord(bases[1])) & (ends["_1"] == (ord(bases[2]) << 16) + ord(bases[3]))
+        number, strand = F.when(here, n).otherwise(number), F.when(here, s).otherwise(strand)
     return number, strand
 
 
@@ -48,10 +55,11 @@ def with_motif(junctions: DataFrame, genome: DataFrame | None) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("don").alias("at")), F.struct(F.lit(1).alias("side"), (F.col("acc") - 1).alias("at"))))
     asked = junctions.select("chr", "don", "acc").distinct().select("chr", "don", "acc", ends.alias("s"))
     asked = asked.select("chr", "don", "acc", "s.side", F.floor((F.col("s.at") - 1) / TILE).cast("int").alias("tile"), F.pmod(F.col("s.at") - 1, F.lit(TILE)).alias("in"))
-    found = asked.join(tiles, ["chr", "tile"]).select("chr", "don", "acc", "side", F.upper(F.substr("piece", F.col("in") + 1, F.lit(2))).alias("two"))
-    code = F.concat(F.max(F.when(F.col("side") == 0, F.col("two"))), F.max(F.when(F.col("side") == 1, F.col("two"))))
-    number, strand = motif(F.col("code"))
-    coded = found.groupBy("chr", "don", "acc").agg(code.alias("code")).select("chr", "don", "acc", number.alias("motif"), strand.alias("strand"))
+    found = asked.join(tiles, ["chr", "tile"]).select("chr", "don", "acc", "side", _two(F.upper(F.substr("piece", F.col("in") + 1, F.lit(2)))).alias("two"))
+    # numbers, as greatest texts would be sorted for
+    ends = found.groupBy("chr", "don", "acc").agg(*[F.max(F.when(F.col("side") == k, F.col("two"))).alias(f"_{k}") for k in (0, 1)])
+    number, strand = motif(F.struct("_0", "_1"))
+    coded = ends.select("chr", "don", "acc", number.alias("motif"), strand.alias("strand"))
     return junctions.join(coded, ["chr", "don", "acc"], "left").fillna(0, ["motif", "strand"])
 
 
@@ -65,7 +73,7 @@ def table(aln: DataFrame, genome: DataFrame | None = None, params: JunctionParam
     """The junction table in (tid, don, acc) order. Counting comes first, so motifs are looked up once a junction."""
     counted = count(extract(aln, params).withColumns({"motif": F.lit(0), "strand": F.lit(0)}))
     if genome is not None:
-        counted = with_motif(counted.drop("motif", "strand"), genome)
+        counted = with_motif(written(counted.drop("motif", "strand")), genome)  # read twice: for what it asks, and again
     return counted.select("tid", "chr", "don", "acc", "strand", "anno", "uniq_c", "multi_c", "motif").orderBy("tid", "don", "acc")
 
 

@@ -314,3 +314,16 @@ def test_genome_lines_are_read_once(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_motifs_of_ends_with_few_bases(spark):
+    """Motifs go by numbers of two bases; a side at the sequence's end has fewer, one beyond it none. Counts are worked
+    out once, as they are read twice."""
+    genome = spark.createDataFrame([("c", "aGTccAGxCTnACGCaagG")], "chr string, seq string")
+    rows = spark.createDataFrame([(0, "c", 2, 7), (0, "c", 9, 13), (0, "c", 14, 18), (0, "c", 2, 20), (0, "c", 2, 99), (0, "d", 2, 7)], "tid int, chr string, don int, acc int")
+    got = {(r["chr"], r["don"], r["acc"]): (r["motif"], r["strand"]) for r in junctions.with_motif(rows, genome).collect()}
+    assert got == {("c", 2, 7): (1, 1), ("c", 9, 13): (2, 2), ("c", 14, 18): (3, 1), ("c", 2, 20): (0, 0), ("c", 2, 99): (0, 0), ("d", 2, 7): (0, 0)}
+    aln = spark.createDataFrame([("q", 2, 0, "c", 0, [("M", 1), ("N", 6), ("M", 4)], 1)], "qname string, flag int, tid int, chr string, pos int, cigar array<struct<op:string,len:int>>, nh int")
+    table = junctions.table(aln, genome)
+    assert [(r["don"], r["acc"], r["motif"], r["uniq_c"]) for r in table.collect()] == [(2, 7, 1, 1)]
+    assert "nh#" not in table._jdf.queryExecution().optimizedPlan().toString()

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 def attribute(attributes: Column, tag: str) -> Column:
     """The quoted value of a tag, null if absent. The tag must stand at the start or after a separator."""
-    found = F.regexp_extract(attributes, f'(?:^|[;\\s]){re.escape(tag)}[ =]"([^"]*)"', 1)
-    has = attributes.rlike(f'(?:^|[;\\s]){re.escape(tag)}[ =]"')
-    return F.when(has, found)
+    name = re.escape(tag)
+    # the literal comes first, as it is searched for fast; one search tells an absent tag from an empty value
+    found = F.get(F.regexp_extract_all(attributes, F.lit(f'{name}(?<=(?:^|[;\\s]){name})[ =]"([^"]*)"'), F.lit(1)), F.lit(0))
+    return F.when(attributes.contains(tag), found)
 
 
 def chromosome_number(chr_: Column) -> Column:

@@ -101,13 +101,16 @@ def gtf(spark: SparkSession, path: str, header: DataFrame | None = None) -> Data
 
 def parse_gtf(lines: DataFrame, header: DataFrame | None = None) -> DataFrame:
     f = F.split("value", "\t")
-    at = lambda k: F.get(f, F.lit(k))
     rows = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 5))
-    gene = attribute(at(8), "gene_id")
-    name = F.coalesce(attribute(at(8), "gene_name"), gene)
-    tname = F.coalesce(attribute(at(8), "transcript_name"), name)
     extra = ["file"] if "file" in lines.columns else []
-    out = rows.select("ord", *extra, at(0).alias("chr"), at(2).alias("type"), at(3).try_cast("int").alias("start"), at(4).try_cast("int").alias("end"), (F.coalesce(at(6), F.lit("+")) == "-").cast("int").alias("is_rev"), gene.alias("gene_id"), name.alias("gene_name"), F.coalesce(attribute(at(8), "transcript_id"), tname).alias("transcript_id"), tname.alias("transcript_name"), "value")
+    fields = rows.select("ord", *extra, "value", f.alias("_f"))
+    g = lambda k: F.get("_f", F.lit(k))
+    # in steps, so that each tag is sought once a line
+    tags = ("gene_id", "gene_name", "transcript_id", "transcript_name")
+    found = fields.withColumn("_a", g(8)).withColumns({f"_{t}": attribute(F.col("_a"), t) for t in tags})
+    name = F.coalesce("_gene_name", "_gene_id")
+    tname = F.coalesce("_transcript_name", name)
+    out = found.select("ord", *extra, g(0).alias("chr"), g(2).alias("type"), g(3).try_cast("int").alias("start"), g(4).try_cast("int").alias("end"), (F.coalesce(g(6), F.lit("+")) == "-").cast("int").alias("is_rev"), F.col("_gene_id").alias("gene_id"), name.alias("gene_name"), F.coalesce("_transcript_id", tname).alias("transcript_id"), tname.alias("transcript_name"), "value")
     return out if header is None else out.join(F.broadcast(header.select("tid", "chr")), "chr", "left")  # one row a chromosome
 
 

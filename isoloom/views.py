@@ -177,7 +177,8 @@ def genome_file(spark: SparkSession, sf_dir: str) -> str:
 def lines(tx: DataFrame) -> DataFrame:
     """Annotation lines (ord, value) of transcripts, in table order, as a file would have them."""
     attributes = F.concat(F.lit('gene_id "'), F.col("gene_id"), F.lit('"; transcript_id "'), F.col("transcript_id"), F.lit('"; gene_name "'), F.col("gene_name"), F.lit('";'))
-    strand = F.when(F.col("is_rev") == 1, "-").otherwise("+")
-    line = lambda kind, s, e: F.concat_ws("\t", F.col("chr"), F.lit("src"), F.lit(kind), s.cast("string"), e.cast("string"), F.lit("."), strand, F.lit("."), attributes)
-    every = F.concat(F.array(line("transcript", F.col("start"), F.col("end"))), F.transform("exons", lambda e: line("exon", e["start"], e["end"])))
-    return tx.select("tx", F.posexplode(every).alias("k", "value")).select((F.col("tx") * 100 + F.col("k")).alias("ord"), "value")
+    part = lambda kind, s, e: F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"))
+    every = F.concat(F.array(part("transcript", F.col("start"), F.col("end"))), F.transform("exons", lambda e: part("exon", e["start"], e["end"])))
+    rows = tx.select("tx", "chr", F.when(F.col("is_rev") == 1, "-").otherwise("+").alias("strand"), attributes.alias("attributes"), F.posexplode(every).alias("k", "p"))
+    line = F.concat_ws("\t", "chr", F.lit("src"), "p.kind", F.col("p.s").cast("string"), F.col("p.e").cast("string"), F.lit("."), "strand", F.lit("."), "attributes")
+    return rows.select((F.col("tx") * 100 + F.col("k")).alias("ord"), line.alias("value"))

@@ -327,3 +327,15 @@ def test_motifs_of_ends_with_few_bases(spark):
     table = junctions.table(aln, genome)
     assert [(r["don"], r["acc"], r["motif"], r["uniq_c"]) for r in table.collect()] == [(2, 7, 1, 1)]
     assert "nh#" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_tag_is_sought_once(spark):
+    """Empty, absent and partly like tags; a line is searched once a tag (once it was twice, and again for each fallback)."""
+    attributes = ['gene_id "g1"; transcript_id "t1";', 'xgene_id "no"; gene_id "";', 'my.gene_name "no";gene_name="n";transcript_name "a" transcript_name "b"', "gene_id g1", 'gene_id\t"g"', "", ' gene_id "x;y"']
+    lines = spark.createDataFrame([(k, f"c\ts\texon\t1\t2\t.\t-\t.\t{a}") for k, a in enumerate(attributes)] + [(90, "c\ts\texon\t1\t2"), (91, "c\ts\texon\t1"), (92, "#c\ts\texon\t1\t2")], "ord long, value string")
+    rows = text.parse_gtf(lines)
+    got = {r["ord"]: (r["gene_id"], r["gene_name"], r["transcript_id"], r["transcript_name"]) for r in rows.collect()}
+    no = (None,) * 4
+    assert got == {0: ("g1", "g1", "t1", "g1"), 1: ("",) * 4, 2: (None, "n", "a", "a"), 3: no, 4: no, 5: no, 6: ("x;y",) * 4, 90: no}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 4 and "RLIKE" not in plan

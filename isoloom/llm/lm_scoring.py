@@ -96,7 +96,7 @@ def corpus_counts(train: DataFrame, tokenizer: str) -> DataFrame:
                 parts.append(np.unique(h, return_counts=True))
                 size += len(parts[-1][0])
                 texts += b - a
-                if size > 4 * GATHERED:
+                if size > 2 * GATHERED:
                     parts = [merged()]
                     size = len(parts[0][0])
                     if size > GATHERED:
@@ -147,7 +147,8 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            total += np.bincount(_joined(batch.column(0))[0], minlength=VOCABULARY)
+            for _, _, part, _ in _parts(batch.column(0)):
+                total += np.bincount(part, minlength=VOCABULARY)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["h", "n"])
 
     out = np.zeros(VOCABULARY)
@@ -156,18 +157,25 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _neighbour_cells(batches: Iterator[pa.RecordBatch], column: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """cell, n: how often an id (cell // (2 * NEAR)) has a neighbour. A batch is counted in parts, as the counting takes
+    many bytes an id."""
+    near = np.zeros((VOCABULARY, 2 * NEAR), np.int32)  # a task has fewer than 2**31 ids
+    for batch in batches:
+        for _, _, part, bounds in _parts(batch.column(0)):
+            add_neighbours(near, part, bounds, column)
+    cell = np.flatnonzero(near)
+    for at in range(0, len(cell), 100_000):
+        part = cell[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(near.reshape(-1)[part].astype(np.int64))], ["cell", "n"])
+
+
 def neighbours(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
     """How often each id has each of the NEAR most frequent ids before or after it, over all training texts."""
     column, wide = columns_of(counts), 2 * NEAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros((VOCABULARY, wide), np.int32)  # a task has fewer than 2**31 ids
-        for batch in batches:
-            add_neighbours(near, *_joined(batch.column(0)), column)
-        cell = np.flatnonzero(near)
-        for at in range(0, len(cell), 100_000):
-            part = cell[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(near.reshape(-1)[part].astype(np.int64))], ["cell", "n"])
+        return _neighbour_cells(batches, column)
 
     def rows(table):
         cell, n = table["cell"].to_numpy(), table["n"].to_numpy()

@@ -169,10 +169,13 @@ def merge(flags: DataFrame, params: UpdateParams, blocks: int | None = None) ->
     """Kept novel transcripts with coverage, of classified reads. ``blocks`` is their number, by default as Spark deals
     ranges."""
     names = ["chr", "new_gene_id", "new_gene_name", "transcript_id", "transcript_name"]
+    # 128 bits of a digest: chains are known by it in all that is shuffled below
     digest = F.sha2(F.concat_ws(",", "tid", "is_rev", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",")), 256)
-    reads = flags.where(F.size("exons") > 1).withColumn("chain", chain_of(F.col("exons"))).withColumn("cid", digest)
-    whole = written(reads.select("tx", "tid", "is_rev", "start", "end", "exons", "emit", "all_novel", "chain", "cid", *names))
-    chains = whole.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("tid", "is_rev", "chain")], F.bool_or("emit").alias("emit"))
+    cid = F.base64(F.substring(F.unhex(digest), 1, 16))
+    reads = flags.where(F.size("exons") > 1).withColumn("chain", chain_of(F.col("exons"))).withColumn("cid", cid)
+    whole = written(reads.select("tx", "tid", "is_rev", "start", "end", "exons", "emit", "all_novel", "cid", *names))
+    chains = whole.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("tid", "is_rev", "exons")], F.bool_or("emit").alias("emit"))
+    chains = chains.select("cid", "tid", "is_rev", chain_of(F.col("exons")).alias("chain"), "emit")
     if params.distance == 0:
         chains = chains.where("emit")
     chains = written(chains)
@@ -204,7 +207,7 @@ def merge(flags: DataFrame, params: UpdateParams, blocks: int | None = None) ->
         part = found.where("kind <> 'open'").select("tx", "end", "cov")
         result = part if result is None else result.unionByName(part)
     sums = result.groupBy("tx").agg(F.max("end").alias("_end"), F.sum("cov").alias("cov"))
-    kept = whole.where("emit").drop("end", "emit", "chain", "cid").join(sums, "tx")
+    kept = whole.where("emit").drop("end", "emit", "cid").join(sums, "tx")
     last_exon = F.element_at("exons", -1)
     stretched = F.concat(F.slice("exons", F.lit(1), F.size("exons") - 1), F.array(F.struct(last_exon["start"].alias("start"), F.col("_end").alias("end"))))
     return kept.select("tx", "tid", "is_rev", "cov", "all_novel", stretched.alias("exons"), "chr", "transcript_id", "transcript_name", "start", F.col("_end").alias("end"), F.col("new_gene_id").alias("gene_id"), F.col("new_gene_name").alias("gene_name"))

@@ -80,3 +80,15 @@ def test_nothing_to_merge(spark):
     assert merging.merge(spark.createDataFrame([], FLAGS), UpdateParams()).collect() == []
     single = [(1, 0, 0, 5, 9, [(5, 9)], True, False, "c", "g", "n", "t", None)]
     assert merging.merge(spark.createDataFrame(single, FLAGS), UpdateParams()).collect() == []
+
+
+def test_chains_travel_as_short_ids(spark, monkeypatch):
+    """Of what is written and shuffled only the table of distinct chains has their introns, once, and ids have 24 letters
+    (once reads carried their introns beside their exons, and ids of 64 letters)."""
+    seen = []
+    monkeypatch.setattr(merging, "written", lambda df, f=merging.written: seen.append(f(df)) or seen[-1])
+    rows = [(k, 0, 0, 10, 90, [(10, 20), (30, 40 + k % 2), (60, 90)], True, False, "c", "g", "n", "t", "t") for k in range(6)]
+    got = merging.merge(spark.createDataFrame(rows, FLAGS), UpdateParams()).collect()
+    assert sorted((r["tx"], r["cov"]) for r in got) == [(0, 3), (1, 3)]
+    assert [set(t.columns) & {"chain", "exons"} for t in seen[:3]] == [{"exons"}, {"chain"}, set()]
+    assert {len(r["cid"]) for t in seen[:2] for r in t.select("cid").collect()} == {24}

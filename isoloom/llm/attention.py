@@ -7,7 +7,10 @@ import numpy as np
 VOCABULARY, END = 50_257, 50_256
 WINDOW, STRIDE = 32, 24
 DIM, CLASSES, OWN = 16, 64, 4096
-CHUNK = 128
+#: Windows whose arrays are worked on together, in scoring and in training.
+CHUNK, PART = 128, 32
+#: Where each input row has its numbers.
+_CELLS = np.arange((OWN + CLASSES) * DIM).reshape(-1, DIM)
 #: Ids whose neighbourhood tells the classes apart.
 NEAR = 128
 
@@ -24,10 +27,12 @@ def add_neighbours(near: np.ndarray, stream: np.ndarray, first: np.ndarray, colu
     inside = np.ones(max(len(stream) - 1, 0), bool)
     cut = first[(first > 0) & (first < len(stream))] - 1
     inside[cut] = False
-    left, right = stream[:-1][inside].astype(np.int64), stream[1:][inside].astype(np.int64)
-    for mine, other, shift in ((left, right, 0), (right, left, NEAR)):
-        ok = column[other] >= 0
-        np.add.at(near.reshape(-1), mine[ok] * (2 * NEAR) + column[other[ok]] + shift, 1)
+    place = column[stream]
+    left, right = stream[:-1].astype(np.int64), stream[1:].astype(np.int64)
+    one = near.dtype.type(1)  # of the counts' own type, as others are cast one by one
+    for mine, of, shift in ((left, place[1:], 0), (right, place[:-1], NEAR)):
+        ok = np.flatnonzero(inside & (of >= 0))
+        np.add.at(near.reshape(-1), mine[ok] * (2 * NEAR) + (of[ok] + shift), one)
 
 
 def classes_of(near: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -78,22 +83,22 @@ class Attention:
         return out
 
     def _forward(self, x: np.ndarray):
-        """Input rows, queries, keys, values, attention weights, what they gather, and outputs. Windows stand one below
-        another where they meet weights, so that each is one product."""
+        """Input rows, queries beside keys and values, attention weights before they are divided by their sums, the
+        sums' inverses, what the weights gather, and outputs. Windows stand one below another where they meet weights,
+        so that each is one product."""
         w, n = self.w, len(x)
         h = w["emb"].take(x, axis=0)
         h += w["pos"]
         h = h.reshape(-1, DIM)
-        qkv = h @ np.concatenate([w["q"], w["k"], w["v"]], 1)
-        q, k, v = (np.ascontiguousarray(qkv[:, j * DIM : (j + 1) * DIM]).reshape(n, WINDOW, DIM) for j in range(3))
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(DIM**-0.5)
-        np.clip(a, -30, 30, a)
-        np.exp(a, a)
-        a *= self.future
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-        z = np.matmul(a, v).reshape(-1, DIM)
-        return h, q, k, v, a, z, (h + z @ w["o"]).reshape(n, WINDOW, DIM)
+        qkv = (h @ np.concatenate([w["q"] * np.float32(DIM**-0.5), w["k"], w["v"]], 1)).reshape(n, WINDOW, 3 * DIM)
+        e = np.matmul(qkv[..., :DIM], qkv[..., DIM : 2 * DIM].transpose(0, 2, 1))
+        np.clip(e, -30, 30, e)
+        np.exp(e, e)
+        e *= self.future
+        inverse = np.reciprocal(e.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32))
+        z = np.matmul(e, qkv[..., 2 * DIM :]).reshape(-1, DIM)
+        z *= inverse
+        return h, qkv, e, inverse, z, (h + z @ w["o"]).reshape(n, WINDOW, DIM)
 
     def _train(self, stream: np.ndarray, steps: int, rng: np.random.Generator, batch: int = 64) -> None:
         rates = 0.01 * np.minimum(1, np.arange(1, steps + 1) / 20) * (1 - 0.9 * np.arange(1, steps + 1) / steps)
@@ -113,71 +118,95 @@ class Attention:
         return n, came
 
     def _steps(self, stream: np.ndarray, starts, rates: np.ndarray) -> None:
-        first, second = ({n: np.zeros_like(p) for n, p in self.w.items()} for _ in range(2))
-        of_class, of_place, scale = np.ones(CLASSES, np.float32), np.ones((WINDOW, 1), np.float32), np.float32(DIM**-0.5)
+        """A step for each batch of windows. Its gradient is summed up over PART windows at a time, whose arrays stay in
+        the cache; all weights are one array, of which ``w`` has views."""
+        names = list(self.w)
+        flat = np.concatenate([self.w[n].ravel() for n in names])
+        total, first, second, change = (np.zeros_like(flat) for _ in range(4))
+
+        def views(of: np.ndarray) -> dict[str, np.ndarray]:
+            bounds = np.cumsum([0, *(self.w[n].size for n in names)]).tolist()
+            return {n: of[a:b].reshape(self.w[n].shape) for n, a, b in zip(names, bounds[:-1], bounds[1:], strict=True)}
+
+        self.w, grad = views(flat), views(total)
+        rows, goal = self.row[stream].astype(np.uint16), self.classes[stream].astype(np.uint8)
         for step, (start, rate) in enumerate(zip(starts, rates.tolist(), strict=True), 1):
-            at = start[:, None] + np.arange(WINDOW)
-            x, y = self.row[stream[at]], self.classes[stream[at + 1]].ravel()
-            w, n = self.w, len(x)
-            h, q, k, v, a, z, out = self._forward(x)
-            out = out.reshape(-1, DIM)
-            p = out @ w["u"]
-            p += w["b"]
-            np.clip(p, -60, 60, p)
-            np.exp(p, p)
-            p /= (p @ of_class)[:, None]
-            p[np.arange(len(y)), y] -= 1
-            p /= np.float32(len(y))
-            d_out = p @ w["u"].T
-            d_z = (d_out @ w["o"].T).reshape(n, WINDOW, DIM)
-            d_s = np.matmul(d_z, v.transpose(0, 2, 1))
-            d_s -= np.matmul(d_s * a, of_place)
-            d_s *= a
-            d_s *= scale
-            d_qkv = np.concatenate([np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_z)], 2).reshape(-1, 3 * DIM)
-            d_h = d_out + d_qkv @ np.concatenate([w["q"], w["k"], w["v"]], 1).T
-            g_qkv = h.T @ d_qkv
-            g = {"u": out.T @ p, "b": p.sum(0), "o": z.T @ d_out, "q": g_qkv[:, :DIM], "k": g_qkv[:, DIM : 2 * DIM], "v": g_qkv[:, 2 * DIM :], "pos": d_h.reshape(n, -1).sum(0).reshape(WINDOW, DIM)}
-            order = np.argsort(x, None, "stable")
-            sorted_ = x.ravel()[order]
-            begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            rows, grad = sorted_[begin], np.add.reduceat(d_h[order], begin, 0)
+            total[:] = 0
+            for c in range(0, len(start), PART):
+                at = start[c : c + PART, None] + np.arange(WINDOW)
+                self._add_gradient(rows[at].astype(np.int64), goal[at + 1].ravel().astype(np.int64), len(start) * WINDOW, grad)
             # unseen input rows have no gradient: their averages only shrink
-            first["emb"] *= np.float32(0.9)
-            second["emb"] *= np.float32(0.99)
-            first["emb"][rows] += np.float32(0.1) * grad
-            second["emb"][rows] += np.float32(0.01) * (grad * grad)
-            for name, grad in g.items():
-                first[name] += 0.1 * (grad - first[name])
-                second[name] += 0.01 * (grad * grad - second[name])
-            for name in w:
-                change = second[name] * np.float32(1 / (1 - 0.99**step))
-                np.sqrt(change, change)
-                change += np.float32(1e-8)
-                np.divide(first[name], change, change)
-                change *= np.float32(rate / (1 - 0.9**step))
-                w[name] -= change
-
-    def _hidden(self, x: np.ndarray) -> np.ndarray:
-        """As _forward, for scoring (places x DIM + 1): fewer passes over the attention weights, and a last column of
-        ones for the bias."""
-        w, n = self.w, len(x)
+            first *= np.float32(0.9)
+            np.multiply(total, np.float32(0.1), change)
+            first += change
+            second *= np.float32(0.99)
+            np.multiply(total, total, change)
+            change *= np.float32(0.01)
+            second += change
+            np.multiply(second, np.float32(1 / (1 - 0.99**step)), change)
+            np.sqrt(change, change)
+            change += np.float32(1e-8)
+            np.divide(first, change, change)
+            change *= np.float32(rate / (1 - 0.9**step))
+            flat -= change
+
+    def _add_gradient(self, x: np.ndarray, y: np.ndarray, places: int, grad: dict[str, np.ndarray]) -> None:
+        """Add to ``grad`` that of the loss of windows ``x`` and their next classes ``y``, as part of a mean over so many
+        places. Softmax weights are nowhere divided by their sums: what is narrower is."""
+        w, n, scale = self.w, len(x), np.float32(DIM**-0.5)
+        h, qkv, e, inverse, z, out = self._forward(x)
+        out = out.reshape(-1, DIM)
+        p = out @ w["u"]
+        p += w["b"]
+        np.clip(p, -60, 60, p)
+        np.exp(p, p)
+        sums = p @ np.ones(CLASSES, np.float32)
+        p.reshape(-1)[np.arange(0, p.size, CLASSES) + y] -= sums
+        share = np.reciprocal(sums * np.float32(places))
+        d_out = p @ w["u"].T
+        d_out *= share[:, None]
+        out *= share[:, None]
+        grad["u"] += (p.T @ out).T
+        grad["b"] += share @ p
+        grad["o"] += z.T @ d_out
+        d_z = d_out @ w["o"].T
+        d_z *= inverse
+        z *= d_z
+        mean = z @ np.ones((DIM, 1), np.float32)
+        d_z = d_z.reshape(n, WINDOW, DIM)
+        d_s = np.matmul(d_z, qkv[..., 2 * DIM :].transpose(0, 2, 1))
+        d_s -= mean.reshape(n, WINDOW, 1)
+        d_s *= e
+        d_qkv = np.empty_like(qkv)
+        np.matmul(d_s, qkv[..., DIM : 2 * DIM], out=d_qkv[..., :DIM])
+        np.matmul(d_s.transpose(0, 2, 1), qkv[..., :DIM], out=d_qkv[..., DIM : 2 * DIM])
+        np.matmul(e.transpose(0, 2, 1), d_z, out=d_qkv[..., 2 * DIM :])
+        d_qkv = d_qkv.reshape(-1, 3 * DIM)
+        g_qkv = h.T @ d_qkv
+        grad["q"] += g_qkv[:, :DIM] * scale
+        grad["k"] += g_qkv[:, DIM : 2 * DIM]
+        grad["v"] += g_qkv[:, 2 * DIM :]
+        d_out += d_qkv @ np.concatenate([w["q"] * scale, w["k"], w["v"]], 1).T
+        grad["pos"] += d_out.reshape(n, -1).sum(0).reshape(WINDOW, DIM)
+        np.add.at(grad["emb"].reshape(-1), _CELLS.take(x, axis=0).ravel(), d_out.ravel())
+
+    def _hidden(self, x: np.ndarray, begin: int) -> np.ndarray:
+        """Outputs as of _forward at the places from ``begin`` on (places x DIM + 1), for scoring: the other places give
+        keys and values alone. A last column of ones stands for the bias."""
+        w, n, live = self.w, len(x), WINDOW - begin
         h = w["emb"].take(x, axis=0)
         h += w["pos"]
-        h = h.reshape(-1, DIM)
-        qkv = h @ np.concatenate([w["q"] * np.float32(DIM**-0.5), w["k"], w["v"]], 1)
-        q, k = (np.ascontiguousarray(qkv[:, j * DIM : (j + 1) * DIM]).reshape(n, WINDOW, DIM) for j in range(2))
-        v = np.ones((n, WINDOW, DIM + 1), np.float32)
-        v[..., :DIM] = qkv[:, 2 * DIM :].reshape(n, WINDOW, DIM)
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        kv = (h.reshape(-1, DIM) @ np.concatenate([w["k"], w["v"]], 1)).reshape(n, WINDOW, 2 * DIM)
+        h = h[:, begin:].reshape(-1, DIM)
+        q = (h @ (w["q"] * np.float32(DIM**-0.5))).reshape(n, live, DIM)
+        a = np.matmul(q, kv[..., :DIM].transpose(0, 2, 1))
         np.clip(a, -30, 30, a)
         np.exp(a, a)
-        a *= self.future
-        z = np.matmul(a, v).reshape(-1, DIM + 1)
+        a *= self.future[begin:]
+        z = np.matmul(a, kv[..., DIM:]).reshape(-1, DIM)
+        z /= a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), np.float32)
         out = np.ones((len(h), DIM + 1), np.float32)
-        z[:, :DIM] /= z[:, DIM:]
-        np.matmul(z[:, :DIM], w["o"], out=out[:, :DIM])
-        out[:, :DIM] += h
+        np.add(z @ w["o"], h, out=out[:, :DIM])
         return out
 
     def score(self, ids: list[np.ndarray]) -> np.ndarray:
@@ -187,24 +216,31 @@ class Attention:
         """
         n = np.array([len(x) + 1 for x in ids], np.int64)
         begin = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
-        stream = np.concatenate([np.concatenate([[END], x, [END]]) for x in ids] or [np.zeros(0)]).astype(np.int32)
-        rows, goal, share = self.row[stream].astype(np.int32), self.classes[stream].astype(np.int32), self.within[stream]
-        count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
+        stream = np.full(int((n + 1).sum()), END, np.uint16)
+        if len(ids):
+            stream[np.arange(len(stream) - 2 * len(ids)) + np.repeat(2 * np.arange(len(ids)) + 1, n - 1)] = np.concatenate(ids)
+        rows, goal, share = self.row[stream].astype(np.uint16), self.classes[stream].astype(np.uint8), self.within[stream]
+        count = np.maximum(0, -(-(n - WINDOW) // STRIDE))
         doc = np.repeat(np.arange(len(ids)), count)
-        turn = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        start, last = begin[doc] + STRIDE * turn, begin[doc] + n[doc] - 1
+        turn = 1 + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         out = np.zeros(len(ids))
         last_layer = np.concatenate([self.w["u"], self.w["b"][None]])
         step, ones = np.arange(WINDOW), np.ones(CLASSES, np.float32)
-        for c in range(0, len(doc), CHUNK):
-            at = start[c : c + CHUNK, None] + step
-            live = (at <= last[c : c + CHUNK, None]) & ((turn[c : c + CHUNK, None] == 0) | (step >= WINDOW - STRIDE))
-            at = np.minimum(at, last[c : c + CHUNK, None])
-            logits = self._hidden(rows[at])[live.ravel()] @ last_layer
-            next_ = at[live] + 1
-            np.clip(logits, -60, 60, logits)
-            picked = logits[np.arange(len(logits)), goal[next_]]
-            np.exp(logits, logits)
-            value = picked - np.log(logits @ ones) + share[next_]
-            out += np.bincount(np.repeat(doc[c : c + CHUNK], live.sum(1)), value, len(out))
+        for of, start, first in ((np.arange(len(ids)), begin, 0), (doc, begin[doc] + STRIDE * turn, WINDOW - STRIDE)):
+            last = (begin + n - 1)[of]
+            for c in range(0, len(of), CHUNK):
+                end = last[c : c + CHUNK, None]
+                at = start[c : c + CHUNK, None] + step
+                hidden = self._hidden(rows[np.minimum(at, end)], first)
+                at = at[:, first:]
+                live = at <= end
+                if not live.all():
+                    hidden = hidden[live.ravel()]
+                next_ = at[live] + 1
+                logits = hidden @ last_layer
+                np.clip(logits, -60, 60, logits)
+                picked = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + goal[next_]]
+                np.exp(logits, logits)
+                value = picked - np.log(logits @ ones) + share[next_]
+                out += np.bincount(np.repeat(of[c : c + CHUNK], live.sum(1)), value, len(out))
         return out

@@ -100,7 +100,7 @@ class ByteEncoder:
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.encoding.encode(t, allowed_special="all") if "<|endoftext|>" in t else self.encoding.encode_ordinary(t), np.uint16) for t in texts]
+        return [self.encoding.encode_to_numpy(t, allowed_special="all").astype(np.uint16) for t in texts]
 
     @property
     def other(self):

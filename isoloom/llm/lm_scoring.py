@@ -8,8 +8,9 @@ SHARD_BYTES by hash, ROUNDS times a part of the shards takes its gradient steps
 the weights are averaged, each shard by its ids (an input row by how often the shard has it).
 
 Texts are encoded once. Ids spell the lower-cased bytes exactly, so words are read off the table of ids too. Word counts
-stay distributed: blocks of at most BLOCK_IDS ids ask for the counts of their own distinct words, and get them beside
-their rows. A word is known by its 64-bit hash.
+stay distributed: blocks of at most BLOCK_IDS ids send their distinct words with their own counts to ranges of hashes,
+packed as bytes. A range adds up all blocks' counts and sends each block the sums of its words, in the order of the
+hashes, so the words need not come back. A word is known by its 64-bit hash.
 
 Cases: null or empty text is the end token alone; a null doc_id counts as text "" in the split; rows are scored each,
 equal ones too; without training rows all counts are 0 and the network keeps its initial weights; an empty table gives
@@ -43,8 +44,8 @@ ROUNDS = 4
 RATE = 0.003
 #: Sums of weights that come to the driver in a round.
 SUMS = 16
-#: Distinct words that a counting task gathers before it passes them on.
-GATHERED = 1_000_000
+#: Bytes of text for each range of word hashes, whose counts one task adds up.
+RANGE_BYTES = 12_000_000
 WORD = separators(WHITE)
 #: Stands for the end token among word hashes.
 END_WORD = 1
@@ -61,7 +62,7 @@ def _words(code: ByteEncoder, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.n
     """Word hashes of texts given as ids, and each text's first word. Ids spell the lower-cased text exactly."""
     data, at = code.text(ids)
     starts, ends, first = scan(data, at[bounds], WORD)
-    return hashes(data, starts, ends).view(np.int64), first
+    return hashes(data, starts, ends), first
 
 
 def _parts(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,40 +75,84 @@ def _parts(column: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, np
         at = end
 
 
-def corpus_counts(train: DataFrame, tokenizer: str) -> DataFrame:
-    """h (of a word), n over all training texts (ids)."""
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in ascending order, and the place of each number among them."""
+    coded = pa.array(words).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[coded.indices.to_numpy()]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, first bytes first, as these compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(planes.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def _bounds(words: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of words begins among sorted ones (ranges + 1)."""
+    return np.searchsorted(words >> np.uint64(32), -(-(np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, code = 0, encoder(ByteEncoder, tokenizer)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            unique, at = np.unique(h, return_inverse=True)
-            return unique, np.bincount(at.reshape(-1), n, len(unique)).astype(np.int64)
+def block_words(every: DataFrame, tokenizer: str, ranges: int) -> DataFrame:
+    """range, block, h, n: the distinct words of each block, by ranges of their hashes, and how often training texts of
+    the block have each; the end token too. ``h`` and ``n`` are bytes (_planes), so words never become rows."""
 
-        def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["h", "n"])
+    def packed(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, trained = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, place = _distinct(h)
+        n = np.bincount(place[trained], minlength=len(h))
+        bounds = _bounds(h, ranges)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        rows = [(_planes(h[bounds[r] : bounds[r + 1]]), _planes(n[bounds[r] : bounds[r + 1]])) for r in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["range", "block", "h", "n"])
 
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(ByteEncoder, tokenizer)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for a, b, ids, bounds in _parts(batch.column(0)):
-                h, _ = _words(code, ids, bounds)
-                parts.append(np.unique(h, return_counts=True))
-                size += len(parts[-1][0])
-                texts += b - a
-                if size > 2 * GATHERED:
-                    parts = [merged()]
-                    size = len(parts[0][0])
-                    if size > GATHERED:
-                        yield rows(*parts[0])
-                        parts, size = [], 0
-        if parts:
-            yield rows(*merged())
-        if texts:
-            yield rows(np.array([END_WORD]), np.array([texts]))
-
-    return train.select("ids").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            for a, b, part, bounds in _parts(batch.column(2)):
+                block, held = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (0, 1))
+                h, first = _words(code, part, bounds)
+                cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b - a]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    ends = np.full(y - x, END_WORD, np.uint64)
+                    trained = np.repeat(~held[x:y], np.diff(first[x : y + 1]))
+                    found.setdefault(int(block[x]), []).append((np.concatenate([h[first[x] : first[y]], ends]), np.concatenate([trained, ~held[x:y]])))
+                last = int(block[-1])
+                for k in [k for k in found if k != last]:  # a block's rows follow each other
+                    yield packed(k, found.pop(k))
+        for k, parts in found.items():
+            yield packed(k, parts)
+
+    return every.select("block", "held_out", "ids").mapInArrow(run, "range int, block long, h binary, n binary")
+
+
+def corpus_counts(words: DataFrame) -> DataFrame:
+    """range, block, n, seen, kinds: how often all training texts have each word of a block's range, in the order of the
+    hashes, as bytes; one row of each range has the range's tokens and distinct tokens, the others 0."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        held = [_numbers(x, np.uint64) for x in table["h"]]
+        h, place = _distinct(np.concatenate(held))
+        total = np.zeros(len(h), np.int64)
+        np.add.at(total, place, np.concatenate([_numbers(x, np.int64) for x in table["n"]]))
+        of: dict[int, list[np.ndarray]] = {}
+        cuts = np.cumsum([0, *map(len, held)]).tolist()
+        for block, x, y in zip(table["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True):
+            of.setdefault(block, []).append(place[x:y])
+        # a block that two tasks read has its words from both
+        n = [_planes(total[x[0] if len(x) == 1 else np.unique(np.concatenate(x))]) for x in of.values()]
+        first = np.arange(len(n)) == 0
+        sums = [pa.array(np.where(first, x, 0), pa.int64()) for x in (total.sum(), np.count_nonzero(total))]
+        return pa.table([pa.array([table["range"][0].as_py()] * len(n), pa.int32()), pa.array(list(of), pa.int64()), pa.array(n, pa.binary()), *sums], ["range", "block", "n", "seen", "kinds"])
+
+    return words.groupBy("range").applyInArrow(counted, "range int, block long, n binary, seen long, kinds long")
 
 
 def id_table(docs: DataFrame, tokenizer: str, shards: int) -> DataFrame:
@@ -259,58 +304,33 @@ def score(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int = 2)
     shards = max(1, -(-size // SHARD_BYTES))
     every = written(id_table(base, tokenizer, shards))  # texts are encoded once; all that follows reads ids
     ids = every.where("NOT held_out")
-    counts = written(corpus_counts(ids, tokenizer))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = written(corpus_counts(block_words(every, tokenizer, max(1, -(-size // RANGE_BYTES)))))
+    totals = counts.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     share = id_counts(ids)
     start = Attention(sample_ids(base.where("NOT held_out"), tokenizer), share, near=neighbours(ids, share))
     model = spark.sparkContext.broadcast(fit_all(start, ids.select("shard", "rank", "ids"), shards))
     seen, kinds = int(totals[0]), int(totals[1])
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(ByteEncoder, tokenizer)
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for a, b, part, bounds in _parts(batch.column(1)):
-                block = batch.column(0).slice(a, b - a).to_numpy()
-                h, first = _words(code, part, bounds)
-                of = np.repeat(block, np.diff(first))
-                for k in np.unique(block).tolist():
-                    found.setdefault(k, []).append(np.unique(h[of == k]))
-                last = int(block[-1])
-                for k in [k for k in found if k != last]:  # a block's rows follow each other
-                    yield _asked(k, found.pop(k))
-        for k, parts in found.items():
-            yield _asked(k, parts)
-
-    need = every.select("block", "ids").mapInArrow(asked, "block long, h long").join(counts, "h").select("block", "h", "n")
-
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right["h"].to_numpy()
-        order = np.argsort(h)
-        h, n = h[order], right["n"].to_numpy()[order]
         code = encoder(ByteEncoder, tokenizer)
-        at = int(np.searchsorted(h, END_WORD))
-        end = int(n[at]) if at < len(h) and h[at] == END_WORD else 0
+        parts = [(part, bounds, *_words(code, part, bounds)) for column in left["ids"].chunks for _, _, part, bounds in _parts(column)]
+        h, place = _distinct(np.concatenate([np.array([END_WORD], np.uint64), *(words for _, _, words, _ in parts)]))
+        at = np.argsort(right["range"].to_numpy())
+        c = np.concatenate([_numbers(right["n"][k], np.int64) for k in at.tolist()])
+        if len(c) != len(h):
+            raise ValueError("a block's words and their counts differ")
+        log, occurs = np.log10(c + 1.0), (c > 0).astype(np.int64)
+        end, place = place[0], place[1:]
         tokens, known, base_score, scores = [], [], [], []
-        for column in left["ids"].chunks:
-            for _, _, part, bounds in _parts(column):
-                words, first = _words(code, part, bounds)
-                c = np.zeros(len(words), np.int64)
-                if len(h):
-                    place = np.minimum(np.searchsorted(h, words), len(h) - 1)
-                    c = np.where(h[place] == words, n[place], 0)
-                size = np.diff(first) + 1
-                tokens.append(size)
-                known.append(per_row((c > 0).astype(np.int64), first) + (end > 0))
-                base_score.append(per_row(np.log10(c + 1.0), first) + math.log10(end + 1) - size * math.log10(seen + kinds + 1))
-                scores.append(model.value.score([part[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]) / math.log(10))
+        for part, bounds, words, first in parts:
+            mine, place = place[: len(words)], place[len(words) :]
+            size = np.diff(first) + 1
+            tokens.append(size)
+            known.append(per_row(occurs[mine], first) + occurs[end])
+            base_score.append(per_row(log[mine], first) + log[end] - size * math.log10(seen + kinds + 1))
+            scores.append(model.value.score([part[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]) / math.log(10))
         join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
         count = pa.array(np.full(left.num_rows, seen), pa.int64())
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": join(tokens, pa.int64()), "n_known": join(known, pa.int64()), "train_tokens": count, "base_score": join(base_score, pa.float64()), "score": join(scores, pa.float64())})
 
-    return every.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(need.groupBy("block")).applyInArrow(finish, SCORES)
-
-
-def _asked(block: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-    h = np.unique(np.concatenate([np.array([END_WORD]), *parts]))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h)], ["block", "h"])
+    return every.select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(counts.select("block", "range", "n").groupBy("block")).applyInArrow(finish, SCORES)

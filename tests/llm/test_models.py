@@ -468,3 +468,21 @@ def test_neighbours_are_counted_in_parts():
         got[b.column(0).to_numpy()] = b.column(1).to_numpy()
     assert (got.reshape(expected.shape) == expected).all()
     assert peak < 130e6, peak
+
+
+def test_word_counts_travel_packed(spark):
+    """A row a block and range instead of one a word and block; a block that two tasks read gets all its words' counts."""
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{k % 7}{j}" for j in range(k % 5 * 40)) for k in range(12)]
+    base = docs(spark, [(k, t, None) for k, t in enumerate(texts)]).select("doc_id", (F.col("doc_id") % 3 == 0).alias("held_out"), "text")
+    every = lm_scoring.id_table(base.coalesce(1), path, 2).repartition(3)  # one block, read by three tasks
+    words = lm_scoring.block_words(every, path, 4)
+    assert words.count() <= 3 * 4
+    counts = lm_scoring.corpus_counts(words).orderBy("range").collect()
+    expected = Counter({w: 0 for t in texts for w in [*t.split(), None]})
+    expected.update(w for k, t in enumerate(texts) if k % 3 for w in [*t.split(), None])
+    n = np.concatenate([lm_scoring._numbers(pa.scalar(bytes(r["n"])), np.int64) for r in counts])
+    assert len({r["block"] for r in counts}) == 1 and sorted(n.tolist()) == sorted(expected.values())
+    assert (sum(r["seen"] for r in counts), sum(r["kinds"] for r in counts)) == (sum(expected.values()), sum(x > 0 for x in expected.values()))

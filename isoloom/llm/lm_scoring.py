@@ -96,7 +96,7 @@ def _numbers(planes: pa.Scalar, kind: type) -> np.ndarray:
 
 def _bounds(words: np.ndarray, ranges: int) -> np.ndarray:
     """Where each range of words begins among sorted ones (ranges + 1)."""
-    return np.searchsorted(words >> np.uint64(32), -(-(np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)))
+    return np.searchsorted((words >> np.uint64(32)).view(np.int64), -(-(np.arange(ranges + 1) << 32) // ranges))
 
 
 def block_words(every: DataFrame, tokenizer: str, ranges: int) -> DataFrame:

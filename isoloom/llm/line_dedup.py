@@ -156,7 +156,8 @@ def _distinct(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     at = value >> np.uint32(32 - (PLACES - 1).bit_length())
     at += np.repeat((np.arange(n) * PLACES).astype(np.uint32), size)
     used[at] = True
-    out = np.count_nonzero(used.reshape(n, PLACES), axis=1)
+    # eight places at a time; a byte counts up to 128
+    out = np.add.reduce(used.view(np.uint64).reshape(n * 2, PLACES // 16), axis=1).view(np.uint8).reshape(n, 16).sum(1, dtype=np.int64)
     unsure = np.searchsorted(BOUNDS, out, "right") != np.searchsorted(BOUNDS, size, "right")
     if unsure.any():
         some, begin = _part(value, first, unsure)
@@ -287,23 +288,30 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _packed(keys: np.ndarray, ids: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows of packed bucket keys, one a range: alone (key, class) where a bucket has one line here; where it has more,
     head (key, class) of the least and all members (node, class)."""
-    order = np.argsort(keys)
+    # the first bits of the keys and the places are sorted as one number; unlike keys that share these bits only cut a
+    # bucket in two, which meet again in their range
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     keys, ids = keys[order], ids[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(begin, len(keys)))
-    least = np.minimum.reduceat(ids, begin)
-    several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
-    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    low = keys.astype(np.uint32)
-    node = (part.astype(np.uint64) << np.uint64(32)) | low
-    inside = np.repeat(several, count)
-    bounds = np.searchsorted(part, np.arange(ranges + 1))
-    of, heads = np.searchsorted(begin, bounds), ~several
-    for r in np.unique(part).tolist():
+    least, several = ids[begin], np.zeros(len(begin), bool)
+    many = np.flatnonzero(count > 1)
+    if len(many):
+        held = ids[np.repeat(count > 1, count)]
+        first = np.cumsum(count[many]) - count[many]
+        least[many] = np.minimum.reduceat(held, first)
+        several[many] = least[many] != np.maximum.reduceat(held, first)
+    inside = np.flatnonzero(np.repeat(several, count))
+    member, low = ids[inside], keys.astype(np.uint32)
+    bounds = np.searchsorted((keys >> np.uint64(32)).view(np.int64), -(-(np.arange(ranges + 1) << 32) // ranges))
+    of, within, heads = np.searchsorted(begin, bounds), np.searchsorted(inside, bounds), ~several
+    for r in np.flatnonzero(np.diff(bounds)).tolist():
         b = np.s_[of[r] : of[r + 1]]
         at, one = begin[b], heads[b]
-        m = np.s_[bounds[r] : bounds[r + 1]]
-        blobs = [low[at[one]], least[b][one], low[at[~one]], least[b][~one], node[m][inside[m]], ids[m][inside[m]]]
+        m = np.s_[within[r] : within[r + 1]]
+        node = np.uint64(r << 32) | low[inside[m]]
+        blobs = [low[at[one]], least[b][one], low[at[~one]], least[b][~one], node, member[m]]
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["range", "alone", "alone_id", "head", "head_id", "node", "member"])
 
 

@@ -287,12 +287,16 @@ def _promising(members: DataFrame, classes: DataFrame, least: int = SKETCH) -> D
     their near members instead (node, a: class, b: component)."""
     rows = members.join(classes.select("cid", "sketch"), "cid").groupBy("node").agg(F.collect_list(F.struct("cid", "comp", "sketch")).alias("m"))
 
+    def joined(found: list[list[pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*found, strict=True)], ["node", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, lists = batch.column(0).to_pylist(), batch.column(1)
             values = lists.flatten()
             bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
             cid, comp, sketch = values.field(0).to_numpy(), values.field(1).to_numpy(), _matrix(values.field(2))
+            found: list[list[pa.Array]] = []
             for node, a, b in zip(nodes, bounds[:-1], bounds[1:], strict=True):
                 x, y = _near_pairs(sketch[a:b], comp[a:b], least)
                 if not len(x):
@@ -300,11 +304,15 @@ def _promising(members: DataFrame, classes: DataFrame, least: int = SKETCH) -> D
                 if len(x) > DENSE * (b - a):
                     keep = a + np.unique(np.concatenate([x, y]))
                     part, place = _groups(node, comp[keep])
-                    rows = [pa.array(part), pa.array(cid[keep][place]), pa.array(comp[keep][place])]
+                    found.append([pa.array(part), pa.array(cid[keep][place]), pa.array(comp[keep][place])])
                 else:
                     p, q = cid[a:b][x], cid[a:b][y]
-                    rows = [pa.nulls(len(p), pa.int64()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))]
-                yield pa.RecordBatch.from_arrays(rows, ["node", "a", "b"])
+                    found.append([pa.nulls(len(p), pa.int64()), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))])
+                if sum(len(x[0]) for x in found[-64:]) > 100_000:
+                    yield joined(found)
+                    found = []
+            if found:
+                yield joined(found)
 
     return rows.mapInArrow(run, "node long, a long, b long").distinct()
 
@@ -327,15 +335,21 @@ def _groups(node: int, comp: np.ndarray, most: int = GROUP) -> tuple[np.ndarray,
     return np.repeat(number, [len(x) for x in pairs]), np.concatenate(pairs)
 
 
-def _near_pairs(sketch: np.ndarray, comp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs across components with ``least`` equal sketch bytes or more."""
-    rows = sketch
-    first, second = [], []
-    for k in range(len(rows) - 1):
-        other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
-        near = other[np.count_nonzero(rows[other] == rows[k], axis=1) >= least]
-        first.append(np.full(len(near), k))
-        second.append(near)
+def _near_pairs(sketch: np.ndarray, comp: np.ndarray, least: int, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs across components with ``least`` equal sketch bytes or more. Equal bytes are counted for all
+    pairs of some rows and those after them at once, a sketch column at a time."""
+    n, first, second = len(sketch), [], []
+    columns, step = np.ascontiguousarray(sketch.T), max(1, cells // max(1, len(sketch)))
+    for k in range(0, n, step):
+        if n <= 16:
+            same = np.count_nonzero(sketch[:, None] == sketch, axis=2)
+        else:
+            same = np.zeros((min(step, n - k), n - k), np.uint8)  # a sketch has fewer than 256 bytes
+            for column in columns:
+                same += column[k : k + step, None] == column[k:]
+        x, y = np.nonzero(np.triu((same >= least) & (comp[k : k + step, None] != comp[k:]), 1))
+        first.append(x + k)
+        second.append(y + k)
     return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64),) * 2
 
 

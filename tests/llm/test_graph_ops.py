@@ -252,3 +252,43 @@ def test_line_recall():
     assert len(close) > 500
     assert sum(bool(buckets[i] & buckets[i + 1]) for i in close) >= 0.995 * len(close)
     assert sum((sketch[i] == sketch[i + 1]).sum() >= line_dedup.SKETCH for i in close) >= 0.995 * len(close)
+
+
+def test_near_pairs_equal_a_plain_comparison():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 9, 16, 17, 60, 700):
+        base = rng.integers(0, 256, (1 + n // 8, 36)).astype(np.uint8)
+        sketch = base[rng.integers(0, len(base), n)]
+        other = rng.random(sketch.shape) < 0.4
+        sketch[other] = rng.integers(0, 256, other.sum())
+        comp = rng.integers(0, 1 + n // 2, n)
+        expected = [(i, j) for i in range(n) for j in range(i + 1, n) if comp[i] != comp[j] and (sketch[i] == sketch[j]).sum() >= 18]
+        assert list(zip(*(x.tolist() for x in near_dedup._near_pairs(sketch, comp, 18, 5000)), strict=True)) == expected
+
+
+def test_pairs_of_many_nodes(spark):
+    node = [k // 3 for k in range(300)]
+    members = spark.createDataFrame([(n, k, k) for k, n in enumerate(node)], "node long, cid long, comp long").coalesce(1)
+    classes = spark.createDataFrame([(k, bytes([n % 251] * 36)) for k, n in enumerate(node)], "cid long, sketch binary")
+    got = near_dedup._promising(members, classes, 18).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(3 * n + i, 3 * n + j) for n in range(100) for i, j in ((0, 1), (0, 2), (1, 2))]
+    assert all(r["node"] is None for r in got)
+
+
+def test_packed_buckets_by_plain_grouping():
+    rng = np.random.default_rng(6)
+    keys = (rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2))[rng.integers(0, 900, 2000)]
+    ids = rng.integers(-50, 50, 2000)
+    rows = {}
+    for batch in line_dedup._packed(keys, ids, 7):
+        r, *blobs = (batch.column(k)[0].as_py() for k in range(7))
+        rows[r] = [np.frombuffer(x, t).tolist() for x, t in zip(blobs, (np.uint32, np.int64, np.uint32, np.int64, np.uint64, np.int64), strict=True)]
+    buckets = {}
+    for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
+        buckets.setdefault(k, []).append(i)
+    for r in range(7):
+        mine = {k: x for k, x in buckets.items() if (k >> 32) * 7 >> 32 == r}
+        alone, alone_id, head, head_id, node, member = rows[r]
+        assert sorted(zip(alone, alone_id)) == sorted((k & 0xFFFFFFFF, x[0]) for k, x in mine.items() if len(set(x)) == 1)
+        assert list(zip(head, head_id)) == [(k & 0xFFFFFFFF, min(x)) for k, x in sorted(mine.items()) if len(set(x)) > 1]
+        assert sorted(zip(node, member)) == sorted((r << 32 | k & 0xFFFFFFFF, i) for k, x in mine.items() if len(set(x)) > 1 for i in x)

@@ -486,3 +486,8 @@ def test_word_counts_travel_packed(spark):
     n = np.concatenate([lm_scoring._numbers(pa.scalar(bytes(r["n"])), np.int64) for r in counts])
     assert len({r["block"] for r in counts}) == 1 and sorted(n.tolist()) == sorted(expected.values())
     assert (sum(r["seen"] for r in counts), sum(r["kinds"] for r in counts)) == (sum(expected.values()), sum(x > 0 for x in expected.values()))
+
+
+def test_base_scores_by_many_ranges(spark, quick, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 200)
+    test_base_scores(spark, quick, monkeypatch)
